@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from apiloom.llm.language_crf import op3_language_id
 from apiloom.llm.quality_rules import op5_quality_rules
 from apiloom.llm.secrets import op2_secret_scan
 from apiloom.llm.sharding import op1_sharding
@@ -14,6 +15,7 @@ from apiloom.llm.url_rules import OP9_SQL, op9_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op9_url_filters": op9_url_filters,
 }

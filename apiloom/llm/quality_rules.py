@@ -94,6 +94,8 @@ def _grow(x: np.ndarray, bad: np.ndarray, conditions: list, depth: int) -> Rule:
     inside = np.ones(len(x), bool)
     while len(rule) < depth and (~bad & inside).any():
         p, n = (bad & inside).sum(), (~bad & inside).sum()
+        if not p:
+            break
         before, best, best_gain = np.log2(p / (p + n)), None, 1e-9
         for condition in conditions:
             hit = inside & _holds(x, [condition])
