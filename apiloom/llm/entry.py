@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from apiloom.llm.decontamination import op8_decontamination
 from apiloom.llm.language_crf import op3_language_id
 from apiloom.llm.quality_rules import op5_quality_rules
 from apiloom.llm.secrets import op2_secret_scan
+from apiloom.llm.sentencepiece_sa import op4_sentencepiece
 from apiloom.llm.sharding import op1_sharding
 from apiloom.llm.url_rules import OP9_SQL, op9_url_filters
 
@@ -16,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filters": op9_url_filters,
 }
 

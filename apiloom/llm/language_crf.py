@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiloom.llm.common import documents, slices
+from apiloom.llm.shingles import powers
 
 BUCKETS = 1 << 16
 BLOCK = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WORD = np.uint64(0xD6E8FEB86659FD93)
 #: Salts of the feature families: bigram, trigram, prefixes, suffixes, lexicon.
 _SALTS = {"bi": 1, "tri": 2, "pre2": 3, "pre3": 4, "suf2": 5, "suf3": 6, "lex": 7}
 
@@ -84,10 +84,10 @@ def words(texts: list[str]) -> dict[str, np.ndarray]:
     last, last2 = low[stop - 1], np.where(stop - start > 1, low[stop - 2], 0)
     last3 = np.where(stop - start > 2, low[np.maximum(stop - 3, 0)], 0)
     # a polynomial hash of each whole word, from running sums
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(at), _WORD, np.uint64)]))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(here * powers[:-1])])
+    up, down = powers(len(at) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(here * up[:-1])])
     first = np.concatenate([[0], np.cumsum(stop - start)])
-    whole = (sums[first[1:]] - sums[first[:-1]]) * powers[len(at) - first[:-1]]
+    whole = (sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]]
     return {
         "doc": np.searchsorted(begin, start, "right") - 1,
         "start": start,
