@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from apiloom.llm.decontamination import op8_decontamination
+from apiloom.llm.jaccard_join import op7_jaccard_join
 from apiloom.llm.language_crf import op3_language_id
 from apiloom.llm.quality_rules import op5_quality_rules
 from apiloom.llm.secrets import op2_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_url_filters": op9_url_filters,
 }
