@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from apiloom.llm.decontamination import op8_decontamination
+from apiloom.llm.html_extraction import op10_html_extraction
 from apiloom.llm.jaccard_join import op7_jaccard_join
 from apiloom.llm.language_crf import op3_language_id
 from apiloom.llm.quality_rules import op5_quality_rules
@@ -14,6 +15,7 @@ from apiloom.llm.secrets import op2_secret_scan
 from apiloom.llm.sentencepiece_sa import op4_sentencepiece
 from apiloom.llm.sharding import op1_sharding
 from apiloom.llm.url_rules import OP9_SQL, op9_url_filters
+from apiloom.llm.warc_derivatives import op6_warc_derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
@@ -21,9 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_url_filters": op9_url_filters,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filters": OP9_SQL}

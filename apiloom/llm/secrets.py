@@ -145,11 +145,18 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return _all_spans(scanned, link_parts(scanned, scope=scope)).select(id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns, with every reported span of the text replaced by the mark."""
-    scanned = cut(scan(docs, text_col=text_col).dropDuplicates(["text_md5"]).where((F.col("base") != "") | F.col("parts").isNotNull()))
-    spans = _all_spans(scanned, link_parts(scanned, scope=scope)).where("spans != ''").select(F.col("text_md5").alias("__md5"), F.col("spans").alias("__spans"))
-    rows = docs.withColumn("__md5", F.md5(F.col(text_col))).join(spans, "__md5", "left")
+def redact(docs: DataFrame, *, text_col: str = "text", scope: int = SCOPE, mark: str = "[REDACTED]", max_broadcast: int = 100_000) -> DataFrame:
+    """The same rows and columns, with every reported span of the text replaced by the mark.
+
+    Texts with spans are few: their spans are broadcast when there are at most `max_broadcast` such texts, and joined by
+    a shuffle otherwise.
+    """
+    some = scan(docs, text_col=text_col).where((F.col("base") != "") | F.col("parts").isNotNull())
+    scanned = cut(some.dropDuplicates(["text_md5"]))
+    found = _all_spans(scanned, link_parts(scanned, scope=scope)).where("spans != ''")
+    spans = cut(found.select(F.col("text_md5").alias("__md5"), F.col("spans").alias("__spans")))
+    side = F.broadcast(spans) if spans.count() <= max_broadcast else spans
+    rows = docs.withColumn("__md5", F.md5(F.col(text_col))).join(side, "__md5", "left")
 
     # pieces of the text between merged spans, built from the joined string of spans
     ends = F.array_sort(
