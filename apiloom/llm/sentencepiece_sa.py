@@ -32,7 +32,7 @@ from apiloom.llm.common import documents, slices
 
 SPACE = "▁"
 _LONG = 48
-_REMEMBER = 150_000
+_REMEMBER = 400_000
 _NONE = -(2.0**60)
 
 
@@ -64,7 +64,7 @@ class Vocabulary:
         self.scores = np.array([s for _, _, s in plain])
         self.lengths = np.array([len(p) for p, _, _ in plain])
         alphabet = sorted({c for p, _, _ in plain for c in p})
-        # characters as 15-bit codes in code-point order; 0 ends a stretch, unknown characters share the top code
+        # characters as codes in code-point order; 0 ends a stretch, unknown characters share the top code
         self.top = len(alphabet) + 1
         if self.top >= 0x7FFF:
             raise ValueError("more than 32,766 characters in the vocabulary")
@@ -74,13 +74,9 @@ class Vocabulary:
         for p, i, _ in plain:
             if len(p) == 1:
                 self.single[self.code_of[ord(p)]] = i
-        self.width = -(-self.longest // 4)
-        rows = np.zeros((len(plain), self.width * 4), np.uint64)
+        self.rows = np.zeros((len(plain), self.longest), np.uint16)
         for r, (p, _, _) in enumerate(plain):
-            rows[r, : len(p)] = self.code_of[np.frombuffer(p.encode("utf-32-le"), np.uint32)]
-        self.low_keys = _packed(rows)
-        rows[np.arange(self.width * 4) >= self.lengths[:, None]] = 0xFFFF
-        self.high_keys = _packed(rows)
+            self.rows[r, : len(p)] = self.code_of[np.frombuffer(p.encode("utf-32-le"), np.uint32)]
         self.many = self.lengths > 1
         # a character in no longer piece ends a stretch by itself
         joint = {c for p, _, _ in plain if len(p) > 1 for c in p}
@@ -95,10 +91,17 @@ class Vocabulary:
         return re.compile(f"{SPACE}+[^{SPACE}{a}]*|[^{SPACE}{a}]+|\n").findall
 
 
-def _packed(rows: np.ndarray) -> list[np.ndarray]:
-    """Four 16-bit codes to a 64-bit key, so that keys compare like strings."""
-    shift = [np.uint64(s) for s in (48, 32, 16, 0)]
-    return [sum((rows[:, 4 * j + i] << shift[i] for i in range(1, 4)), rows[:, 4 * j] << shift[0]) for j in range(rows.shape[1] // 4)]
+def _packed(code: np.ndarray, bits: int, keys: int) -> list[np.ndarray]:
+    """The codes from each place on as 64-bit keys that compare like strings (places run along the last axis)."""
+    each = 64 // bits
+    span, have = code.astype(np.uint64), bits
+    while have < 64:
+        step = have // bits
+        nearer = np.zeros_like(span)
+        nearer[..., :-step] = span[..., step:]
+        span = (span << np.uint64(have)) | nearer
+        have *= 2
+    return [span[..., j * each :] for j in range(keys)]
 
 
 def _search(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.ndarray:
@@ -120,17 +123,33 @@ def _search(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np
 
 
 def edges(vocabulary: Vocabulary, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences of pieces of two or more characters in the indexed text: start, length and piece, by start."""
+    """All occurrences of pieces of two or more characters in the indexed text: start, length and piece, by start.
+
+    The characters of a batch are few, so mostly one byte each holds them; pieces with others cannot occur.
+    """
     v = vocabulary
-    padded = np.concatenate([code, np.zeros(4 * v.width, np.uint16)]).astype(np.uint64)
+    present = np.zeros(v.top + 1, bool)
+    present[code] = True
+    present[0] = True
+    local = np.cumsum(present) - 1
+    bits = 8 if local[-1] < 255 else 16
+    each = 64 // bits
+    keys_n = -(-v.longest // each)
+    possible = np.flatnonzero(v.many & present[v.rows].all(1))
     n = len(code)
-    keys = [sum((padded[4 * j + i : 4 * j + i + n] << np.uint64(48 - 16 * i) for i in range(1, 4)), padded[4 * j : 4 * j + n] << np.uint64(48)) for j in range(v.width)]
-    suffix = np.lexsort(keys[::-1])
+    padded = np.concatenate([local[code], np.zeros(keys_n * each, np.int64)])
+    keys = [k[:n] for k in _packed(padded, bits, keys_n)]
+    places = np.flatnonzero(code)
+    suffix = places[np.lexsort([k[places] for k in keys[::-1]])]
     keys = [k[suffix] for k in keys]
-    low = _search(keys, [k[v.many] for k in v.low_keys], False)
-    high = _search(keys, [k[v.many] for k in v.high_keys], True)
+    rows = np.zeros((len(possible), keys_n * each), np.int64)
+    rows[:, : v.longest] = local[v.rows[possible]]
+    first = lambda m: [k[:, 0].copy() for k in _packed(m, bits, keys_n)]
+    low = _search(keys, first(rows), False)
+    rows[np.arange(keys_n * each) >= v.lengths[possible][:, None]] = (1 << bits) - 1
+    high = _search(keys, first(rows), True)
     many = high - low
-    piece = np.repeat(np.flatnonzero(v.many), many)
+    piece = np.repeat(possible, many)
     start = suffix[np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
     order = np.argsort(start * 64 + v.lengths[piece])
     return start[order], v.lengths[piece[order]], piece[order]
@@ -158,6 +177,47 @@ def _relax_heap(n: int, score_of: dict, out: np.ndarray, base: int) -> None:
         out[base + a] = base + nxt[a] if alive[a] else 0
 
 
+def _relax_grid(first: np.ndarray, size: np.ndarray, look, end: np.ndarray) -> None:
+    """Merge all stretches of one class of sizes together, one merge in each at a time."""
+    if not len(first):
+        return
+    span = int(size.max())
+    columns = np.arange(span)
+    bounds = first[:, None] + np.arange(span + 1)  # ends of symbols, packed to the left
+    count = size.copy()
+    pairs = np.full((len(first), span), _NONE)
+    row, col = np.nonzero(columns < count[:, None] - 1)
+    pairs[row, col] = look(bounds[row, col], bounds[row, col] + 2)
+
+    def settle(done: np.ndarray) -> None:
+        row, col = np.nonzero(columns < count[done][:, None])
+        end[bounds[done][row, col]] = bounds[done][row, col + 1]
+
+    while len(bounds):
+        best = pairs.argmax(1)
+        rows = np.arange(len(bounds))
+        some = pairs[rows, best] > _NONE
+        if not some.all():
+            settle(~some)
+            bounds, pairs, count, best = bounds[some], pairs[some], count[some], best[some]
+            rows = rows[: len(best)]
+            if not len(rows):
+                return
+        # drop the boundary between the two symbols and shift the rest to the left
+        move = columns > best[:, None]
+        bounds[:, :-1] = np.where(move, bounds[:, 1:], bounds[:, :-1])
+        pairs[:, :-1] = np.where(move[:, :-1], pairs[:, 1:], pairs[:, :-1])
+        pairs[:, -1] = _NONE
+        count -= 1
+        pairs[rows, best] = _NONE
+        after = np.flatnonzero(best + 1 < count)
+        at = best[after]
+        pairs[after, at] = look(bounds[after, at], bounds[after, at + 2])
+        before = np.flatnonzero(best > 0)
+        at = best[before] - 1
+        pairs[before, at] = look(bounds[before, at], bounds[before, at + 2])
+
+
 def relax(vocabulary: Vocabulary, start: np.ndarray, length: np.ndarray, piece: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Take edges in the model's order. Returns the starts of the final symbols and their ends, by position."""
     v = vocabulary
@@ -177,41 +237,11 @@ def relax(vocabulary: Vocabulary, start: np.ndarray, length: np.ndarray, piece:
         own = {(int(s - begin[i]), int(s - begin[i] + n)): float(x) for s, n, x in zip(start[a:b], length[a:b], score[a:b], strict=True)}
         _relax_heap(int(sizes[i]), own, end, int(begin[i]))
 
-    short = (sizes <= _LONG) & (sizes > 0)
-    first, size = begin[short], sizes[short]
-    if len(first):
-        span = int(size.max())
-        grid = first[:, None] + np.arange(span + 1)  # boundaries of symbols, left-packed
-        count = size.copy()  # symbols in each stretch
-        pair = np.full((len(first), span), _NONE)
-        cell = np.arange(span)[None, :] < count[:, None] - 1
-        row, col = np.nonzero(cell)
-        pair[row, col] = look(grid[row, col], grid[row, col] + 2)
-        live = np.arange(len(first))
-        while len(live):
-            best = pair[live].argmax(1)
-            some = pair[live, best] > _NONE
-            if not some.all():
-                live, best = live[some], best[some]
-            if not len(live):
-                break
-            # drop the boundary between the two symbols, shift the rest left
-            move = np.arange(span)[None, :] > best[:, None]
-            bounds, pairs = grid[live], pair[live]
-            shifted = np.concatenate([bounds[:, 1:], bounds[:, -1:]], 1)
-            bounds[:, :-1] = np.where(move, shifted[:, :-1], bounds[:, :-1])
-            pairs = np.where(move, np.concatenate([pairs[:, 1:], np.full((len(live), 1), _NONE)], 1), pairs)
-            count[live] -= 1
-            left = np.maximum(best - 1, 0)
-            rows = np.arange(len(live))
-            has_left = best > 0
-            has_right = best + 1 < count[live]
-            pairs[rows, best] = np.where(has_right, look(bounds[rows, best], bounds[rows, np.minimum(best + 2, span)]), _NONE)
-            new_left = look(bounds[rows, left], bounds[rows, np.minimum(left + 2, span)])
-            pairs[rows, left] = np.where(has_left, new_left, pairs[rows, left])
-            grid[live], pair[live] = bounds, pairs
-        row, col = np.nonzero(np.arange(span)[None, :] < count[:, None])
-        end[grid[row, col]] = grid[row, col + 1]
+    for low, high in ((2, 8), (9, 14), (15, _LONG)):
+        short = (sizes >= low) & (sizes <= high)
+        _relax_grid(begin[short], sizes[short], look, end)
+    one = sizes == 1
+    end[begin[one]] = begin[one] + 1
     starts = np.flatnonzero(end[:total])
     return starts, end[starts]
 
