@@ -66,12 +66,13 @@ def leaf_name(path: Column) -> Column:
 
 def markdown_params(sections: DataFrame, *, key: str, text_col: str) -> DataFrame:
     """Rows of the Markdown tables of a section: (key, ord, name, description, type, indent). The first two rows of a
-    table are its head; the indent counts the leading `&emsp;`."""
+    table are its head; the type stands last, or before the schema in tables of five and more columns; the indent counts
+    the leading `&emsp;`."""
     line = sections.select(key, F.posexplode(F.split(text_col, "\n")).alias("ord", "line")).where(F.trim("line").startswith("|"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = line.select(key, "ord", cells.alias("c")).where(~F.col("c")[0].rlike("^:?-{2,}") & ~F.col("c")[0].isin("参数名称", "name", "Name"))
     kinds = F.create_map(*[F.lit(x) for kv in JSON_TYPES.items() for x in kv])
-    kind = F.lower(F.regexp_replace(F.coalesce(F.try_element_at("c", F.lit(-2)), F.lit("")), r"\(.*", ""))
+    kind = F.lower(F.regexp_replace(F.coalesce(F.try_element_at("c", F.when(F.size("c") >= 5, -2).otherwise(-1)), F.lit("")), r"\(.*", ""))
     indent = (F.length(F.col("c")[0]) - F.length(F.regexp_replace(F.col("c")[0], "&emsp;", ""))) / 6
     return rows.select(key, "ord", F.regexp_replace(F.col("c")[0], "&emsp;", "").alias("name"), F.try_element_at("c", F.lit(2)).alias("description"), F.coalesce(kinds[kind], F.lit("string")).alias("type"), indent.cast("int").alias("indent"))
 

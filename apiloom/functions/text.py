@@ -209,7 +209,8 @@ def parse_samples(response: Column) -> Column:
 def parse_score(response: Column) -> Column:
     """The first number before `|||`, on a scale of ten, as 0 to 1."""
     head = F.split_part(response, F.lit("|||"), F.lit(1))
-    return F.least(F.lit(1.0), F.regexp_extract(head, r"(\d+(?:\.\d+)?)", 1).try_cast("double") / 10)
+    number = F.regexp_extract(head, r"(\d+(?:\.\d+)?)", 1).try_cast("double") / 10
+    return F.when(number.isNotNull(), F.least(F.lit(1.0), number))
 
 
 def first_line(response: Column) -> Column:
