@@ -246,3 +246,23 @@ def event_family(kind: Column) -> Column:
 
 def api_hash(*fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*fields)), 256)
+
+
+def response_agents(response: Column) -> Column:
+    """Agent ids that a response names: a JSON array of strings, else its snake_case words. Known ids are a later semi-join."""
+    listed = F.from_json(F.regexp_extract(response, r"(\[[^\]]*\])", 1), "array<string>")
+    return F.array_distinct(F.coalesce(listed, F.regexp_extract_all(response, F.lit(r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), F.lit(1))))
+
+
+def parse_action(response: Column) -> Column:
+    """The word after `Action:`; FINISH when the response says that it ends."""
+    word = F.regexp_extract(response, r"(?m)^\s*Action:\s*([A-Za-z0-9_]+)", 1)
+    return F.when(F.upper(word).isin("FINISH", "DONE", "END"), "FINISH").when(word != "", word)
+
+
+def primary_entity(schema: Column, anchor: Column) -> Column:
+    """The entity that a response schema names by `$ref` or `title` (of its items for arrays), else the anchor."""
+    get = lambda p: F.get_json_object(schema, p)
+    ref = F.element_at(F.split(F.coalesce(get("$.items.$ref"), get("$['items']['$ref']"), get("$['$ref']"), get("$.items.title"), get("$.title")), "/"), -1)
+    name = F.lower(F.regexp_replace(ref, "(?i)(dto|vo|entity|model|response|request)+$", ""))
+    return F.coalesce(F.when(name != "", name), anchor)

@@ -164,3 +164,67 @@ def reporting_lines(agents: DataFrame) -> DataFrame:
     """How many agents of the level below each agent manages; a level is counted once, no pairs are made."""
     sizes = agents.groupBy((F.col("level") - 1).alias("level")).agg(F.count("*").alias("reports"))
     return agents.join(F.broadcast(sizes), "level").select("agent_id", "level", "reports")
+
+
+def search_nodes(nodes: DataFrame, text: str, **equal) -> DataFrame:
+    """Nodes whose name, capability or data scope contains the text, and whose columns equal the given values."""
+    found = F.lower(F.concat_ws(" ", *[c for c in ("name", "capability", "datascope") if c in nodes.columns])).contains(text.lower())
+    for name, value in equal.items():
+        found = found & (F.col(name) == F.lit(value))
+    return nodes.where(found)
+
+
+def adjusted_roles(roles: DataFrame, empty: DataFrame, new: DataFrame) -> DataFrame:
+    """Roles that have APIs, and the new ones."""
+    return roles.join(empty.select("role"), "role", "left_anti").select("role").unionByName(new.select("role")).distinct()
+
+
+def shared_by_level(references: DataFrame, agents: DataFrame, *, least: int = 2) -> DataFrame:
+    """Capabilities that at least `least` agents of one level refer to."""
+    return references.join(agents.select("agent_id", "level"), "agent_id").groupBy("level", "capability").agg(F.countDistinct("agent_id").alias("agents")).where(F.col("agents") >= least)
+
+
+def task_similarity(scores: DataFrame) -> DataFrame:
+    """1 - |difference| of the mean scores of each pair of tasks; tasks are few, and each pair is made once."""
+    mean = scores.groupBy("task").agg(F.avg("score").alias("m"))
+    a, b = mean.select(F.col("task").alias("a"), F.col("m").alias("ma")), mean.select(F.col("task").alias("b"), F.col("m").alias("mb"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.abs(F.col("ma") - F.col("mb")), 6).alias("similarity"))
+
+
+def silhouette(points: DataFrame, *, block: int = 2048) -> DataFrame:
+    """Mean Euclidean silhouette over all points (vec_id, embedding, cluster).
+
+    Every pair of points counts, so the cost is quadratic by definition; points go out in bounded blocks, and each task
+    sends sums by (point, cluster) only.
+    """
+    spark = points.sparkSession
+    sizes = points.groupBy("cluster").agg(F.count("*").alias("n"))
+    rows = points.select(F.col("vec_id").alias("query_id"), "embedding")
+    parts = None
+    for ids, matrix in _blocks(rows, block):
+        held = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, q = held.value
+            sums: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.array(batch.column("embedding").to_pylist(), np.float64)
+                d = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T))
+                d[names[:, None] == batch.column("vec_id").to_numpy()[None]] = 0
+                labels = np.array(batch.column("cluster").to_pylist())
+                for c in np.unique(labels):
+                    sums[c] = sums.get(c, 0) + d[:, labels == c].sum(1)
+            for c, s in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([c] * len(names), pa.int64()), pa.array(s)], names=["vec_id", "other", "total"])
+
+        part = points.select("vec_id", "embedding", F.col("cluster").cast("long").alias("cluster")).mapInArrow(run, "vec_id long, other long, total double")
+        parts = part if parts is None else parts.unionByName(part)
+    total = parts.groupBy("vec_id", "other").agg(F.sum("total").alias("total")).join(points.select("vec_id", "cluster"), "vec_id")
+    sized = total.join(F.broadcast(sizes.select(F.col("cluster").alias("other"), "n")), "other")
+    own = F.max(F.when((F.col("other") == F.col("cluster")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
+    far = F.min(F.when(F.col("other") != F.col("cluster"), F.col("total") / F.col("n")))
+    each = sized.groupBy("vec_id").agg(own.alias("a"), far.alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.agg(F.round(F.avg(value), 6).alias("silhouette"))
