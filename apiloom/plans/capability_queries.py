@@ -67,12 +67,12 @@ SQL = {
         c AS (SELECT capability, CASE WHEN bool_or(read_only) AND bool_or(write_only) THEN 1.0 WHEN bool_or(read_only) OR bool_or(write_only) THEN 0.5 ELSE 0 END AS cover, CAST(bool_or(NOT read_only AND NOT write_only) AS INT) AS chained FROM merged GROUP BY ALL)
         SELECT capability, round(round(CAST(crud + cover + chained + 1 AS DOUBLE), 9) / 4, 2) AS connectivity FROM b JOIN c USING (capability)""",
     "unify_anchors": f"WITH {APIS}, n AS (SELECT tags[1] AS cluster, entity, count(*) AS n FROM apis GROUP BY ALL) SELECT cluster, arg_min(entity, (-n, entity)) AS anchor FROM n GROUP BY cluster",
-    "quality_score": f"""WITH {APIS}, z AS (SELECT entity, count(*) AS n FROM apis GROUP BY ALL), m AS (SELECT avg(n) AS a, stddev_pop(n) AS s, count_if(n = 1) / count(*) AS noise FROM z)
+    "quality_score": f"""WITH {APIS}, z AS (SELECT entity, count(*) AS n FROM apis GROUP BY ALL), m AS (SELECT avg(n) AS a, stddev_pop(n) AS s, count(*) FILTER (n = 1) / count(*) AS noise FROM z)
         SELECT round((1.25 / 2 * 0.3 + greatest(0, 1 - noise * 2) * 0.2 + 0.5 * 0.3 + CASE WHEN a BETWEEN 3 AND 8 THEN 1.0 ELSE greatest(0, 1 - abs(a - 5.5) / 10) END * (1 - least(1.0, s / a) * 0.5) * 0.2) * 100, 2) AS quality FROM m""",
-    "clustering_warnings": f"""WITH {APIS}, z AS (SELECT tags[1] AS tag, entity, count(*) AS n FROM apis GROUP BY ALL), m AS (SELECT tag, count_if(n <= 10) / count(*) AS noise, max(n) AS largest, count(*) AS c, count_if(n <= 12) AS inc FROM z GROUP BY ALL)
+    "clustering_warnings": f"""WITH {APIS}, z AS (SELECT tags[1] AS tag, entity, count(*) AS n FROM apis GROUP BY ALL), m AS (SELECT tag, count(*) FILTER (n <= 10) / count(*) AS noise, max(n) AS largest, count(*) AS c, count(*) FILTER (n <= 12) AS inc FROM z GROUP BY ALL)
         SELECT tag, array_to_string(list_filter([CASE WHEN noise > 0.3 THEN 'high noise' END, CASE WHEN largest > 20 THEN 'large cluster' END, CASE WHEN inc > c * 0.5 THEN 'incomplete lifecycles' END], lambda x: x IS NOT NULL), ',') AS warnings FROM m""",
     "required_vs_optional": f"WITH {APIS} SELECT entity AS role, operation_id, CASE WHEN (length(entity) % 2 = 0 AND (contains(lower(summary), 'ring') OR contains(lower(summary), 'bolt'))) OR (length(entity) % 2 = 1 AND contains(lower(summary), 'widget')) THEN 'required' ELSE 'optional' END AS kind FROM apis",
-    "role_statistics": f"WITH {APIS}, k AS (SELECT entity AS role, (length(entity) % 2 = 0 AND (contains(lower(summary), 'ring') OR contains(lower(summary), 'bolt'))) OR (length(entity) % 2 = 1 AND contains(lower(summary), 'widget')) AS r FROM apis) SELECT role, count(*) AS apis, count_if(r) AS required, count_if(NOT r) AS optional FROM k GROUP BY role",
+    "role_statistics": f"WITH {APIS}, k AS (SELECT entity AS role, (length(entity) % 2 = 0 AND (contains(lower(summary), 'ring') OR contains(lower(summary), 'bolt'))) OR (length(entity) % 2 = 1 AND contains(lower(summary), 'widget')) AS r FROM apis) SELECT role, count(*) AS apis, count(*) FILTER (r) AS required, count(*) FILTER (NOT r) AS optional FROM k GROUP BY role",
     "empty_roles": f"WITH {APIS} SELECT DISTINCT entity AS role FROM apis WHERE NOT (entity LIKE 's%' OR entity LIKE 'p%')",
     "cross_domain_caps": f"WITH {APIS} SELECT tags[1] AS domain, operation_id AS capability, ord, CAST(row_number() OVER w AS INT) AS rank FROM apis WINDOW w AS (PARTITION BY tags[1] ORDER BY ord) QUALIFY row_number() OVER w <= 2",
     "path_provides_fields": f"WITH {APIS}, {FIELDS.format('p', 1)} SELECT l_orderkey AS path_id, count(DISTINCT name) FILTER (name IN ('userId', 'order_id', 'email')) = 3 AS covered FROM lineitem JOIN apis ON ord = l_partkey JOIN p USING (operation_id) GROUP BY l_orderkey",

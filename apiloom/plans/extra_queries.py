@@ -61,5 +61,5 @@ SQL = {
     "shared_by_level": "SELECT 2 AS level, CAST(o_orderkey % 500 AS VARCHAR) AS capability, count(DISTINCT o_custkey) AS agents FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL HAVING count(DISTINCT o_custkey) >= 2",
     "task_similarity": "WITH m AS (SELECT event_type AS task, avg(floor(value) / 1024) AS m FROM events GROUP BY ALL) SELECT a.task AS a, b.task AS b, round(1 - abs(a.m - b.m), 6) AS similarity FROM m a JOIN m b ON a.task < b.task",
     "similar_paths": f"WITH {APIS} SELECT DISTINCT entity, 4 AS n, 'api/v1/' || entity || '/delete' AS segments FROM apis WHERE method = 'DELETE'",
-    "scenario_statistics": "WITH p AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY ALL) SELECT count(*) AS paths, count(*) * 2 AS scenarios, count_if(n > 2) AS valid FROM p",
+    "scenario_statistics": "WITH p AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY ALL) SELECT count(*) AS paths, count(*) * 2 AS scenarios, count(*) FILTER (n > 2) AS valid FROM p",
 }

@@ -69,8 +69,8 @@ def api_edges(s, d):
 
 API_EDGES = f"""
 kinds AS (SELECT *, {OPTYPE} AS kind FROM apis),
-crud AS (SELECT k.operation_id AS src, g.dst, 0.85 AS score FROM kinds k JOIN (SELECT entity, arg_min(operation_id, ord) AS dst FROM kinds WHERE kind = 'get' GROUP BY ALL) g USING (entity) WHERE kind IN ('update', 'delete')),
-aedges AS (SELECT src, dst, score FROM crud UNION ALL SELECT k.operation_id, g.dst, 0.8 FROM kinds k JOIN (SELECT entity, arg_min(operation_id, ord) AS dst FROM kinds WHERE kind = 'list' GROUP BY ALL) g USING (entity) WHERE kind = 'create')"""
+crud AS (SELECT k.operation_id AS src, g.dst, CAST(0.85 AS DOUBLE) AS score FROM kinds k JOIN (SELECT entity, arg_min(operation_id, ord) AS dst FROM kinds WHERE kind = 'get' GROUP BY ALL) g USING (entity) WHERE kind IN ('update', 'delete')),
+aedges AS (SELECT src, dst, score FROM crud UNION ALL SELECT k.operation_id, g.dst, CAST(0.8 AS DOUBLE) FROM kinds k JOIN (SELECT entity, arg_min(operation_id, ord) AS dst FROM kinds WHERE kind = 'list' GROUP BY ALL) g USING (entity) WHERE kind = 'create')"""
 
 
 def _vectors(s, d):
@@ -226,7 +226,7 @@ SQL = {
         SELECT operation_id, CASE WHEN scattered THEN 'atomic_' || operation_id ELSE entity END AS cluster, CASE WHEN scattered THEN 'atomic' ELSE 'kept' END AS action FROM k""",
     "detect_changes": f"""WITH {APIS} SELECT operation_id, CASE WHEN ord % 7 = 0 THEN 'added' WHEN ord % 5 = 0 THEN 'removed' ELSE 'modified' END AS change FROM apis
         WHERE (ord % 7 = 0 AND ord % 5 != 0) OR (ord % 5 = 0 AND ord % 7 != 0) OR (ord % 5 != 0 AND ord % 7 != 0 AND ord % 11 = 0)""",
-    "cluster_summary": f"""WITH {APIS}, z AS (SELECT entity, count(*) AS n FROM apis GROUP BY ALL), s AS (SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS apis, avg(n) AS a, stddev_pop(n) AS sd, count_if(n = 1) AS one FROM z)
+    "cluster_summary": f"""WITH {APIS}, z AS (SELECT entity, count(*) AS n FROM apis GROUP BY ALL), s AS (SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS apis, avg(n) AS a, stddev_pop(n) AS sd, count(*) FILTER (n = 1) AS one FROM z)
         SELECT clusters, apis, round(a, 6) AS avg_size, round(sd, 6) AS std_size, round(one / apis, 6) AS atomic_share, round(CASE WHEN a BETWEEN 3 AND 8 THEN 1.0 ELSE greatest(0, 1 - abs(a - 5.5) / 10) END * (1 - least(1.0, sd / a) * 0.5), 6) AS distribution_score FROM s""",
     "constraints": f"""WITH {APIS}, c AS (SELECT operation_id, unnest(CASE WHEN method = 'DELETE' THEN ['audit', 'approval'] WHEN method = 'PUT' THEN ['audit'] ELSE [] END) AS "constraint" FROM apis)
         SELECT *, substr(md5(operation_id || ':' || "constraint"), 1, 8) AS contract_id FROM c""",
@@ -235,7 +235,7 @@ SQL = {
         s AS (SELECT x.o AS a, y.o AS b, round(0.7 * len(list_intersect(x.rp, y.rp)) / len(list_distinct(list_concat(x.rp, y.rp))) + 0.3 * len(list_intersect(x.rq, y.rq)) / len(list_distinct(list_concat(x.rq, y.rq))), 9) AS similarity FROM b x JOIN b y ON x.o < y.o)
         SELECT * FROM s WHERE similarity >= 0.5""",
     "entity_relations_by_path": f"""WITH {APIS}, {ENTITIES}, v AS (SELECT entity AS target, unnest([entity, replace(entity, '-', ''), entity || 's', split_part(entity, '-', 1), split_part(entity, '-', 2)]) AS variation FROM ent), p AS (SELECT DISTINCT entity AS source, lower(path) AS path FROM apis)
-        SELECT DISTINCT source, target, 'PATH_HIERARCHY' AS type, 0.75 AS score FROM p JOIN v ON contains(path, variation) AND source != target""",
+        SELECT DISTINCT source, target, 'PATH_HIERARCHY' AS type, CAST(0.75 AS DOUBLE) AS score FROM p JOIN v ON contains(path, variation) AND source != target""",
     "field_match_dependencies": f"""WITH {APIS}, {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
         x AS (SELECT *, {CANONICAL.format(BARE.format('name'))} AS canonical, CASE WHEN name LIKE '%Amount%' THEN 'number' ELSE 'string' END AS type, CASE WHEN length(name) % 2 = 0 THEN 0.95 ELSE 0.5 END AS w, {BARE.format('name')} AS bare FROM q WHERE name != 'status'),
         y AS (SELECT *, {CANONICAL.format(BARE.format('name'))} AS canonical, CASE WHEN name LIKE '%Amount%' THEN 'number' ELSE 'string' END AS type, CASE WHEN length(name) % 2 = 0 THEN 0.95 ELSE 0.5 END AS w, {BARE.format('name')} AS bare FROM p WHERE name != 'status'),
@@ -243,9 +243,9 @@ SQL = {
         s AS (SELECT src, dst, name, round(0.4 + CASE WHEN near >= 0.5 THEN 0.3 * near + 0.1 * w + 0.05 ELSE 0 END, 9) AS score FROM m)
         SELECT src, dst, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ',') AS matched FROM s WHERE score >= 0.7 GROUP BY src, dst""",
     "write_read_dependencies": f"""WITH {APIS}, {ENTITIES}, {RELATED}, {API_EDGES}, r AS (SELECT entity, arg_min(operation_id, ord) AS dst FROM apis WHERE method = 'GET' OR path LIKE '%/get%' OR path LIKE '%/list%' OR path LIKE '%/page%' GROUP BY ALL)
-        SELECT a.operation_id AS src, r.dst, 0.6 AS score FROM apis a JOIN related ON source = a.entity JOIN r ON r.entity = target WHERE (method IN ('POST', 'PUT') OR path LIKE '%/create%' OR path LIKE '%/update%') AND a.operation_id NOT IN (SELECT src FROM aedges)""",
+        SELECT a.operation_id AS src, r.dst, CAST(0.6 AS DOUBLE) AS score FROM apis a JOIN related ON source = a.entity JOIN r ON r.entity = target WHERE (method IN ('POST', 'PUT') OR path LIKE '%/create%' OR path LIKE '%/update%') AND a.operation_id NOT IN (SELECT src FROM aedges)""",
     "crud_flow_dependencies": f"WITH {APIS}, {API_EDGES} SELECT src, dst, score FROM crud",
-    "explicit_edges": f"WITH {EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), k AS (SELECT node FROM n WHERE node LIKE 's%' OR node LIKE '%5') SELECT src, dst, 1.0 AS score, 'CERTAIN' AS type FROM edges WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)",
+    "explicit_edges": f"WITH {EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), k AS (SELECT node FROM n WHERE node LIKE 's%' OR node LIKE '%5') SELECT src, dst, CAST(1.0 AS DOUBLE) AS score, 'CERTAIN' AS type FROM edges WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)",
     "belongs_to": f"WITH {APIS} SELECT operation_id, entity FROM apis WHERE entity != 'unknown'",
     "neighbours": f"""WITH {EDGES}, o AS (SELECT src AS node, count(*) AS n_out, arg_min(dst, (-score, dst)) AS best FROM edges GROUP BY ALL), i AS (SELECT dst AS node, count(*) AS n_in FROM edges GROUP BY ALL)
         SELECT node, CAST(n_out AS INT) AS n_out, CAST(n_in AS INT) AS n_in, best FROM o FULL JOIN i USING (node)""",

@@ -74,7 +74,7 @@ QUERIES = {
     "sample_n": lambda s, d: S.sample_n(table(s, d, "documents").select("doc_id", "lang"), 100, id_col="doc_id"),
 }
 
-CLS = "c AS (SELECT prompt_id, expected AS cls, count(*) AS gold, count_if(expected = predicted) AS tp FROM preds GROUP BY ALL), q AS (SELECT prompt_id, predicted AS cls, count(*) AS said FROM preds GROUP BY ALL), m AS (SELECT c.*, CASE WHEN coalesce(said, 0) > 0 THEN tp / said ELSE 0 END AS p, CASE WHEN gold > 0 THEN tp / gold ELSE 0 END AS r FROM c LEFT JOIN q USING (prompt_id, cls)), acc AS (SELECT prompt_id, round(avg(CASE WHEN expected = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds GROUP BY ALL)"
+CLS = "c AS (SELECT prompt_id, expected AS cls, count(*) AS gold, count(*) FILTER (expected = predicted) AS tp FROM preds GROUP BY ALL), q AS (SELECT prompt_id, predicted AS cls, count(*) AS said FROM preds GROUP BY ALL), m AS (SELECT c.*, CASE WHEN coalesce(said, 0) > 0 THEN tp / said ELSE 0 END AS p, CASE WHEN gold > 0 THEN tp / gold ELSE 0 END AS r FROM c LEFT JOIN q USING (prompt_id, cls)), acc AS (SELECT prompt_id, round(avg(CASE WHEN expected = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds GROUP BY ALL)"
 CLS_OUT = "SELECT prompt_id, any_value(accuracy) AS accuracy, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM m JOIN acc USING (prompt_id)"
 TURNS = "t AS (SELECT a.conv_id, a.turn, a.text, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user')"
 TOP = "w AS (SELECT lang, unnest(" + WORDS.format("text") + ") AS word FROM documents), n AS (SELECT lang, word, count(*) AS n FROM w {} GROUP BY ALL)"
@@ -96,9 +96,9 @@ SQL = {
     "keywords": f"WITH {TOP.format('WHERE length(word) > 2 AND word NOT IN (' + ', '.join(repr(w) for w in M.STOP_WORDS) + ')')} {RANKED}",
     "compare_prompts": f"""WITH {PREDICTIONS}, i AS (SELECT prompt_id, example_id // 2 AS input_id, max(CASE WHEN expected != predicted THEN 1 ELSE 0 END) AS e FROM preds GROUP BY ALL),
         j AS (SELECT a.e AS e1, b.e AS e2 FROM (SELECT * FROM i WHERE prompt_id = 'p0') a FULL JOIN (SELECT * FROM i WHERE prompt_id = 'p1') b USING (input_id)),
-        r AS (SELECT round(avg(e1), 6) AS error_rate_1, round(avg(e2), 6) AS error_rate_2, count_if(coalesce(e1, 0) = 1 AND coalesce(e2, 0) = 0) AS only_1, count_if(coalesce(e1, 0) = 0 AND coalesce(e2, 0) = 1) AS only_2, count_if(e1 = 1 AND e2 = 1) AS both FROM j)
+        r AS (SELECT round(avg(e1), 6) AS error_rate_1, round(avg(e2), 6) AS error_rate_2, count(*) FILTER (coalesce(e1, 0) = 1 AND coalesce(e2, 0) = 0) AS only_1, count(*) FILTER (coalesce(e1, 0) = 0 AND coalesce(e2, 0) = 1) AS only_2, count(*) FILTER (e1 = 1 AND e2 = 1) AS both FROM j)
         SELECT *, CASE WHEN error_rate_1 < error_rate_2 THEN 'p0' WHEN error_rate_2 < error_rate_1 THEN 'p1' ELSE 'tie' END AS winner FROM r""",
-    "dataset_quality": """WITH g AS (SELECT count(*) AS n, round(avg(length(text)), 6) AS avg_input, round(avg(length(lang)), 6) AS avg_output, count(DISTINCT lang) AS distinct_outputs, count_if(trim(text) = '' OR trim(lang) = '') AS blank_rows FROM documents)
+    "dataset_quality": """WITH g AS (SELECT count(*) AS n, round(avg(length(text)), 6) AS avg_input, round(avg(length(lang)), 6) AS avg_output, count(DISTINCT lang) AS distinct_outputs, count(*) FILTER (trim(text) = '' OR trim(lang) = '') AS blank_rows FROM documents)
         SELECT *, round((least(n / 50, 1.0) + distinct_outputs / n + (1 - blank_rows / n)) / 3, 6) AS score FROM g""",
     "distribution_similarity": f"""WITH a AS (SELECT lang, count(*) / (SELECT count(*) FROM documents WHERE source < 'src15') AS p FROM documents WHERE source < 'src15' GROUP BY ALL),
         b AS (SELECT lang, count(*) / (SELECT count(*) FROM documents WHERE source >= 'src15') AS q FROM documents WHERE source >= 'src15' GROUP BY ALL),

@@ -81,15 +81,15 @@ SQL = {
     "validate_columns": """SELECT c_custkey, array_to_string(list_sort(list_filter([CASE WHEN length(c_name) > 17 THEN 'c_name:too long' WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'c_name:bad format' END, CASE WHEN c_acctbal < 0 THEN 'c_acctbal:too small' END,
         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'c_mktsegment:not allowed' END, CASE WHEN c_nationkey % 2 != 0 THEN 'c_nationkey:failed check' END], lambda x: x IS NOT NULL)), ',') AS errors FROM customer""",
     "build_scenarios": f"WITH {SCEN} SELECT path_id, scenario_type, 1 AS number, scenario_type || ' flow over ' || n || ' calls' AS title, n AS n_steps, CASE WHEN scenario_type = 'exception' THEN n // 2 END AS injection_step FROM k",
-    "validate_scenario": f"WITH {SCEN} SELECT path_id, scenario_type, TRUE AS is_valid, 0 AS n_warnings, 1.0 AS score FROM k",
+    "validate_scenario": f"WITH {SCEN} SELECT path_id, scenario_type, TRUE AS is_valid, 0 AS n_warnings, CAST(1.0 AS DOUBLE) AS score FROM k",
     "extract_api_rows": "SELECT p_brand AS doc_id, '/api/' || lower(p_type) || '/' || p_partkey AS path, 'GET' AS method, 'get' || p_partkey AS operation_id, p_name AS summary FROM part",
     "flatten_schema": """WITH f AS (SELECT p_partkey, unnest([{'ord': 0, 'name': 'id', 'path': 'id', 'type': 'integer', 'description': ''}, {'ord': 1, 'name': lower(p_type), 'path': lower(p_type), 'type': 'array', 'description': ''},
         {'ord': 2, 'name': 'size' || p_size, 'path': lower(p_type) || '[].size' || p_size, 'type': 'number', 'description': 'd'}]) AS x FROM part) SELECT p_partkey, x.ord AS ord, x.name AS name, x.path AS path, x.type AS type, x.description AS description FROM f""",
     "event_from_row": "SELECT CAST(event_id AS VARCHAR) AS event_id, json_extract_string(props, '$.k') AS k, event_id * 60 AS seconds, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events",
     "event_family": "SELECT event_id, ['task', 'task', 'agent', 'data', 'other'][event_id % 5 + 1] AS family FROM events",
-    "error_rate_windows": f"WITH {EV} SELECT date_trunc('day', ts) AS start, agent_id, count(*) AS requests, count_if(event_type = 'error') AS errors FROM ev GROUP BY ALL HAVING count_if(event_type = 'error') > 0.2 * count(*)",
+    "error_rate_windows": f"WITH {EV} SELECT date_trunc('day', ts) AS start, agent_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM ev GROUP BY ALL HAVING count(*) FILTER (event_type = 'error') > 0.2 * count(*)",
     "request_rate_windows": f"WITH {EV}, w AS (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM ev) SELECT start, count(*) AS requests FROM w GROUP BY start",
-    "latency_histogram": f"WITH {EV} SELECT date_trunc('day', ts) AS start, " + ", ".join(f"count_if(seconds <= {b}) AS le_{str(b).replace('.', '_')}" for b in jobs.LATENCY_BUCKETS) + ", count(*) AS n, round(sum(seconds), 6) AS total FROM ev GROUP BY 1",
+    "latency_histogram": f"WITH {EV} SELECT date_trunc('day', ts) AS start, " + ", ".join(f"count(*) FILTER (seconds <= {b}) AS le_{str(b).replace('.', '_')}" for b in jobs.LATENCY_BUCKETS) + ", count(*) AS n, round(sum(seconds), 6) AS total FROM ev GROUP BY 1",
     "slow_alert": f"WITH {EV} SELECT date_trunc('day', ts) AS start, agent_id, round(avg(seconds), 6) AS mean FROM ev GROUP BY ALL HAVING avg(seconds) > 5.0",
     "expire_history": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-13 00:00:00'",
 }

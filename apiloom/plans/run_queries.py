@@ -9,8 +9,8 @@ from apiloom.plans.views import LOGS, REGISTRY, TASKS, logs, registry, tasks
 
 METRICS = """
 metrics AS (
-  SELECT l.task_id, l.model, count(*) AS tool_calls_total, count_if(l.status = 'invalid_tool') AS hallucination_errors,
-         count_if(l.status = '500') AS injected_errors, count_if(l.status = '500' AND f.agent_id IS NOT NULL) AS recovered_errors
+  SELECT l.task_id, l.model, count(*) AS tool_calls_total, count(*) FILTER (l.status = 'invalid_tool') AS hallucination_errors,
+         count(*) FILTER (l.status = '500') AS injected_errors, count(*) FILTER (l.status = '500' AND f.agent_id IS NOT NULL) AS recovered_errors
   FROM logs l LEFT JOIN (SELECT DISTINCT task_id, model, agent_id FROM logs WHERE status = 'ok') f
     ON l.task_id = f.task_id AND l.model = f.model AND l.agent_id = f.agent_id
   GROUP BY l.task_id, l.model
@@ -20,7 +20,7 @@ metrics AS (
   ) GROUP BY ALL
 ), spent AS (
   SELECT task_id, model, max(timestamp_ms) - min(timestamp_ms) AS duration_ms, sum(CAST(floor(value) AS BIGINT)) AS tokens_total,
-         CASE WHEN count_if(status = '500') * 4 > count(*) THEN 'server' ELSE 'none' END AS error_type
+         CASE WHEN count(*) FILTER (status = '500') * 4 > count(*) THEN 'server' ELSE 'none' END AS error_type
   FROM logs GROUP BY ALL
 ), compat AS (
   SELECT task_id, CASE WHEN list_has_all((SELECT list(agent_id) FROM registry), expected_agents) THEN 1 ELSE 0 END AS compatible FROM tasks
@@ -97,15 +97,15 @@ SQL = {
     "summarize_runs": f"""{BASE} SELECT model, level, count(*) AS n_tasks, round(avg(success), 4) AS success_rate, round(avg(tokens_total), 2) AS avg_tokens_total,
         round(sum(hallucination_errors) / greatest(1, sum(tool_calls_total)), 4) AS hallucination_rate, round(sum(recovered_errors) / greatest(1, sum(injected_errors)), 4) AS recovery_rate,
         round(avg(duration_ms), 2) AS avg_duration_ms, round(avg(tool_calls_total), 2) AS avg_tool_calls, round(avg(compatible), 4) AS compatibility_rate FROM rows GROUP BY model, level""",
-    "error_type_pivot": f"WITH {LOGS} SELECT model, count_if(error_type = 'server') AS server, count_if(error_type = 'unknown_tool') AS unknown_tool FROM logs WHERE error_type != 'none' GROUP BY model",
+    "error_type_pivot": f"WITH {LOGS} SELECT model, count(*) FILTER (error_type = 'server') AS server, count(*) FILTER (error_type = 'unknown_tool') AS unknown_tool FROM logs WHERE error_type != 'none' GROUP BY model",
     "token_usage": f"""WITH {LOGS} SELECT task_id, CAST(sum(coalesce(CASE WHEN event_id % 3 != 0 THEN CAST(floor(value) AS BIGINT) END, CAST(ceil(length(agent_id) / 4) AS BIGINT))) AS BIGINT) AS prompt_tokens,
         CAST(sum(CAST(ceil(length(layer) / 4) AS BIGINT)) AS BIGINT) AS completion_tokens, count(*) AS calls, string_agg(layer, ',' ORDER BY event_id) AS layers FROM logs GROUP BY task_id""",
-    "evaluation_summary": f"WITH {LOGS}, {RESULTS} SELECT count(*) AS total, count_if(success) AS passed, round(avg(CAST(success AS INT)), 6) AS success_rate, round(avg(execution_time), 6) AS avg_execution_time FROM results",
+    "evaluation_summary": f"WITH {LOGS}, {RESULTS} SELECT count(*) AS total, count(*) FILTER (success) AS passed, round(avg(CAST(success AS INT)), 6) AS success_rate, round(avg(execution_time), 6) AS avg_execution_time FROM results",
     "failing_agents": f"WITH {LOGS}, {RESULTS} SELECT agent_id, count(*) AS failures, array_to_string(list_sort(list(DISTINCT issue)), ',') AS issues FROM results WHERE NOT success GROUP BY agent_id HAVING count(*) > 2",
     "level_distribution": f"WITH {TASKS} SELECT level, count(*) AS n_tasks FROM tasks GROUP BY level",
     "order_tasks": f"WITH {TASKS} SELECT task_id, level, row_number() OVER (ORDER BY level, task_id) AS position FROM tasks",
     "aggregate_runs": f"""WITH {LOGS}, v AS (SELECT task_id, agent_id, count(*) AS n, min(event_id) AS f FROM logs GROUP BY ALL), m AS (SELECT task_id, arg_max(agent_id, (n, -f)) AS majority FROM v GROUP BY ALL)
         SELECT task_id, arg_max(value, event_id) AS last, round(avg(value), 6) AS mean, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, count(*) AS runs, any_value(majority) AS majority FROM logs JOIN m USING (task_id) GROUP BY task_id""",
-    "reduce_results": f"""WITH {LOGS}, {RESULTS} SELECT group_id, count(*) AS total, count_if(success) AS succeeded, round(avg(CAST(success AS INT)), 6) AS success_rate,
+    "reduce_results": f"""WITH {LOGS}, {RESULTS} SELECT group_id, count(*) AS total, count(*) FILTER (success) AS succeeded, round(avg(CAST(success AS INT)), 6) AS success_rate,
         coalesce(string_agg(error, '; ' ORDER BY ord) FILTER (NOT success), '') AS errors FROM results GROUP BY group_id""",
 }

@@ -112,5 +112,5 @@ SQL = {
     "resolve_rules": f"WITH {RULES} SELECT type, pattern, action, ord FROM rules QUALIFY row_number() OVER (PARTITION BY type, pattern ORDER BY round(0.4 * value + 0.4 * confidence + 0.2 * age, 9) DESC, ord) = 1",
     "applicable_rules": f"WITH {RULES} SELECT type, ord, confidence, CAST(row_number() OVER (PARTITION BY type ORDER BY confidence DESC, ord) AS INT) AS rank FROM rules WHERE action = '42'",
     "best_parameters": f"WITH {CANDIDATES} SELECT run AS task_id, max(score) AS best_score, arg_max(prompt, (score, -idx)) AS params, count(*) AS trials, CASE WHEN max(score) > 0.7 THEN 'success' ELSE 'failure' END AS rule_type FROM cand GROUP BY run",
-    "weighted_task_score": "SELECT CAST(user_id % 12 AS VARCHAR) AS prompt, sum(CAST(round(value * 100) AS BIGINT) * length(event_type)) AS weighted FROM events GROUP BY ALL",
+    "weighted_task_score": "SELECT CAST(user_id % 12 AS VARCHAR) AS prompt, CAST(sum(CAST(round(value * 100) AS BIGINT) * length(event_type)) AS BIGINT) AS weighted FROM events GROUP BY ALL",
 }
