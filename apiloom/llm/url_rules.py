@@ -77,27 +77,34 @@ def judge_urls(
     url_col: str = "url",
     default: str = "allow",
     part_rows: int = 4096,
+    max_broadcast: int = 200_000,
 ) -> DataFrame:
-    """Rows (id, host, path, rule, verdict), one for each page."""
+    """Rows (id, host, path, rule, verdict), one for each page.
+
+    The hosts of the rules are broadcast when there are at most `max_broadcast`, so that pages do not move by host;
+    more of them are joined by a shuffle.
+    """
     host, path = url_parts(F.col(url_col))
     base = cut(pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col), host.alias("host"), path.alias("path")))
 
     nested = _nested(rules)
     on_host = nested.groupBy("host").agg(F.count("*").alias("n_rules"))
+    small = on_host.limit(max_broadcast + 1).count() <= max_broadcast
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     probes = base.where(F.length("host") > 0).select("rid", "path", F.explode(F.array_distinct(suffixes)).alias("host"))
-    probes = probes.join(on_host, "host", "left_semi")
+    probes = probes.join(side(on_host), "host", "left_semi")
     parts = (
         probes.groupBy("host")
         .agg(F.count("*").alias("n"))
         .join(on_host, "host")
         .select("host", F.ceil(F.col("n") / F.greatest(F.lit(part_rows), 4 * F.col("n_rules"))).cast("int").alias("parts"))
     )
-    probes = probes.join(parts, "host").select(
+    probes = probes.join(side(parts), "host").select(
         "host",
         F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"),
         F.concat(reversed_host(F.col("host")), "path").cast("binary").alias("key"),
@@ -124,6 +131,7 @@ def judge_urls(
     sweep = Window.partitionBy("host", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = (
         probes.unionByName(ends)
+        .repartition("host", "part")
         .withColumn("top", F.last("top", ignorenulls=True).over(sweep))
         .where(F.col("rid").isNotNull() & F.col("top.path").isNotNull())
         .select("rid", F.concat("host", "top.path").alias("rule"), F.length("host").alias("host_length"), F.col("top.action").alias("action"))

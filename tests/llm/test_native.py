@@ -84,6 +84,8 @@ def test_url_rules_match_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), part_rows=8).collect()
     assert len(got) == len(urls)
+    again = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), part_rows=8, max_broadcast=0).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(urls[r["page_id"]], rules), urls[r["page_id"]]
 
