@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apiloom.session import cut, ensure_checkpoint_dir
 
-__all__ = ["BLANKS", "cut", "documents", "ensure_checkpoint_dir", "slices", "words_of", "written"]
+__all__ = ["BLANKS", "cut", "documents", "ensure_checkpoint_dir", "in_batches", "set_aside", "slices", "words_of", "written"]
 
 #: White space of the word rule: words are the runs of other bytes.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,6 +30,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(rows: DataFrame, run, schema: str) -> DataFrame:
+    """`mapInArrow` with Arrow batches of at most 8 MB, so that a worker's memory does not follow the length of texts."""
+    conf = rows.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(key, "64m").lower()).groups()
+    if int(size) << (10 * " kmgt".index(unit or " ")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return rows.mapInArrow(run, schema)
+
+
+def set_aside(rows: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with columns of these names moved out of the way, and a function that restores the columns as they were."""
+    clash = [c for c in rows.columns if c.lower() in names]
+    moved = rows.withColumnsRenamed({c: f"__own_{c}" for c in clash})
+    return moved, lambda out: out.drop(*clash).withColumnsRenamed({f"__own_{c}": c for c in clash}).select(*rows.columns)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words of a text as UTF-8: bytes.split() cuts at exactly the six ASCII blanks."""
     return text.encode("utf-8", "surrogatepass").split()

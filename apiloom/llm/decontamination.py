@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import documents, slices
+from apiloom.llm.common import documents, in_batches, set_aside, slices
 from apiloom.llm.shingles import mix, word_hashes
 
 RADIUS = 15
@@ -179,7 +179,7 @@ def with_matches(docs: DataFrame, index: Index, *, text_col: str = "text", thres
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["matches"])
 
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"matches {_MATCHES}"]
-    return rows.mapInArrow(run, ", ".join(declared))
+    return in_batches(rows, run, ", ".join(declared))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
@@ -198,10 +198,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    out = docs
+    out, back = set_aside(docs, ["matches"])
     for block in item_blocks(items):
-        out = with_matches(out, Index(block), text_col=text_col, threshold=threshold).where(F.size("matches") == 0).select(*docs.columns)
-    return out
+        out = with_matches(out, Index(block), text_col=text_col, threshold=threshold).where(F.size("matches") == 0).drop("matches")
+    return back(out)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import documents, slices
+from apiloom.llm.common import documents, in_batches, slices
 from apiloom.llm.html_dom import Tree, attributes, block_text, parse
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -207,7 +207,7 @@ def extract_text(pages: DataFrame, model: Model, *, html_col: str = "html") -> D
             columns = [batch.column(f.name) for f in kept] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["text", "n_chars"])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string", "n_chars long"]))
+    return in_batches(rows, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string", "n_chars long"]))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

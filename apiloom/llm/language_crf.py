@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import documents, slices
+from apiloom.llm.common import documents, in_batches, slices
 from apiloom.llm.shingles import powers
 
 BUCKETS = 1 << 16
@@ -307,7 +307,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", spans: boo
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"]
     if spans:
         declared.append("lang_spans array<struct<start:int,stop:int,lang:string,p:double>>")
-    return rows.mapInArrow(run, ", ".join(declared))
+    return in_batches(rows, run, ", ".join(declared))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

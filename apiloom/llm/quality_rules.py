@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import BLANKS, documents, slices
+from apiloom.llm.common import BLANKS, documents, in_batches, set_aside, slices
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,7 +75,7 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", drop_text: bool
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + COUNTS + RATIOS)
 
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATIOS]
-    return rows.mapInArrow(run, ", ".join(declared))
+    return in_batches(rows, run, ", ".join(declared))
 
 
 Rule = list[tuple[str, str, float]]
@@ -193,6 +193,12 @@ def judge_quality(docs: DataFrame, rules: list[Rule], *, text_col: str = "text",
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def keep_good(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> DataFrame:
+    """The kept rows with exactly their own columns, whatever these are called."""
+    moved, back = set_aside(docs, [*COUNTS, *RATIOS, "base_failed", "rule", "kept"])
+    return back(judge_quality(moved, rules, text_col=text_col).where("kept"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and the verdict on every document."""
     docs = documents(spark, sf_dir)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import cut, documents, slices
+from apiloom.llm.common import cut, documents, in_batches, slices
 
 #: Kinds in the order in which spans with one start are listed: three strong ones, then the linked ones.
 KINDS = ["assign", "access", "hex", "ident", "secret", "endpoint"]
@@ -93,7 +93,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in held] + columns, names=[batch.schema.names[i] for i in held] + schema.names)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, f"{kept}, n_assign long, n_access long, n_hex long, base string, base_sha256 string, parts {_PARTS}")
+    return in_batches(rows, run, f"{kept}, n_assign long, n_access long, n_hex long, base string, base_sha256 string, parts {_PARTS}")
 
 
 def link_parts(scanned: DataFrame, *, scope: int = SCOPE) -> DataFrame:

@@ -28,11 +28,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import documents, slices
+from apiloom.llm.common import documents, in_batches, slices
 
 SPACE = "▁"
 _LONG = 48
-_REMEMBER = 400_000
+_REMEMBER = 200_000
 _NONE = -(2.0**60)
 
 
@@ -352,7 +352,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", round_trip: b
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + extra)
 
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>", "n_tokens long", "round_trip boolean"][: len(extra)]
-    return rows.mapInArrow(run, ", ".join(declared))
+    return in_batches(rows, run, ", ".join(declared))
 
 
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", to: str = "text") -> DataFrame:
@@ -366,7 +366,7 @@ def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", to: str = "text
             texts = [None if x is None else coder.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())], names=[f.name for f in kept] + [to])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{to}` string"]))
+    return in_batches(rows, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{to}` string"]))
 
 
 def model_path() -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import documents, slices
+from apiloom.llm.common import documents, in_batches, slices
 from apiloom.llm.html_dom import attributes, block_text, parse
 
 CRLF = "\r\n"
@@ -116,7 +116,7 @@ def build_derivatives(responses: DataFrame, *, keep: list[str] | None = None) ->
 
     declared = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["target_uri string"]
     declared += [f"{f} {'long' if f == 'content_length' else 'string'}" for f in _FIELDS]
-    return rows.mapInArrow(run, ", ".join(declared))
+    return in_batches(rows, run, ", ".join(declared))
 
 
 def write_warc(records: DataFrame, path: str) -> None:

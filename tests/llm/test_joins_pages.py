@@ -190,3 +190,26 @@ def test_pipeline_stages(spark, sf):
         stage(spark, docs.limit(0), sf).collect()
     near = pipeline.near_duplicates(spark, docs.union(odd), sf).collect()
     assert sum(r["doc_id"] is None for r in near) == 1 and sum(r["doc_id"] == 1 for r in near) <= 1
+
+
+def test_stages_keep_columns_that_clash(spark, sf):
+    import corpus_pipeline as pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"kept": F.lit("mine"), "n_words": F.lit("own"), "matches": F.lit(7), "id": F.lit(1), "node": F.lit("x"), "spans": F.lit(True)})
+    for name, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, sf)
+        assert rows.schema.simpleString() == docs.schema.simpleString(), name
+        assert {(r["kept"], r["n_words"], r["matches"], r["spans"]) for r in rows.collect()} == {("mine", "own", 7, True)}, name
+
+
+def test_batches_are_bounded(spark):
+    from apiloom.llm.common import BATCH_BYTES, in_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64m")
+    in_batches(spark.range(1), lambda it: it, "id long").collect()
+    assert spark.conf.get(key) == f"{BATCH_BYTES}b"
+    spark.conf.set(key, "1m")
+    in_batches(spark.range(1), lambda it: it, "id long").collect()
+    assert spark.conf.get(key) == "1m"
