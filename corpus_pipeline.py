@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from apiloom.llm.common import cut, documents, written
 from apiloom.llm.decontamination import clean_documents
 from apiloom.llm.jaccard_join import jaccard_components
-from apiloom.llm.quality_rules import fit_rules, judge_quality
+from apiloom.llm.quality_rules import fit_rules, keep_good
 from apiloom.llm.secrets import redact
 from apiloom.llm.sentencepiece_sa import encode, model_path
 
@@ -20,7 +20,7 @@ from apiloom.llm.sentencepiece_sa import encode, model_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned rules keep."""
     rules = fit_rules(docs, documents(spark, sf_dir, "labels"))
-    return judge_quality(docs, rules).where("kept").select(*docs.columns)
+    return keep_good(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast: int = 1_000_000) -> DataFrame:
