@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apiloom.session import cut, ensure_checkpoint_dir
 
-__all__ = ["BLANKS", "cut", "documents", "ensure_checkpoint_dir", "in_batches", "set_aside", "slices", "words_of", "written"]
+__all__ = ["BLANKS", "collect_garbage", "cut", "documents", "ensure_checkpoint_dir", "in_batches", "set_aside", "slices", "words_of", "written"]
 
 #: White space of the word rule: words are the runs of other bytes.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffles and checkpoints of earlier rounds: it acts when the driver collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_BYTES = 8 << 20
 
 

@@ -10,12 +10,13 @@ all three; only those are compared exactly.
    passages and boilerplate that many texts share leave the prefixes. Only the order depends on the estimate.
 2. A second pass explodes the A-prefix of each distinct set (copies inside a task are dropped before the shuffle), and
    a window over each token keeps tokens with two or more nodes. Tokens with the same members become one list.
-3. Candidates come from the lists without all pairs: first each member with the list's smallest node; then, while a
-   list spans several components, its members of the smallest components meet the members of other components, as
-   many as give at most four rows for each member, and leave the list. Pairs inside one component are never needed.
-   A pair of linked texts shares a list, so it is tested or already connected: no link is lost.
-4. Sets of candidate nodes are computed again from their texts and joined to the pairs; B and its reverse filter, then
-   the exact intersection decides. Components follow by label propagation.
+3. A list of up to 16 members makes its pairs. In a longer list first each member meets the smallest node; then, while
+   the list spans several components, its members of the smallest components meet the members of other components, as
+   many as give at most 16 rows for each member, and leave the list. Pairs inside one component are not needed. A pair
+   of linked texts shares a list, so it is tested or already connected: no link is lost.
+4. One text of each candidate node is joined to its pairs, and its set is computed again there: a text is smaller
+   than its hashes. B and its reverse filter, then the exact intersection decides. Components follow by label
+   propagation.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as one; null, empty and blank texts have
 an empty set and stand alone; repeated rows and equal sets are linked; a component is named by its smallest id (null
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import cut, documents, slices
+from apiloom.llm.common import collect_garbage, cut, documents, in_batches, slices
 from apiloom.llm.components import components
 from apiloom.llm.shingles import mix, shingle_sets, word_hashes
 
 #: Similarity as a fraction of whole numbers: 3/4.
 NUMERATOR, DENOMINATOR = 3, 4
+#: A list of at most so many members makes all its pairs at once; a longer one at most so many rows a member in a round.
+SMALL = 16
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -89,7 +92,7 @@ def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFra
         if held:
             yield shared(held)
 
-    return rows.mapInArrow(run, "id long, node long, n long, token long, times long")
+    return in_batches(rows, run, "id long, node long, n long, token long, times long")
 
 
 class Frequencies:
@@ -139,7 +142,7 @@ def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n[keep].astype(np.int32)), lists], schema=schema)
 
-    out = rows.mapInArrow(run, "node long, n int, tokens array<long>")
+    out = in_batches(rows, run, "node long, n int, tokens array<long>")
     return out.select(F.explode("tokens").alias("token"), "node", "n")
 
 
@@ -157,43 +160,72 @@ def _lists(entries: DataFrame) -> DataFrame:
     return shared.select(F.xxhash64("low", "high", "many", "sign").alias("list"), "node", "n").distinct()
 
 
-def _token_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
-    """(node, tokens): the sets of the wanted nodes, in order B, from one text of each."""
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, broadcast_nodes: int, ids_are_keys: bool) -> DataFrame:
+    """(node, text): one text of each wanted node. Where an id stands for several texts, those of other nodes go."""
     few = wanted.limit(broadcast_nodes + 1).count() <= broadcast_nodes
     chosen = reps.join(wanted, "node", "left_semi").select("node", F.col("id").alias("rep"))
     side = F.broadcast(chosen) if few else chosen
     rows = docs.join(side, F.col("id").eqNullSafe(F.col("rep"))).select("node", "__text")
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    if ids_are_keys:
+        return rows.withColumnRenamed("__text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, sets in _sets_of(batches, width):
-            node, _ = _nodes(sets)
-            want = batch.column("node").to_numpy()
-            keep = np.flatnonzero(node == want)
-            if not len(keep):
-                continue
-            kept = [sets[i] for i in keep]
-            flat = np.concatenate(kept)
-            times, other = freq.value.of(flat), mix(flat ^ np.uint64(0x8EBC6AF09C88C6E3))
-            owner = np.repeat(np.arange(len(kept)), [len(s) for s in kept])
-            flat = flat[np.lexsort((other, times, owner))]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(want[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], schema=schema)
+            keep = []
+            for i, (x, want) in enumerate(zip(_nodes(sets)[0].tolist(), batch.column("node").to_pylist(), strict=True)):
+                if x == want and x not in seen:
+                    seen.add(x)
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns], names=["node", "text"])
+
+    return in_batches(rows, run, "node long, text string")
 
-    return rows.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
+def _order_b(tokens: np.ndarray, freq: Frequencies) -> np.ndarray:
+    return tokens[np.lexsort((mix(tokens ^ np.uint64(0x8EBC6AF09C88C6E3)), freq.of(tokens)))]
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """x and y are sets in order B: filters under B and its reverse, then the exact similarity."""
+    p, q = prefix_length(len(x)), prefix_length(len(y))
+    if not np.isin(x[:p], y[:q]).any() or not np.isin(x[-p:], y[-q:]).any():
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, freq, width: int) -> DataFrame:
     """The pairs (a, b) that pass orders B and reverse B, and then the exact similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    length = lambda c: (F.size(c) - F.ceil(F.size(c) * NUMERATOR / DENOMINATOR) + 1).cast("int")
-    first = lambda c: F.slice(c, F.lit(1), length(c))
-    last = lambda c: F.slice(c, F.size(c) - length(c) + 1, length(c))
-    passed = both.where(F.arrays_overlap(first("x"), first("y"))).where(F.arrays_overlap(last("x"), last("y")))
-    shared = F.size(F.array_intersect("x", "y"))
-    return passed.where(DENOMINATOR * shared >= NUMERATOR * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for batch in slices(iter([whole]), "x", 1_000_000):
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                place: dict[int, tuple[str, int]] = {}
+                for i, (m, n) in enumerate(zip(a, b, strict=True)):
+                    place.setdefault(m, ("x", i))
+                    place.setdefault(n, ("y", i))
+                known = {n: s for n, s in known.items() if n in place}
+                new = [n for n in place if n not in known]
+                at = 0
+                while at < len(new):  # texts of at most about a million characters at a time
+                    some, size = [], 0
+                    while at + len(some) < len(new) and (not some or size < 1_000_000):
+                        side, i = place[new[at + len(some)]]
+                        some.append(batch.column(side)[i].as_py())
+                        size += len(some[-1])
+                    for n, s in zip(new[at:], shingle_sets(*word_hashes(some), width), strict=False):
+                        known[n] = _order_b(s, freq.value)
+                    at += len(some)
+                keep = [i for i, (m, n) in enumerate(zip(a, b, strict=True)) if similar(known[m], known[n])]
+                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    return in_batches(both, run, "a long, b long").distinct()
 
 
 def _pair(a: str, b: str, na: str, nb: str):
@@ -201,14 +233,22 @@ def _pair(a: str, b: str, na: str, nb: str):
     return near, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _first_pairs(lists: DataFrame) -> DataFrame:
-    """Each member with the smallest node of its list."""
+def _first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs of lists with at most SMALL members, and each member of a longer list with its smallest node; and the
+    longer lists. No list makes more than SMALL rows for each member."""
     one = Window.partitionBy("list")
+    rows = lists.withColumn("all", F.count("*").over(one)).withColumn("low", F.min(F.struct("node", "n")).over(one))
+    rows = cut(rows)
+    short = rows.where(F.col("all") <= SMALL).select("list", "node", "n")
+    other = short.select("list", F.col("node").alias("p"), F.col("n").alias("pn"))
+    near, a, b = _pair("node", "p", "n", "pn")
+    inside = short.join(other, "list").where("node < p").where(near).select(a, b)
     near, a, b = _pair("node", "low.node", "n", "low.n")
-    return lists.withColumn("low", F.min(F.struct("node", "n")).over(one)).where(F.col("node") != F.col("low.node")).where(near).select(a, b).distinct()
+    star = rows.where(F.col("all") > SMALL).where(F.col("node") != F.col("low.node")).where(near).select(a, b)
+    return inside.union(star).distinct(), rows.where(F.col("all") > SMALL).select("list", "node", "n")
 
 
-def _next_pairs(lists: DataFrame, comp: DataFrame, per_member: int = 4) -> tuple[DataFrame, DataFrame]:
+def _next_pairs(lists: DataFrame, comp: DataFrame, per_member: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Pairs across components, and what is left of the lists that still span several."""
     rows = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     one = Window.partitionBy("list")
@@ -230,13 +270,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     freq = spark.sparkContext.broadcast(frequencies(sized))
     every = sized.where("node is not null").select("id", "node", "n")
     reps = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    lists = cut(_lists(_prefix_entries(rows, freq, width)))
+    ids_are_keys = every.groupBy("id").agg(F.countDistinct("node").alias("k"), F.count("*").alias("n")).where("k > 1 or n > 1").isEmpty()
+    lists = _lists(_prefix_entries(rows, freq, width))
 
-    pairs = cut(_first_pairs(lists))
+    pairs, lists = _first_pairs(lists)
+    pairs = cut(pairs)
     tested, comp = pairs, None
     for _ in range(max_rounds):
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        links = cut(_linked(pairs, _token_sets(rows, reps, wanted, freq, width, broadcast_nodes)))
+        links = cut(_linked(pairs, _texts(rows, reps, wanted, width, broadcast_nodes, ids_are_keys), freq, width))
         if not links.isEmpty():
             if comp is None:
                 comp = components(links)
@@ -254,6 +296,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if pairs.isEmpty() and lists.isEmpty():
             break
         tested = tested.unionByName(pairs)
+        collect_garbage(spark)
     else:
         raise RuntimeError("lists were not resolved in the given rounds")
 
