@@ -9,6 +9,7 @@ import re
 from apiloom.llm import html_extraction as H
 from apiloom.llm import jaccard_join as J
 from apiloom.llm import warc_derivatives as W
+from apiloom.llm.components import components
 from apiloom.llm.html_dom import parse
 
 
@@ -80,6 +81,26 @@ def test_long_lists_are_resolved_exactly(spark):
     assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_components(rows)
 
 
+def test_components_of_long_chains_and_stars(spark):
+    rng = random.Random(7)
+    ids = [rng.getrandbits(64) - 2**63 for _ in range(500)]
+    links = list(zip(ids[:400], ids[1:400], strict=False)) + [(ids[400], x) for x in ids[401:480]] + [(ids[480], ids[481]), (ids[481], ids[480]), (ids[490], ids[490])]
+    want = {x: min(part) for part in (ids[:400], ids[400:480], ids[480:482]) for x in part}
+    frame = spark.createDataFrame(links, "a long, b long")
+    for in_task in (0, 50, 100_000):
+        assert sorted(map(tuple, components(frame, in_task=in_task).collect())) == sorted(want.items())
+    assert components(frame.limit(0)).collect() == []
+
+
+def test_chain_of_revisions_is_one_component(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(2 * 400 + 18)]
+    ids = rng.sample(range(10_000), 400)
+    rows = [(i, " ".join(words[2 * k : 2 * k + 20])) for k, i in enumerate(ids)]
+    out = got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {c for _, _, c in out} == {min(ids)} and out == brute_components(rows)
+
+
 def test_empty_and_all_alone(spark):
     frame = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
     assert got(J.jaccard_components(frame)) == [(1, 2, 1), (2, 2, 2)]
