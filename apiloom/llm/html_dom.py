@@ -28,7 +28,9 @@ CLOSES = {
 #: A paragraph ends where one of these begins.
 ENDS_P = frozenset("p div article section nav header footer aside main h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset address details menu".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]++|"[^"]{0,8000}"|'[^']{0,8000}')*+)>|[!?/][^>]{0,8000}>)""", re.S)
+#: The inside of a tag: a quoted value begins after "=" and has any length; one that is never closed ends with the tag.
+INSIDE = r"""(?:[^'">=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|['"])*+"""
+_TAG = re.compile(rf"""<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({INSIDE})>|!--.*?(?:-->|(\Z))|[!?/][^>]*+>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
@@ -45,6 +47,11 @@ class Tree:
         self.links: list[int] = [0]  # characters inside links, by node
 
 
+def end_of_tags(page: str) -> int:
+    """Behind the last ">": no tag ends later, so a search that stops there never reads to the end of the page in vain."""
+    return page.rfind(">") + 1
+
+
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
@@ -61,9 +68,11 @@ def parse(page: str) -> Tree:
     anchors = 0
     silent = ""
     current: list[str] | None = None
-    at, n = 0, len(page)
+    last = end_of_tags(page)
+    opened = page.find("<!--", last)
+    at, n = 0, len(page) if opened < 0 else opened
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last)
         stop = m.start() if m else n
         if stop > at and not silent:
             piece = page[at:stop]
@@ -75,7 +84,7 @@ def parse(page: str) -> Tree:
                 current.append(piece)
             if anchors:
                 links[stack[-1]] += len(piece)
-        if m is None:
+        if m is None or m[4] is not None:
             break
         at = m.end()
         tag = m[2]

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiloom.llm.common import documents, in_batches, slices
-from apiloom.llm.html_dom import attributes, block_text, parse
+from apiloom.llm.html_dom import INSIDE, attributes, block_text, end_of_tags, parse
 
 CRLF = "\r\n"
-_LINK = re.compile(r"<a\b((?:[^'\">]++|\"[^\"]{0,8000}\"|'[^']{0,8000}')*+)>", re.I)
-_LANG = re.compile(r"<html\b((?:[^'\">]++|\"[^\"]{0,8000}\"|'[^']{0,8000}')*+)>", re.I)
+_LINK = re.compile(rf"<a\b({INSIDE})>", re.I)
+_LANG = re.compile(rf"<html\b({INSIDE})>", re.I)
 _FIELDS = ["record_type", "record_id", "refers_to", "content_type", "block_digest", "payload_digest", "content_length", "headers", "block"]
 
 
@@ -51,14 +51,15 @@ def metadata_fields(page: str, http_header: str, payload_digest: str) -> list[tu
     """What the metadata record says of a response, as ordered (name, value) lines."""
     tree = parse(page)
     title = next((block_text(p) for node, p in tree.blocks if tree.tags[node] == "title"), "")
-    head = _LANG.search(page)
+    last = end_of_tags(page)
+    head = _LANG.search(page, 0, last)
     fields = [("payload-digest", payload_digest), ("payload-length", str(len(page.encode("utf-8", "surrogatepass"))))]
     fields += [("http-status" if i == 0 else "http-header", line) for i, line in enumerate(http_header.strip().splitlines()) if line]
     if title:
         fields.append(("title", title))
     if head and (lang := attributes(head[1]).get("lang")):
         fields.append(("language", lang))
-    for m in _LINK.finditer(page):
+    for m in _LINK.finditer(page, 0, last):
         if href := attributes(m[1]).get("href"):
             fields.append(("outlink", " ".join(href.split())))
     return fields

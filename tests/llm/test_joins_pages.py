@@ -163,6 +163,19 @@ def test_tree_reader_closes_what_html_closes():
     assert tree.tags.count("li") == 2 and tree.tags.count("td") == 3
 
 
+def test_attributes_of_any_length():
+    long = "x>" * 25_000
+    tree = parse(f"<div><p>a<img src='{long}'>b</p><aside class=\"k\" data-state=\"{long}\">c</aside>d</div>e<!{long[:1] * 9000}>f")
+    assert ["".join(p) for _, p in tree.blocks] == ["ab", "c", "d", "ef"] and "aside" in tree.tags
+    assert tree.attributes[tree.tags.index("aside")].startswith(' class="k"')
+    fields = W.metadata_fields(f'<html data-x="{long}" lang="de"><a data-y="{long}" href="/z">l</a></html>', "", "d")
+    assert ("language", "de") in fields and ("outlink", "/z") in fields
+    texts = lambda page: ["".join(p) for _, p in parse(page).blocks]
+    assert texts("<p>it<b 'tis>a</b> isn't</p><p title=\"x>b</p>c<!-- d") == ["ita isn't", "b", "c"]
+    assert texts("<p>a<!-- b <i>c</i> d") == ["a"]
+    assert texts("<a" * 100_000) == ["<a" * 100_000] and len(texts("<a x=\">\" " * 100_000)) <= 1
+
+
 def test_warc_records_refer_to_their_response(spark, tmp_path):
     page = "<html lang='de'><title>T &amp; x</title><p>Ein <b>Satz</b>.<a href='/a b'>L</a></html>"
     rows = [("<urn:uuid:1>", "http://a/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX: y\r\n", page, 1), ("<urn:uuid:2>", None, None, None, None, 2), ("<urn:uuid:1>", "http://a/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX: y\r\n", page, 1)]
