@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apiloom.session import cut, ensure_checkpoint_dir
 
-__all__ = ["BLANKS", "collect_garbage", "cut", "documents", "ensure_checkpoint_dir", "in_batches", "set_aside", "slices", "words_of", "written"]
+__all__ = ["BLANKS", "cut", "discard", "documents", "ensure_checkpoint_dir", "in_batches", "set_aside", "slices", "words_of", "written"]
 
 #: White space of the word rule: words are the runs of other bytes.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,22 +30,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffles and checkpoints of earlier rounds: it acts when the driver collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that `written` made, once nothing reads them any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 BATCH_BYTES = 8 << 20
 
 
 def in_batches(rows: DataFrame, run, schema: str) -> DataFrame:
-    """`mapInArrow` with Arrow batches of at most 8 MB, so that a worker's memory does not follow the length of texts."""
+    """`mapInArrow`. Where the session has no Arrow batch limit of its own, 8 MB is set, so that a worker's memory does
+    not follow the length of texts."""
     conf = rows.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(key, "64m").lower()).groups()
-    if int(size) << (10 * " kmgt".index(unit or " ")) > BATCH_BYTES:
-        conf.set(key, f"{BATCH_BYTES}b")
+    if conf.get(key, "") == "":
+        conf.set(key, str(BATCH_BYTES))
     return rows.mapInArrow(run, schema)
 
 

@@ -8,15 +8,18 @@ all three; only those are compared exactly.
 1. One pass over the texts gives each row's set hash (`node`: rows with equal sets are one node), and the tokens that
    several sets of a slice share: the counts, added up over all slices, put frequent tokens last in A and B, so that
    passages and boilerplate that many texts share leave the prefixes. Only the order depends on the estimate.
-2. A second pass explodes the A-prefix of each distinct set (copies inside a task are dropped before the shuffle), and
-   a window over each token keeps tokens with two or more nodes. Tokens with the same members become one list.
-3. A list of up to 16 members makes its pairs. In a longer list first each member meets the smallest node; then, while
-   the list spans several components, its members of the smallest components meet the members of other components, as
-   many as give at most 16 rows for each member, and leave the list. Pairs inside one component are not needed. A pair
-   of linked texts shares a list, so it is tested or already connected: no link is lost.
-4. One text of each candidate node is joined to its pairs, and its set is computed again there: a text is smaller
-   than its hashes. B and its reverse filter, then the exact intersection decides. Components follow by label
-   propagation.
+2. A second pass explodes the A-prefix of each distinct set (copies inside a task are dropped before the shuffle). Each
+   entry carries its `reach`, the largest set that its place in the prefix still allows as a partner: from a shared
+   token at place i on, n - i tokens are left, and 3/7 of both sizes must be common. A pair is possible in a list (the
+   nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach. Tokens
+   that one set has are dropped by a window; frequent tokens are dealt out by (token, salt), so that none fills a task.
+3. One more pass makes a row of each node that is in a list: its B- and reverse-B-prefix and its tokens.
+4. First each node meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
+   in most of its lists. Then, while a list spans several components, members outside its largest component meet all
+   members of other components within reach, up to `waiting` of them in a round, twice as many in the next. The reach
+   is part of the join, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
+   linked pair shares a list within reach, so it is tested or connected already: no link is lost.
+5. Candidates are joined with both B-prefixes, the survivors with both token arrays; no text moves.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as one; null, empty and blank texts have
 an empty set and stand alone; repeated rows and equal sets are linked; a component is named by its smallest id (null
@@ -29,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import collect_garbage, cut, documents, in_batches, slices
+from apiloom.llm.common import cut, discard, documents, in_batches, slices, written
 from apiloom.llm.components import components
 from apiloom.llm.shingles import mix, shingle_sets, word_hashes
 
 #: Similarity as a fraction of whole numbers: 3/4.
 NUMERATOR, DENOMINATOR = 3, 4
-#: A list of at most so many members makes all its pairs at once; a longer one at most so many rows a member in a round.
-SMALL = 16
+#: A token seen so often in the estimate is dealt out in so many parts.
+FREQUENT, PARTS = 256, 64
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -116,8 +119,8 @@ def frequencies(sized: DataFrame, top: int = 200_000) -> Frequencies:
 
 
 def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
-    """(token, node, n) for the A-prefix of each distinct set of a task."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    """(token, node, n, reach, part) for the A-prefix of each distinct set of a task; part is null for tokens that are not frequent."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -132,183 +135,161 @@ def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
                 continue
             kept = [sets[i] for i in keep]
             times = freq.value.of(np.concatenate(kept))
-            at, prefixes = 0, []
+            at, prefixes, rare = 0, [], []
             for s in kept:
                 f = times[at : at + len(s)]
                 at += len(s)
+                rare.append(int((f < FREQUENT).sum()))
                 s = s[np.argsort(f, kind="stable")] if f.any() else s
                 prefixes.append(s[: prefix_length(len(s))].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n[keep].astype(np.int32)), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n[keep].astype(np.int32)), pa.array(rare, pa.int32()), lists], schema=schema)
 
-    out = in_batches(rows, run, "node long, n int, tokens array<long>")
-    return out.select(F.explode("tokens").alias("token"), "node", "n")
+    out = in_batches(rows, run, "node long, n int, rare int, tokens array<long>")
+    out = out.select("node", "n", "rare", F.posexplode("tokens").alias("place", "token"))
+    part = F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    return out.select("token", "node", "n", F.expr("cast((4 * n - 7 * place) div 3 as int)").alias("reach"), part.alias("part"))
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """(list, node, n): the members of each shared token; tokens with the same members are one list."""
-    token = Window.partitionBy("token")
-    shared = entries.select(
+    """(list, node, n, reach): the members of each shared token that may have a partner there. Tokens with the same
+    members are one list (frequent tokens keep a list each)."""
+    token = Window.partitionBy("token", "part")
+    members = entries.select(
+        "token",
         "node",
         "n",
+        "reach",
+        "part",
         F.min("node").over(token).alias("low"),
         F.max("node").over(token).alias("high"),
         F.count("*").over(token).alias("many"),
         F.bit_xor(F.xxhash64("node")).over(token).alias("sign"),
-    ).where("low < high")
-    return shared.select(F.xxhash64("low", "high", "many", "sign").alias("list"), "node", "n").distinct()
+    ).where("low < high or part is not null")
+    one = F.when(F.col("part").isNull(), F.xxhash64("low", "high", "many", "sign")).otherwise(F.col("token"))
+    members = members.select(one.alias("list"), "node", "n", "reach").groupBy("list", "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"))
+    members = cut(members)
+    size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"))
+    return cut(members.join(size, "list").where("many > 1 and n <= furthest and least <= reach").select("list", "node", "n", "reach"))
 
 
-def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, broadcast_nodes: int, ids_are_keys: bool) -> DataFrame:
-    """(node, text): one text of each wanted node. Where an id stands for several texts, those of other nodes go."""
+def _node_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
+    """(node, n, early, late, tokens) of each wanted node, from one of its texts: B-prefix and reverse-B-prefix (the low
+    half of each token) and the set. Where an id stands for several texts, those of other nodes go."""
     few = wanted.limit(broadcast_nodes + 1).count() <= broadcast_nodes
     chosen = reps.join(wanted, "node", "left_semi").select("node", F.col("id").alias("rep"))
-    side = F.broadcast(chosen) if few else chosen
-    rows = docs.join(side, F.col("id").eqNullSafe(F.col("rep"))).select("node", "__text")
-    if ids_are_keys:
-        return rows.withColumnRenamed("__text", "text")
+    rows = docs.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("rep"))).select("node", "__text")
+    low = lambda x: x.astype(np.uint32).view(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, sets in _sets_of(batches, width):
-            keep = []
-            for i, (x, want) in enumerate(zip(_nodes(sets)[0].tolist(), batch.column("node").to_pylist(), strict=True)):
+            out: list[tuple] = []
+            for x, want, s in zip(_nodes(sets)[0].tolist(), batch.column("node").to_pylist(), sets, strict=True):
                 if x == want and x not in seen:
                     seen.add(x)
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns], names=["node", "text"])
+                    b, p = _order_b(s, freq.value), prefix_length(len(s))
+                    out.append((x, len(s), low(b[:p]), low(b[-p:]), s.view(np.int64)))
+            if out:
+                node, n, early, late, tokens = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(early, pa.list_(pa.int32())), pa.array(late, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "n", "early", "late", "tokens"])
 
-    return in_batches(rows, run, "node long, text string")
+    return in_batches(rows, run, "node long, n int, early array<int>, late array<int>, tokens array<long>").dropDuplicates(["node"])
 
 
 def _order_b(tokens: np.ndarray, freq: Frequencies) -> np.ndarray:
     return tokens[np.lexsort((mix(tokens ^ np.uint64(0x8EBC6AF09C88C6E3)), freq.of(tokens)))]
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """x and y are sets in order B: filters under B and its reverse, then the exact similarity."""
-    p, q = prefix_length(len(x)), prefix_length(len(y))
-    if not np.isin(x[:p], y[:q]).any() or not np.isin(x[-p:], y[-q:]).any():
-        return False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared)
+def _both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with these columns of both ends, prefixed a_ and b_."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, freq, width: int) -> DataFrame:
-    """The pairs (a, b) that pass orders B and reverse B, and then the exact similarity."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share prefix tokens under B and under its reverse, and are similar."""
+    near = _both(pairs, nodes, "early", "late").where(F.arrays_overlap("a_early", "b_early") & F.arrays_overlap("a_late", "b_late")).select("a", "b")
+    full = _both(near, nodes, "n", "tokens").select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), F.size(F.array_intersect("a_tokens", "b_tokens")).alias("shared"))
+    return full.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("n") - F.col("shared"))).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for batch in slices(iter([whole]), "x", 1_000_000):
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                place: dict[int, tuple[str, int]] = {}
-                for i, (m, n) in enumerate(zip(a, b, strict=True)):
-                    place.setdefault(m, ("x", i))
-                    place.setdefault(n, ("y", i))
-                known = {n: s for n, s in known.items() if n in place}
-                new = [n for n in place if n not in known]
-                at = 0
-                while at < len(new):  # texts of at most about a million characters at a time
-                    some, size = [], 0
-                    while at + len(some) < len(new) and (not some or size < 1_000_000):
-                        side, i = place[new[at + len(some)]]
-                        some.append(batch.column(side)[i].as_py())
-                        size += len(some[-1])
-                    for n, s in zip(new[at:], shingle_sets(*word_hashes(some), width), strict=False):
-                        known[n] = _order_b(s, freq.value)
-                    at += len(some)
-                keep = [i for i, (m, n) in enumerate(zip(a, b, strict=True)) if similar(known[m], known[n])]
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    return in_batches(both, run, "a long, b long").distinct()
-
-
-def _pair(a: str, b: str, na: str, nb: str):
-    near = DENOMINATOR * F.least(na, nb) >= NUMERATOR * F.greatest(na, nb)
-    return near, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
-def _first_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs of lists with at most SMALL members, and each member of a longer list with its smallest node; and the
-    longer lists. No list makes more than SMALL rows for each member."""
-    one = Window.partitionBy("list")
-    rows = lists.withColumn("all", F.count("*").over(one)).withColumn("low", F.min(F.struct("node", "n")).over(one))
-    rows = cut(rows)
-    short = rows.where(F.col("all") <= SMALL).select("list", "node", "n")
-    other = short.select("list", F.col("node").alias("p"), F.col("n").alias("pn"))
-    near, a, b = _pair("node", "p", "n", "pn")
-    inside = short.join(other, "list").where("node < p").where(near).select(a, b)
-    near, a, b = _pair("node", "low.node", "n", "low.n")
-    star = rows.where(F.col("all") > SMALL).where(F.col("node") != F.col("low.node")).where(near).select(a, b)
-    return inside.union(star).distinct(), rows.where(F.col("all") > SMALL).select("list", "node", "n")
-
-
-def _next_pairs(lists: DataFrame, comp: DataFrame, per_member: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components, and what is left of the lists that still span several."""
+
+def _ordered(node: str, partner: str) -> tuple[Column, Column]:
+    return F.least(node, partner).alias("a"), F.greatest(node, partner).alias("b")
+
+
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """One pair for each node: with the clean member that it meets in most of its lists."""
+    clean = F.max_by(F.struct("node", "n", "reach"), F.struct(F.col("reach") / F.col("n"), F.col("node"))).alias("p")
+    met = lists.join(lists.groupBy("list").agg(clean), "list").where("node != p.node and n <= p.reach and p.n <= reach")
+    often = met.groupBy("node", F.col("p.node").alias("partner")).agg(F.count("*").alias("times"))
+    best = often.groupBy("node").agg(F.max_by("partner", F.struct("times", "partner")).alias("partner"))
+    return best.select(*_ordered("node", "partner")).distinct()
+
+
+def _next_pairs(lists: DataFrame, comp: DataFrame, waiting: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components, and what is left of the lists that span several (rows without a component are their own)."""
     rows = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    one = Window.partitionBy("list")
-    rows = rows.withColumn("all", F.count("*").over(one)).withColumn("same", F.count("*").over(Window.partitionBy("list", "comp"))).where("same < all")
-    ranked = Window.partitionBy("list").orderBy("same", "comp", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("rank", F.count("*").over(ranked)).withColumn("made", F.sum(F.col("all") - F.col("same")).over(ranked))
-    rows = cut(rows.withColumn("pivot", (F.col("rank") == 1) | (F.col("made") <= per_member * F.col("all"))).select("list", "node", "n", "comp", "pivot"))
-    pivots = rows.where("pivot").select("list", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-    near, a, b = _pair("node", "p", "n", "pn")
-    pairs = pivots.join(rows, "list").where(F.col("pc") != F.col("comp")).where(near).select(a, b).distinct()
-    return pairs, rows.where(~F.col("pivot")).select("list", "node", "n")
-
-
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_nodes: int = 200_000, max_rounds: int = 1000) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the connected parts of all pairs of similarity 3/4 or more."""
+    sizes = rows.groupBy("list", "comp").agg(F.count("*").alias("many"))
+    largest = sizes.groupBy("list").agg(F.max_by("comp", F.struct("many", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+    rows = cut(rows.join(largest.drop("comps"), "list"))
+    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("node"), "node"))
+    chosen = cut(rows.where("comp != largest").withColumn("rank", rank).where(F.col("rank") <= waiting).select("list", "node", "n", "reach", "comp"))
+    other = chosen.select("list", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "reach", "comp")))
+    met = rows.join(other, "list").where("comp != p_comp and n <= p_reach and p_n <= reach")
+    pairs = cut(met.select(*_ordered("node", "p_node")).distinct())
+    left = rows.join(chosen.select("list", "node"), ["list", "node"], "left_anti")
+    return pairs, left.select("list", "node", "n", "reach")
+
+
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after more links."""
+    if comp is None:
+        return components(links)
+    own = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+    lifted = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    step = components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    step = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    comp = comp.unionByName(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    return cut(comp.join(step, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_nodes: int = 200_000, waiting: int = 1000, keep_node: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: the connected parts of all pairs of similarity 3/4 or more.
+
+    With `keep_node` also `node`, the hash of the row's set, and `component`, the smallest such hash of its part.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     sized = cut(_sized(rows, width))
     freq = spark.sparkContext.broadcast(frequencies(sized))
     every = sized.where("node is not null").select("id", "node", "n")
     reps = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    ids_are_keys = every.groupBy("id").agg(F.countDistinct("node").alias("k"), F.count("*").alias("n")).where("k > 1 or n > 1").isEmpty()
     lists = _lists(_prefix_entries(rows, freq, width))
+    nodes = written(_node_table(rows, reps, lists.select("node").distinct(), freq, width, broadcast_nodes), "sets")
 
-    pairs, lists = _first_pairs(lists)
-    pairs = cut(pairs)
-    tested, comp = pairs, None
-    for _ in range(max_rounds):
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        links = cut(_linked(pairs, _texts(rows, reps, wanted, width, broadcast_nodes, ids_are_keys), freq, width))
-        if not links.isEmpty():
-            if comp is None:
-                comp = components(links)
-            else:
-                own = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: B023, E731
-                lifted = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
-                lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-                step = components(lifted).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-                ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-                comp = ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")).unionByName(comp)
-                comp = cut(comp.join(step, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    pairs, comp = cut(_first_pairs(lists)), None
+    while True:
+        if not (links := cut(_links(pairs, nodes))).isEmpty():
+            comp = _merged(comp, links)
         known = comp if comp is not None else spark.createDataFrame([], "node long, comp long")
-        pairs, lists = _next_pairs(lists, known)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs, lists = _next_pairs(lists, known, waiting)
         if pairs.isEmpty() and lists.isEmpty():
             break
-        tested = tested.unionByName(pairs)
-        collect_garbage(spark)
-    else:
-        raise RuntimeError("lists were not resolved in the given rounds")
-
-    if comp is None:
-        named = reps.select("node", F.col("id").alias("component_id"))
-    else:
-        placed = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        names = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
-        named = placed.join(names, "comp").select("node", "component_id")
-    out = every.join(named.withColumn("full", F.lit(True)), "node", "left")
-    alone = F.when(F.col("full"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+        waiting *= 2
+    discard(nodes)
+
+    own = F.coalesce("comp", "node").alias("component")
+    placed = (reps.join(comp, "node", "left") if comp is not None else reps.withColumn("comp", F.lit(None).cast("long"))).select("node", "id", own)
+    names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = placed.join(names, "component").select("node", "component", "component_id")
+    out = every.join(named, "node", "left")
+    alone = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    more = ["node", "component"] if keep_node else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), *more)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
