@@ -46,7 +46,7 @@ def in_batches(rows: DataFrame, run, schema: str) -> DataFrame:
     not follow the length of texts."""
     conf = rows.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, "") == "":
+    if conf.get(key, None) is None:
         conf.set(key, str(BATCH_BYTES))
     return rows.mapInArrow(run, schema)
 
