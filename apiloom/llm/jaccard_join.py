@@ -5,21 +5,23 @@ first n - ceil(t n) + 1 tokens of each, under any order of all tokens. Three ord
 then hash), B (estimated frequency, then another hash) and the reverse of B. Candidates must share prefix tokens under
 all three; only those are compared exactly.
 
-1. One pass over the texts gives each row's set hash (`node`: rows with equal sets are one node), and the tokens that
-   several sets of a slice share: the counts, added up over all slices, put frequent tokens last in A and B, so that
-   passages and boilerplate that many texts share leave the prefixes. Only the order depends on the estimate.
+1. One pass over the texts gives each row's set hash (`node`: rows with equal sets are one node), a parity sketch of the
+   set (one to two bits a shingle; the bits in which two sketches differ are at most the shingles in which the sets do),
+   and the tokens that several sets of a slice share: the counts, added up over all slices, put frequent tokens last in
+   A and B, so that passages and boilerplate leave the prefixes. Only the order depends on the estimate.
 2. A second pass explodes the A-prefix of each distinct set (copies inside a task are dropped before the shuffle). Each
    entry carries its `reach`, the largest set that its place in the prefix still allows as a partner: from a shared
    token at place i on, n - i tokens are left, and 3/7 of both sizes must be common. A pair is possible in a list (the
-   nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach. Tokens
-   that one set has are dropped by a window; frequent tokens are dealt out by (token, salt), so that none fills a task.
-3. One more pass makes a row of each node that is in a list: its B- and reverse-B-prefix and its tokens.
-4. First each node meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
+   nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach and the
+   sketches differ in at most 1/7 of both sizes. Tokens that one set has are dropped by a window; frequent tokens are
+   dealt out by (token, part), so that none fills a task.
+3. First each node meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
    in most of its lists. Then, while a list spans several components, members outside its largest component meet all
-   members of other components within reach, up to `waiting` of them in a round, twice as many in the next. The reach
-   is part of the join, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
+   members of other components, up to `waiting` of them in a round, twice as many in the next. Reach and sketches are
+   conditions of these joins, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
    linked pair shares a list within reach, so it is tested or connected already: no link is lost.
-5. Candidates are joined with both B-prefixes, the survivors with both token arrays; no text moves.
+4. The nodes of candidates get a row with their B- and reverse-B-prefix and their tokens, from one text each. Candidates
+   are joined with both prefixes first, the survivors with both token arrays; no text moves.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as one; null, empty and blank texts have
 an empty set and stand alone; repeated rows and equal sets are linked; a component is named by its smallest id (null
@@ -29,6 +31,7 @@ when all ids are null); other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,20 +64,38 @@ def _nodes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(out + sizes.astype(np.uint64)).view(np.int64), sizes
 
 
+def _sketches(sets: list[np.ndarray]) -> pa.ListArray:
+    """The parity sketch of each set: the least power of two words of 64 bits that gives a bit a shingle."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words = np.array([1 << max(0, int(n - 1).bit_length() - 6) for n in sizes], np.int64)
+    first = np.concatenate([[0], np.cumsum(words)])
+    tokens = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    place = np.repeat(first[:-1] * 64, sizes) + (tokens & np.repeat((words * 64 - 1).astype(np.uint64), sizes)).astype(np.int64)
+    bits = (np.bincount(place, minlength=int(first[-1]) * 64) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.packbits(bits, bitorder="little").view(np.int64)))
+
+
+def _differing(x: str, y: str) -> Column:
+    """Bits in which two sketches differ; one that is twice as long is folded first."""
+    fold = lambda c: f"zip_with(slice({c}, 1, size({c}) div 2), slice({c}, size({c}) div 2 + 1, size({c}) div 2), (u, v) -> u ^ v)"
+    count = lambda c, d: f"aggregate(zip_with({c}, {d}, (u, v) -> bit_count(u ^ v)), 0, (total, k) -> total + k)"
+    return F.expr(f"case when size({x}) = size({y}) then {count(x, y)} when size({x}) > size({y}) then {count(fold(x), y)} else {count(x, fold(y))} end")
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in slices(batches, "__text", 1_500_000):
         yield batch, shingle_sets(*word_hashes(batch.column("__text").to_pylist()), width)
 
 
 def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFrame:
-    """Rows (id, node, n) of all texts, and rows (token, times) of the tokens that sets of one slice share."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+    """Rows (id, node, n, sketch) of all texts, and rows (token, times) of the tokens that sets of one slice share."""
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
 
     def shared(sets: list[np.ndarray]) -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(sets), return_counts=True)
         token, times = token[times > 1].view(np.int64), times[times > 1]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(times)], schema=schema)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(token), pa.list_(pa.int64())), pa.array(token), pa.array(times)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -83,7 +104,7 @@ def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFra
         for batch, sets in _sets_of(batches, width):
             node, n = _nodes(sets)
             none = pa.nulls(len(node), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), pa.array(n), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), pa.array(n), _sketches(sets), none, none], schema=schema)
             for s, x in zip(sets, node.tolist(), strict=True):
                 if len(s) and x not in seen:
                     seen.add(x)
@@ -95,7 +116,7 @@ def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFra
         if held:
             yield shared(held)
 
-    return in_batches(rows, run, "id long, node long, n long, token long, times long")
+    return in_batches(rows, run, "id long, node long, n long, sketch array<long>, token long, times long")
 
 
 class Frequencies:
@@ -152,8 +173,8 @@ def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
     return out.select("token", "node", "n", F.expr("cast((4 * n - 7 * place) div 3 as int)").alias("reach"), part.alias("part"))
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """(list, node, n, reach): the members of each shared token that may have a partner there. Tokens with the same
+def _lists(entries: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(list, node, n, reach, sketch): the members of each shared token that may have a partner there. Tokens with the same
     members are one list (frequent tokens keep a list each)."""
     token = Window.partitionBy("token", "part")
     members = entries.select(
@@ -171,7 +192,8 @@ def _lists(entries: DataFrame) -> DataFrame:
     members = members.select(one.alias("list"), "node", "n", "reach").groupBy("list", "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"))
     members = cut(members)
     size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"))
-    return cut(members.join(size, "list").where("many > 1 and n <= furthest and least <= reach").select("list", "node", "n", "reach"))
+    members = members.join(size, "list").where("many > 1 and n <= furthest and least <= reach").select("list", "node", "n", "reach")
+    return cut(members.join(sketches, "node"))
 
 
 def _node_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
@@ -216,15 +238,23 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return full.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("n") - F.col("shared"))).select("a", "b")
 
 
+def _possible(node: str, other: str) -> Column:
+    """Whether two members of a list are within each other's reach and their sketches close enough."""
+    near = F.expr(f"{node}n <= {other}reach and {other}n <= {node}reach")
+    return near & (7 * _differing(f"{node}sketch", f"{other}sketch") <= F.col(f"{node}n") + F.col(f"{other}n"))
+
+
 def _ordered(node: str, partner: str) -> tuple[Column, Column]:
     return F.least(node, partner).alias("a"), F.greatest(node, partner).alias("b")
 
 
 def _first_pairs(lists: DataFrame) -> DataFrame:
     """One pair for each node: with the clean member that it meets in most of its lists."""
-    clean = F.max_by(F.struct("node", "n", "reach"), F.struct(F.col("reach") / F.col("n"), F.col("node"))).alias("p")
-    met = lists.join(lists.groupBy("list").agg(clean), "list").where("node != p.node and n <= p.reach and p.n <= reach")
-    often = met.groupBy("node", F.col("p.node").alias("partner")).agg(F.count("*").alias("times"))
+    best = lists.groupBy("list").agg(F.max_by(F.struct("node", "n", "reach"), F.struct(F.col("reach") / F.col("n"), F.col("node"))).alias("p"))
+    best = best.select("list", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "reach")))
+    best = best.join(lists.select("list", F.col("node").alias("p_node"), F.col("sketch").alias("p_sketch")), ["list", "p_node"])
+    met = lists.join(best, "list").where(F.col("node") != F.col("p_node")).where(_possible("", "p_"))
+    often = met.groupBy("node", F.col("p_node").alias("partner")).agg(F.count("*").alias("times"))
     best = often.groupBy("node").agg(F.max_by("partner", F.struct("times", "partner")).alias("partner"))
     return best.select(*_ordered("node", "partner")).distinct()
 
@@ -236,12 +266,12 @@ def _next_pairs(lists: DataFrame, comp: DataFrame, waiting: int) -> tuple[DataFr
     largest = sizes.groupBy("list").agg(F.max_by("comp", F.struct("many", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
     rows = cut(rows.join(largest.drop("comps"), "list"))
     rank = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("node"), "node"))
-    chosen = cut(rows.where("comp != largest").withColumn("rank", rank).where(F.col("rank") <= waiting).select("list", "node", "n", "reach", "comp"))
-    other = chosen.select("list", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "reach", "comp")))
-    met = rows.join(other, "list").where("comp != p_comp and n <= p_reach and p_n <= reach")
+    chosen = cut(rows.where("comp != largest").withColumn("rank", rank).where(F.col("rank") <= waiting).select("list", "node", "n", "reach", "sketch", "comp"))
+    other = chosen.select("list", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "reach", "sketch", "comp")))
+    met = rows.join(other, "list").where("comp != p_comp").where(_possible("", "p_"))
     pairs = cut(met.select(*_ordered("node", "p_node")).distinct())
     left = rows.join(chosen.select("list", "node"), ["list", "node"], "left_anti")
-    return pairs, left.select("list", "node", "n", "reach")
+    return pairs, left.select("list", "node", "n", "reach", "sketch")
 
 
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -266,27 +296,32 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     sized = cut(_sized(rows, width))
     freq = spark.sparkContext.broadcast(frequencies(sized))
-    every = sized.where("node is not null").select("id", "node", "n")
-    reps = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    lists = _lists(_prefix_entries(rows, freq, width))
-    nodes = written(_node_table(rows, reps, lists.select("node").distinct(), freq, width, broadcast_nodes), "sets")
+    every = sized.where("node is not null").select("id", "node", "n", "sketch")
+    reps = cut(every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")))
+    lists = _lists(_prefix_entries(rows, freq, width), reps.select("node", "sketch"))
 
-    pairs, comp = cut(_first_pairs(lists)), None
+    pairs, comp, nodes = cut(_first_pairs(lists)), None, []
     while True:
-        if not (links := cut(_links(pairs, nodes))).isEmpty():
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for known in nodes:
+            wanted = wanted.join(known.select("node"), "node", "left_anti")
+        if not (wanted := cut(wanted)).isEmpty():
+            nodes.append(written(_node_table(rows, reps, wanted, freq, width, broadcast_nodes), "sets"))
+        links = cut(_links(pairs, reduce(DataFrame.unionByName, nodes))) if nodes else pairs
+        if not links.isEmpty():
             comp = _merged(comp, links)
-        known = comp if comp is not None else spark.createDataFrame([], "node long, comp long")
-        pairs, lists = _next_pairs(lists, known, waiting)
+        pairs, lists = _next_pairs(lists, comp if comp is not None else spark.createDataFrame([], "node long, comp long"), waiting)
         if pairs.isEmpty() and lists.isEmpty():
             break
         waiting *= 2
-    discard(nodes)
+    for held in nodes:
+        discard(held)
 
     own = F.coalesce("comp", "node").alias("component")
     placed = (reps.join(comp, "node", "left") if comp is not None else reps.withColumn("comp", F.lit(None).cast("long"))).select("node", "id", own)
     names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     named = placed.join(names, "component").select("node", "component", "component_id")
-    out = every.join(named, "node", "left")
+    out = every.drop("sketch").join(named, "node", "left")
     alone = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     more = ["node", "component"] if keep_node else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), *more)
