@@ -9,8 +9,10 @@ language marginals; the language of a text is the one with the largest mean marg
 A text is one chain, whatever its length: it is cut into blocks of 64 words, block transfer matrices carry the exact
 forward and backward messages across blocks, and all blocks of a slice of texts are computed together in numpy.
 
-The model is fitted on at most `per_language` labelled texts a language (default 150, the smallest hashes of the id,
-at most `max_languages` languages); everything else runs over all rows.
+The model is fitted on at most `per_language` labelled texts of each language (default 150, the smallest hashes of id
+and text) and at most `max_texts` in all (default 6,000, but one of each language), of each at most its first
+`max_chars` characters (default 4,000); texts within that length come first. Every language can be predicted, and
+everything else runs over all rows and whole texts.
 
 Defined results: a text that is null or without a letter is `und` with score 0; a model without labels answers `und`;
 rows with a null or repeated id are predicted like others; ties go to the language that sorts first.
@@ -24,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apiloom.llm.common import documents, in_batches, slices
@@ -110,11 +112,16 @@ def words(texts: list[str]) -> dict[str, np.ndarray]:
 
 def emissions(found: dict[str, np.ndarray], weights: np.ndarray) -> np.ndarray:
     """Scores of each word for each language."""
-    if not len(found["first"]):
-        return np.zeros((0, weights.shape[1]), np.float32)
-    grams = weights[found["grams"][:, 0]]
-    grams += weights[found["grams"][:, 1]]
-    out = np.add.reduceat(grams, found["first"], axis=0)
+    first, letters = found["first"], len(found["grams"])
+    out = np.zeros((len(first), weights.shape[1]), np.float32)
+    at = 0
+    while at < len(first):  # some 200,000 letters at a time, so that memory does not follow one long text times languages
+        stop = max(at + 1, int(np.searchsorted(first, first[at] + 200_000)))
+        a, b = first[at], first[stop] if stop < len(first) else letters
+        grams = weights[found["grams"][a:b, 0]]
+        grams += weights[found["grams"][a:b, 1]]
+        out[at:stop] = np.add.reduceat(grams, first[at:stop] - a, axis=0)
+        at = stop
     for j in range(found["affix"].shape[1]):
         out += weights[found["affix"][:, j]]
     return out
@@ -249,17 +256,19 @@ def _held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 150, max_languages: int = 40) -> DataFrame:
-    """(text, lang) of the labelled rows to fit on: about `per_language` for each language, none of them held out."""
+def training_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 150, max_texts: int = 6000, max_chars: int = 4000) -> DataFrame:
+    """(text, lang) of the labelled rows to fit on, none of them held out, in a fixed order.
+
+    Hashes are ranked first (each task keeps its own best), and only the texts of the chosen ones are fetched.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~_held_out(id_col))
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
-    if not counts:
-        return known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(per_language / r[1]))])
-    draw = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(draw < F.coalesce(share[F.col(lang_col)], F.lit(0.0)))
-    picked = picked.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("place"))
-    return picked.orderBy("place").limit(2 * per_language * len(counts)).select("text", "lang")
+    known = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("place"))
+    languages = known.select("lang").distinct().count()
+    each = max(1, min(per_language, max_texts // max(1, languages)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.char_length("text") > max_chars, "place"))
+    chosen = known.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "place")
+    picked = known.join(F.broadcast(chosen.distinct()), ["lang", "place"]).dropDuplicates(["lang", "place"])
+    return picked.orderBy("place", "lang").select(F.substring("text", 1, max_chars).alias("text"), "lang")
 
 
 def fit(docs: DataFrame, **columns) -> Model:
@@ -279,7 +288,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", spans: boo
         out: list[list[dict]] = [[] for _ in range(n)]
         best = p.argmax(1)
         cuts = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (found["doc"][1:] != found["doc"][:-1])]) if len(best) else []
-        for a, b in zip(cuts, [*cuts[1:], len(best)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(best)] if len(best) else [], strict=True):
             d = found["doc"][a]
             base = found["begin"][d]
             out[d].append({"start": int(found["start"][a] - base), "stop": int(found["stop"][b - 1] - base), "lang": languages[best[a]], "p": float(p[a:b, best[a]].mean())})
@@ -311,8 +320,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", spans: boo
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, by a model that saw no held-out row."""
+    """The language of every document and its stretches of one language, by a model that saw no held-out row."""
     docs = documents(spark, sf_dir)
     model = fit(docs)
-    out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", _held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    out = predict(docs.select("doc_id", "text"), model, spans=True)
+    return out.select("doc_id", _held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang_spans")
