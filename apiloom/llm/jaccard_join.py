@@ -15,8 +15,8 @@ all three; only those are compared exactly.
    nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach and the
    sketches differ in at most 1/7 of both sizes. Tokens that one set has are dropped by a window; frequent tokens are
    dealt out by (token, part), so that none fills a task.
-3. First each node meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
-   in most of its lists. Then, while a list spans several components, members outside its largest component meet all
+3. Lists of two nodes are pairs. In longer lists each node first meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
+   in most of its lists. Then the pairs of lists of two are tested where they are not connected, and, while a list spans several components, members outside its largest component meet all
    members of other components, up to `waiting` of them in a round, twice as many in the next. Reach and sketches are
    conditions of these joins, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
    linked pair shares a list within reach, so it is tested or connected already: no link is lost.
@@ -119,6 +119,18 @@ def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFra
     return in_batches(rows, run, "id long, node long, n long, sketch array<long>, token long, times long")
 
 
+def with_node(docs: DataFrame, node: str, n: str, *, text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows with the hash of each text's set and the size of the set."""
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, 1_500_000):
+            found, sizes = _nodes(shingle_sets(*word_hashes(batch.column(text_col).to_pylist()), width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(sizes)], names=[*batch.schema.names, node, n])
+
+    return in_batches(docs, run, f"{declared}, `{node}` long, `{n}` long")
+
+
 class Frequencies:
     """Estimated frequencies of the most frequent tokens (a bounded table); all other tokens count as rare."""
 
@@ -134,8 +146,16 @@ class Frequencies:
 
 
 def frequencies(sized: DataFrame, top: int = 200_000) -> Frequencies:
-    counted = sized.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
-    got = counted.orderBy(F.desc("times"), "token").limit(top).toPandas()
+    """The tokens above the lowest count that at most `top` tokens exceed: only a histogram of the counts and those
+    tokens reach the driver."""
+    counted = cut(sized.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")))
+    least, held = 0, 0
+    for times, tokens in sorted(counted.groupBy("times").count().collect(), reverse=True):
+        if held + tokens > top:
+            least = times
+            break
+        held += tokens
+    got = counted.where(F.col("times") > least).toPandas()
     return Frequencies(got["token"].to_numpy(np.int64), got["times"].to_numpy(np.int64))
 
 
@@ -173,9 +193,9 @@ def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
     return out.select("token", "node", "n", F.expr("cast((4 * n - 7 * place) div 3 as int)").alias("reach"), part.alias("part"))
 
 
-def _lists(entries: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(list, node, n, reach, sketch): the members of each shared token that may have a partner there. Tokens with the same
-    members are one list (frequent tokens keep a list each)."""
+def _lists(entries: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list, node, n, reach, sketch): the members of each shared token that may have a partner there; tokens with the
+    same members are one list (frequent tokens keep a list each). And (a, b): the possible pairs of lists of two."""
     token = Window.partitionBy("token", "part")
     members = entries.select(
         "token",
@@ -191,9 +211,13 @@ def _lists(entries: DataFrame, sketches: DataFrame) -> DataFrame:
     one = F.when(F.col("part").isNull(), F.xxhash64("low", "high", "many", "sign")).otherwise(F.col("token"))
     members = members.select(one.alias("list"), "node", "n", "reach").groupBy("list", "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"))
     members = cut(members)
-    size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"))
-    members = members.join(size, "list").where("many > 1 and n <= furthest and least <= reach").select("list", "node", "n", "reach")
-    return cut(members.join(sketches, "node"))
+    one = F.struct("node", "n", "reach")
+    size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"), F.min(one).alias("x"), F.max(one).alias("y"))
+    size = cut(size.where("many > 1"))
+    twos = size.where("many = 2 and x.n <= y.reach and y.n <= x.reach").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n")).distinct()
+    twos = _both(twos, sketches, "sketch").where(7 * _differing("a_sketch", "b_sketch") <= F.col("a_n") + F.col("b_n")).select("a", "b")
+    members = members.join(size.where("many > 2").select("list", "least", "furthest"), "list").where("n <= furthest and least <= reach")
+    return cut(members.select("list", "node", "n", "reach").join(sketches, "node")), cut(twos)
 
 
 def _node_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
@@ -274,6 +298,15 @@ def _next_pairs(lists: DataFrame, comp: DataFrame, waiting: int) -> tuple[DataFr
     return pairs, left.select("list", "node", "n", "reach", "sketch")
 
 
+def _across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    if comp is None:
+        return pairs
+    for side in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+    return pairs.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+
+
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, comp) after more links."""
     if comp is None:
@@ -298,7 +331,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     freq = spark.sparkContext.broadcast(frequencies(sized))
     every = sized.where("node is not null").select("id", "node", "n", "sketch")
     reps = cut(every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")))
-    lists = _lists(_prefix_entries(rows, freq, width), reps.select("node", "sketch"))
+    lists, twos = _lists(_prefix_entries(rows, freq, width), reps.select("node", "sketch"))
 
     pairs, comp, nodes = cut(_first_pairs(lists)), None, []
     while True:
@@ -311,6 +344,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not links.isEmpty():
             comp = _merged(comp, links)
         pairs, lists = _next_pairs(lists, comp if comp is not None else spark.createDataFrame([], "node long, comp long"), waiting)
+        if twos is not None:
+            pairs, twos = cut(pairs.unionByName(_across(twos, comp)).distinct()), None
         if pairs.isEmpty() and lists.isEmpty():
             break
         waiting *= 2
