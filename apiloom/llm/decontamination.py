@@ -7,10 +7,12 @@ hashed +-1 vectors, from running sums over the text. Fingerprints are cut into f
 distance 15 agree within 3 bits in at least one block, so a table of all values within 3 bits of each item's block
 misses none. Items that pass the full Hamming distance are compared exactly: the best window of the item's length near
 the hit, by the weight of shared five-word shingles over the weight of all, with inverse item frequencies as weights;
-at 0.75 and above the document matches the item.
+at 0.75 and above the document matches the item. Frequencies are counted over the whole benchmark; a shingle that the
+item does not have weighs like one of a single item, so a similarity depends on the text, the item and the benchmark only.
 
 The pass has no shuffle and no state: each text is scanned whole in one task, and memory is bounded by the slice. The
-index of items is broadcast in blocks of at most `block_items` items; more items mean more passes, not a larger index.
+index of items is broadcast in blocks of about `block_items` items and `block_bytes` bytes of their texts; more items mean
+more passes, not a larger index, and the same result.
 
 Defined results: null or blank texts and items match nothing; an item of fewer than five words counts as one shingle;
 repeated rows and null ids each get their matches; equal similarities go to the earliest window.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import documents, in_batches, set_aside, slices
+from apiloom.llm.common import cut, documents, in_batches, set_aside, slices
 from apiloom.llm.shingles import mix, word_hashes
 
 RADIUS = 15
@@ -65,12 +67,15 @@ def _signs(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 class Index:
     """Fingerprints of one block of items by length class, with the tables of their Hamming blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = 5, spread: float = 1.2):
+    def __init__(self, items: list[tuple[int, str]], total: int | None = None, shared: dict[bytes, int] | None = None, width: int = 5, spread: float = 1.2):
+        """`total` and `shared`: the items with a word and the frequencies of shingles of several items in the whole
+        benchmark; counted from `items` where these are all of it."""
         self.width = width
         self.items = [(i, w) for i, t in items if (w := _folded(t or ""))]
-        df = Counter(s for _, w in self.items for s in set(_shingles(w, width)))
-        self.unknown = math.log(1 + len(self.items))
-        self.weights = {s: math.log(1 + len(self.items) / n) for s, n in df.items()}
+        if total is None or shared is None:
+            total, shared = len(self.items), Counter(b" ".join(s) for _, w in self.items for s in set(_shingles(w, width)))
+        self.unknown = math.log(1 + total)
+        self.weights = {s: math.log(1 + total / n) for _, w in self.items for s in _shingles(w, width) if (n := shared.get(b" ".join(s), 1)) > 1}
         self.sets = [frozenset(_shingles(w, width)) for _, w in self.items]
         masks = [sum(1 << b for b in c) for r in range(RADIUS // _BLOCKS + 1) for c in combinations(range(_BLOCK_BITS), r)]
         near = np.array(masks, np.uint16)
@@ -127,7 +132,7 @@ class Index:
         mine, theirs = set(window), self.sets[item]
         get = self.weights.get
         shared = sum(get(s, self.unknown) for s in mine & theirs)
-        return shared / sum(get(s, self.unknown) for s in mine | theirs) if shared else 0.0
+        return shared / (sum(get(s, self.unknown) for s in theirs) + len(mine - theirs) * self.unknown) if shared else 0.0
 
     def verify(self, text: str, found: set[tuple[int, int]], threshold: float) -> list[tuple[int, int, int, float]]:
         """(item id, start, words, similarity) of the best window of each item near its candidates."""
@@ -151,13 +156,32 @@ class Index:
         return [(self.items[k][0], p, min(len(self.items[k][1]), len(words) - p), -s) for k, (s, p) in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_items: int = 20_000) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about `block_items`, so that no index grows with the benchmark."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    blocks = -(-rows.count() // block_items)
+def _item_shingles(rows: DataFrame, width: int) -> DataFrame:
+    """(shingle): the distinct shingles of each item (i, t), as their words with blanks between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            found = [b" ".join(s) for t in batch.column("t").to_pylist() if (w := _folded(t)) for s in set(_shingles(w, width))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["shingle"])
+
+    return in_batches(rows, run, "shingle binary")
+
+
+def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", width: int = 5, block_items: int = 5_000, block_bytes: int = 4 << 20) -> Iterator[Index]:
+    """An index for each block of about `block_items` items and `block_bytes` of text, so that none grows with the benchmark."""
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[^ \t-\r]"))
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    blocks = max(-(-total // block_items), -(-size // block_bytes))
+    if blocks > 1:
+        times = cut(_item_shingles(rows, width).groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        block = sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if blocks == 1:
+            yield Index(block, width=width)
+        else:
+            own = times.join(_item_shingles(part, width).distinct(), "shingle", "left_semi").collect()
+            yield Index(block, total, {bytes(r["shingle"]): r["times"] for r in own}, width=width)
 
 
 def with_matches(docs: DataFrame, index: Index, *, text_col: str = "text", threshold: float = 0.75, drop_text: bool = False) -> DataFrame:
@@ -182,11 +206,11 @@ def with_matches(docs: DataFrame, index: Index, *, text_col: str = "text", thres
     return in_batches(rows, run, ", ".join(declared))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, **blocks: int) -> DataFrame:
     """(id, item_id, start, n_words, similarity): each item that a document contains, at its best window."""
     parts = [
-        with_matches(docs.select(id_col, text_col), Index(block), text_col=text_col, threshold=threshold, drop_text=True).select(id_col, F.inline("matches"))
-        for block in item_blocks(items)
+        with_matches(docs.select(id_col, text_col), index, text_col=text_col, threshold=threshold, drop_text=True).select(id_col, F.inline("matches"))
+        for index in indexes(items, **blocks)
     ]
     if not parts:
         return docs.select(id_col, F.inline(F.array().cast(_MATCHES))).limit(0)
@@ -196,11 +220,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", threshold: float = 0.75, **blocks: int) -> DataFrame:
     """The documents that contain no item, with their columns."""
     out, back = set_aside(docs, ["matches"])
-    for block in item_blocks(items):
-        out = with_matches(out, Index(block), text_col=text_col, threshold=threshold).where(F.size("matches") == 0).drop("matches")
+    for index in indexes(items, **blocks):
+        out = with_matches(out, index, text_col=text_col, threshold=threshold).where(F.size("matches") == 0).drop("matches")
     return back(out)
 
 

@@ -1,23 +1,27 @@
 """Main-text extraction with a tree-structured graphical model over the block elements of a page.
 
-Each block element is a binary variable, content or not. Its own potential adds learned weights of its tag, its
-parent's tag, the words of its class, id and role, and how long its text is and how much of it are links; an edge to
-its parent has a learned 2x2 potential, so that a subtree leans as a whole. Messages pass up and then down the tree
-once (sum-product, exact on a tree) and give each element's marginal; text of elements above one half is the result.
+Each block element is a binary variable, content or not. Its own potential adds learned weights of the tag and
+the words of class, id and role of the element and of its parent, how long its text is and how much of it are links, and which share of
+the page's text lies in it; an edge to its parent has a learned 2x2 potential, so that a subtree leans as a whole.
+Messages pass up and then down the tree once (sum-product, exact on a tree) and give each element's marginal; text of
+elements above one half is the result.
 
 The weights maximise the likelihood of labelled pages, the gradient being observed minus expected features under the
-same message passing. Labelled pages are (a) at most `max_pages` pages of the table (default 200, the smallest hashes)
-that mark their article with the element of that name, where elements inside it are content and all others, and menus,
-asides, forms and the like inside it, are not; and (b) the small pages of LABELLED_PAGES, where content is marked by
-hand, which teach other layouts. The extraction itself runs over all pages.
+same message passing. Labelled pages are (a) at most `max_pages` pages of the table (default 60, the smallest hashes;
+pages of up to 65,536 characters first) that mark their article with the element of that name, where elements inside it
+are content and all others, and menus, asides, forms and the like inside it, are not; (b) the small pages of
+LABELLED_PAGES, where content is marked by hand; and (c) three made-up layouts of each of their articles: the article in a
+container of another name, with menus, notices, adverts, forms and reader comments around it and inside it, so that
+neither the element nor its place alone decides. The extraction itself runs over all pages.
 
 Defined results: null or empty html and pages without content give an empty text; unclosed elements end with their
-container or page; repeated rows and null ids keep a row each; other columns are not read.
+container or page; repeated rows and null ids keep a row each; other columns are carried along.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -58,6 +62,68 @@ LABELLED_PAGES = [
 ]
 
 
+#: Containers of made-up layouts.
+_WRAPPERS = [
+    "article", "main", "div", "section", 'div id="content"', 'div class="post-content"', 'div id="story"', 'div class="entry"', 'section class="article-body"',
+    'div role="main"', 'article class="post"', 'div class="text column"', 'div id="main"', 'div class="story-body"', 'div class="page wide"', 'td', 'div class="c1"',
+]
+#: What stands around and inside articles and is no content; {a}, {b} are texts, {l} is a list of links.
+_JUNK = [
+    "<nav>{l}</nav>", '<div class="menu">{l}</div>', '<ul class="nav links">{l}</ul>', '<div id="navbar">{l}</div>', '<div class="breadcrumb">{l}</div>',
+    "<aside>{t}</aside>", "<form>{t}</form>", '<nav><a href="/">{t}</a></nav>', "<aside><p>{a}</p></aside>", '<aside class="sidebar"><h3>{t}</h3>{l}</aside>', '<div class="sidebar widget"><h3>{t}</h3><p>{a}</p></div>', '<div class="related"><h3>{t}</h3>{l}</div>',
+    '<div class="ad">{t}</div>', '<div class="advert"><p>{a}</p></div>', '<div class="ads advertisement">{a}</div>', '<div class="sponsored promo"><p>{a}</p><p>{b}</p></div>', '<section class="banner">{t}</section>',
+    '<div class="notice">{a}</div>', '<div class="cookie-notice"><p>{a}</p><button>{t}</button></div>', '<div id="consent" role="dialog"><p>{a}</p></div>', '<div class="alert warning">{t}</div>',
+    "<form><p>{t}</p><input><button>{t}</button></form>", '<form class="newsletter"><p>{a}</p></form>', '<div class="subscribe signup"><p>{t}</p></div>', '<div class="login">{t}</div>', '<div class="search"><p>{t}</p></div>',
+    '<section class="comments"><h2>{t}</h2><p>{a}</p><p>{b}</p></section>', '<div id="comments"><div class="comment"><p>{a}</p></div><div class="comment"><p>{b}</p></div></div>', '<ol class="comment-list"><li>{a}</li><li>{b}</li></ol>',
+    '<div class="discussion replies"><p>{a}</p><blockquote><p>{b}</p></blockquote></div>', '<div class="disqus thread"><p>{a}</p></div>', '<div class="comments"><p>{a}</p></div>', '<div class="reader-comments responses"><p>{b}</p></div>',
+    "<footer>{t}</footer>", '<footer class="footer"><p>{a}</p>{l}</footer>', '<div class="footer legal"><p>{a}</p></div>', '<div id="copyright">{t}</div>', '<div class="share social">{l}</div>', '<div class="tags">{l}</div>', '<div class="author bio"><p>{a}</p></div>',
+]
+#: Heads of pages.
+_HEADS = ["<header><p>{t}</p></header>", '<header class="site"><h1>{t}</h1>{l}</header>', '<div class="header top"><div class="logo">{t}</div>{l}</div>', '<div class="masthead">{t}</div>', ""]
+
+
+def made_layouts(articles: list[str], *, seed: int = 0, each: int = 3) -> list[str]:
+    """Pages with these articles (their inner markup), with `data-main` and `data-off` as labels."""
+    rng = random.Random(seed)
+    plain = [re.sub(r"<[^>]*>", " ", a).split() for a in articles]
+    plain = [w for w in plain if len(w) > 20] or [["text"] * 40]
+
+    def words(low: int, high: int) -> str:
+        w = rng.choice(plain)
+        at = rng.randrange(len(w))
+        return " ".join((w[at:] + w)[: rng.randint(low, high)])
+
+    def junk(template: str) -> str:
+        links = lambda: "<ul>" + "".join(f'<li><a href="/">{words(1, 4)}</a></li>' for _ in range(rng.randint(1, 6))) + "</ul>" if rng.random() < 0.6 else " ".join(f'<a href="/">{words(1, 4)}</a>' for _ in range(rng.randint(1, 6)))
+        made = template.format(a=words(4, 60), b=words(4, 60), t=words(1, 8), l=links() if "{l}" in template else "")
+        return re.sub(r"^<(\w+)", r"<\1 data-off", made)
+
+    pages = []
+    for article in articles:
+        for _ in range(each):
+            pieces = re.split(r"(?=<(?:p|h[1-6]|ul|ol|table|pre|figure)\b)", article)
+            for _ in range(rng.choice([0, 1, 2, 3, 5])):
+                pieces.insert(rng.randint(1, len(pieces)), junk(rng.choice(_JUNK)))
+            wrapper = rng.choice(_WRAPPERS)
+            tag = wrapper.split()[0]
+            inside = f"<{wrapper} data-main>{''.join(pieces)}</{tag}>"
+            if tag == "td":
+                inside = f"<table><tr>{inside}</tr></table>"
+            elif rng.random() < 0.4:
+                inside = f'<div class="{rng.choice(["wrapper", "container", "row", "layout", "page"])}">{inside}</div>'
+            before = "".join(junk(rng.choice(_JUNK)) for _ in range(rng.randint(0, 3)))
+            after = "".join(junk(rng.choice(_JUNK)) for _ in range(rng.randint(0, 4)))
+            head = rng.choice(_HEADS)
+            pages.append(f"<html><body>{junk(head) if head else ''}{before}{inside}{after}</body></html>")
+    return pages
+
+
+def article_inside(page: str) -> str | None:
+    """The inner markup of the page's article element or of the part marked by hand."""
+    m = re.search(r"<article\b[^>]*>(.*)</article>", page, re.S | re.I)
+    return m[1] if m else None
+
+
 @lru_cache(4096)
 def _own_names(tag: str, attrs: str) -> tuple[str, ...]:
     found = attributes(attrs) if attrs else {}
@@ -65,15 +131,29 @@ def _own_names(tag: str, attrs: str) -> tuple[str, ...]:
     return (f"tag={tag}", *(f"word={w}" for w in sorted(words)))
 
 
+@lru_cache(4096)
+def _parent_names(tag: str, attrs: str) -> tuple[str, ...]:
+    return tuple(f"in {name}" for name in _own_names(tag, attrs))
+
+
 def _features(tree: Tree, texts: list[str]) -> list[tuple[str, ...]]:
     size = [0] * len(tree.tags)
     for (node, _), text in zip(tree.blocks, texts, strict=True):
         size[node] += len(text)
+    below = list(size)
+    for i in range(len(below) - 1, 0, -1):
+        below[tree.parent[i]] += below[i]
+    whole = below[0] or 1
+    paragraphs = [0] * len(tree.tags)
+    for i, tag in enumerate(tree.tags):
+        if tag == "p" and size[i] >= 40 and 2 * tree.links[i] < size[i]:
+            paragraphs[tree.parent[i]] += 1
     out = []
     for i, tag in enumerate(tree.tags):
         n, linked = size[i], tree.links[i]
         share = "none" if not n else "no" if not linked else "some" if linked < n / 2 else "most"
-        out.append((*_own_names(tag, tree.attributes[i]), f"in={tree.tags[tree.parent[i]] if i else ''}", f"size={min(8, n.bit_length())}", f"links={share}"))
+        p = tree.parent[i]
+        out.append((*_own_names(tag, tree.attributes[i]), *(_parent_names(tree.tags[p], tree.attributes[p]) if i else ()), f"size={min(8, n.bit_length())}", f"{tag} size={min(8, n.bit_length())}", f"links={share}", f"share={-(-4 * below[i] // whole)}", f"paragraphs={min(3, paragraphs[i])}"))
     return out
 
 
@@ -143,16 +223,22 @@ def landmark_labels(tree: Tree) -> list[int] | None:
     return out
 
 
-def train(pages: list[str], *, rounds: int = 40, rate: float = 0.5, l2: float = 0.02) -> Model:
-    """Fit the weights on landmark-labelled pages and the pages labelled by hand."""
+def train(pages: list[str], *, rounds: int = 60, rate: float = 1.5, l2: float = 0.02, seed: int = 0) -> Model:
+    """Fit the weights on landmark-labelled pages, the pages labelled by hand and layouts made up of their articles."""
+    own = [x for p in pages if (x := article_inside(p))]
+    rng = random.Random(seed)
+    told = [x for p in LABELLED_PAGES for x in re.findall(r"<p>([^<]{30,})</p>", p)]
+    said = lambda: " ".join(rng.choices(told, k=rng.choice([1, 1, 2, 4, 8])))
+    block = lambda: rng.choice(["<p>{}</p>"] * 6 + ["<ul><li>{}</li><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<h2>{}</h2>", "<table><tr><td>{}</td><td>{}</td></tr></table>"]).format(said(), rng.choice(told))
+    short = [f"<h1>{rng.choice(told)[:40]}</h1>{''.join(block() for _ in range(rng.randint(2, 12)))}" for _ in range(max(30, 120 - len(own)))]
+    made = made_layouts(short, seed=seed) + made_layouts(own, seed=seed + 1)
     cases = []
-    for source, label in ((pages, landmark_labels), (LABELLED_PAGES, hand_labels)):
+    for source, label in ((pages, landmark_labels), (LABELLED_PAGES, hand_labels), (made, hand_labels)):
+        worth = max(1.0, len(pages) / 20) if source is LABELLED_PAGES else 1.0
         for page in source:
             tree = parse(page)
             if (gold := label(tree)) is not None:
-                features = _features(tree, [block_text(p) for _, p in tree.blocks])
-                features = [[f for f in names if not f.startswith("word=data") and f not in ("word=main", "word=off")] if label is hand_labels else names for names in features]
-                cases.append((tree.parent, features, gold, 1.0 if label is landmark_labels else max(1.0, len(pages) / len(LABELLED_PAGES) / 2)))
+                cases.append((tree.parent, _features(tree, [block_text(p) for _, p in tree.blocks]), gold, worth))
     weights: dict[str, float] = defaultdict(float)
     edge = [[0.0, 0.0], [0.0, 0.0]]
     seen: dict[str, float] = defaultdict(lambda: 1e-6)
@@ -187,10 +273,13 @@ def train(pages: list[str], *, rounds: int = 40, rate: float = 0.5, l2: float =
     return Model(dict(weights), edge)
 
 
-def fit(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", max_pages: int = 200) -> Model:
-    """Train on at most `max_pages` pages of the table, by the smallest hashes, and the pages labelled by hand."""
+def fit(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", max_pages: int = 60, usual: int = 65_536) -> Model:
+    """Train on at most `max_pages` pages of the table and the pages labelled by hand. Only hashes are ranked; then the
+    chosen pages are fetched."""
     marked = pages.where(F.col(html_col).contains("<article")).select(F.xxhash64(id_col, html_col).alias("place"), F.col(html_col).alias("html"))
-    return train([r["html"] for r in marked.orderBy("place").limit(max_pages).collect()])
+    chosen = marked.select("place", (F.char_length("html") > usual).alias("long")).distinct().orderBy("long", "place").limit(max_pages)
+    got = marked.join(F.broadcast(chosen.select("place")), "place").dropDuplicates(["place"]).orderBy("place").collect()
+    return train([r["html"] for r in got])
 
 
 def extract_text(pages: DataFrame, model: Model, *, html_col: str = "html") -> DataFrame:

@@ -9,7 +9,7 @@ The classifier is fitted on at most `max_labelled` labelled rows (default 20,000
 few statistics go to the driver. Nothing else is bounded.
 
 Defined results: a null or blank text has zero words and fails the base rule; repeated rows and null ids keep a row each;
-a labelled id with several labels counts as its best; with no labels the list is empty and only the base rule decides.
+a labelled id with several labels counts as its best, one with several texts as the one of the least ratios; with no labels the list is empty and only the base rule decides.
 """
 
 from __future__ import annotations
@@ -177,8 +177,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
         .limit(max_labelled)
     )
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
-    got = with_statistics(known, text_col="__text", drop_text=True).select("__id", "__label", *FEATURES).limit(2 * max_labelled).toPandas()
-    got = got.sort_values(["__id", *FEATURES]).reset_index(drop=True)
+    stats = with_statistics(known, text_col="__text", drop_text=True)
+    one = stats.groupBy("__id", "__label").agg(F.min(F.struct(*FEATURES)).alias("x")).select("__id", "__label", "x.*")
+    got = one.toPandas().sort_values("__id").reset_index(drop=True)
     order = np.random.default_rng(0).permutation(len(got))
     return learn_decision_list(got[FEATURES].to_numpy(float)[order], (got["__label"] == 0).to_numpy()[order])
 

@@ -9,11 +9,12 @@ neighbouring symbols of a stretch (leftmost of equals) is taken again and again
 stretches take one step together in numpy; a stretch longer than 48 characters keeps its edges in a heap.
 Characters without a piece become their UTF-8 bytes as byte pieces.
 
-Encodings of stretches are kept from batch to batch, in a memory of bounded size that only saves work.
+Encodings of stretches are kept from batch to batch, up to 200,000 stretches or 8 million characters; that only saves work.
 
 Defined results: null has null ids and no tokens; the empty text has an empty list; the encoding of a text decodes to it
 exactly, but for the blank's own sign (U+2581) in a text, which the model itself reads as a blank; repeated rows and
-other columns are kept as they are.
+other columns are kept as they are, but columns named `ids`, `n_tokens` or `round_trip` are replaced. A model that is not
+a byte-pair one is refused.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from apiloom.llm.common import documents, in_batches, slices
 
 SPACE = "▁"
 _LONG = 48
-_REMEMBER = 200_000
+_REMEMBER, _REMEMBER_CHARS = 200_000, 8_000_000
 _NONE = -(2.0**60)
 
 
@@ -57,6 +58,8 @@ class Vocabulary:
             else:
                 plain.append((piece, i, model.get_score(i)))
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
+        if any(s != round(s) for _, _, s in plain):
+            raise ValueError("not a byte-pair model: its scores are not ranks")
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in plain):
             raise ValueError("a piece spans a blank: stretches cannot be encoded on their own")
         self.longest = max(len(p) for p, _, _ in plain)
@@ -255,6 +258,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.characters = 0
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int32)
@@ -292,7 +296,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of each text."""
-        if len(self.known) > _REMEMBER:
+        if len(self.known) > _REMEMBER or self.characters > _REMEMBER_CHARS:
             self._forget()
         known = self.known
         before = len(known)
@@ -302,7 +306,9 @@ class Encoder:
             words.append(len(found))
             index += [known.setdefault(s, len(known)) for s in found]
         if len(known) > before:
-            self._learn(list(known)[before:])
+            new = list(known)[before:]
+            self.characters += sum(map(len, new))
+            self._learn(new)
         index = np.array(index, np.int64)
         many = self.count[index] if len(index) else np.zeros(0, np.int64)
         after = np.concatenate([[0], np.cumsum(many)])

@@ -1,17 +1,21 @@
 """Sharding by a histogram sort: exact byte counts below probes choose the splitters, then rows move once.
 
-Rows are ordered by (hash of the text, id), so equal texts are neighbours. Each round counts, over all rows, the
-exact bytes in the sub-intervals of the few key intervals that still hold an unsettled splitter; the driver sees only
-those counts. A splitter is settled when a boundary lies within the tolerance of its target. Equal texts stay in one
-shard unless their bytes exceed `keep_together` of a shard; such a group is cut by id, so a hot group spreads evenly.
-
-Defined results: a null text has size 1, CRC 0 and sorts as one group; a null id sorts first in its group; repeated
-rows (same id and text) stay together and each gets a slot of its own; an empty table gives an empty result; other
-columns are carried along untouched (internal columns are named `__*`).
+Rows are ordered by (hash of the text, hash of the id, number of the row), so equal texts are neighbours. Each round
+counts, over all rows, the exact bytes in the sub-intervals of the few key intervals that still hold an unsettled
+splitter; the driver sees only those counts. A splitter is settled when a boundary lies within the tolerance of its
+target. Equal texts stay in one shard unless their bytes exceed `keep_together` of a shard; such a group is cut between
+its rows, so a hot group spreads evenly, also where ids repeat or are null.
+
+Defined results: a null text has size 1, CRC 0 and sorts as one group; a null id is an id of its own; repeated rows (same
+id and text) get slots of their own and may be cut apart like other rows of their group; an empty table gives an empty
+result; other columns are carried along untouched, columns named `shard` or `slot` as `own_shard` and `own_slot`
+(internal columns are named `__*`).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +45,9 @@ def _settle(targets: list[int], cells: list[tuple], below: int, tolerance: list[
 def histogram_splitters(keys: DataFrame, targets: list[int], tolerance: float, group_tolerance: float) -> list[tuple[int, int]]:
     """Splitters (hash, id) so that the bytes of the keys below the i-th are near `targets[i]`.
 
-    `keys` has `__hi`, `__lo` and `__size`. Round by round, 12 more bits of the hash are resolved, only where an
-    unsettled splitter lies; inside one hash value heavier than `group_tolerance` bytes the id range is cut likewise.
+    `keys` has `__hi`, `__lo` and `__size`. The first round resolves so many bits of the hash that each target has eight
+    cells (12 bits at least), the next ones 12 more bits each, only where an unsettled splitter lies; inside one hash
+    value heavier than `group_tolerance` bytes the range of `__lo` is cut likewise.
     """
     found: dict[int, tuple[int, int]] = {}
     # (parent cell or None, bytes below it, targets inside it)
@@ -50,7 +55,8 @@ def histogram_splitters(keys: DataFrame, targets: list[int], tolerance: float, g
     hot: dict[int, tuple[int, int, list[int]]] = {}
     shift = 64
     while open_cells and shift > 0:
-        parent_shift, shift = shift, max(0, shift - _BITS)
+        bits = max(_BITS, (8 * len(targets)).bit_length()) if shift == 64 else _BITS
+        parent_shift, shift = shift, max(0, shift - bits)
         cell = F.shiftright("__hi", shift)
         rows = keys
         if parent_shift < 64:
@@ -106,6 +112,27 @@ def _at_or_after(splitter: tuple[int, int]) -> Column:
     return (F.col("__hi") > F.lit(hi)) | ((F.col("__hi") == F.lit(hi)) & (F.col("__lo") >= F.lit(lo)))
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small frame from one JSON literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{schema}>>"))))
+
+
+def _ranges(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
+    """Adds `__range`, the number of splitters at or below the key: those of lower cells of the hash are counted ahead,
+    and only the few of the row's own cell are compared."""
+    inside: dict[int, list[dict]] = {}
+    for h, x in sorted(splitters):
+        inside.setdefault(h >> (64 - _BITS), []).append({"h": h, "x": x})
+    cells, before = [], 0
+    for c in range(-(1 << (_BITS - 1)), 1 << (_BITS - 1)):
+        cells.append({"__cell": c, "before": before, "inside": inside.get(c, [])})
+        before += len(inside.get(c, []))
+    cells = _table(rows.sparkSession, cells, "__cell:long,before:int,inside:array<struct<h:long,x:long>>")
+    met = rows.withColumn("__cell", F.shiftright("__hi", 64 - _BITS)).join(F.broadcast(cells), "__cell")
+    passed = F.filter("inside", lambda p: (p["h"] < F.col("__hi")) | ((p["h"] == F.col("__hi")) & (p["x"] <= F.col("__lo"))))
+    return met.withColumn("__range", F.col("before") + F.size(passed)).drop("__cell", "before", "inside")
+
+
 def shard_by_bytes(
     docs: DataFrame,
     *,
@@ -117,59 +144,62 @@ def shard_by_bytes(
     tolerance: float = 0.001,
     keep_together: float = 0.02,
     range_bytes: int = 16 << 20,
-    max_ranges: int = 64,
+    most_ranges: int = 1 << 16,
 ) -> DataFrame:
     """Add `shard` (near-equal bytes) and `slot` (gapless from 0, in key order) to every row.
 
-    Each shard is made of up to `max_ranges` consecutive key ranges of about `range_bytes`, which are the units of
-    the single exchange: a slot is a rank in its range plus the rows of the ranges before it. `size` is the weight of
-    a row (default UTF-8 bytes of the text plus 1) and `group` a long that equal texts share (default a hash).
+    Shards are made of consecutive key ranges of about `range_bytes` (of more bytes where these would be over
+    `most_ranges`), which are the units of the single exchange: a slot is a rank in its range plus the rows of the
+    ranges before it. `size` is the weight of a row (default UTF-8 bytes of the text plus 1) and `group` a long that
+    equal texts share (default a hash). The keyed rows are written once to the checkpoint folder, so that the row
+    numbers in the keys do not change; give it digests where texts need not move.
     """
-    rows = docs.withColumns(
-        {
-            "__size": (size if size is not None else F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long"),
-            "__hi": group if group is not None else F.xxhash64(text_col),
-            "__lo": F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)),
-        }
+    spark = docs.sparkSession
+    number = (1 << 20) - 1
+    rows = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c.lower() in ("shard", "slot")})
+    rows = cut(
+        rows.withColumns(
+            {
+                "__size": (size if size is not None else F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long"),
+                "__hi": group if group is not None else F.xxhash64(text_col),
+                "__lo": F.xxhash64(id_col).bitwiseAND(F.lit(~number)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(number))),
+            }
+        )
     )
     total = rows.agg(F.sum("__size")).first()[0] or 0
-    per_shard = max(1, min(max_ranges, total // (shards * range_bytes)))
+    per_shard = max(1, min(most_ranges // shards, total // (shards * range_bytes)))
     ideal = total / shards
     coarse = [round(i * ideal) for i in range(1, shards)]
     fine = [round((s + j / per_shard) * ideal) for s in range(shards) for j in range(1, per_shard)]
     keys = rows.select("__hi", "__lo", "__size")
     splitters = dict(zip(coarse, histogram_splitters(keys, coarse, tolerance * ideal, keep_together * ideal), strict=True)) if total else {}
-    inner = dict(zip(fine, histogram_splitters(keys, fine, 0.2 * ideal / per_shard, ideal / per_shard), strict=True)) if fine and total else {}
+    inner = histogram_splitters(keys, fine, 0.2 * ideal / per_shard, ideal / per_shard) if fine and total else []
 
     shard = sum((_at_or_after(splitters[t]).cast("int") for t in coarse if t in splitters), F.lit(0))
     rows = rows.withColumn("shard", shard.cast("int"))
+    rows = _ranges(rows, inner) if inner else rows.withColumn("__range", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("shard", "__range").orderBy("__hi", "__lo", "__size")) - 1
     if inner:
-        probe = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(x).alias("x")) for h, x in sorted(inner.values())])
-        passed = F.filter(probe, lambda p: (p["h"] < F.col("__hi")) | ((p["h"] == F.col("__hi")) & (p["x"] <= F.col("__lo"))))
-        rows = rows.withColumn("__range", F.size(passed))
+        offsets, held = [], {}
+        for s, r, n in sorted(map(tuple, rows.groupBy("shard", "__range").count().collect())):  # at most ranges + shards rows
+            offsets.append({"shard": s, "__range": r, "__before": held.get(s, 0)})
+            held[s] = held.get(s, 0) + n
+        ahead = _table(spark, offsets, "shard:int,__range:int,__before:long")
+        rows = rows.withColumn("slot", rank).join(F.broadcast(ahead), ["shard", "__range"]).withColumn("slot", F.col("slot") + F.col("__before"))
     else:
-        rows = rows.withColumn("__range", F.lit(0))
-    counts = rows.groupBy("shard", "__range").count().collect()  # at most shards * (ranges + 1) rows
-    offsets, run = {}, {}
-    for s, r, n in sorted(map(tuple, counts)):
-        offsets[(s, r)] = run.get(s, 0)
-        run[s] = run.get(s, 0) + n
-    before = F.create_map(*[F.lit(x) for (s, r), n in offsets.items() for x in (s * (1 << 20) + r, n)]) if offsets else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("shard", "__range").orderBy("__hi", "__lo", "__size"))
-    slot = rank - 1 + before[F.col("shard") * (1 << 20) + F.col("__range")]
-    return rows.withColumn("slot", slot.cast("long")).drop("__range", "__hi", "__lo", "__size")
+        rows = rows.withColumn("slot", rank)
+    carried = [c for c in rows.columns if c not in ("shard", "slot", "__range", "__hi", "__lo", "__size", "__before")]
+    return rows.select(*carried, "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near-equal bytes. The texts are read once; only digests are kept."""
     docs = documents(spark, sf_dir)
-    digest = cut(
-        docs.select(
-            "doc_id",
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-            F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-            F.xxhash64("text").alias("text_hash"),
-        )
+    digest = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash"),
     )
     out = shard_by_bytes(digest, size=F.col("size"), group=F.col("text_hash"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

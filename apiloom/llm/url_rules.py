@@ -144,7 +144,7 @@ def judge_urls(
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url under the five rules."""
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(a).alias("action")) for h, p, a in RULES])))
     return judge_urls(documents(spark, sf_dir, "pages"), rules)
 
 

@@ -7,8 +7,9 @@ id and the kind of record, so a task that runs twice writes the same records.
 
 The conversion is one pass without a shuffle; `write_warc` writes each partition as a WARC file of text records.
 
-Defined results: a null payload is an empty one; a null uri leaves out the uri headers; payloads are taken whole;
-repeated rows give repeated records; extra columns listed in `keep` are carried to both records.
+Defined results: a null payload is an empty one; a null uri, date or record id leaves out the headers that would carry
+it, and records without a source id are named by uri, date and payload digest; line breaks in a uri are percent-encoded;
+payloads are taken whole; repeated rows give repeated records; extra columns listed in `keep` are carried to both records.
 """
 
 from __future__ import annotations
@@ -65,9 +66,11 @@ def metadata_fields(page: str, http_header: str, payload_digest: str) -> list[tu
     return fields
 
 
-def derivatives(record_id: str, uri: str | None, date: str, http_header: str, page: str) -> list[tuple]:
+def derivatives(record_id: str | None, uri: str | None, date: str | None, http_header: str, page: str) -> list[tuple]:
     """The two records of one response, each in the order of _FIELDS."""
     source_digest = digest(page.encode("utf-8", "surrogatepass"))
+    named = record_id if record_id is not None else f"{uri} {date} {source_digest}"
+    target = uri.replace("\r", "%0D").replace("\n", "%0A") if uri is not None else None
     fields = metadata_fields(page, http_header, source_digest)
     blocks = [
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}{CRLF}" for k, v in fields)),
@@ -76,23 +79,21 @@ def derivatives(record_id: str, uri: str | None, date: str, http_header: str, pa
     out = []
     for kind, content_type, block in blocks:
         data = block.encode("utf-8", "surrogatepass")
-        own = derived_id(record_id, kind)
-        target = [("WARC-Target-URI", uri)] if uri is not None else []
-        refers = [("WARC-Refers-To-Target-URI", uri)] if uri is not None else []
+        own = derived_id(named, kind)
         lines = [
             ("WARC-Type", kind),
-            *target,
+            ("WARC-Target-URI", target),
             ("WARC-Date", date),
             ("WARC-Record-ID", own),
             ("WARC-Refers-To", record_id),
-            *refers,
+            ("WARC-Refers-To-Target-URI", target),
             ("WARC-Refers-To-Date", date),
             ("WARC-Block-Digest", digest(data)),
             ("WARC-Payload-Digest", source_digest),
             ("Content-Type", content_type),
             ("Content-Length", str(len(data))),
         ]
-        headers = "WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in lines)
+        headers = "WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in lines if v is not None)
         out.append((kind, own, record_id, content_type, digest(data), source_digest, len(data), headers, block))
     return out
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from apiloom.llm.common import cut, documents, written
 from apiloom.llm.decontamination import clean_documents
-from apiloom.llm.jaccard_join import jaccard_components
+from apiloom.llm.jaccard_join import jaccard_components, with_node
 from apiloom.llm.quality_rules import fit_rules, keep_good
 from apiloom.llm.secrets import redact
 from apiloom.llm.sentencepiece_sa import encode, model_path
@@ -24,18 +24,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast: int = 1_000_000) -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows without an id stay; a repeated id keeps one row.
+    """One document of each component: the one with the smallest id (null ids last). Texts without a word stay.
 
-    The ids to drop are broadcast when they are at most `max_broadcast`; more of them are joined by a shuffle.
+    Where ids are unique and not null, the rows to drop are known by id: broadcast when they are at most `max_broadcast`,
+    else joined by a shuffle. Otherwise rows are known by (id, hash of the set), of which one row stays for each component.
     """
-    gone = cut(jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct())
-    few = gone.count() <= max_broadcast
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    found = cut(jaccard_components(docs, keep_node=True))
+    shaky = found.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if shaky.isEmpty():
+        gone = cut(found.where("doc_id != component_id").select("doc_id"))
+        few = gone.count() <= max_broadcast
+        return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best")
+    stays = found.where("component is not null").groupBy("component").agg(best)
+    stays = cut(stays.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node")))
+    few = stays.limit(max_broadcast + 1).count() <= max_broadcast
+    rows = with_node(docs, "__node", "__n")
+    same = (rows["__node"] == stays["__node"]) & rows["doc_id"].eqNullSafe(stays["__id"])
+    firsts = rows.where("__n > 0").join(F.broadcast(stays) if few else stays, same, "left_semi").dropDuplicates(["doc_id", "__node"])
+    return firsts.unionByName(rows.where("__n = 0")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,6 +208,60 @@ def test_warc_records_refer_to_their_response(spark, tmp_path):
     assert W.build_derivatives(frame.limit(0)).count() == 0
 
 
+def test_warc_nulls_and_line_breaks():
+    page = "<title>a</title><p>b</p>"
+    for made in (W.derivatives(None, "http://a/\r\nX: y", None, "", page), W.derivatives(None, None, None, "", page)):
+        for r in made:
+            assert "None" not in r[7] and "WARC-Date" not in r[7] and "WARC-Refers-To:" not in r[7] and "\r\nX:" not in r[7]
+    ids = {r[1] for u, d, p in ((None, None, "a"), (None, None, "b"), ("u", None, "a"), (None, "d", "a")) for r in W.derivatives(None, u, d, "", p)}
+    assert len(ids) == 8
+
+
+def test_warc_query_over_the_whole_table(spark, sf):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.title, self.lang, self.text, self.silent, self.tag = [], "", None, [], 0, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.tag = tag
+            self.silent += tag in ("script", "style")
+            if tag == "a" and dict(attrs).get("href"):
+                self.links.append(" ".join(dict(attrs)["href"].split()))
+            if tag == "html":
+                self.lang = dict(attrs).get("lang")
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in ("script", "style")
+            self.tag = ""
+
+        def handle_data(self, data):
+            if self.tag == "title":
+                self.title += data
+            if not self.silent:
+                self.text.append(data)
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = W.op6_warc_derivatives(spark, sf).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in rows) == sorted((i, k) for i in pages for k in ("conversion", "metadata"))
+    digest = lambda t: "sha1:" + base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    for r in rows:
+        page = pages[r["page_id"]]
+        plain = Plain()
+        plain.feed(page["html"])
+        assert r["target_uri"] == page["url"] and r["payload_digest"] == digest(page["html"]) and r["block_digest"] == digest(r["block"])
+        if r["record_type"] == "metadata":
+            lines = [x.split(": ", 1) for x in r["block"].strip().split("\r\n")]
+            assert [v for k, v in lines if k == "outlink"] == plain.links
+            assert [v for k, v in lines if k == "title"] == [" ".join(plain.title.split())][: bool(plain.title.strip())]
+            assert [v for k, v in lines if k == "language"] == [plain.lang][: bool(plain.lang)]
+        else:
+            assert "".join(r["block"].split()) == "".join("".join(plain.text).split())
+    assert len({r["record_id"] for r in rows}) == len(rows)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as pipeline
 
@@ -222,8 +276,20 @@ def test_pipeline_stages(spark, sf):
             assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
         got.collect()
         stage(spark, docs.limit(0), sf).collect()
-    near = pipeline.near_duplicates(spark, docs.union(odd), sf).collect()
-    assert sum(r["doc_id"] is None for r in near) == 1 and sum(r["doc_id"] == 1 for r in near) <= 1
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda k, *edits: " ".join(f"w{k}x{i}" if i not in edits else f"e{k}{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1, 3)), (3, text(2, 5)), (1, text(1)), (4, text(3)), (None, text(4)), (None, text(4)), (None, text(1)), (5, ""), (5, ""), (6, None), (None, text(5)), (None, text(6))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, text(1)), (1, text(2)), (4, text(3)), (None, text(4)), (5, ""), (5, ""), (6, None), (None, text(5)), (None, text(6))]
+    for limit in (1_000_000, 0):
+        assert sorted(map(tuple, pipeline.near_duplicates(spark, frame, "", limit).collect()), key=repr) == sorted(want, key=repr)
+    unique = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for limit in (1_000_000, 0):
+        assert {r["doc_id"] for r in pipeline.near_duplicates(spark, unique, "", limit).collect()} == {0, 1, 5, 6, 9, 10, 11, 12, 13}
 
 
 def test_stages_keep_columns_that_clash(spark, sf):
@@ -241,9 +307,11 @@ def test_batches_are_bounded(spark):
     from apiloom.llm.common import BATCH_BYTES, in_batches
 
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(key, "64m")
-    in_batches(spark.range(1), lambda it: it, "id long").collect()
-    assert spark.conf.get(key) == f"{BATCH_BYTES}b"
-    spark.conf.set(key, "1m")
+    spark.conf.unset(key)
     in_batches(spark.range(1), lambda it: it, "id long").collect()
-    assert spark.conf.get(key) == "1m"
+    assert spark.conf.get(key) == str(BATCH_BYTES)
+    for own in ("1m", "-1"):
+        spark.conf.set(key, own)
+        in_batches(spark.range(1), lambda it: it, "id long").collect()
+        assert spark.conf.get(key) == own
+    spark.conf.set(key, str(BATCH_BYTES))

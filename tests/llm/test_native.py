@@ -6,9 +6,6 @@ import zlib
 from apiloom.llm.sharding import shard_by_bytes
 from apiloom.llm.url_rules import RULES, judge_urls
 
-DOCS = "doc_id long, text string, shard string"
-
-
 def sharded(spark, rows, **options):
     out = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string, other string"), **options).collect()
     by = {}
@@ -41,7 +38,43 @@ def test_hot_group_is_split_by_id(spark):
 
 def test_many_ranges_keep_slots_gapless(spark):
     rows = [(i, f"text {i}", "o") for i in range(1000)]
-    assert len(sharded(spark, rows, shards=4, range_bytes=200, max_ranges=16)) == 4
+    assert len(sharded(spark, rows, shards=4, range_bytes=200)) == 4
+
+
+def test_law_holds_for_repeated_rows_and_null_ids(spark):
+    for group in ([(None, None, None)] * 900, [(7, "same text", "o")] * 900):
+        rows = group + [(i, f"text {i:05d}", "o") for i in range(100)]
+        for options in ({}, {"range_bytes": 40}):
+            sizes = [sum(len(r["text"] or "") + 1 for r in rs) for rs in sharded(spark, rows, shards=8, **options).values()]
+            assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.04 * sum(sizes) / 8 + 24
+
+
+def test_columns_of_the_same_names_are_kept(spark):
+    frame = spark.createDataFrame([(1, "a", "x", 5), (2, "b", "y", 6)], "doc_id long, text string, shard string, Slot int")
+    out = {r["doc_id"]: r for r in shard_by_bytes(frame, shards=2).collect()}
+    assert (out[1]["own_shard"], out[2]["own_Slot"]) == ("x", 6) and sorted(r["shard"] for r in out.values()) == [0, 1]
+
+
+def test_registered_query_against_its_law(spark):
+    from apiloom.llm.sharding import op1_sharding
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op1_sharding(spark, sf).collect()
+    size, slots, places, weight = {}, {}, {}, {}
+    for r in rows:
+        n = len((texts[r["doc_id"]] or "").encode()) + 1
+        assert (r["size"], r["law"], r["grown_shard"]) == (n, "bytes", None)
+        size[r["shard"]] = size.get(r["shard"], 0) + n
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        places.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        weight[texts[r["doc_id"]]] = weight.get(texts[r["doc_id"]], 0) + n
+    assert sorted(size) == list(range(8)) and sorted(r["doc_id"] for r in rows) == sorted(texts)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    ideal = sum(size.values()) / 8
+    heaviest = max(n for n in weight.values() if n <= 0.02 * ideal)
+    assert max(size.values()) - min(size.values()) <= 0.004 * ideal + 2 * max(heaviest, max(weight.values()) - 0.02 * ideal)
+    assert all(len(p) == 1 for t, p in places.items() if weight[t] <= 0.02 * ideal)
 
 
 def test_nulls_repeats_and_empty(spark):

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from apiloom.llm import decontamination as D
 from apiloom.llm import language_crf as L
@@ -130,9 +131,39 @@ def test_quality_query_and_empty_labels(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     assert Q.fit_rules(docs, labels.limit(0)) == []
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    assert Q.fit_rules(twice, labels) == Q.fit_rules(twice.repartition(5), labels)
     rules = Q.fit_rules(docs, labels)
     kept = Q.judge_quality(docs, rules).join(labels, "doc_id").where("quality = 1 and not base_failed")
     assert kept.where("kept").count() >= 0.95 * kept.count()
+    # the registered query against plain rules, row by row
+    by_id = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rows = Q.op5_quality_rules(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(by_id)
+    for r in rows:
+        n, chars, symbols, lines, repeated = plain_statistics(by_id[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeated)
+        failed = n < 50 or 100 * repeated > 50 * n
+        x = np.array([Q.text_statistics(by_id[r["doc_id"]])[len(Q.COUNTS) :]])
+        rule = next((Q.rule_text(rule) for rule in rules if Q._holds(x, rule)[0]), None)
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, rule, not failed and rule is None)
+
+
+def test_quality_rules_find_planted_rejects(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    docs, labels = [], []
+    for i in range(300):
+        bad = i % 4 == 0
+        words = [word() for _ in range(120)]
+        if bad:
+            words = [w.upper() if k % 2 else w for k, w in enumerate(words)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, 0 if bad else 1))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = Q.fit_rules(docs, labels)
+    out = Q.judge_quality(docs, rules).join(labels, "doc_id")
+    assert rules and out.where("kept != (quality = 1)").count() <= 3
 
 
 def test_forward_backward_matches_a_plain_chain():
@@ -241,11 +272,32 @@ def test_decontamination_blocks_edges_and_edits(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string, matches int")
     table = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(rows, table).collect()} == planted
-    parts = list(D.item_blocks(table, block_items=7))
-    assert len(parts) > 1 and sum(map(len, parts)) == 32
+    parts = list(D.indexes(table, block_items=7))
+    assert len(parts) > 1 and sum(len(x.items) for x in parts) == 31
     assert D.contaminated(rows, table.limit(0)).count() == 0 and D.clean_documents(rows, table.limit(0)).count() == len(docs)
 
 
+def test_decontamination_does_not_depend_on_the_blocks(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    header = [word() for _ in range(14)]
+    items = [(i, " ".join(header + [word() for _ in range(40)])) for i in range(20)]
+    docs = []
+    for i, t in items:
+        for edits in range(0, 8):  # near the threshold
+            words = t.split()
+            for k in rng.sample(range(14, len(words)), edits):
+                words[k] = word()
+            docs.append((100 * i + edits, " ".join([word() for _ in range(30)] + words)))
+    rows, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    keyed = lambda out: sorted((r["doc_id"], r["item_id"], r["start"], round(r["similarity"], 12)) for r in out.collect())
+    whole = keyed(D.contaminated(rows, table))
+    assert 20 <= len(whole) < len(docs) and min(x[3] for x in whole) < 0.85
+    assert whole == keyed(D.contaminated(rows, table, block_items=7)) == keyed(D.contaminated(rows, table, block_bytes=1500))
+    long_text = " ".join([*(word() for _ in range(60_000)), items[3][1], *(word() for _ in range(60_000))])
+    assert [r["item_id"] for r in D.contaminated(spark.createDataFrame([(1, long_text)], "doc_id long, text string"), table).collect()] == [3]
+
+
 @pytest.fixture(scope="module")
 def coder():
     return P.Encoder(P.model_path())
@@ -264,6 +316,17 @@ def test_token_ids_equal_the_library(coder):
         assert coder.decode(ids[a:b].tolist()) == t
 
 
+def test_token_columns_of_the_same_names_and_memory(spark, coder):
+    frame = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, ids string, n_tokens int")
+    row = P.encode(frame, P.model_path()).first()
+    assert row["ids"] == coder.encode(["a b"])[0].tolist() and row["n_tokens"] == len(row["ids"])
+    small = P.Encoder(P.model_path())
+    long = ["".join(chr(0x4E00 + (7 * k + i * i) % 20_000) for i in range(3000)) for k in range(3)]
+    want = [coder.encode([t])[0].tolist() for t in long]
+    small.characters = P._REMEMBER_CHARS + 1
+    assert [small.encode([t])[0].tolist() for t in long] == want and small.characters < 10_000
+
+
 def test_encode_and_decode_frames(spark, sf):
     import sentencepiece
 
