@@ -21,11 +21,11 @@ def html_unescape(text: Column) -> Column:
     return run(text)
 
 
-def flatten(schema: dict, limit: int = 10_000) -> list[tuple[str, str, str, str]]:
+def flatten(schema: dict) -> list[tuple[str, str, str, str]]:
     """(name, path, type, description) of every property; `a.b` for objects, `a[].b` for arrays. A stack, not recursion."""
     out: list[tuple[str, str, str, str]] = []
     stack = [("", schema)]
-    while stack and len(out) < limit:
+    while stack:
         prefix, node = stack.pop()
         if not isinstance(node, dict):
             continue
@@ -64,6 +64,12 @@ def leaf_name(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, r"\."), -1), r"\[\]", "")
 
 
+def paths_compatible(a: Column, b: Column) -> Column:
+    """Two field paths are compatible when one ends with the other's steps, array marks aside."""
+    x, y = (F.regexp_replace(c, r"\[\]", "") for c in (a, b))
+    return (x == y) | x.endswith(F.concat(F.lit("."), y)) | y.endswith(F.concat(F.lit("."), x))
+
+
 def markdown_params(sections: DataFrame, *, key: str, text_col: str) -> DataFrame:
     """Rows of the Markdown tables of a section: (key, ord, name, description, type, indent). The first two rows of a
     table are its head; the type stands last, or before the schema in tables of five and more columns; the indent counts

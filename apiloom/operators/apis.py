@@ -142,9 +142,11 @@ def regroup_scattered(clustered: DataFrame, *, least: int = 3) -> DataFrame:
             (p.contains("update-status") | p.contains("update-default-status"), F.lit("status_management")),
         ]
     )
-    rows = clustered.withColumn("scattered", F.count("*").over(Window.partitionBy("cluster")) < least).withColumn("kind", F.when(F.col("scattered"), kind))
-    members = F.count("*").over(Window.partitionBy("kind"))
-    grouped = F.col("kind").isNotNull() & (members >= 2)
+    sizes = clustered.groupBy("cluster").agg((F.count("*") < least).alias("scattered"))
+    rows = clustered.join(sizes, "cluster").withColumn("kind", F.when(F.col("scattered"), kind))
+    full = rows.where("kind IS NOT NULL").groupBy("kind").agg((F.count("*") >= 2).alias("grouped"))  # one row for each of the four kinds
+    rows = rows.join(F.broadcast(full), "kind", "left")
+    grouped = F.coalesce("grouped", F.lit(False))
     out = F.when(grouped, F.col("kind")).when(F.col("scattered"), F.concat(F.lit("atomic_"), F.col("operation_id"))).otherwise(F.col("cluster"))
     return rows.select("operation_id", out.alias("cluster"), F.when(grouped, "regrouped").when(F.col("scattered"), "atomic").otherwise("kept").alias("action"))
 
@@ -157,20 +159,56 @@ def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("operation_id", change.alias("change")).where("change IS NOT NULL")
 
 
+def schema_classes(apis: DataFrame) -> DataFrame:
+    """(operation_id, class): operations with equal request and response field sets, named by their smallest operation."""
+    key = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("request_fields", "response_fields")]
+    rows = apis.select("operation_id", *key)
+    names = rows.groupBy("request_fields", "response_fields").agg(F.min("operation_id").alias("class"))
+    return rows.join(names, ["request_fields", "response_fields"]).select("operation_id", "class")
+
+
 def schema_similarity(apis: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """Pairs with .7 Jaccard(responses) + .3 Jaccard(requests) of at least the cut-off.
+    """(a, b, n_a, n_b, similarity): pairs of classes (see `schema_classes`; within one the similarity is 1) with .7
+    Jaccard(responses) + .3 Jaccard(requests) of at least the cut-off, and how many operations each class has.
 
-    Candidates share a response or request field; intersections are counted in the join, so no pair is compared twice.
+    Candidates share a response or request field; intersections are counted in the join, so no pair is compared twice,
+    and copies of a schema make no pairs.
     """
+    key = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("request_fields", "response_fields")]
+    classes = apis.select("operation_id", *key).groupBy("request_fields", "response_fields").agg(F.min("operation_id").alias("id"), F.count("*").alias("many"))
     sides = []
     for side in ("response_fields", "request_fields"):
-        each = apis.select("operation_id", F.size(F.array_distinct(side)).alias("n"), F.explode(F.array_distinct(side)).alias("f"))
-        a = each.select(F.col("operation_id").alias("a"), F.col("n").alias("na"), "f")
-        b = each.select(F.col("operation_id").alias("b"), F.col("n").alias("nb"), "f")
-        shared = a.join(b, "f").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"))
-        sides.append(shared.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias(side)))
-    both = sides[0].join(sides[1], ["a", "b"], "full").fillna(0.0)
-    return both.select("a", "b", F.round(0.7 * F.col("response_fields") + 0.3 * F.col("request_fields"), 9).alias("similarity")).where(F.col("similarity") >= least)
+        each = classes.select("id", "many", F.size(side).alias("n"), F.explode(side).alias("f"))
+        a = each.select(F.col("id").alias("a"), F.col("many").alias("n_a"), F.col("n").alias("na"), "f")
+        b = each.select(F.col("id").alias("b"), F.col("many").alias("n_b"), F.col("n").alias("nb"), "f")
+        shared = a.join(b, "f").where("a < b").groupBy("a", "b", "n_a", "n_b", "na", "nb").agg(F.count("*").alias("s"))
+        sides.append(shared.select("a", "b", "n_a", "n_b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias(side)))
+    both = sides[0].join(sides[1], ["a", "b", "n_a", "n_b"], "full").fillna(0.0)
+    return both.select("a", "b", "n_a", "n_b", F.round(0.7 * F.col("response_fields") + 0.3 * F.col("request_fields"), 9).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def similar_paths(apis: DataFrame, *, numerator: int = 4, denominator: int = 5) -> DataFrame:
+    """(a, b, n_a, n_b, similarity): pairs of different segment sets with a Jaccard similarity of at least 4/5, and how
+    many operations have each; a set is written as its sorted segments.
+
+    Operations of one set are one row. Sets of this similarity share a segment among their first n - ceil(4n/5) + 1 in
+    the order of frequency, rarest first, so only those meet.
+    """
+    sets = apis.select(F.array_sort(F.array_distinct(T.path_segments(F.col("path")))).alias("s")).where(F.size("s") > 0).groupBy("s").agg(F.count("*").alias("many"))
+    sets = sets.withColumn("id", F.array_join("s", "/"))
+    each = sets.select("id", F.explode("s").alias("segment"))
+    order = F.array_sort(F.collect_list(F.struct("df", "segment")))
+    ranked = each.join(each.groupBy("segment").agg(F.count("*").alias("df")), "segment").groupBy("id").agg(order.alias("order"))
+    rows = sets.join(ranked, "id").withColumn("n", F.size("s"))
+    prefix = F.expr(f"n - (({numerator} * n + {denominator - 1}) div {denominator}) + 1").cast("int")
+    probes = rows.select("id", "n", "many", "s", F.explode(F.slice(F.transform("order", lambda x: x["segment"]), 1, prefix)).alias("segment"))
+    a = probes.select("segment", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "many", "s")))
+    b = probes.select("segment", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "many", "s")))
+    near = f"a_id < b_id and {denominator} * least(a_n, b_n) >= {numerator} * greatest(a_n, b_n)"
+    met = a.join(b, "segment").where(near).dropDuplicates(["a_id", "b_id"]).withColumn("shared", F.size(F.array_intersect("a_s", "b_s")))
+    whole = F.col("a_n") + F.col("b_n") - F.col("shared")
+    found = met.where(denominator * F.col("shared") >= numerator * whole)
+    return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_many").alias("n_a"), F.col("b_many").alias("n_b"), F.round(F.col("shared") / whole, 9).alias("similarity"))
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiloom.functions import text as T
+from apiloom.operators.graph import spread_least
+from apiloom.session import cut
 
 
 def merged_schema(fields: DataFrame) -> DataFrame:
@@ -36,21 +37,20 @@ def merged_schema(fields: DataFrame) -> DataFrame:
 def connectivity_score(apis: DataFrame, merged: DataFrame) -> DataFrame:
     """Mean of CRUD weights, schema coverage, chaining of outputs into inputs, and path consistency; two places.
 
+    The four parts are whole hundredths, and the quarter of their sum is rounded half up, so no binary fraction decides.
     The common prefix of all paths is that of the smallest and the largest."""
-    has = lambda c: F.bool_or(T.crud(F.col("method")) == c).cast("double")
-    low, high = F.split(F.min("path"), ""), F.split(F.max("path"), "")
-    shared = F.element_at(low, 1) == F.element_at(high, 1)
-    second = F.coalesce(F.try_element_at(low, F.lit(2)) == F.try_element_at(high, F.lit(2)), F.lit(False))
+    has = lambda c: F.coalesce(F.bool_or(T.crud(F.col("method")) == c), F.lit(False)).cast("int")
+    low, high = F.substring(F.min("path"), 1, 2), F.substring(F.max("path"), 1, 2)
     segments = F.flatten(F.collect_list(T.path_segments(F.col("path"))))
     base = apis.groupBy("capability").agg(
-        (0.3 * has("create") + 0.2 * has("read") + 0.3 * has("update") + 0.2 * has("delete")).alias("crud"),
-        F.when(shared & second, 1.0).when(F.size(F.array_distinct(segments)) < F.size(segments), 0.7).otherwise(0.3).alias("paths"),
+        (30 * has("create") + 20 * has("read") + 30 * has("update") + 20 * has("delete")).alias("crud"),
+        F.when((low == high) & (F.char_length(low) == 2), 100).when(F.size(F.array_distinct(segments)) < F.size(segments), 70).otherwise(30).alias("paths"),
     )
     cover = merged.groupBy("capability").agg(F.bool_or("read_only").alias("r"), F.bool_or("write_only").alias("w"), F.bool_or(~F.col("read_only") & ~F.col("write_only")).alias("chained"))
-    coverage = F.when(F.col("r") & F.col("w"), 1.0).when(F.col("r") | F.col("w"), 0.5).otherwise(0.0)
+    coverage = F.when(F.col("r") & F.col("w"), 100).when(F.col("r") | F.col("w"), 50).otherwise(0)
     rows = base.join(cover, "capability", "left")
-    total = F.col("crud") + F.coalesce(coverage, F.lit(0.0)) + F.coalesce(F.col("chained").cast("double"), F.lit(0.0)) + F.col("paths")
-    return rows.select("capability", F.round(F.round(total, 9) / 4, 2).alias("connectivity"))
+    total = F.coalesce("crud", F.lit(0)) + F.coalesce(coverage, F.lit(0)) + F.when(F.col("chained"), 100).otherwise(0) + F.col("paths")
+    return rows.select("capability", (F.floor((total + 2) / 4) / 100).alias("connectivity"))
 
 
 def unify_anchors(apis: DataFrame) -> DataFrame:
@@ -62,69 +62,123 @@ def unify_anchors(apis: DataFrame) -> DataFrame:
     return all_.select("cluster", F.coalesce("anchor", "segment", F.concat(F.lit("cluster-"), F.col("cluster").cast("string"))).alias("anchor"))
 
 
-def tfidf(texts: list[str], terms: int = 200) -> np.ndarray:
-    """Unit TF-IDF rows over the most frequent words and word pairs (ties by term)."""
-    grams = []
-    for t in texts:
-        w = re.findall(r"\w\w+", t.lower())
-        grams.append(Counter(w) + Counter(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
-    total = sum(grams, Counter())
-    names = {g: i for i, g in enumerate(sorted(total, key=lambda g: (-total[g], g))[:terms])}
-    x = np.zeros((len(texts), max(1, len(names))))
-    for r, g in enumerate(grams):
-        for k, n in g.items():
-            if k in names:
-                x[r, names[k]] = n
-    df = (x > 0).sum(0)
-    x *= np.log((1 + len(texts)) / (1 + df)) + 1
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
-def dbscan_cosine(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Density clusters by cosine distance; -1 is noise."""
-    near = 1 - x @ x.T <= eps
-    core = near.sum(1) >= least
-    label = np.full(len(x), -1)
-    n = 0
-    for i in range(len(x)):
-        if not core[i] or label[i] >= 0:
-            continue
-        stack = [i]
-        label[i] = n
-        while stack:
-            for j in np.flatnonzero(near[stack.pop()] & (label < 0)):
-                label[j] = n
-                if core[j]:
-                    stack.append(j)
-        n += 1
-    return label
-
-
-def density_clusters(texts: DataFrame, *, least: int = 2, max_distinct: int = 5000) -> DataFrame:
+def tfidf(texts: DataFrame, *, terms: int = 200) -> DataFrame:
+    """(tag, h, places, weights): unit TF-IDF vectors of the texts (tag, h, text) over the most frequent words and word
+    pairs of their tag (ties by term); sparse, by aggregates only."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w\w+)"), F.lit(1))
+    rows = texts.withColumn("w", w)
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda x, y: F.concat_ws(" ", x, y))).otherwise(F.array().cast("array<string>"))
+    each = rows.select("tag", "h", F.explode(F.concat("w", pairs)).alias("term")).groupBy("tag", "h", "term").agg(F.count("*").alias("tf"))
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("total"), "term"))
+    known = each.groupBy("tag", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).withColumn("rank", rank).where(F.col("rank") <= terms)
+    count = texts.groupBy("tag").agg(F.count("*").alias("n"))
+    weight = F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    kept = each.join(known, ["tag", "term"]).join(count, "tag").select("tag", "h", (F.col("rank") - 1).alias("place"), weight.alias("weight"))
+    vectors = kept.groupBy("tag", "h").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("v"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    unit = F.transform("v", lambda x: x["weight"] / F.col("norm"))
+    out = texts.select("tag", "h").join(vectors.select("tag", "h", F.transform("v", lambda x: x["place"]).alias("places"), unit.alias("weights")), ["tag", "h"], "left")
+    return out.select("tag", "h", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
+
+
+def _tag_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(tag, i, j, x, y): each block of about `size` rows of a tag with itself and each later block of the tag."""
+    count = rows.groupBy("tag").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    dealt = rows.join(count, "tag").withColumn("block", F.pmod(F.xxhash64("h"), "blocks"))
+    grouped = cut(dealt.groupBy("tag", "blocks", "block").agg(F.collect_list(F.struct("h", "places", "weights", "core")).alias("rows")))
+    x = grouped.select("tag", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    y = grouped.select("tag", F.col("block").alias("j"), F.col("rows").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
+    return x.join(y, ["tag", "i", "j"])
+
+
+def _distances(a: pa.ListScalar, b: pa.ListScalar) -> np.ndarray:
+    """Cosine distances of two blocks, to six places."""
+    dense = []
+    for cell in (a, b):
+        places, weights = cell.values.field("places"), cell.values.field("weights")
+        at = places.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+        m = np.zeros((len(places), 1 + max(int(at.max(initial=0)), 0)))
+        m[row, at] = weights.flatten().to_numpy(zero_copy_only=False)
+        dense.append(m)
+    width = max(m.shape[1] for m in dense)
+    x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in dense)
+    return np.round(1 - x @ y.T, 6)
+
+
+def density_clusters(texts: DataFrame, *, least: int = 2, block: int = 2048) -> DataFrame:
     """(operation_id, tag, cluster): DBSCAN over TF-IDF within each tag, eps the median distance within .3 to .7.
 
-    Equal texts of a tag are one point before the grouping. A tag with more than `max_distinct` distinct texts does not
-    fit one task: it is split by the first word pair of its texts, and reported by `part` above 0.
+    Equal texts of a tag are one point. Each block of a tag's points meets each other block of the tag, at every size:
+    once for the distances' counts (their median is exact to six places), once for the neighbours of each point, and
+    once for links of dense points, of which a pair of blocks gives a spanning forest only. The work is quadratic in the
+    distinct texts of a tag, the rows are linear. A point near several clusters joins the one that sorts first; a point
+    near none is `noise/` and its operation.
     """
-    key = F.md5("text")
-    points = texts.groupBy("tag", key.alias("h")).agg(F.min("operation_id").alias("first"), F.first("text").alias("text"))
-    size = points.groupBy("tag").agg(F.count("*").alias("n"))
-    head = F.concat_ws(" ", F.slice(F.split(F.lower("text"), r"\W+"), 1, 2))
-    parted = points.join(size, "tag").withColumn("part", F.when(F.col("n") > max_distinct, F.pmod(F.xxhash64(head), F.ceil(F.col("n") / max_distinct) * 4) + 1).otherwise(F.lit(0)).cast("int"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first").reset_index(drop=True)
-        x = tfidf(pdf["text"].tolist())
-        d = 1 - x @ x.T
-        above = d[np.triu_indices(len(d), 1)]
-        eps = float(np.clip(np.median(above), 0.3, 0.7)) if len(above) else 0.3
-        label = dbscan_cosine(x, eps, least)
-        names = [f"{t}/{p}/{k}" if k >= 0 else f"noise/{f}" for t, p, k, f in zip(pdf["tag"], pdf["part"], label, pdf["first"], strict=True)]
-        return pd.DataFrame({"tag": pdf["tag"], "h": pdf["h"], "cluster": names, "part": pdf["part"]})
-
-    found = parted.select("tag", "h", "first", "text", "part").groupBy("tag", "part").applyInPandas(run, "tag string, h string, cluster string, part int")
-    return texts.withColumn("h", key).join(found, ["tag", "h"]).select("operation_id", "tag", "cluster", "part")
+    rows = texts.select("operation_id", F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.md5("text"))
+    points = cut(rows.groupBy("tag", "h").agg(F.min("operation_id").alias("first"), F.first("text").alias("text")))
+    vectors = cut(tfidf(points.select("tag", "h", "text")))
+    pairs = _tag_blocks(vectors.withColumn("core", F.lit(False)), block)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tag, i, j, x, y in zip(*(batch.column(c) for c in ("tag", "i", "j", "x", "y")), strict=True):
+                d = _distances(x, y)
+                values, n = np.unique(d[np.triu_indices(len(d), 1)] if i == j else d, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(n)), pa.array(values), pa.array(n)], names=["tag", "d", "n"])
+
+    spread = pairs.mapInArrow(counts, "tag string, d double, n long").groupBy("tag", "d").agg(F.sum("n").alias("n"))
+    median = spread.groupBy("tag").agg(F.percentile("d", F.lit(0.5), "n").alias("eps"))
+    eps = cut(points.select("tag").distinct().join(median, "tag", "left").select("tag", F.round(F.least(F.lit(0.7), F.greatest(F.lit(0.3), F.coalesce("eps", F.lit(0.3)))), 6).alias("eps")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tag, i, j, x, y, e in zip(*(batch.column(c) for c in ("tag", "i", "j", "x", "y", "eps")), strict=True):
+                close = _distances(x, y) <= e.as_py()
+                h = x.values.field("h").to_pylist() + (y.values.field("h").to_pylist() if i != j else [])
+                n = np.concatenate([close.sum(1), close.sum(0)]) if i != j else close.sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(h)), pa.array(h), pa.array(n)], names=["tag", "h", "n"])
+
+    dense = pairs.join(eps, "tag").mapInArrow(near, "tag string, h string, n long").groupBy("tag", "h").agg((F.sum("n") >= least).alias("core"))
+    flagged = _tag_blocks(vectors.join(dense, ["tag", "h"]), block)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tag, x, y, e in zip(*(batch.column(c) for c in ("tag", "x", "y", "eps")), strict=True):
+                close = _distances(x, y) <= e.as_py()
+                h, g = x.values.field("h").to_pylist(), y.values.field("h").to_pylist()
+                a, b = (np.array(c.values.field("core").to_pylist(), bool) for c in (x, y))
+                found = set()
+                top: dict[str, str] = {}
+
+                def find(v: str, top=top) -> str:
+                    while top.setdefault(v, v) != v:
+                        top[v] = top[top[v]]
+                        v = top[v]
+                    return v
+
+                for r, c in zip(*np.nonzero(close & (a[:, None] | b[None])), strict=True):
+                    if a[r] and b[c]:
+                        u, v = find(h[r]), find(g[c])
+                        if u != v:
+                            top[max(u, v)] = min(u, v)
+                            found.add((h[r], g[c], True))
+                    else:
+                        found.add((h[r], g[c], False) if a[r] else (g[c], h[r], False))
+                core, other, both = zip(*sorted(found), strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(core), pa.string()), pa.array(core, pa.string()), pa.array(other, pa.string()), pa.array(both, pa.bool_())], names=["tag", "src", "dst", "dense"])
+
+    # of the dense neighbours of a point that is not dense, each pair of blocks gives all; they are few, as it has fewer than `least`
+    got = cut(flagged.join(eps, "tag").mapInArrow(links, "tag string, src string, dst string, dense boolean"))
+    name = lambda h: F.struct("tag", F.col(h).alias("h"))
+    strong = got.where("dense").select(name("src").alias("src"), name("dst").alias("dst"))
+    both = cut(strong.unionByName(strong.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    first = points.select(name("h").alias("node"), "tag", "h", "first")
+    label = cut(dense.where("core").join(first, ["tag", "h"]).select("node", F.col("first").alias("value")))
+    core = cut(spread_least(label, both).select("node", "value"))
+    edge = got.where("NOT dense").select(name("src").alias("node"), name("dst").alias("other")).join(core, "node").groupBy(F.col("other").alias("node")).agg(F.min("value").alias("value"))
+    owner = core.unionByName(edge)
+    named = first.join(owner, "node", "left").select("tag", "h", F.when(F.col("value").isNotNull(), F.concat_ws("/", "tag", "value")).otherwise(F.concat(F.lit("noise/"), "first")).alias("cluster"))
+    return rows.join(named, ["tag", "h"]).select("operation_id", "tag", "cluster")
 
 
 def centroids(points: DataFrame) -> DataFrame:
@@ -138,12 +192,12 @@ def _distance(a: str, b: str):
 
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
-    """The Davies-Bouldin index; clusters are the bounded side."""
+    """The Davies-Bouldin index. Each cluster meets each other one by definition; points only meet their own center."""
     c = centroids(points)
-    spread = points.join(F.broadcast(c), "cluster").groupBy("cluster").agg(F.avg(_distance("embedding", "center")).alias("s"))
+    spread = points.join(c, "cluster").groupBy("cluster").agg(F.avg(_distance("embedding", "center")).alias("s"))
     a = c.join(spread, "cluster").select(F.col("cluster").alias("a"), F.col("center").alias("ca"), F.col("s").alias("sa"))
     b = a.select(F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("sa").alias("sb"))
-    worst = a.join(F.broadcast(b), F.col("a") != F.col("b")).withColumn("r", (F.col("sa") + F.col("sb")) / _distance("ca", "cb")).groupBy("a").agg(F.max("r").alias("r"))
+    worst = a.join(b, F.col("a") != F.col("b")).withColumn("r", (F.col("sa") + F.col("sb")) / _distance("ca", "cb")).groupBy("a").agg(F.max("r").alias("r"))
     return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
 
 
@@ -168,12 +222,18 @@ def quality_score(metrics: DataFrame) -> DataFrame:
 
 
 def keyword_match(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The node whose text holds the most words of each query (the smallest id of equals); no hit, no row.
+    """The node whose text contains the most words of each query (the smallest id of equals); no hit, no row.
 
-    Words of nodes and queries meet in an equality join on whole words.
+    A word lies in a text if it lies in one of its words, so the distinct words of the nodes are cut into all their
+    pieces, which meet the distinct words of the queries by equality; postings follow.
     """
     words = lambda df, i: df.select(F.col(i), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))).alias("w"))
-    hits = words(queries, "query_id").join(words(nodes, "node_id"), "w").groupBy("query_id", "node_id").agg(F.count("*").alias("hits"))
+    asked, held = words(queries, "query_id"), words(nodes, "node_id")
+    ends = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.length("w") - i + 1), lambda n: F.substr("w", i, n)))
+    pieces = held.select("w").distinct().select(F.explode(F.array_distinct(F.flatten(ends))).alias("piece"), "w")
+    inside = asked.select(F.col("w").alias("piece")).distinct().join(pieces, "piece")
+    posted = held.join(inside, "w").select("node_id", F.col("piece").alias("w")).distinct()
+    hits = asked.join(posted, "w").groupBy("query_id", "node_id").agg(F.count("*").alias("hits"))
     return hits.groupBy("query_id").agg(F.min_by("node_id", F.struct(-F.col("hits"), "node_id")).alias("node_id"), F.max("hits").alias("hits"))
 
 

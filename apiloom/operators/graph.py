@@ -16,29 +16,36 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def find_paths(edges: DataFrame, start: str, end: str, *, max_depth: int = 5, top: int = 100) -> DataFrame:
     """Simple paths from start to end, best first: the sum of scores over length^1.2.
 
-    Nodes carry their distance to the end (a backward sweep), so a path is only extended where the end is in reach.
+    Nodes carry their distance to the end (a backward sweep), so a path is only extended where the end is in reach. Once
+    `top` paths are known, a path goes on only if the largest score on each further edge could still lift it to the last
+    of them, at some length: no path of the result is lost, and long ways end early.
     """
+    spark = edges.sparkSession
     e = cut(edges.where("src != dst").select("src", "dst", F.coalesce("score", F.lit(0.5)).alias("score")))
-    reach = edges.sparkSession.createDataFrame([(end, 0)], "node string, left int")
-    front = reach
+    most = e.agg(F.max("score")).first()[0] or 0.0
+    front = reach = spark.range(1).select(F.lit(end).alias("node"), F.lit(0).alias("left"))
     for d in range(1, max_depth):
         step = e.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().join(reach, "node", "left_anti")
         front = cut(step.withColumn("left", F.lit(d)))
         reach = reach.unionByName(front)
     reach = cut(reach)
-    paths = edges.sparkSession.createDataFrame([([start], 0.0, start)], "path array<string>, total double, last string")
-    found = None
+    paths = spark.range(1).select(F.array(F.lit(start)).alias("path"), F.lit(0.0).alias("total"), F.lit(start).alias("last"))
+    found, least = None, None
     for d in range(1, max_depth + 1):
         grown = paths.join(e, F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         grown = grown.select(F.concat("path", F.array("dst")).alias("path"), (F.col("total") + F.col("score")).alias("total"), F.col("dst").alias("last"))
-        near = reach.where(F.col("left") <= max_depth - d).select(F.col("node").alias("last"))
-        paths = cut(grown.join(near, "last", "left_semi"))
-        done = paths.where(F.col("last") == end).select("path", "total")
+        near = grown.join(reach, grown["last"] == reach["node"]).where(F.col("left") <= max_depth - d)
+        if least is not None:
+            hope = F.greatest(*[(F.col("total") + (n - d) * most) / n**1.2 for n in range(d, max_depth + 1)], F.lit(0.0))
+            near = near.where(hope >= least - 1e-9)
+        near = cut(near.select("path", "total", "last"))
+        done = near.where(F.col("last") == end).select("path", F.round(F.col("total") / d**1.2, 9).alias("score"))
         found = done if found is None else found.unionByName(done)
-        paths = paths.where(F.col("last") != end)
-    length = F.size("path") - 1
-    scored = found.select("path", F.round(F.col("total") / F.pow(length, F.lit(1.2)), 9).alias("score"))
-    return scored.orderBy(F.desc("score"), "path").limit(top)
+        best = found.orderBy(F.desc("score"), "path").limit(top)
+        held = best.agg(F.count("*"), F.min("score")).first()
+        least = held[1] if held[0] == top else None
+        paths = near.where(F.col("last") != end)
+    return found.orderBy(F.desc("score"), "path").limit(top)
 
 
 def greedy_paths(entries: DataFrame, edges: DataFrame, *, least: int = 2, longest: int = 5) -> DataFrame:
@@ -72,17 +79,18 @@ def tree_leaves(tree: DataFrame) -> DataFrame:
     return tree.join(tree.select(F.col("parent_id").alias("agent_id")).distinct(), "agent_id", "left_anti").select("agent_id")
 
 
-def tree_paths(tree: DataFrame, *, max_depth: int = 50) -> DataFrame:
-    """(agent_id, depth, path): the way from the root. Rows on parent cycles or under a missing parent are left out."""
+def tree_paths(tree: DataFrame) -> DataFrame:
+    """(agent_id, depth, path): the way from the root, however deep. Rows on parent cycles or under a missing parent are
+    left out: no root reaches them, so the rounds end with the deepest row."""
     level = cut(tree.where("parent_id IS NULL").select("agent_id", F.lit(0).alias("depth"), F.array("agent_id").alias("path")))
-    out = level
-    for d in range(1, max_depth):
+    out, d = level, 0
+    while True:
+        d += 1
         parent = level.select(F.col("agent_id").alias("parent_id"), "path")
         level = cut(tree.join(parent, "parent_id").select("agent_id", F.lit(d).alias("depth"), F.concat("path", F.array("agent_id")).alias("path")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def closure(paths: DataFrame) -> DataFrame:
@@ -120,33 +128,70 @@ def influence(edges: DataFrame, root: str, *, threshold: float = 0.3, hops: int
     return best
 
 
-def reachable(edges: DataFrame, *, max_rounds: int = 30) -> DataFrame:
-    """All (src, dst) pairs of the transitive closure of a small graph, by doubling."""
-    pairs = cut(edges.select("src", "dst").distinct())
-    for _ in range(max_rounds):
-        longer = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        grown = cut(pairs.unionByName(longer).distinct())
-        if grown.count() == pairs.count():
-            return grown
-        pairs = grown
-    raise RuntimeError("closure did not settle")
+def reachable_from(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node): all nodes that each start (a column `node`) can reach, without itself unless by a cycle."""
+    e = cut(edges.select("src", "dst").distinct())
+    front = cut(starts.select(F.col("node").alias("start")).distinct().join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
+    out = front
+    while not front.isEmpty():
+        step = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = cut(step.join(out, ["start", "node"], "left_anti"))
+        out = cut(out.unionByName(front))
+    return out
 
 
-def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components, named by their smallest node."""
-    pairs = reachable(edges)
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = pairs.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    return nodes.join(both, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+def spread_least(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, value) with each value carried along (src, dst) edges until every node has the least that reaches it."""
+    front = label
+    while not front.isEmpty():
+        offer = edges.join(front.select(F.col("node").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("value").alias("offer"))
+        both = cut(label.join(offer, "node", "left"))
+        front = both.where("offer < value").select("node", F.col("offer").alias("value"))
+        label = both.select("node", F.least("value", F.coalesce("offer", "value")).alias("value"))
+    return label
+
 
+def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components, named by their smallest node.
 
-def topological_order(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+    Forward and backward colouring: nodes without an edge in or out are components of their own; the others take the
+    least (hash, node) that reaches them, and those of one colour that reach its root are its component. Edges between
+    colours go, and the rest follows under a new hash. Rows stay linear in nodes and edges; rounds follow the longest way.
+    """
+    nodes = cut(nodes.select("node").distinct())
+    left = cut(edges.where("src != dst").select("src", "dst").distinct())
+    found, turn = None, 0
+    while not left.isEmpty():
+        inner = cut(left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node"))))
+        inside = left.join(inner.withColumnRenamed("node", "src"), "src").join(inner.withColumnRenamed("node", "dst"), "dst")
+        kept = cut(inside.select("src", "dst"))
+        if kept.count() < left.count():
+            left = kept
+            continue
+        colour = spread_least(inner.select("node", F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("root")).alias("value")), left)
+        of = lambda side: colour.select(F.col("node").alias(side), F.col("value").alias(f"c{side}"))  # noqa: B023, E731
+        same = cut(left.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst"))
+        back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        start = F.when(F.col("value.root") == F.col("node"), 0).otherwise(1)
+        member = spread_least(colour.select("node", start.alias("value")), back).where("value = 0").select("node")
+        part = cut(member.join(colour, "node").select("node", F.col("value.root").alias("root")))
+        found = part if found is None else cut(found.unionByName(part))
+        gone = part.select("node")
+        left = cut(same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        turn += 1
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    named = found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, level, position): cycles collapsed; level is the longest way to a component; members by name."""
     comp = cut(scc(nodes, edges))
     of = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
     dag = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("csrc != cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct())
     level = cut(comp.select("component").distinct().withColumn("level", F.lit(0)))
-    for _ in range(max_rounds):
+    while True:
         up = dag.join(level.select(F.col("component").alias("src"), "level"), "src").groupBy(F.col("dst").alias("component")).agg((F.max("level") + 1).alias("up"))
         following = cut(level.join(up, "component", "left").select("component", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
         level = following.select("component", "level")
@@ -156,12 +201,12 @@ def topological_order(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 1
     sizes = rows.groupBy("level").count()
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("level", "before")
     rank = F.row_number().over(Window.partitionBy("level").orderBy("component", "node"))
-    return rows.withColumn("rank", rank).join(F.broadcast(before), "level").select("node", "component", "level", (F.col("rank") + F.col("before")).alias("position"))
+    return rows.withColumn("rank", rank).join(before, "level").select("node", "component", "level", (F.col("rank") + F.col("before")).alias("position"))
 
 
 def expand_plan(steps: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
     """Each step of a plan with all nodes it can reach, every node once (the first step wins), renumbered within a plan."""
-    pairs = reachable(edges).select(F.col("src").alias("agent"), F.col("dst").alias("node"))
+    pairs = reachable_from(steps.select(F.col("agent").alias("node")), edges).select(F.col("start").alias("agent"), "node")
     self = steps.select("plan_id", "step", F.col("agent").alias("node"))
     more = steps.join(pairs, "agent").select("plan_id", "step", "node")
     first = self.unionByName(more).groupBy("plan_id", "node").agg(F.min("step").alias("step"))
@@ -169,18 +214,25 @@ def expand_plan(steps: DataFrame, edges: DataFrame, order: DataFrame) -> DataFra
     return first.join(order.select("node", "position"), "node").withColumn("number", F.row_number().over(w)).select("plan_id", "node", "step", "number")
 
 
-def cascade_set(children: DataFrame, deleted: DataFrame, *, max_rounds: int = 100) -> DataFrame:
-    """All ids that a cascading delete removes, with the round in which each goes."""
-    out = cut(deleted.select("id").distinct().withColumn("round", F.lit(0)))
-    front = out
-    for r in range(1, max_rounds):
-        step = children.join(front.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(out.select("id"), "id", "left_anti")
-        front = cut(step.withColumn("round", F.lit(r)))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
+def cascade_set(children: DataFrame, deleted: DataFrame) -> DataFrame:
+    """All ids that a cascading delete removes, with the round in which each goes; no id goes twice, so it ends."""
+    front = cut(deleted.select("id").distinct().withColumn("round", F.lit(0)))
+    out = front
+    while not front.isEmpty():
+        step = children.join(front.select(F.col("id").alias("parent"), "round"), "parent").groupBy("id").agg((F.min("round") + 1).alias("round"))
+        front = cut(step.join(out.select("id"), "id", "left_anti"))
+        out = cut(out.unionByName(front))
     return out
 
 
+def path_between(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(a, b, path): the way from a up to the lowest common ancestor and down to b; no row where they share no root."""
+    side = lambda n: paths.select(F.col("agent_id").alias(n), F.col("path").alias(f"p{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("pa", "pb"))).where("shared > 0")
+    up = F.reverse(F.slice("pa", F.col("shared"), F.size("pa") - F.col("shared") + 1))
+    down = F.slice("pb", F.col("shared") + 1, F.size("pb") - F.col("shared"))
+    return both.select("a", "b", F.concat(up, down).alias("path"))
+
+
 def fk_violations(children: DataFrame, parents: DataFrame) -> DataFrame:
     return children.where("parent IS NOT NULL").join(parents.select(F.col("id").alias("parent")).distinct(), "parent", "left_anti")

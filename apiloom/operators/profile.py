@@ -94,6 +94,18 @@ def validate_scenario(scenarios: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round(F.when(F.col("is_valid"), score).otherwise(0.0), 6))
 
 
+def scenario_statistics(validated: DataFrame) -> DataFrame:
+    """For each type: scenarios, their paths, how many are valid, all issues and warnings, and the mean score."""
+    return validated.groupBy("scenario_type").agg(
+        F.count("*").alias("scenarios"),
+        F.countDistinct("path_id").alias("paths"),
+        F.count_if("is_valid").alias("valid"),
+        F.sum(F.size("issues")).alias("issues"),
+        F.sum(F.size("warnings")).alias("warnings"),
+        F.round(F.avg("score"), 6).alias("mean_score"),
+    )
+
+
 def build_scenarios(paths: DataFrame, kinds: list[str], count: int = 1) -> DataFrame:
     """`count` scenarios of each kind for each path (path_id, path): title, steps, and the middle step for exceptions."""
     each = paths.withColumn("scenario_type", F.explode(F.array(*map(F.lit, kinds)))).withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(count))))

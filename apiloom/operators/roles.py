@@ -21,54 +21,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries in bounded blocks, each small enough to broadcast."""
-    count = queries.count()
-    parts = max(1, -(-count // block))
-    for p in range(parts):
-        part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        rows = part.select("query_id", "embedding").orderBy("query_id").collect()
-        if rows:
-            yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-
-
-def top_vectors(items: DataFrame, queries: DataFrame, k: int, *, measure: str = "l2", block: int = 4096) -> DataFrame:
+def _block_pairs(left: DataFrame, right: DataFrame, left_size: int, right_size: int) -> DataFrame:
+    """(x, y): arrays of rows, so that each block of about `left_size` rows of the left meets each block of the right.
+
+    Blocks are dealt by a hash of the id, so none depends on a key; both sides carry both block numbers, and the join on
+    them spreads the pairs over the cluster. Nothing passes through the driver but the two counts.
+    """
+    sides = []
+    for rows, size in ((left, left_size), (right, right_size)):
+        n = max(1, -(-rows.count() // size))
+        each = F.struct(*rows.columns)
+        sides.append((rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n).cast("long")).alias("block")).agg(F.collect_list(each).alias("rows")), n))
+    (x, many_x), (y, many_y) = sides
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    x = x.select(F.col("block").alias("i"), F.col("rows").alias("x"), number(many_y).alias("j"))
+    y = y.select(F.col("block").alias("j"), F.col("rows").alias("y"), number(many_x).alias("i"))
+    return x.join(y, ["i", "j"]).select("x", "y")
+
+
+def _matrix(cell: pa.ListScalar) -> tuple[pa.StructArray, np.ndarray]:
+    """The rows of one block and their vectors."""
+    rows = cell.values
+    vectors = rows.field("embedding")
+    return rows, np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+
+
+def top_vectors(items: DataFrame, queries: DataFrame, k: int, *, measure: str = "l2", item_block: int = 16_384, query_block: int = 4096) -> DataFrame:
     """(query_id, vec_id, similarity, rank) of the k nearest items of each query, exactly.
 
-    Queries go out in bounded blocks; each task multiplies its items with a block and sends only its best k a query to
-    the global rank, so nothing that grows with the items is ever in one place. `l2` gives 1/(1+d), d squared; `dot`
-    and `cosine` give the product.
+    Each pair of blocks gives the best k of its items for each of its queries; a global rank ends it, so nothing that
+    grows with the items or the queries is ever in one place. `l2` gives 1/(1+d), d squared; `dot` and `cosine` give
+    the product. Every item is compared with every query: the work is the product of the two sides.
     """
-    spark = items.sparkSession
-    rows = items.select("vec_id", "embedding")
-    out = None
-    for ids, matrix in _blocks(queries, block):
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, q = held.value
-            best_s, best_i = np.empty((len(names), 0)), np.empty((len(names), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
+    left = queries.select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    right = items.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
+                (names, q), (vecs, x) = _matrix(a), _matrix(b)
                 p = q @ x.T
                 if measure == "l2":
                     p = 1 / (1 + np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * p))
                 elif measure == "cosine":
                     n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
                     p = np.divide(p, n, out=np.zeros_like(p), where=n > 0)
-                s = np.concatenate([best_s, np.round(p, 9)], 1)
-                i = np.concatenate([best_i, np.tile(batch.column("vec_id").to_numpy(), (len(names), 1))], 1)
+                s = np.round(p, 9)
+                i = np.tile(vecs.field("id").to_numpy(), (len(q), 1))
                 keep = np.lexsort((i, -s))[:, :k]
-                best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "vec_id", "similarity"])
-
-        part = rows.mapInArrow(run, "query_id long, vec_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return items.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+                s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.field("id").to_numpy(), keep.shape[1])), pa.array(i.ravel()), pa.array(s.ravel())], names=["query_id", "vec_id", "similarity"])
+
+    out = _block_pairs(left, right, query_block, item_block).mapInArrow(run, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -82,36 +86,15 @@ def procedure_search(items: DataFrame, queries: DataFrame, k: int, domain: str)
     return top_vectors(items, queries, k, measure="dot").join(items.select("vec_id", "domain"), "vec_id").where(F.col("domain") == domain)
 
 
-def best_of_few(items: DataFrame, few: DataFrame, k: int, *, block: int = 4096) -> DataFrame:
+def best_of_few(items: DataFrame, few: DataFrame, k: int) -> DataFrame:
     """(vec_id, query_id, similarity, rank) of the k most similar (cosine) rows of the small side for each item."""
-    spark = items.sparkSession
-    rows = items.select("vec_id", "embedding")
-    out = None
-    for ids, matrix in _blocks(few, block):
-        held = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, q = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
-                n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
-                s = np.round(np.divide(x @ q.T, n, out=np.zeros((len(x), len(q))), where=n > 0), 9)
-                keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                vec = np.repeat(batch.column("vec_id").to_numpy(), keep.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(vec), pa.array(names[keep].ravel()), pa.array(np.take_along_axis(s, keep, 1).ravel())], names=["vec_id", "query_id", "similarity"])
-
-        part = rows.mapInArrow(run, "vec_id long, query_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return items.select("vec_id", F.col("vec_id").alias("query_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    w = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "query_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    best = top_vectors(few.select(F.col("query_id").alias("vec_id"), "embedding"), asked, k, measure="cosine")
+    return best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("query_id"), "similarity", "rank")
 
 
 def role_alignment(items: DataFrame, roles: DataFrame, *, k: int = 3, least: float = 0.6) -> DataFrame:
-    """The k best roles of each API by cosine, of at least `least`; the roles go out in bounded blocks."""
+    """The k best roles of each API by cosine, of at least `least`."""
     best = best_of_few(items, roles, k).where(F.col("similarity") >= least)
     return best.select("vec_id", F.col("query_id").alias("role_id"), "similarity", "rank")
 
@@ -163,7 +146,7 @@ def topology_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reporting_lines(agents: DataFrame) -> DataFrame:
     """How many agents of the level below each agent manages; a level is counted once, no pairs are made."""
     sizes = agents.groupBy((F.col("level") - 1).alias("level")).agg(F.count("*").alias("reports"))
-    return agents.join(F.broadcast(sizes), "level").select("agent_id", "level", "reports")
+    return agents.join(sizes, "level").select("agent_id", "level", "reports")
 
 
 def search_nodes(nodes: DataFrame, text: str, **equal) -> DataFrame:
@@ -188,41 +171,31 @@ def task_similarity(scores: DataFrame) -> DataFrame:
     """1 - |difference| of the mean scores of each pair of tasks; tasks are few, and each pair is made once."""
     mean = scores.groupBy("task").agg(F.avg("score").alias("m"))
     a, b = mean.select(F.col("task").alias("a"), F.col("m").alias("ma")), mean.select(F.col("task").alias("b"), F.col("m").alias("mb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.abs(F.col("ma") - F.col("mb")), 6).alias("similarity"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.abs(F.col("ma") - F.col("mb")), 6).alias("similarity"))
 
 
-def silhouette(points: DataFrame, *, block: int = 2048) -> DataFrame:
+def silhouette(points: DataFrame, *, block: int = 4096) -> DataFrame:
     """Mean Euclidean silhouette over all points (vec_id, embedding, cluster).
 
-    Every pair of points counts, so the cost is quadratic by definition; points go out in bounded blocks, and each task
-    sends sums by (point, cluster) only.
+    Every pair of points counts, so the cost is quadratic by definition; each pair of blocks gives sums by (point,
+    cluster) only.
     """
-    spark = points.sparkSession
-    sizes = points.groupBy("cluster").agg(F.count("*").alias("n"))
-    rows = points.select(F.col("vec_id").alias("query_id"), "embedding")
-    parts = None
-    for ids, matrix in _blocks(rows, block):
-        held = spark.sparkContext.broadcast((np.array(ids, np.int64), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, q = held.value
-            sums: dict = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
+    rows = points.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("cluster").cast("long").alias("cluster"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
+                (names, q), (others, x) = _matrix(a), _matrix(b)
+                names, vecs, labels = names.field("id").to_numpy(), others.field("id").to_numpy(), others.field("cluster").to_numpy()
                 d = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T))
-                d[names[:, None] == batch.column("vec_id").to_numpy()[None]] = 0
-                labels = np.array(batch.column("cluster").to_pylist())
+                d[names[:, None] == vecs[None]] = 0
                 for c in np.unique(labels):
-                    sums[c] = sums.get(c, 0) + d[:, labels == c].sum(1)
-            for c, s in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([c] * len(names), pa.int64()), pa.array(s)], names=["vec_id", "other", "total"])
-
-        part = points.select("vec_id", "embedding", F.col("cluster").cast("long").alias("cluster")).mapInArrow(run, "vec_id long, other long, total double")
-        parts = part if parts is None else parts.unionByName(part)
-    total = parts.groupBy("vec_id", "other").agg(F.sum("total").alias("total")).join(points.select("vec_id", "cluster"), "vec_id")
-    sized = total.join(F.broadcast(sizes.select(F.col("cluster").alias("other"), "n")), "other")
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), c)), pa.array(d[:, labels == c].sum(1))], names=["vec_id", "other", "total"])
+
+    parts = _block_pairs(rows.select("id", "embedding"), rows, block, block).mapInArrow(run, "vec_id long, other long, total double")
+    total = parts.groupBy("vec_id", "other").agg(F.sum("total").alias("total")).join(rows.select(F.col("id").alias("vec_id"), "cluster"), "vec_id")
+    sized = total.join(sizes.select(F.col("cluster").alias("other"), "n"), "other")
     own = F.max(F.when((F.col("other") == F.col("cluster")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
     far = F.min(F.when(F.col("other") != F.col("cluster"), F.col("total") / F.col("n")))
     each = sized.groupBy("vec_id").agg(own.alias("a"), far.alias("b"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from apiloom.session import cut
+
 
 def best_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key under the order."""
@@ -63,9 +65,22 @@ def mmr_pick(rows: pd.DataFrame, k: int, weight: float) -> pd.DataFrame:
 
 
 def diversity_select(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
-    """MMR within each (run, iteration): one iteration's candidates are few by nature."""
-    schema = "run string, iteration int, idx int, prompt string, score double, rank int"
-    return candidates.select("run", "iteration", "idx", "prompt", "score").groupBy("run", "iteration").applyInPandas(lambda pdf: mmr_pick(pdf, k, weight), schema)
+    """MMR within each (run, iteration), as `mmr_pick` does for one: k rounds, in each of which every group takes its best
+    candidate and the others add their distance to it. `idx` tells the candidates of a group apart."""
+    group = ["run", "iteration"]
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("prompt", F.lit(""))), r"\s+"), lambda w: w != ""))
+    left = cut(candidates.select(*group, "idx", "prompt", "score").withColumns({"words": words, "away": F.lit(0.0)}))
+    out = None
+    for rank in range(1, k + 1):
+        apart = F.col("away") / (rank - 1) if rank > 1 else F.lit(1.0)
+        best = F.max_by(F.struct("idx", "prompt", "score", "words"), F.struct(weight * F.col("score") + (1 - weight) * apart, "score", -F.col("idx"))).alias("best")
+        pick = cut(left.groupBy(*group).agg(best))
+        row = pick.select(*group, "best.idx", "best.prompt", "best.score", F.lit(rank).alias("rank"))
+        out = row if out is None else out.unionByName(row)
+        union = F.size(F.array_union("words", "best.words"))
+        far = F.when(union > 0, 1 - F.size(F.array_intersect("words", "best.words")) / union).otherwise(0.0)
+        left = cut(left.join(pick, group).where(F.col("idx") != F.col("best.idx")).withColumn("away", F.col("away") + far).drop("best"))
+    return out
 
 
 def ensemble_select(candidates: DataFrame, metrics: list[str], k: int) -> DataFrame:
@@ -176,4 +191,4 @@ def best_parameters(trials: DataFrame) -> DataFrame:
 
 
 def weighted_task_score(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    return scores.join(F.broadcast(weights), "task").groupBy("prompt").agg(F.round(F.sum(F.col("score") * F.col("weight")), 6).alias("weighted"))
+    return scores.join(weights, "task").groupBy("prompt").agg(F.round(F.sum(F.col("score") * F.col("weight")), 6).alias("weighted"))

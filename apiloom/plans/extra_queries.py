@@ -44,8 +44,6 @@ QUERIES = {
     "shared_by_level": lambda s, d: R.shared_by_level(_references(s, d), _levels(s, d)),
     "task_similarity": lambda s, d: R.task_similarity(table(s, d, "events").select(F.col("event_type").alias("task"), (F.floor(F.col("value")) / 1024).alias("score"))),
     "silhouette": lambda s, d: R.silhouette(table(s, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("cluster"))),
-    "similar_paths": lambda s, d: apis(s, d).where("method = 'DELETE'").select("entity", F.size(T.path_segments(F.col("path"))).alias("n"), F.array_join(T.path_segments(F.col("path")), "/").alias("segments")).distinct(),
-    "scenario_statistics": lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("n")).agg(F.count("*").alias("paths"), (F.count("*") * 2).alias("scenarios"), F.count_if(F.col("n") > 2).alias("valid")),
 }
 
 SQL = {
@@ -60,6 +58,4 @@ SQL = {
     "adjusted_roles": f"WITH {APIS} SELECT DISTINCT entity AS role FROM apis WHERE entity NOT IN (SELECT entity FROM apis WHERE price < 950) UNION SELECT lower(n_name) FROM nation",
     "shared_by_level": "SELECT 2 AS level, CAST(o_orderkey % 500 AS VARCHAR) AS capability, count(DISTINCT o_custkey) AS agents FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL HAVING count(DISTINCT o_custkey) >= 2",
     "task_similarity": "WITH m AS (SELECT event_type AS task, avg(floor(value) / 1024) AS m FROM events GROUP BY ALL) SELECT a.task AS a, b.task AS b, round(1 - abs(a.m - b.m), 6) AS similarity FROM m a JOIN m b ON a.task < b.task",
-    "similar_paths": f"WITH {APIS} SELECT DISTINCT entity, 4 AS n, 'api/v1/' || entity || '/delete' AS segments FROM apis WHERE method = 'DELETE'",
-    "scenario_statistics": "WITH p AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY ALL) SELECT count(*) AS paths, count(*) * 2 AS scenarios, count(*) FILTER (n > 2) AS valid FROM p",
 }

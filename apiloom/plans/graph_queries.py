@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apiloom.functions import text as T
@@ -38,9 +39,10 @@ BARE = "replace(replace(lower({0}), '_', ''), '-', '')"
 
 
 def allowed(s, d):
-    """Entity pairs that may depend on each other: the same entity, and the next one by name."""
-    e = entities(s, d).select("entity")
-    return e.select(F.col("entity").alias("source"), F.col("entity").alias("target"))
+    """Entity pairs that may depend on each other: the same entity, and the next one of its brand by name."""
+    e = entities(s, d).select("entity", F.split_part("entity", F.lit("-"), F.lit(2)).alias("brand"))
+    following = e.withColumn("target", F.lead("entity").over(Window.partitionBy("brand").orderBy("entity"))).where("target IS NOT NULL")
+    return e.select(F.col("entity").alias("source"), F.col("entity").alias("target")).unionByName(following.select(F.col("entity").alias("source"), "target"))
 
 
 def _matches(s, d):
@@ -92,13 +94,32 @@ def _lca(s, d):
     return G.lowest_common_ancestor(pairs, t)
 
 
+def _both_ends(e):
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+
+
+def _between(s, d):
+    pairs = table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string")).alias("b")).distinct()
+    return G.path_between(pairs, G.tree_paths(tree(s, d))).withColumn("path", F.array_join("path", ">"))
+
+
 def _weights(s, d):
     return edges(s, d).select("src", "dst", F.least(F.col("score"), F.lit(0.95)).alias("weight"))
 
 
 def _dag(s, d):
-    """A small graph of part types and sizes: the strongest third of the edges, so that it has cycles and long ways."""
-    return edges(s, d).where("score > 0.88").select("src", "dst")
+    """The whole graph of part types and sizes, without scores."""
+    return edges(s, d).select("src", "dst")
+
+
+def _parts_graph(s, d):
+    """A sparse graph with cycles and long ways: each part to the next part of its supplier's orders, by number."""
+    li = table(s, d, "lineitem").select(F.col("l_suppkey"), F.col("l_partkey")).distinct()
+    step = li.withColumn("dst", F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_partkey"))).where("dst IS NOT NULL AND (l_partkey + l_suppkey) % 3 != 0")
+    forth = step.select(F.col("l_partkey").alias("src"), "dst")
+    back = step.where("(l_partkey * 7 + l_suppkey) % 50 = 0").select(F.col("dst").alias("src"), F.col("l_partkey").alias("dst"))
+    text = lambda c: F.lpad(F.col(c).cast("string"), 9, "0").alias(c)
+    return forth.unionByName(back).select(text("src"), text("dst")).distinct()
 
 
 def _nodes(s, d):
@@ -127,7 +148,7 @@ def _clusters(s, d):
 
 def _fields_by_api(s, d):
     side = lambda x: fields(s, d, x).groupBy("operation_id").agg(F.array_sort(F.collect_set("name")).alias(f"{x}_fields"))
-    return side("request").join(side("response"), "operation_id").where("operation_id like 'get%'")
+    return side("request").join(side("response"), "operation_id")
 
 
 def _clustered(s, d):
@@ -160,6 +181,8 @@ QUERIES = {
     "regroup_scattered": lambda s, d: A.regroup_scattered(_clusters(s, d)),
     "detect_changes": lambda s, d: A.detect_changes(apis(s, d).where("ord % 7 != 0"), apis(s, d).where("ord % 5 != 0").withColumn("summary", F.when(F.col("ord") % 11 == 0, "new").otherwise(F.col("summary")))),
     "schema_similarity": lambda s, d: A.schema_similarity(_fields_by_api(s, d)),
+    "schema_classes": lambda s, d: A.schema_classes(_fields_by_api(s, d)),
+    "similar_paths": lambda s, d: A.similar_paths(apis(s, d).withColumn("path", F.concat(F.lit("/admin-api"), "path"))),
     "cluster_summary": lambda s, d: A.cluster_summary(_clusters(s, d)),
     "constraints": lambda s, d: A.constraints(apis(s, d)),
     "entity_relations_by_field": lambda s, d: D.entity_relations_by_field(fields(s, d, "request").select("entity", F.concat(F.split_part("entity", F.lit("-"), F.lit(1)), F.lit("-"), F.lit("brand"), F.length("name").cast("string"), F.lit("_id")).alias("field")).distinct(), entities(s, d)),
@@ -174,7 +197,7 @@ QUERIES = {
     "entry_points": lambda s, d: D.entry_points(apis(s, d), api_edges(s, d)),
     "parameter_flow": _flow,
     "adjacency": lambda s, d: G.adjacency(edges(s, d)).select("src", F.array_join("neighbours", ",").alias("neighbours")),
-    "find_paths": lambda s, d: G.find_paths(edges(s, d).where("score > 0.85"), "economy-1", "small-3", max_depth=3).withColumn("path", F.array_join("path", ">")),
+    "find_paths": lambda s, d: G.find_paths(edges(s, d), "economy-1", "small-3").withColumn("path", F.array_join("path", ">")),
     "greedy_paths": lambda s, d: G.greedy_paths(_nodes(s, d), edges(s, d)).withColumn("path", F.array_join("path", ">")),
     "tree_roots": lambda s, d: G.tree_roots(tree(s, d)),
     "tree_leaves": lambda s, d: G.tree_leaves(tree(s, d)),
@@ -185,6 +208,8 @@ QUERIES = {
     "influence_subgraph": lambda s, d: G.influence(_weights(s, d), "economy-1"),
     "scc": lambda s, d: G.scc(_nodes(s, d), _dag(s, d)),
     "topological_order": lambda s, d: G.topological_order(_nodes(s, d), _dag(s, d)),
+    "scc_of_parts": lambda s, d: G.scc(_both_ends(_parts_graph(s, d)), _parts_graph(s, d)),
+    "path_between": _between,
     "expand_plan": lambda s, d: G.expand_plan(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("plan_id"), F.col("l_linenumber").alias("step")).agg(F.lit("economy-1").alias("agent")), _dag(s, d), G.topological_order(_nodes(s, d), _dag(s, d))),
     "fk_violations": lambda s, d: G.fk_violations(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")), table(s, d, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("id"))),
     "cascade_set": lambda s, d: G.cascade_set(tree(s, d).select(F.col("agent_id").alias("id"), F.col("parent_id").alias("parent")), table(s, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))),
@@ -205,8 +230,23 @@ QUERIES = {
 
 PATHS_CTE = f"""WITH RECURSIVE {TREE}, p AS (SELECT agent_id, 0 AS depth, [agent_id] AS path FROM tree WHERE parent_id IS NULL
   UNION ALL SELECT t.agent_id, p.depth + 1, list_append(p.path, t.agent_id) FROM tree t JOIN p ON t.parent_id = p.agent_id)"""
+SCHEMAS = f"""{APIS}, {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
+  g AS (SELECT q.operation_id AS o, list_sort(list(DISTINCT q.name)) AS rq FROM q GROUP BY ALL), h AS (SELECT p.operation_id AS o, list_sort(list(DISTINCT p.name)) AS rp FROM p GROUP BY ALL), b AS (SELECT * FROM g JOIN h USING (o)),
+  classes AS (SELECT min(o) AS o, count(*) AS many, rq, rp FROM b GROUP BY rq, rp)"""
 URLPATH = "regexp_extract(url, '://[^/]+([^?#]*)', 1)"
+COS = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+CENTERS = "e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL), centers AS (SELECT label, list(x ORDER BY pos) AS center FROM m GROUP BY ALL)"
 SQL = {
+    "procedure_search": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round({COS.format('q.embedding', 'e.embedding')}, 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER w AS INT) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 5) SELECT query_id, vec_id, rank FROM r WHERE label % 3 = 1""",
+    "role_alignment": f"""WITH {CENTERS}, s AS (SELECT vec_id, c.label AS role_id, round({COS.format('embedding', 'center')} / sqrt({COS.format('embedding', 'embedding')}) / sqrt({COS.format('center', 'center')}), 9) AS similarity FROM embeddings, centers c)
+        SELECT vec_id, CAST(role_id AS BIGINT) AS role_id, CAST(row_number() OVER w AS INT) AS rank FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY similarity DESC, role_id) QUALIFY row_number() OVER w <= 3 AND similarity >= 0.2""",
+    "nearest_cluster": f"""WITH s AS (SELECT q.vec_id, e.vec_id AS other, e.label, round({COS.format('q.embedding', 'e.embedding')} / sqrt({COS.format('q.embedding', 'q.embedding')}) / sqrt({COS.format('e.embedding', 'e.embedding')}), 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 != 0)
+        SELECT vec_id, CASE WHEN similarity >= 0.6 THEN CAST(label AS VARCHAR) ELSE 'own_' || vec_id END AS cluster FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other) = 1""",
+    "influence_subgraph": f"""WITH RECURSIVE {EDGES}, p AS (SELECT 'economy-1' AS node, 1.0::DOUBLE AS strength, 0 AS hop UNION
+        SELECT dst, max(round(strength * least(score, 0.95), 12)), hop + 1 FROM p JOIN edges ON node = src WHERE hop < 5 AND round(strength * least(score, 0.95), 12) >= 0.3 GROUP BY dst, hop + 1)
+        SELECT node, max(strength) AS strength FROM p GROUP BY node""",
+    "scc": f"WITH {EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node, (SELECT min(node) FROM n) AS component FROM n",
     "normalize_path": f"SELECT page_id, regexp_replace(regexp_replace({URLPATH}, '(?i)/[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '/{{uuid}}', 'g'), '/[0-9]+', '/{{id}}', 'g') AS path, CAST(len(list_filter(string_split({URLPATH}, '/'), lambda x: x != '' AND NOT starts_with(x, '{{'))) AS INT) AS segments FROM pages",
     "clean_description": "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS h FROM pages",
     "path_anchor": f"WITH {APIS} SELECT operation_id, entity AS anchor FROM apis",
@@ -230,17 +270,21 @@ SQL = {
         SELECT clusters, apis, round(a, 6) AS avg_size, round(sd, 6) AS std_size, round(one / apis, 6) AS atomic_share, round(CASE WHEN a BETWEEN 3 AND 8 THEN 1.0 ELSE greatest(0, 1 - abs(a - 5.5) / 10) END * (1 - least(1.0, sd / a) * 0.5), 6) AS distribution_score FROM s""",
     "constraints": f"""WITH {APIS}, c AS (SELECT operation_id, unnest(CASE WHEN method = 'DELETE' THEN ['audit', 'approval'] WHEN method = 'PUT' THEN ['audit'] ELSE [] END) AS "constraint" FROM apis)
         SELECT *, substr(md5(operation_id || ':' || "constraint"), 1, 8) AS contract_id FROM c""",
-    "schema_similarity": f"""WITH {APIS}, {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
-        g AS (SELECT q.operation_id AS o, list(DISTINCT q.name) AS rq FROM q WHERE q.operation_id LIKE 'get%' GROUP BY ALL), h AS (SELECT p.operation_id AS o, list(DISTINCT p.name) AS rp FROM p WHERE p.operation_id LIKE 'get%' GROUP BY ALL), b AS (SELECT * FROM g JOIN h USING (o)),
-        s AS (SELECT x.o AS a, y.o AS b, round(0.7 * len(list_intersect(x.rp, y.rp)) / len(list_distinct(list_concat(x.rp, y.rp))) + 0.3 * len(list_intersect(x.rq, y.rq)) / len(list_distinct(list_concat(x.rq, y.rq))), 9) AS similarity FROM b x JOIN b y ON x.o < y.o)
+    "schema_similarity": f"""WITH {SCHEMAS},
+        s AS (SELECT x.o AS a, y.o AS b, x.many AS n_a, y.many AS n_b, round(0.7 * len(list_intersect(x.rp, y.rp)) / len(list_distinct(list_concat(x.rp, y.rp))) + 0.3 * len(list_intersect(x.rq, y.rq)) / len(list_distinct(list_concat(x.rq, y.rq))), 9) AS similarity FROM classes x JOIN classes y ON x.o < y.o)
         SELECT * FROM s WHERE similarity >= 0.5""",
+    "schema_classes": f"""WITH {SCHEMAS} SELECT b.o AS operation_id, classes.o AS class FROM b JOIN classes USING (rq, rp)""",
+    "similar_paths": f"""WITH {APIS}, s AS (SELECT array_to_string(list_sort(list_distinct(list_filter(string_split('/admin-api' || path, '/'), lambda x: x != '' AND NOT starts_with(x, '{{'))))
+          , '/') AS id, count(*) AS many FROM apis GROUP BY 1), l AS (SELECT *, string_split(id, '/') AS x FROM s)
+        SELECT * FROM (SELECT a.id AS a, b.id AS b, a.many AS n_a, b.many AS n_b, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 9) AS similarity FROM l a JOIN l b ON a.id < b.id) WHERE similarity >= 0.8""",
     "entity_relations_by_path": f"""WITH {APIS}, {ENTITIES}, v AS (SELECT entity AS target, unnest([entity, replace(entity, '-', ''), entity || 's', split_part(entity, '-', 1), split_part(entity, '-', 2)]) AS variation FROM ent), p AS (SELECT DISTINCT entity AS source, lower(path) AS path FROM apis)
         SELECT DISTINCT source, target, 'PATH_HIERARCHY' AS type, CAST(0.75 AS DOUBLE) AS score FROM p JOIN v ON contains(path, variation) AND source != target""",
-    "field_match_dependencies": f"""WITH {APIS}, {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
+    "field_match_dependencies": f"""WITH {APIS}, {ENTITIES}, n AS (SELECT entity AS source, lead(entity) OVER (PARTITION BY split_part(entity, '-', 2) ORDER BY entity) AS target FROM ent),
+        ok AS (SELECT entity AS source, entity AS target FROM ent UNION ALL SELECT source, target FROM n WHERE target IS NOT NULL), {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
         x AS (SELECT *, {CANONICAL.format(BARE.format('name'))} AS canonical, CASE WHEN name LIKE '%Amount%' THEN 'number' ELSE 'string' END AS type, CASE WHEN length(name) % 2 = 0 THEN 0.95 ELSE 0.5 END AS w, {BARE.format('name')} AS bare FROM q WHERE name != 'status'),
         y AS (SELECT *, {CANONICAL.format(BARE.format('name'))} AS canonical, CASE WHEN name LIKE '%Amount%' THEN 'number' ELSE 'string' END AS type, CASE WHEN length(name) % 2 = 0 THEN 0.95 ELSE 0.5 END AS w, {BARE.format('name')} AS bare FROM p WHERE name != 'status'),
-        m AS (SELECT x.operation_id AS src, y.operation_id AS dst, x.name, 1 - levenshtein(x.bare, y.bare) / greatest(length(x.bare), length(y.bare)) AS near, least(x.w, y.w) AS w FROM x JOIN y ON x.entity = y.entity AND x.canonical = y.canonical AND x.type = y.type AND x.operation_id != y.operation_id),
-        s AS (SELECT src, dst, name, round(0.4 + CASE WHEN near >= 0.5 THEN 0.3 * near + 0.1 * w + 0.05 ELSE 0 END, 9) AS score FROM m)
+        m AS (SELECT x.operation_id AS src, y.operation_id AS dst, x.name, 1 - levenshtein(x.bare, y.bare) / greatest(length(x.bare), length(y.bare)) AS near, least(x.w, y.w) AS w, CASE WHEN x.entity = y.entity THEN 0.05 ELSE 0 END AS own FROM x JOIN ok ON ok.source = x.entity JOIN y ON y.entity = ok.target AND x.canonical = y.canonical AND x.type = y.type AND x.operation_id != y.operation_id),
+        s AS (SELECT src, dst, name, round(0.4 + CASE WHEN near >= 0.5 THEN 0.3 * near + 0.1 * w + own ELSE 0 END, 9) AS score FROM m)
         SELECT src, dst, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ',') AS matched FROM s WHERE score >= 0.7 GROUP BY src, dst""",
     "write_read_dependencies": f"""WITH {APIS}, {ENTITIES}, {RELATED}, {API_EDGES}, r AS (SELECT entity, arg_min(operation_id, ord) AS dst FROM apis WHERE method = 'GET' OR path LIKE '%/get%' OR path LIKE '%/list%' OR path LIKE '%/page%' GROUP BY ALL)
         SELECT a.operation_id AS src, r.dst, CAST(0.6 AS DOUBLE) AS score FROM apis a JOIN related ON source = a.entity JOIN r ON r.entity = target WHERE (method IN ('POST', 'PUT') OR path LIKE '%/create%' OR path LIKE '%/update%') AND a.operation_id NOT IN (SELECT src FROM aedges)""",
@@ -252,9 +296,14 @@ SQL = {
     "entry_points": f"""WITH {APIS}, {API_EDGES}, i AS (SELECT dst AS operation_id, count(*) AS indegree FROM aedges e JOIN apis a ON a.operation_id = src JOIN apis b ON b.operation_id = dst WHERE a.entity = b.entity GROUP BY ALL)
         SELECT entity, operation_id, coalesce(indegree, 0) AS indegree, CAST(row_number() OVER w AS INT) AS rank FROM apis LEFT JOIN i USING (operation_id) WINDOW w AS (PARTITION BY entity ORDER BY coalesce(indegree, 0), ord) QUALIFY row_number() OVER w <= 3""",
     "adjacency": f"WITH {EDGES} SELECT src, string_agg(dst, ',' ORDER BY -score, dst) AS neighbours FROM edges GROUP BY src",
-    "find_paths": f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst, score FROM edges WHERE score > 0.85), p AS (SELECT ['economy-1'] AS path, 0.0::DOUBLE AS total
-        UNION ALL SELECT list_append(path, dst), total + score FROM p JOIN e ON path[-1] = src WHERE NOT list_contains(path, dst) AND len(path) <= 3 AND path[-1] != 'small-3')
-        SELECT array_to_string(path, '>') AS path, round(total / power(len(path) - 1, 1.2), 9) AS score FROM p WHERE path[-1] = 'small-3' AND len(path) > 1 ORDER BY score DESC, p.path LIMIT 100""",
+    "find_paths": f"""WITH RECURSIVE {EDGES}, p AS (SELECT ['economy-1'] AS path, 0.0::DOUBLE AS total
+        UNION ALL SELECT list_append(path, dst), total + score FROM p JOIN edges ON path[-1] = src WHERE NOT list_contains(path, dst) AND len(path) <= 3 AND path[-1] != 'small-3'),
+        short AS (SELECT path, total / power(len(path) - 1, 1.2) AS score FROM p WHERE path[-1] = 'small-3' AND len(path) > 1),
+        least AS (SELECT min(score) AS score, count(*) AS n, (SELECT max(score) FROM edges) AS most FROM (SELECT score FROM short ORDER BY score DESC LIMIT 100)),
+        four AS (SELECT list_append(path, dst) AS path, p.total + e.score AS total FROM p JOIN edges e ON path[-1] = src, least l WHERE len(path) = 4 AND path[-1] != 'small-3' AND NOT list_contains(path, dst) AND (l.n < 100 OR p.total + l.most >= l.score * power(4, 1.2) - 1e-9 OR p.total + 2 * l.most >= l.score * power(5, 1.2) - 1e-9)),
+        five AS (SELECT list_append(path, dst) AS path, four.total + e.score AS total FROM four JOIN edges e ON path[-1] = src WHERE path[-1] != 'small-3' AND dst = 'small-3'),
+        every AS (SELECT path, score FROM short UNION ALL SELECT path, total / power(4, 1.2) FROM four WHERE path[-1] = 'small-3' UNION ALL SELECT path, total / power(5, 1.2) FROM five)
+        SELECT array_to_string(path, '>') AS path, round(score, 9) AS score FROM every ORDER BY round(score, 9) DESC, path LIMIT 100""",
     "tree_roots": f"WITH {TREE} SELECT agent_id FROM tree WHERE parent_id IS NULL",
     "tree_leaves": f"WITH {TREE} SELECT agent_id FROM tree WHERE agent_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)",
     "tree_paths": f"{PATHS_CTE} SELECT agent_id, depth, array_to_string(path, '/') AS path FROM p",
@@ -262,6 +311,8 @@ SQL = {
     "siblings": f"WITH {TREE} SELECT agent_id, count(*) OVER (PARTITION BY parent_id) - 1 AS siblings FROM tree WHERE parent_id IS NOT NULL",
     "lowest_common_ancestor": """WITH q AS (SELECT DISTINCT 'c' || o_custkey AS a, 'n' || (o_orderkey % 25) AS b, o_custkey, o_orderkey % 25 AS n FROM orders)
         SELECT a, b, CASE WHEN c_nationkey = n THEN 'n' || n WHEN x.n_regionkey = y.n_regionkey THEN 'r' || x.n_regionkey END AS lca FROM q JOIN customer ON c_custkey = o_custkey JOIN nation x ON x.n_nationkey = c_nationkey JOIN nation y ON y.n_nationkey = n""",
+    "path_between": """WITH q AS (SELECT DISTINCT 'c' || o_custkey AS a, o_custkey, o_orderkey % 25 AS n FROM orders), j AS (SELECT a, 'n' || n AS b, 'n' || c_nationkey AS cn, 'r' || x.n_regionkey AS cr, 'r' || y.n_regionkey AS br FROM q JOIN customer ON c_custkey = o_custkey JOIN nation x ON x.n_nationkey = c_nationkey JOIN nation y ON y.n_nationkey = n)
+        SELECT a, b, CASE WHEN cn = b THEN a || '>' || b ELSE a || '>' || cn || '>' || cr || '>' || b END AS path FROM j WHERE cr = br""",
     "fk_violations": "SELECT o_custkey AS parent, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 != 0)",
     "cascade_set": f"{PATHS_CTE} SELECT agent_id AS id, depth AS round FROM p WHERE path[1] IN ('r0', 'r1')",
     "access_matrix": f"WITH {MATRIX} SELECT * FROM mat",

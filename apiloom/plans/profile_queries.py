@@ -35,6 +35,20 @@ def _scenarios(s, d):
     return P.build_scenarios(paths, ["normal", "exception"])
 
 
+def _broken(s, d):
+    """Scenarios with gaps, by the number of their path: no title, no description, a lost step, no or a far injection."""
+    rows, i = _scenarios(s, d), F.col("path_id")
+    fault = F.when(i % 3 == 0, F.lit(None)).when(i % 13 == 0, F.size("path") + 1).otherwise(F.col("injection_step"))
+    return rows.withColumns(
+        {
+            "title": F.when(i % 7 != 0, F.col("title")),
+            "description": F.when(i % 11 == 0, "").otherwise(F.col("description")),
+            "steps": F.when((i % 5 == 0) & (F.size("steps") > 1), F.slice("steps", 1, F.size("steps") - 1)).otherwise(F.col("steps")),
+            "injection_step": F.when(F.col("scenario_type") == "exception", fault),
+        }
+    )
+
+
 def _openapi(s, d):
     """One OpenAPI document for each brand, made of its parts as operations."""
     path = F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey").cast("string"))
@@ -59,7 +73,8 @@ QUERIES = {
     "column_roles": _columns,
     "validate_columns": _validate,
     "build_scenarios": lambda s, d: _scenarios(s, d).select("path_id", "scenario_type", "number", "title", F.size("steps").alias("n_steps"), "injection_step"),
-    "validate_scenario": lambda s, d: P.validate_scenario(_scenarios(s, d)).select("path_id", "scenario_type", "is_valid", F.size("warnings").alias("n_warnings"), "score"),
+    "validate_scenario": lambda s, d: P.validate_scenario(_broken(s, d)).select("path_id", "scenario_type", "is_valid", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"), "score"),
+    "scenario_statistics": lambda s, d: P.scenario_statistics(P.validate_scenario(_broken(s, d))),
     "association_skeleton": lambda s, d: P.association_skeleton(table(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], least=-1.0),
     "extract_api_rows": lambda s, d: A.extract_api_rows(_openapi(s, d)).select("doc_id", "path", "method", "operation_id", "summary"),
     "flatten_schema": _schemas,
@@ -75,13 +90,18 @@ QUERIES = {
 COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, (SELECT CAST(count(*) AS INT) FROM information_schema.columns WHERE table_name = '{n}') AS column_count" for n in NAMES)
 EV = "ev AS (SELECT event_id, ts, event_type, 'agent_' || (CAST(json_extract_string(props, '$.k') AS INT) // 4) AS agent_id, value / 10 AS seconds FROM events)"
 SCEN = "p AS (SELECT l_orderkey AS path_id, CAST(count(DISTINCT l_partkey) AS INT) AS n FROM lineitem GROUP BY ALL), k AS (SELECT *, unnest(['normal', 'exception']) AS scenario_type FROM p)"
+BROKEN = """f AS (SELECT *, n - CAST(path_id % 5 = 0 AND n > 1 AS INT) AS n_steps, CASE WHEN path_id % 3 = 0 THEN NULL WHEN path_id % 13 = 0 THEN n + 1 ELSE n // 2 END AS fault, scenario_type = 'exception' AS ex FROM k),
+  w AS (SELECT *, list_filter([CASE WHEN path_id % 7 = 0 THEN 'missing title' END, CASE WHEN path_id % 11 = 0 THEN 'missing description' END], lambda x: x IS NOT NULL) AS issues,
+    list_filter([CASE WHEN n_steps != n THEN 'step count' END, CASE WHEN ex AND fault IS NULL THEN 'no injection point' END, CASE WHEN ex AND fault >= n THEN 'injection outside the path' END], lambda x: x IS NOT NULL) AS warnings FROM f),
+  v AS (SELECT *, len(issues) = 0 AS is_valid, CASE WHEN len(issues) > 0 THEN 0 ELSE round(greatest(0, least(1, CAST(1 AS DOUBLE) - CAST(0.1 AS DOUBLE) * len(warnings) + CASE WHEN 15 * n - 1 > 50 THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN n_steps > 2 THEN CAST(0.1 AS DOUBLE) ELSE 0 END)), 6) END AS score FROM w)"""
 SQL = {
     "profile_tables": f"SELECT *, row_count > 0 AS has_data FROM ({COUNTS})",
     "column_roles": "SELECT table_name, column_name, CASE WHEN regexp_matches(column_name, '(_id|_no|_sn|_pk|key)$') THEN 'technical' ELSE 'business' END AS role FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in NAMES) + ")",
     "validate_columns": """SELECT c_custkey, array_to_string(list_sort(list_filter([CASE WHEN length(c_name) > 17 THEN 'c_name:too long' WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'c_name:bad format' END, CASE WHEN c_acctbal < 0 THEN 'c_acctbal:too small' END,
         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'c_mktsegment:not allowed' END, CASE WHEN c_nationkey % 2 != 0 THEN 'c_nationkey:failed check' END], lambda x: x IS NOT NULL)), ',') AS errors FROM customer""",
     "build_scenarios": f"WITH {SCEN} SELECT path_id, scenario_type, 1 AS number, scenario_type || ' flow over ' || n || ' calls' AS title, n AS n_steps, CASE WHEN scenario_type = 'exception' THEN n // 2 END AS injection_step FROM k",
-    "validate_scenario": f"WITH {SCEN} SELECT path_id, scenario_type, TRUE AS is_valid, 0 AS n_warnings, CAST(1.0 AS DOUBLE) AS score FROM k",
+    "validate_scenario": f"WITH {SCEN}, {BROKEN} SELECT path_id, scenario_type, is_valid, array_to_string(issues, ',') AS issues, array_to_string(warnings, ',') AS warnings, score FROM v",
+    "scenario_statistics": f"WITH {SCEN}, {BROKEN} SELECT scenario_type, count(*) AS scenarios, count(DISTINCT path_id) AS paths, count(*) FILTER (is_valid) AS valid, CAST(sum(len(issues)) AS BIGINT) AS issues, CAST(sum(len(warnings)) AS BIGINT) AS warnings, round(avg(score), 6) AS mean_score FROM v GROUP BY scenario_type",
     "extract_api_rows": "SELECT p_brand AS doc_id, '/api/' || lower(p_type) || '/' || p_partkey AS path, 'GET' AS method, 'get' || p_partkey AS operation_id, p_name AS summary FROM part",
     "flatten_schema": """WITH f AS (SELECT p_partkey, unnest([{'ord': 0, 'name': 'id', 'path': 'id', 'type': 'integer', 'description': ''}, {'ord': 1, 'name': lower(p_type), 'path': lower(p_type), 'type': 'array', 'description': ''},
         {'ord': 2, 'name': 'size' || p_size, 'path': lower(p_type) || '[].size' || p_size, 'type': 'number', 'description': 'd'}]) AS x FROM part) SELECT p_partkey, x.ord AS ord, x.name AS name, x.path AS path, x.type AS type, x.description AS description FROM f""",
