@@ -15,7 +15,7 @@ all three; only those are compared exactly.
    nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach and the
    sketches differ in at most 1/7 of both sizes. Tokens that one set has are dropped by a window; frequent tokens are
    dealt out by (token, part), so that none fills a task.
-3. Lists of two nodes are pairs. In longer lists each node first meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
+3. Lists of two nodes are pairs, if enough tokens of both prefixes can be common. In longer lists each node first meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
    in most of its lists. Then the pairs of lists of two are tested where they are not connected, and, while a list spans several components, members outside its largest component meet all
    members of other components, up to `waiting` of them in a round, twice as many in the next. Reach and sketches are
    conditions of these joins, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
@@ -193,9 +193,14 @@ def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
     return out.select("token", "node", "n", F.expr("cast((4 * n - 7 * place) div 3 as int)").alias("reach"), part.alias("part"))
 
 
-def _lists(entries: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _lists(entries: DataFrame, sketches: DataFrame, broadcast_nodes: int) -> tuple[DataFrame, DataFrame]:
     """(list, node, n, reach, sketch): the members of each shared token that may have a partner there; tokens with the
-    same members are one list (frequent tokens keep a list each). And (a, b): the possible pairs of lists of two."""
+    same members are one list (frequent tokens keep a list each). And (a, b): the possible pairs of lists of two.
+
+    Of the tokens that a linked pair must share at least ceil(3(n + m)/7) - ceil(3 max(n, m)/4) + 1 lie in both prefixes.
+    A list of two knows how many tokens its nodes share alone; they share no more others than the smaller of the numbers
+    of prefix tokens that each has in longer lists. So chance meetings go before sketches move.
+    """
     token = Window.partitionBy("token", "part")
     members = entries.select(
         "token",
@@ -209,15 +214,24 @@ def _lists(entries: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFram
         F.bit_xor(F.xxhash64("node")).over(token).alias("sign"),
     ).where("low < high or part is not null")
     one = F.when(F.col("part").isNull(), F.xxhash64("low", "high", "many", "sign")).otherwise(F.col("token"))
-    members = members.select(one.alias("list"), "node", "n", "reach").groupBy("list", "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"))
+    members = members.select(one.alias("list"), "node", "n", "reach").groupBy("list", "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"), F.count("*").alias("tokens"))
     members = cut(members)
     one = F.struct("node", "n", "reach")
-    size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"), F.min(one).alias("x"), F.max(one).alias("y"))
+    size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"), F.max("tokens").alias("tokens"), F.min(one).alias("x"), F.max(one).alias("y"))
     size = cut(size.where("many > 1"))
-    twos = size.where("many = 2 and x.n <= y.reach and y.n <= x.reach").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n")).distinct()
+    longer = members.join(size.where("many > 2").select("list", "least", "furthest"), "list")
+    more = cut(longer.groupBy("node").agg(F.sum("tokens").alias("more")))
+    twos = size.where("many = 2 and x.n <= y.reach and y.n <= x.reach").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "tokens")
+    for side in ("a", "b"):
+        twos = twos.join(more.select(F.col("node").alias(side), F.col("more").alias(f"{side}_more")), side, "left")
+    shared = F.col("tokens") + F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0)))
+    twos = cut(twos.where(shared >= F.expr("(3 * (a_n + b_n) + 6) div 7 - (3 * greatest(a_n, b_n) + 3) div 4 + 1")).select("a", "b", "a_n", "b_n"))
+    members = cut(longer.where("n <= furthest and least <= reach").select("list", "node", "n", "reach"))
+    wanted = members.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
+    few = wanted.limit(broadcast_nodes + 1).count() <= broadcast_nodes
+    sketches = sketches.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
     twos = _both(twos, sketches, "sketch").where(7 * _differing("a_sketch", "b_sketch") <= F.col("a_n") + F.col("b_n")).select("a", "b")
-    members = members.join(size.where("many > 2").select("list", "least", "furthest"), "list").where("n <= furthest and least <= reach")
-    return cut(members.select("list", "node", "n", "reach").join(sketches, "node")), cut(twos)
+    return cut(members.join(sketches, "node")), cut(twos)
 
 
 def _node_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
@@ -331,7 +345,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     freq = spark.sparkContext.broadcast(frequencies(sized))
     every = sized.where("node is not null").select("id", "node", "n", "sketch")
     reps = cut(every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")))
-    lists, twos = _lists(_prefix_entries(rows, freq, width), reps.select("node", "sketch"))
+    lists, twos = _lists(_prefix_entries(rows, freq, width), reps.select("node", "sketch"), broadcast_nodes)
 
     pairs, comp, nodes = cut(_first_pairs(lists)), None, []
     while True:
