@@ -60,6 +60,39 @@ def flatten_schema(rows: DataFrame, *, key: str, schema_col: str) -> DataFrame:
     return rows.select(key, schema_col).mapInPandas(run, f"`{key}` {kind}, ord int, name string, path string, type string, description string")
 
 
+def names_in(schema: object, deep: int = 3) -> set[str]:
+    """Lower-cased property names of a schema: its own, those of array items and of allOf, anyOf and oneOf parts."""
+    if not isinstance(schema, dict) or deep < 0:
+        return set()
+    properties = schema.get("properties")
+    out = {str(name).lower() for name in properties} if isinstance(properties, dict) else set()
+    parts = [schema.get("items")] if schema.get("type") == "array" else []
+    for key in ("allOf", "anyOf", "oneOf"):
+        parts += schema[key] if isinstance(schema.get(key), list) else []
+    for part in parts:
+        out |= names_in(part, deep - 1)
+    return out
+
+
+def field_names(schemas: Column) -> Column:
+    """The names of all schemas (an array of JSON texts), sorted; text that is not JSON has none."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(texts) -> list[str]:
+            found: set[str] = set()
+            for t in texts if texts is not None else []:
+                try:
+                    found |= names_in(json.loads(t)) if t else set()
+                except ValueError:
+                    pass
+            return sorted(found)
+
+        return s.map(one)
+
+    return run(F.coalesce(schemas, F.array().cast("array<string>")))
+
+
 def leaf_name(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, r"\."), -1), r"\[\]", "")
 

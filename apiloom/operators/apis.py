@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from apiloom.functions import schema as X
 from apiloom.functions import text as T
 
 OPERATION = "struct<operationId:string,summary:string,description:string,tags:array<string>>"
@@ -33,14 +34,90 @@ def extract_api_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+PARAMETER = "array<struct<name:string,`in`:string,type:string,required:boolean,schema:string>>"
+
+
 def classify_parameters(rows: DataFrame) -> DataFrame:
-    """Adds `parameters`: a map from location to (name, type, required); the type falls back to the schema's, then string."""
-    kind = "array<struct<name:string,`in`:string,type:string,required:boolean,schema:struct<type:string>>>"
-    raw = F.coalesce(F.from_json(F.get_json_object("json", "$.parameters"), kind), F.array().cast(kind))
-    shape = lambda p: F.struct(p["name"].alias("name"), F.coalesce(p["type"], p["schema"]["type"], F.lit("string")).alias("type"), F.coalesce(p["required"], F.lit(False)).alias("required"))
-    at = lambda place: F.transform(F.filter(raw, lambda p: p["in"] == place), shape)
+    """Adds `parameters`: a map from location to (name, type, required, content_type, schema); the type falls back to the
+    schema's, then string. Each content of an OpenAPI 3 request body is one more body row, with its type and schema."""
+    raw = F.coalesce(F.from_json(F.get_json_object("json", "$.parameters"), PARAMETER), F.array().cast(PARAMETER))
+    none = F.lit(None).cast("string")
+    shape = lambda p: F.struct(p["name"].alias("name"), F.coalesce(p["type"], F.get_json_object(p["schema"], "$.type"), F.lit("string")).alias("type"), F.coalesce(p["required"], F.lit(False)).alias("required"), none.alias("content_type"), p["schema"].alias("schema"))
+    at = lambda place: F.transform(F.filter(raw, lambda p: F.coalesce(p["in"], F.lit("query")) == place), shape)
+    must = F.coalesce(F.get_json_object("json", "$.requestBody.required") == "true", F.lit(False))
+    content = F.coalesce(F.from_json(F.get_json_object("json", "$.requestBody.content"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    bodies = F.transform(F.map_entries(content), lambda e: F.struct(none.alias("name"), none.alias("type"), must.alias("required"), e["key"].alias("content_type"), F.get_json_object(e["value"], "$.schema").alias("schema")))
     places = ["path", "query", "body", "header"]
-    return rows.withColumn("parameters", F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*map(at, places))))
+    lists = [F.concat(at("body"), bodies) if place == "body" else at(place) for place in places]
+    return rows.withColumn("parameters", F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*lists)))
+
+
+def with_schemas(rows: DataFrame) -> DataFrame:
+    """Adds `request_schema` (of the first content of the request body, else of the first body parameter) and
+    `response_schemas` (status code to schema: the response's own, else that of the first content that has one)."""
+    content = F.from_json(F.get_json_object("json", "$.requestBody.content"), "map<string,string>")
+    body = F.try_element_at(F.filter(F.from_json(F.get_json_object("json", "$.parameters"), PARAMETER), lambda p: p["in"] == "body"), F.lit(1))
+    request = F.when(F.size(content) > 0, F.get_json_object(F.element_at(F.map_values(content), 1), "$.schema")).otherwise(body["schema"])
+    real = lambda x: (x.isNotNull()) & (x != "{}")
+    responses = F.coalesce(F.from_json(F.get_json_object("json", "$.responses"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+    def one(r):
+        inside = F.map_values(F.coalesce(F.from_json(F.get_json_object(r, "$.content"), "map<string,string>"), F.create_map().cast("map<string,string>")))
+        first = F.try_element_at(F.filter(F.transform(inside, lambda c: F.get_json_object(c, "$.schema")), real), F.lit(1))
+        own = F.get_json_object(r, "$.schema")
+        return F.when(real(own), own).otherwise(first)
+
+    found = F.map_filter(F.transform_values(responses, lambda _, r: one(r)), lambda _, v: v.isNotNull())
+    return rows.withColumn("request_schema", request).withColumn("response_schemas", found)
+
+
+FIELD = "array<struct<name:string,path:string,type:string,required:boolean>>"
+
+
+def api_fields(apis: DataFrame, side: str, *, key: str = "operation_id") -> DataFrame:
+    """(key, ord, name, path, type, required): the request or response fields of each API.
+
+    A column `request_fields` or `response_fields` (name, type, required) is taken as it is. Else the request's are those
+    of `request_schema`, then the body, query and path parameters (a path parameter is required unless it says otherwise),
+    and the response's those of `response_schema`, then of the first of the codes 200, 201 and 204 that `response_schemas`
+    has, else of its first schema. Columns that are missing count as null.
+    """
+    has = lambda c: F.col(c) if c in apis.columns else F.lit(None)
+    direct = f"{side}_fields"
+    if side == "request":
+        schema = has("request_schema").cast("string")
+    else:
+        map_ = has("response_schemas").cast("map<string,string>")
+        code = F.try_element_at(F.filter(F.array(*map(F.lit, ("200", "201", "204"))), lambda c: F.map_contains_key(map_, c)), F.lit(1))
+        chosen = F.when(code.isNotNull(), F.try_element_at(map_, code)).otherwise(F.try_element_at(F.map_values(map_), F.lit(1)))
+        own = F.flatten(F.array(F.array(has("response_schema").cast("string"))))
+        schema = F.coalesce(F.try_element_at(own, F.lit(1)), chosen)
+    given = F.transform(F.col(direct), lambda f: F.struct(f["name"].alias("name"), f["name"].alias("path"), f["type"].alias("type"), f["required"].alias("required"))) if direct in apis.columns else F.lit(None).cast(FIELD)
+    rows = apis.select(key, given.alias("given"), schema.alias("schema"), (has("parameters") if side == "request" else F.lit(None)).alias("parameters"))
+    out = [rows.where("given IS NOT NULL").select(key, F.posexplode("given").alias("ord", "f")).select(key, "ord", "f.*")]
+    rest = rows.where("given IS NULL")
+    flat = X.flatten_schema(rest.where("schema IS NOT NULL"), key=key, schema_col="schema")
+    out.append(flat.select(key, "ord", "name", "path", "type", F.lit(False).alias("required")))
+    if side == "request" and "parameters" in apis.columns:
+        named = F.concat(*[F.coalesce(F.transform(F.filter(F.try_element_at("parameters", F.lit(place)), lambda p: p["name"].isNotNull()), lambda p, place=place: F.struct(p["name"].alias("name"), p["type"].alias("type"), F.coalesce(p["required"], F.lit(place == "path")).alias("required"))), F.array().cast("array<struct<name:string,type:string,required:boolean>>")) for place in ("body", "query", "path")])
+        more = rest.select(key, F.posexplode(named).alias("ord", "p"))
+        out.append(more.select(key, (F.col("ord") + 100_000).alias("ord"), F.col("p.name").alias("name"), F.col("p.name").alias("path"), F.col("p.type").alias("type"), F.col("p.required").alias("required")))
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1
+    return every.withColumn("ord", place).select(key, "ord", "name", "path", "type", "required")
+
+
+def schema_fingerprints(apis: DataFrame, *, key: str = "operation_id") -> DataFrame:
+    """(key, request, response): the lower-cased field names of the request schema with the names of the parameters, and
+    of the responses 200, 201 and 202; arrays and allOf, anyOf and oneOf are followed three levels deep."""
+    codes = F.array_compact(F.transform(F.array(*map(F.lit, ("200", "201", "202"))), lambda c: F.try_element_at("response_schemas", c)))
+    request = X.field_names(F.array("request_schema"))
+    if "parameters" in apis.columns:
+        names = F.transform(F.flatten(F.map_values("parameters")), lambda p: F.lower(p["name"]))
+        request = F.array_distinct(F.concat(request, F.coalesce(F.array_compact(names), F.array().cast("array<string>"))))
+    return apis.select(key, F.array_sort(request).alias("request"), F.array_sort(X.field_names(codes)).alias("response"))
 
 
 def entity_rollup(apis: DataFrame) -> DataFrame:

@@ -58,6 +58,24 @@ def _openapi(s, d):
     return table(s, d, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(doc.alias("json"))
 
 
+def _operations(s, d):
+    """Operations of both OpenAPI versions, one for each part: a request body, a body parameter, or query parameters."""
+    kind = F.col("p_partkey") % 3
+    size = F.col("p_size").cast("string")
+    schema = F.concat(F.lit('{"type":"object","properties":{"Id":{"type":"string"},"size'), size, F.lit('":{"type":"number"},"tags":{"type":"array","items":{"properties":{"Name":{"type":"string"}}}}}}'))
+    asked = (
+        F.when(kind == 0, F.concat(F.lit('"requestBody":{"required":true,"content":{"application/json":{"schema":'), schema, F.lit('}}}')))
+        .when(kind == 1, F.concat(F.lit('"parameters":[{"name":"id","in":"path","type":"integer"},{"name":"body","in":"body","schema":'), schema, F.lit("}]")))
+        .otherwise(F.concat(F.lit('"parameters":[{"name":"page'), size, F.lit('","in":"query","schema":{"type":"integer"},"required":true}]')))
+    )
+    code = F.element_at(F.array(*map(F.lit, ("200", "201", "404"))), (kind + 1).cast("int"))
+    inside = F.concat(F.lit('{"allOf":[{"properties":{"Total'), size, F.lit('":{"type":"integer"}}}]}'))
+    said = F.when(kind == 0, F.concat(F.lit('{"content":{"text/plain":{},"application/json":{"schema":'), inside, F.lit("}}}"))).otherwise(F.concat(F.lit('{"schema":'), schema, F.lit("}")))
+    text = F.concat(F.lit("{"), asked, F.lit(',"responses":{"'), code, F.lit('":'), said, F.lit("}}"))
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("operation_id"), text.alias("json"))
+    return A.with_schemas(A.classify_parameters(rows))
+
+
 def _schemas(s, d):
     text = F.concat(F.lit('{"type": "object", "properties": {"id": {"type": "integer"}, "'), F.lower("p_type"), F.lit('": {"type": "array", "items": {"properties": {"size'), F.col("p_size").cast("string"), F.lit('": {"type": "number", "description": "d"}}}}}}'))
     return X.flatten_schema(table(s, d, "part").select("p_partkey", text.alias("schema")), key="p_partkey", schema_col="schema")
@@ -78,6 +96,10 @@ QUERIES = {
     "association_skeleton": lambda s, d: P.association_skeleton(table(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], least=-1.0),
     "extract_api_rows": lambda s, d: A.extract_api_rows(_openapi(s, d)).select("doc_id", "path", "method", "operation_id", "summary"),
     "flatten_schema": _schemas,
+    "classify_parameters": lambda s, d: _operations(s, d).select("operation_id", *[F.array_join(F.transform(F.col("parameters")[k], lambda p: F.concat_ws(":", F.coalesce(p["name"], p["content_type"]), p["type"], p["required"])), ",").alias(k) for k in ("path", "query", "body", "header")]),
+    "request_schema": lambda s, d: _operations(s, d).select("operation_id", "request_schema", F.array_join(F.map_keys("response_schemas"), ",").alias("codes"), F.array_join(F.map_values("response_schemas"), ",").alias("responses")),
+    "api_fields": lambda s, d: A.api_fields(_operations(s, d), "request").withColumn("side", F.lit("request")).unionByName(A.api_fields(_operations(s, d), "response").withColumn("side", F.lit("response"))),
+    "schema_fingerprint": lambda s, d: A.schema_fingerprints(_operations(s, d)).select("operation_id", F.array_join("request", ",").alias("request"), F.array_join("response", ",").alias("response")),
     "event_from_row": _event_rows,
     "event_family": lambda s, d: table(s, d, "events").select("event_id", T.event_family(F.concat(F.element_at(F.array(*map(F.lit, ["TASK_", "SUBTASK_", "AGENT_", "DATA_", "X_"])), (F.col("event_id") % 5 + 1).cast("int")), F.upper("event_type"))).alias("family")),
     "error_rate_windows": lambda s, d: jobs.stream_error_rate(events(s, d), window="1 day", above=0.2),
@@ -89,6 +111,9 @@ QUERIES = {
 
 COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, (SELECT CAST(count(*) AS INT) FROM information_schema.columns WHERE table_name = '{n}') AS column_count" for n in NAMES)
 EV = "ev AS (SELECT event_id, ts, event_type, 'agent_' || (CAST(json_extract_string(props, '$.k') AS INT) // 4) AS agent_id, value / 10 AS seconds FROM events)"
+OPS = """o AS (SELECT p_partkey AS operation_id, p_partkey % 3 AS k, CAST(p_size AS VARCHAR) AS z, ['200', '201', '404'][p_partkey % 3 + 1] AS code,
+  '{"type":"object","properties":{"Id":{"type":"string"},"size' || p_size || '":{"type":"number"},"tags":{"type":"array","items":{"properties":{"Name":{"type":"string"}}}}}}' AS sch,
+  '{"allOf":[{"properties":{"Total' || p_size || '":{"type":"integer"}}}]}' AS tot FROM part)"""
 SCEN = "p AS (SELECT l_orderkey AS path_id, CAST(count(DISTINCT l_partkey) AS INT) AS n FROM lineitem GROUP BY ALL), k AS (SELECT *, unnest(['normal', 'exception']) AS scenario_type FROM p)"
 BROKEN = """f AS (SELECT *, n - CAST(path_id % 5 = 0 AND n > 1 AS INT) AS n_steps, CASE WHEN path_id % 3 = 0 THEN NULL WHEN path_id % 13 = 0 THEN n + 1 ELSE n // 2 END AS fault, scenario_type = 'exception' AS ex FROM k),
   w AS (SELECT *, list_filter([CASE WHEN path_id % 7 = 0 THEN 'missing title' END, CASE WHEN path_id % 11 = 0 THEN 'missing description' END], lambda x: x IS NOT NULL) AS issues,
@@ -103,6 +128,14 @@ SQL = {
     "validate_scenario": f"WITH {SCEN}, {BROKEN} SELECT path_id, scenario_type, is_valid, array_to_string(issues, ',') AS issues, array_to_string(warnings, ',') AS warnings, score FROM v",
     "scenario_statistics": f"WITH {SCEN}, {BROKEN} SELECT scenario_type, count(*) AS scenarios, count(DISTINCT path_id) AS paths, count(*) FILTER (is_valid) AS valid, CAST(sum(len(issues)) AS BIGINT) AS issues, CAST(sum(len(warnings)) AS BIGINT) AS warnings, round(avg(score), 6) AS mean_score FROM v GROUP BY scenario_type",
     "extract_api_rows": "SELECT p_brand AS doc_id, '/api/' || lower(p_type) || '/' || p_partkey AS path, 'GET' AS method, 'get' || p_partkey AS operation_id, p_name AS summary FROM part",
+    "classify_parameters": f"WITH {OPS} SELECT operation_id, CASE WHEN k = 1 THEN 'id:integer:false' ELSE '' END AS path, CASE WHEN k = 2 THEN 'page' || z || ':integer:true' ELSE '' END AS query, CASE k WHEN 0 THEN 'application/json:true' WHEN 1 THEN 'body:object:false' ELSE '' END AS body, '' AS header FROM o",
+    "request_schema": f"WITH {OPS} SELECT operation_id, CASE WHEN k < 2 THEN sch END AS request_schema, code AS codes, CASE WHEN k = 0 THEN tot ELSE sch END AS responses FROM o",
+    "api_fields": f"""WITH {OPS}, own AS (SELECT operation_id, k, unnest([{{'ord': 0, 'name': 'Id', 'path': 'Id', 'type': 'string'}}, {{'ord': 1, 'name': 'size' || z, 'path': 'size' || z, 'type': 'number'}}, {{'ord': 2, 'name': 'tags', 'path': 'tags', 'type': 'array'}}, {{'ord': 3, 'name': 'Name', 'path': 'tags[].Name', 'type': 'string'}}]) AS f FROM o)
+        SELECT operation_id, f.ord AS ord, f.name AS name, f.path AS path, f.type AS type, FALSE AS required, 'request' AS side FROM own WHERE k < 2
+        UNION ALL SELECT operation_id, 4 + i, ['body', 'id'][i + 1], ['body', 'id'][i + 1], ['object', 'integer'][i + 1], FALSE, 'request' FROM o, range(2) r(i) WHERE k = 1
+        UNION ALL SELECT operation_id, 0, 'page' || z, 'page' || z, 'integer', TRUE, 'request' FROM o WHERE k = 2
+        UNION ALL SELECT operation_id, f.ord, f.name, f.path, f.type, FALSE, 'response' FROM own WHERE k > 0""",
+    "schema_fingerprint": f"WITH {OPS} SELECT operation_id, CASE k WHEN 0 THEN 'id,size' || z || ',tags' WHEN 1 THEN 'body,id,size' || z || ',tags' ELSE 'page' || z END AS request, CASE k WHEN 0 THEN 'total' || z WHEN 1 THEN 'id,size' || z || ',tags' ELSE '' END AS response FROM o",
     "flatten_schema": """WITH f AS (SELECT p_partkey, unnest([{'ord': 0, 'name': 'id', 'path': 'id', 'type': 'integer', 'description': ''}, {'ord': 1, 'name': lower(p_type), 'path': lower(p_type), 'type': 'array', 'description': ''},
         {'ord': 2, 'name': 'size' || p_size, 'path': lower(p_type) || '[].size' || p_size, 'type': 'number', 'description': 'd'}]) AS x FROM part) SELECT p_partkey, x.ord AS ord, x.name AS name, x.path AS path, x.type AS type, x.description AS description FROM f""",
     "event_from_row": "SELECT CAST(event_id AS VARCHAR) AS event_id, json_extract_string(props, '$.k') AS k, event_id * 60 AS seconds, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events",
