@@ -12,15 +12,15 @@ all three; only those are compared exactly.
 2. A second pass explodes the A-prefix of each distinct set (copies inside a task are dropped before the shuffle). Each
    entry carries its `reach`, the largest set that its place in the prefix still allows as a partner: from a shared
    token at place i on, n - i tokens are left, and 3/7 of both sizes must be common. A pair is possible in a list (the
-   nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach and the
-   sketches differ in at most 1/7 of both sizes. Tokens that one set has are dropped by a window; frequent tokens are
+   nodes of one token, or of several tokens with the same nodes) only if each set is within the other's reach and both
+   prefixes hold enough tokens that others have. Tokens that one set has are dropped by a window; frequent tokens are
    dealt out by (token, part), so that none fills a task.
 3. Lists of two nodes are pairs, if enough tokens of both prefixes can be common. In longer lists each node first meets one partner: of the cleanest members of its lists (the longest reach for their size) the one
    in most of its lists. Then the pairs of lists of two are tested where they are not connected, and, while a list spans several components, members outside its largest component meet all
-   members of other components, up to `waiting` of them in a round, twice as many in the next. Reach and sketches are
-   conditions of these joins, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
+   members of other components, up to `waiting` of them in a round, twice as many in the next. Reach and prefix tokens
+   are conditions of these joins, so a pair that cannot be similar is no row. Pairs inside one component are not needed. A
    linked pair shares a list within reach, so it is tested or connected already: no link is lost.
-4. The nodes of candidates get a row with their B- and reverse-B-prefix and their tokens, from one text each. Candidates
+4. Candidates whose sketches differ in more than 1/7 of both sizes go. The nodes of the others get a row with their B- and reverse-B-prefix and their tokens, from one text each. Candidates
    are joined with both prefixes first, the survivors with both token arrays; no text moves.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as one; null, empty and blank texts have
@@ -193,13 +193,17 @@ def _prefix_entries(rows: DataFrame, freq, width: int) -> DataFrame:
     return out.select("token", "node", "n", F.expr("cast((4 * n - 7 * place) div 3 as int)").alias("reach"), part.alias("part"))
 
 
-def _lists(entries: DataFrame, sketches: DataFrame, broadcast_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """(list, node, n, reach, sketch): the members of each shared token that may have a partner there; tokens with the
-    same members are one list (frequent tokens keep a list each). And (a, b): the possible pairs of lists of two.
+#: Tokens that the prefixes of two linked sets have in common at least.
+_COMMON = "(3 * ({a}n + {b}n) + 6) div 7 - (3 * greatest({a}n, {b}n) + 3) div 4 + 1"
 
-    Of the tokens that a linked pair must share at least ceil(3(n + m)/7) - ceil(3 max(n, m)/4) + 1 lie in both prefixes.
-    A list of two knows how many tokens its nodes share alone; they share no more others than the smaller of the numbers
-    of prefix tokens that each has in longer lists. So chance meetings go before sketches move.
+
+def _lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list, node, n, reach, met): the members of each shared token that may have a partner there; tokens with the same
+    members are one list (frequent tokens keep a list each). And (a, b): the possible pairs of lists of two.
+
+    Of the tokens that a linked pair must share, ceil(3(n + m)/7) - ceil(3 max(n, m)/4) + 1 or more lie in both prefixes.
+    `met` is how many prefix tokens of a node others have too. A list of two knows how many tokens its nodes share alone;
+    they share no more others than the smaller of the numbers of prefix tokens that each has in longer lists.
     """
     token = Window.partitionBy("token", "part")
     members = entries.select(
@@ -219,19 +223,14 @@ def _lists(entries: DataFrame, sketches: DataFrame, broadcast_nodes: int) -> tup
     one = F.struct("node", "n", "reach")
     size = members.groupBy("list").agg(F.min("n").alias("least"), F.max("reach").alias("furthest"), F.count("*").alias("many"), F.max("tokens").alias("tokens"), F.min(one).alias("x"), F.max(one).alias("y"))
     size = cut(size.where("many > 1"))
-    longer = members.join(size.where("many > 2").select("list", "least", "furthest"), "list")
-    more = cut(longer.groupBy("node").agg(F.sum("tokens").alias("more")))
+    counted = members.join(size.select("list", "least", "furthest", F.col("many").alias("all")), "list")
+    met = cut(counted.groupBy("node").agg(F.sum("tokens").alias("met"), F.sum(F.when(F.col("all") > 2, F.col("tokens")).otherwise(0)).alias("more")))
     twos = size.where("many = 2 and x.n <= y.reach and y.n <= x.reach").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "tokens")
     for side in ("a", "b"):
-        twos = twos.join(more.select(F.col("node").alias(side), F.col("more").alias(f"{side}_more")), side, "left")
-    shared = F.col("tokens") + F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0)))
-    twos = cut(twos.where(shared >= F.expr("(3 * (a_n + b_n) + 6) div 7 - (3 * greatest(a_n, b_n) + 3) div 4 + 1")).select("a", "b", "a_n", "b_n"))
-    members = cut(longer.where("n <= furthest and least <= reach").select("list", "node", "n", "reach"))
-    wanted = members.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
-    few = wanted.limit(broadcast_nodes + 1).count() <= broadcast_nodes
-    sketches = sketches.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    twos = _both(twos, sketches, "sketch").where(7 * _differing("a_sketch", "b_sketch") <= F.col("a_n") + F.col("b_n")).select("a", "b")
-    return cut(members.join(sketches, "node")), cut(twos)
+        twos = twos.join(met.select(F.col("node").alias(side), F.col("more").alias(f"{side}_more")), side)
+    twos = twos.where(F.col("tokens") + F.least("a_more", "b_more") >= F.expr(_COMMON.format(a="a_", b="b_"))).select("a", "b")
+    longer = counted.where("all > 2 and n <= furthest and least <= reach").select("list", "node", "n", "reach")
+    return cut(longer.join(met.select("node", "met"), "node")), cut(twos)
 
 
 def _node_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
@@ -277,9 +276,16 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _possible(node: str, other: str) -> Column:
-    """Whether two members of a list are within each other's reach and their sketches close enough."""
-    near = F.expr(f"{node}n <= {other}reach and {other}n <= {node}reach")
-    return near & (7 * _differing(f"{node}sketch", f"{other}sketch") <= F.col(f"{node}n") + F.col(f"{other}n"))
+    """Whether two members of a list are within each other's reach, and share enough of both prefixes if at all."""
+    return F.expr(f"{node}n <= {other}reach and {other}n <= {node}reach and least({node}met, {other}met) >= {_COMMON.format(a=node, b=other)}")
+
+
+def _close(pairs: DataFrame, reps: DataFrame, broadcast_nodes: int) -> DataFrame:
+    """The pairs whose sketches differ in no more bits than linked sets do in shingles."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    few = ends.limit(broadcast_nodes + 1).count() <= broadcast_nodes
+    held = reps.join(F.broadcast(ends) if few else ends, "node", "left_semi")
+    return _both(pairs, held, "n", "sketch").where(7 * _differing("a_sketch", "b_sketch") <= F.col("a_n") + F.col("b_n")).select("a", "b")
 
 
 def _ordered(node: str, partner: str) -> tuple[Column, Column]:
@@ -288,9 +294,8 @@ def _ordered(node: str, partner: str) -> tuple[Column, Column]:
 
 def _first_pairs(lists: DataFrame) -> DataFrame:
     """One pair for each node: with the clean member that it meets in most of its lists."""
-    best = lists.groupBy("list").agg(F.max_by(F.struct("node", "n", "reach"), F.struct(F.col("reach") / F.col("n"), F.col("node"))).alias("p"))
-    best = best.select("list", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "reach")))
-    best = best.join(lists.select("list", F.col("node").alias("p_node"), F.col("sketch").alias("p_sketch")), ["list", "p_node"])
+    clean = F.max_by(F.struct("node", "n", "reach", "met"), F.struct(F.col("reach") / F.col("n"), F.col("node"))).alias("p")
+    best = lists.groupBy("list").agg(clean).select("list", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "reach", "met")))
     met = lists.join(best, "list").where(F.col("node") != F.col("p_node")).where(_possible("", "p_"))
     often = met.groupBy("node", F.col("p_node").alias("partner")).agg(F.count("*").alias("times"))
     best = often.groupBy("node").agg(F.max_by("partner", F.struct("times", "partner")).alias("partner"))
@@ -304,12 +309,12 @@ def _next_pairs(lists: DataFrame, comp: DataFrame, waiting: int) -> tuple[DataFr
     largest = sizes.groupBy("list").agg(F.max_by("comp", F.struct("many", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
     rows = cut(rows.join(largest.drop("comps"), "list"))
     rank = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("node"), "node"))
-    chosen = cut(rows.where("comp != largest").withColumn("rank", rank).where(F.col("rank") <= waiting).select("list", "node", "n", "reach", "sketch", "comp"))
-    other = chosen.select("list", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "reach", "sketch", "comp")))
+    chosen = cut(rows.where("comp != largest").withColumn("rank", rank).where(F.col("rank") <= waiting).select("list", "node", "n", "reach", "met", "comp"))
+    other = chosen.select("list", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "reach", "met", "comp")))
     met = rows.join(other, "list").where("comp != p_comp").where(_possible("", "p_"))
-    pairs = cut(met.select(*_ordered("node", "p_node")).distinct())
+    pairs = met.select(*_ordered("node", "p_node")).distinct()
     left = rows.join(chosen.select("list", "node"), ["list", "node"], "left_anti")
-    return pairs, left.select("list", "node", "n", "reach", "sketch")
+    return pairs, left.select("list", "node", "n", "reach", "met")
 
 
 def _across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -344,11 +349,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sized = cut(_sized(rows, width))
     freq = spark.sparkContext.broadcast(frequencies(sized))
     every = sized.where("node is not null").select("id", "node", "n", "sketch")
-    reps = cut(every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")))
-    lists, twos = _lists(_prefix_entries(rows, freq, width), reps.select("node", "sketch"), broadcast_nodes)
+    reps = cut(every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
+    lists, twos = _lists(_prefix_entries(rows, freq, width))
 
     pairs, comp, nodes = cut(_first_pairs(lists)), None, []
     while True:
+        pairs = cut(_close(pairs, reps, broadcast_nodes))
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         for known in nodes:
             wanted = wanted.join(known.select("node"), "node", "left_anti")
@@ -359,7 +365,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             comp = _merged(comp, links)
         pairs, lists = _next_pairs(lists, comp if comp is not None else spark.createDataFrame([], "node long, comp long"), waiting)
         if twos is not None:
-            pairs, twos = cut(pairs.unionByName(_across(twos, comp)).distinct()), None
+            pairs, twos = pairs.unionByName(_across(twos, comp)).distinct(), None
+        pairs = cut(pairs)
         if pairs.isEmpty() and lists.isEmpty():
             break
         waiting *= 2
