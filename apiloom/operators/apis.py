@@ -99,7 +99,13 @@ def api_fields(apis: DataFrame, side: str, *, key: str = "operation_id") -> Data
     flat = X.flatten_schema(rest.where("schema IS NOT NULL"), key=key, schema_col="schema")
     out.append(flat.select(key, "ord", "name", "path", "type", F.lit(False).alias("required")))
     if side == "request" and "parameters" in apis.columns:
-        named = F.concat(*[F.coalesce(F.transform(F.filter(F.try_element_at("parameters", F.lit(place)), lambda p: p["name"].isNotNull()), lambda p, place=place: F.struct(p["name"].alias("name"), p["type"].alias("type"), F.coalesce(p["required"], F.lit(place == "path")).alias("required"))), F.array().cast("array<struct<name:string,type:string,required:boolean>>")) for place in ("body", "query", "path")])
+        kind = "array<struct<name:string,type:string,required:boolean>>"
+
+        def at(place: str):
+            shape = lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), F.coalesce(p["required"], F.lit(place == "path")).alias("required"))
+            return F.coalesce(F.transform(F.filter(F.try_element_at("parameters", F.lit(place)), lambda p: p["name"].isNotNull()), shape), F.array().cast(kind))
+
+        named = F.concat(at("body"), at("query"), at("path"))
         more = rest.select(key, F.posexplode(named).alias("ord", "p"))
         out.append(more.select(key, (F.col("ord") + 100_000).alias("ord"), F.col("p.name").alias("name"), F.col("p.name").alias("path"), F.col("p.type").alias("type"), F.col("p.required").alias("required")))
     every = out[0]

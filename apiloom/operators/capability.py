@@ -127,7 +127,7 @@ def density_clusters(texts: DataFrame, *, least: int = 2, block: int = 2048) ->
                 yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(n)), pa.array(values), pa.array(n)], names=["tag", "d", "n"])
 
     spread = pairs.mapInArrow(counts, "tag string, d double, n long").groupBy("tag", "d").agg(F.sum("n").alias("n"))
-    median = spread.groupBy("tag").agg(F.percentile("d", F.lit(0.5), "n").alias("eps"))
+    median = spread.groupBy("tag").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("eps"))
     eps = cut(points.select("tag").distinct().join(median, "tag", "left").select("tag", F.round(F.least(F.lit(0.7), F.greatest(F.lit(0.3), F.coalesce("eps", F.lit(0.3)))), 6).alias("eps")))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

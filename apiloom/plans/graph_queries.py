@@ -293,6 +293,16 @@ SQL = {
     "belongs_to": f"WITH {APIS} SELECT operation_id, entity FROM apis WHERE entity != 'unknown'",
     "neighbours": f"""WITH {EDGES}, o AS (SELECT src AS node, count(*) AS n_out, arg_min(dst, (-score, dst)) AS best FROM edges GROUP BY ALL), i AS (SELECT dst AS node, count(*) AS n_in FROM edges GROUP BY ALL)
         SELECT node, CAST(n_out AS INT) AS n_out, CAST(n_in AS INT) AS n_in, best FROM o FULL JOIN i USING (node)""",
+    "api_roles": f"""WITH {APIS}, {ENTITIES}, {RELATED}, {API_EDGES}, r AS (SELECT entity, arg_min(operation_id, ord) AS dst FROM apis WHERE method = 'GET' OR path LIKE '%/get%' OR path LIKE '%/list%' OR path LIKE '%/page%' GROUP BY ALL),
+        e AS (SELECT a.operation_id AS src, r.dst FROM apis a JOIN related ON source = a.entity JOIN r ON r.entity = target WHERE (method IN ('POST', 'PUT') OR path LIKE '%/create%' OR path LIKE '%/update%') AND a.operation_id NOT IN (SELECT src FROM aedges) UNION ALL SELECT src, dst FROM aedges),
+        t AS (SELECT e.src, e.dst, a.entity != b.entity AS far FROM e JOIN apis a ON a.operation_id = src JOIN apis b ON b.operation_id = dst),
+        o AS (SELECT src AS operation_id, count(*) AS outgoing FROM t WHERE far GROUP BY ALL), i AS (SELECT dst AS operation_id, count(*) AS incoming FROM t GROUP BY ALL),
+        x AS (SELECT operation_id, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) AS incoming FROM apis LEFT JOIN o USING (operation_id) LEFT JOIN i USING (operation_id))
+        SELECT *, CASE WHEN outgoing > 0 AND incoming > 0 THEN 'BRIDGE' WHEN incoming > 0 THEN 'PRODUCER' WHEN outgoing > 0 THEN 'CONSUMER' ELSE 'INTERNAL' END AS role FROM x""",
+    "parameter_flow": f"""WITH {APIS}, {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
+        st AS (SELECT l_orderkey AS path_id, l_linenumber AS pos, min(operation_id) AS operation_id FROM lineitem JOIN apis ON ord = l_partkey GROUP BY ALL),
+        g AS (SELECT path_id, name, min(pos) AS from_pos, arg_min(operation_id, pos) AS from_operation FROM st JOIN p USING (operation_id) GROUP BY ALL)
+        SELECT st.path_id, pos, st.operation_id, q.name, from_pos, from_operation FROM st JOIN q ON q.operation_id = st.operation_id JOIN g ON g.path_id = st.path_id AND g.name = q.name WHERE from_pos < pos""",
     "entry_points": f"""WITH {APIS}, {API_EDGES}, i AS (SELECT dst AS operation_id, count(*) AS indegree FROM aedges e JOIN apis a ON a.operation_id = src JOIN apis b ON b.operation_id = dst WHERE a.entity = b.entity GROUP BY ALL)
         SELECT entity, operation_id, coalesce(indegree, 0) AS indegree, CAST(row_number() OVER w AS INT) AS rank FROM apis LEFT JOIN i USING (operation_id) WINDOW w AS (PARTITION BY entity ORDER BY coalesce(indegree, 0), ord) QUALIFY row_number() OVER w <= 3""",
     "adjacency": f"WITH {EDGES} SELECT src, string_agg(dst, ',' ORDER BY -score, dst) AS neighbours FROM edges GROUP BY src",

@@ -76,13 +76,12 @@ class _Best(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, score, params = self.state.get() if self.state.exists() else (0, float("-inf"), "")
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values("event_id").itertuples():
-                n += 1
-                if r.score > score:
-                    score, params = float(r.score), r.params
-                if n % self.every == 0:
-                    out.append((key[0], n, score, params))
+        for r in pd.concat(list(rows)).sort_values("event_id").itertuples():
+            n += 1
+            if r.score > score:
+                score, params = float(r.score), r.params
+            if n % self.every == 0:
+                out.append((key[0], n, score, params))
         self.state.update((n, score, params))
         yield pd.DataFrame(out, columns=["task_id", "n", "best", "params"])
 
@@ -97,6 +96,71 @@ def stream_feedback_best(feedback: DataFrame, *, every: int = 10) -> DataFrame:
     )
 
 
+class _Active(StatefulProcessor):
+    """The running number of started and not finished tasks of each agent, reported at each change."""
+
+    def __init__(self, above: int):
+        self.above = above
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("active", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.state.get()[0] if self.state.exists() else 0
+        out = []
+        every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for r in every.itertuples():
+            step = {"TASK_STARTED": 1, "TASK_FINISHED": -1, "TASK_FAILED": -1}.get(r.event_type, 0)
+            if step:
+                n = max(0, n + step)
+                out.append((key[0], int(r.event_id), n, n > self.above))
+        self.state.update((n,))
+        yield pd.DataFrame(out, columns=["agent_id", "event_id", "active", "alert"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_active_tasks(events: DataFrame, *, above: int = 10) -> DataFrame:
+    """(agent_id, event_id, active, alert) at each start or end of a task; the number is the state, across all batches."""
+    return events.groupBy("agent_id").transformWithStateInPandas(
+        statefulProcessor=_Active(above), outputStructType="agent_id string, event_id long, active long, alert boolean", outputMode="Append", timeMode="None"
+    )
+
+
+class _Group(StatefulProcessor):
+    """The tasks of a group that have ended; the group is reported once, when all it expects have."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ended = handle.getMapState("ended", "task_id long", "status string")
+        self.told = handle.getValueState("told", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        expected = 0
+        for pdf in rows:
+            for r in pdf.sort_values("event_id").itertuples():
+                expected = int(r.expected)
+                if r.status in ("success", "failed", "timeout") and not self.ended.containsKey((int(r.task_id),)):
+                    self.ended.updateValue((int(r.task_id),), (r.status,))
+        done = [v[0] for v in self.ended.values()]
+        out = []
+        if len(done) >= expected > 0 and not self.told.exists():
+            self.told.update((len(done),))
+            out.append((key[0], len(done), sum(x == "success" for x in done), "success" if all(x == "success" for x in done) else "partial" if "success" in done else "failed"))
+        yield pd.DataFrame(out, columns=["group_id", "tasks", "succeeded", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_group_completion(states: DataFrame) -> DataFrame:
+    """(group_id, tasks, succeeded, status) of each group, once all its `expected` tasks have ended: success, partial or
+    failed. Input rows are (group_id, expected, task_id, status, event_id); a task counts with its first end."""
+    return states.groupBy("group_id").transformWithStateInPandas(
+        statefulProcessor=_Group(), outputStructType="group_id long, tasks long, succeeded long, status string", outputMode="Append", timeMode="None"
+    )
+
+
 class _Task(StatefulProcessor):
     """pending -> success, or retry up to `retries` times and then failed; a quiet task times out."""
 

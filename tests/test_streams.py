@@ -48,11 +48,64 @@ def test_alert_jobs_run(spark, folder):
     assert jobs.slow_alert(rows, window="1 day", above=0.0).count() > 0
 
 
-def test_stateful_jobs(spark, folder, tmp_path):
+@pytest.fixture(scope="module")
+def ordered(spark, sf, tmp_path_factory):
+    """Events in files by time, one file a batch, without replays."""
+    path = str(tmp_path_factory.mktemp("ordered"))
+    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events = jobs.event_stream(spark, folder)
+    return path
+
+
+def test_feedback_best_equals_a_fold(spark, ordered, tmp_path):
+    events = jobs.event_stream(spark, ordered)
     feedback = events.select(F.col("user_id").alias("task_id"), "event_id", F.col("value").alias("score"), F.col("props").alias("params"))
-    got = run(spark, jobs.stream_feedback_best(feedback, every=5), "best", tmp_path).groupBy("task_id").agg(F.max("best").alias("b"), F.max("n").alias("n")).collect()
-    assert got and all(r["n"] % 5 == 0 for r in got)
-    state = run(spark, jobs.stream_task_state(events.withColumn("task_id", F.col("user_id"))), "state", tmp_path)
-    assert {r["status"] for r in state.select("status").distinct().collect()} <= {"pending", "retry", "success", "failed", "timeout"} and state.count() > 0
+    got = sorted(tuple(r) for r in run(spark, jobs.stream_feedback_best(feedback, every=5), "best", tmp_path).collect())
+    want, state = [], {}
+    for r in batch(spark, ordered).orderBy("ts", "event_id").collect():
+        n, score, params = state.get(r["user_id"], (0, float("-inf"), ""))
+        state[r["user_id"]] = (n + 1, *((r["value"], r["props"]) if r["value"] > score else (score, params)))
+        if (n + 1) % 5 == 0:
+            want.append((r["user_id"], *state[r["user_id"]]))
+    assert got == sorted(want) and got
+
+
+def test_active_tasks_equal_a_fold(spark, ordered, tmp_path):
+    kinds = F.create_map(*[F.lit(x) for kv in {"view": "TASK_STARTED", "click": "TASK_STARTED", "purchase": "TASK_FINISHED", "error": "TASK_FAILED"}.items() for x in kv])
+    shape = lambda e: e.select("event_id", "ts", (F.col("user_id") % 7).cast("string").alias("agent_id"), F.coalesce(kinds[F.col("event_type")], F.lit("other")).alias("event_type"))
+    got = sorted(tuple(r) for r in run(spark, jobs.stream_active_tasks(shape(jobs.event_stream(spark, ordered)), above=3), "active", tmp_path).collect())
+    want, n = [], {}
+    for r in shape(batch(spark, ordered)).orderBy("ts", "event_id").collect():
+        step = {"TASK_STARTED": 1, "TASK_FINISHED": -1, "TASK_FAILED": -1}.get(r["event_type"], 0)
+        if step:
+            n[r["agent_id"]] = max(0, n.get(r["agent_id"], 0) + step)
+            want.append((r["agent_id"], r["event_id"], n[r["agent_id"]], n[r["agent_id"]] > 3))
+    assert got == sorted(want) and any(a for *_, a in got) and not all(a for *_, a in got)
+
+
+def test_groups_complete_once(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    rows = [(1, 2, 10, "success", 1), (1, 2, 11, "retry", 2), (2, 1, 20, "failed", 3), (1, 2, 11, "failed", 4), (1, 2, 10, "failed", 5), (3, 2, 30, "success", 6), (1, 2, 12, "success", 7), (4, 2, 40, "success", 8), (4, 2, 41, "success", 9)]
+    frame = spark.createDataFrame(rows, "group_id long, expected int, task_id long, status string, event_id long")
+    for k in range(3):
+        frame.where(f"event_id % 3 = {(k + 1) % 3} and event_id > 0").coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r["group_id"]: (r["tasks"], r["succeeded"], r["status"]) for r in run(spark, jobs.stream_group_completion(stream), "groups", tmp_path).collect()}
+    assert set(got) == {1, 2, 4} and got[2] == (1, 0, "failed") and got[4] == (2, 2, "success") and got[1][2] == "partial"
+
+
+def test_task_states_and_time_outs(spark, tmp_path):
+    path = str(tmp_path / "states")
+    at = lambda m: f"2024-01-01 00:{m:02}:00"
+    waves = [[(1, at(0), 1, "view"), (2, at(0), 2, "error"), (3, at(1), 3, "view"), (4, at(1), 3, "purchase")], [(5, at(20), 4, "view")], [(6, at(40), 4, "view")], [(7, at(59), 5, "view")]]
+    for wave in waves:
+        rows = spark.createDataFrame(wave, "event_id long, ts string, task_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    got = run(spark, jobs.stream_task_state(stream, retries=1, timeout_seconds=300, watermark="1 minute"), "state", tmp_path).collect()
+    last = {}
+    for r in got:
+        last.setdefault(r["task_id"], []).append(r["status"])
+    assert last[1][-1] == "timeout" and last[2] == ["retry", "timeout"] and last[3] == ["pending", "success"] and "timeout" not in last[3]
