@@ -159,18 +159,21 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-def rouge_scores(reference: str, hypothesis: str) -> tuple[float, float, float]:
-    """F1 of shared words, shared word pairs and the longest common subsequence."""
+ROUGE = [f"rouge_{n}{part}" for n in ("1", "2", "l") for part in ("", "_precision", "_recall")]
+
+
+def rouge_scores(reference: str, hypothesis: str) -> tuple[float, ...]:
+    """F1, precision and recall of shared words, of shared word pairs and of the longest common subsequence."""
     ref, hyp = (reference or "").lower().split(), (hypothesis or "").lower().split()
 
-    def f1(shared: int, n: int, m: int) -> float:
-        return 2 * shared / (n + m) if shared else 0.0
+    def scores(shared: int, n: int, m: int) -> tuple[float, float, float]:
+        return (2 * shared / (n + m), shared / m, shared / n) if shared else (0.0, 0.0, 0.0)
 
-    out = []
+    out: tuple[float, ...] = ()
     for n in (1, 2):
         a, b = _grams(ref, n), _grams(hyp, n)
-        out.append(f1(sum(min(c, b[g]) for g, c in a.items()), sum(a.values()), sum(b.values())))
-    return (*out, f1(lcs_length(ref, hyp), len(ref), len(hyp)))
+        out += scores(sum(min(c, b[g]) for g, c in a.items()), sum(a.values()), sum(b.values()))
+    return out + scores(lcs_length(ref, hyp), len(ref), len(hyp))
 
 
 def bleu(reference: str, hypothesis: str) -> Column:
@@ -182,9 +185,9 @@ def bleu(reference: str, hypothesis: str) -> Column:
 
 
 def rouge(reference: str, hypothesis: str) -> Column:
-    @F.pandas_udf("rouge_1 double, rouge_2 double, rouge_l double")
+    @F.pandas_udf(", ".join(f"{c} double" for c in ROUGE))
     def run(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rouge_scores(x, y) for x, y in zip(r, h, strict=True)], columns=["rouge_1", "rouge_2", "rouge_l"])
+        return pd.DataFrame([rouge_scores(x, y) for x, y in zip(r, h, strict=True)], columns=ROUGE)
 
     return run(reference, hypothesis)
 

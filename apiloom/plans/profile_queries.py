@@ -12,7 +12,7 @@ from apiloom.plans.views import table
 from apiloom.sources import readers
 from apiloom.streaming import jobs
 
-NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def events(s, d):
