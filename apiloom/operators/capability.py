@@ -124,7 +124,7 @@ def density_clusters(texts: DataFrame, *, least: int = 2, block: int = 2048) ->
             for tag, i, j, x, y in zip(*(batch.column(c) for c in ("tag", "i", "j", "x", "y")), strict=True):
                 d = _distances(x, y)
                 values, n = np.unique(d[np.triu_indices(len(d), 1)] if i == j else d, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(n)), pa.array(values), pa.array(n)], names=["tag", "d", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(n), pa.string()), pa.array(values, pa.float64()), pa.array(n, pa.int64())], names=["tag", "d", "n"])
 
     spread = pairs.mapInArrow(counts, "tag string, d double, n long").groupBy("tag", "d").agg(F.sum("n").alias("n"))
     median = spread.groupBy("tag").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("eps"))
@@ -136,7 +136,7 @@ def density_clusters(texts: DataFrame, *, least: int = 2, block: int = 2048) ->
                 close = _distances(x, y) <= e.as_py()
                 h = x.values.field("h").to_pylist() + (y.values.field("h").to_pylist() if i != j else [])
                 n = np.concatenate([close.sum(1), close.sum(0)]) if i != j else close.sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(h)), pa.array(h), pa.array(n)], names=["tag", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([tag.as_py()] * len(h), pa.string()), pa.array(h, pa.string()), pa.array(n, pa.int64())], names=["tag", "h", "n"])
 
     dense = pairs.join(eps, "tag").mapInArrow(near, "tag string, h string, n long").groupBy("tag", "h").agg((F.sum("n") >= least).alias("core"))
     flagged = _tag_blocks(vectors.join(dense, ["tag", "h"]), block)

@@ -52,7 +52,10 @@ def test_alert_jobs_run(spark, folder):
 def ordered(spark, sf, tmp_path_factory):
     """Events in files by time, one file a batch, without replays."""
     path = str(tmp_path_factory.mktemp("ordered"))
-    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    day = F.dayofmonth("ts")
+    for low, high in ((1, 8), (9, 16), (17, 24), (25, 31)):
+        rows.where(day.between(low, high)).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return path
 
@@ -84,7 +87,7 @@ def test_active_tasks_equal_a_fold(spark, ordered, tmp_path):
 
 
 def test_groups_complete_once(spark, tmp_path):
-    path = str(tmp_path / "groups")
+    path = str(tmp_path / "group_rows")
     rows = [(1, 2, 10, "success", 1), (1, 2, 11, "retry", 2), (2, 1, 20, "failed", 3), (1, 2, 11, "failed", 4), (1, 2, 10, "failed", 5), (3, 2, 30, "success", 6), (1, 2, 12, "success", 7), (4, 2, 40, "success", 8), (4, 2, 41, "success", 9)]
     frame = spark.createDataFrame(rows, "group_id long, expected int, task_id long, status string, event_id long")
     for k in range(3):
