@@ -308,3 +308,24 @@ def constraints(apis: DataFrame) -> DataFrame:
     sensitive = T.is_sensitive(F.col("operation_id"), F.col("path"), F.col("method"))
     rows = F.array_compact(F.array(F.when(sensitive, F.lit("audit")), F.when(F.upper("method") == "DELETE", F.lit("approval"))))
     return apis.select("operation_id", F.explode(rows).alias("constraint")).withColumn("contract_id", F.substring(F.md5(F.concat_ws(":", "operation_id", "constraint")), 1, 8))
+
+
+#: Words of financial operations.
+MONEY_WORDS = ["payment", "transfer", "refund"]
+
+
+def rule_constraints(apis: DataFrame) -> DataFrame:
+    """0 to 3 constraint rows of each API (operation_id, name, method, role_level): approval of deletes by specialists, a
+    limit of amounts for financial names, and data isolation of the four CRUD methods."""
+    name, method = F.lower(F.coalesce("name", F.lit(""))), F.upper(F.coalesce("method", F.lit("GET")))
+    money = F.lit(False)
+    for word in MONEY_WORDS:
+        money = money | name.contains(word)
+    rows = F.array_compact(
+        F.array(
+            F.when(((method == "DELETE") | name.contains("delete")) & (F.col("role_level") == "specialist"), F.lit("approval_required")),
+            F.when(money, F.lit("amount_limit")),
+            F.when(method.isin("GET", "POST", "PUT", "DELETE"), F.lit("data_isolation")),
+        )
+    )
+    return apis.select("operation_id", F.explode(rows).alias("constraint"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from apiloom.functions import schema as X
 from apiloom.functions import text as T
+from apiloom.operators import apis as A
 from apiloom.operators import profile as P
 from apiloom.plans.graph_queries import FIELDS, fields
 from apiloom.plans.views import APIS, EDGES, LOGS, apis, edges, logs, table
@@ -26,7 +27,13 @@ def _active(s, d):
     return jobs.stream_active_change(rows, window="1 day")
 
 
+def _constrained(s, d):
+    name = F.concat("operation_id", F.when(F.col("ord") % 5 == 0, "_Refund").when(F.col("ord") % 7 == 0, "_deleteAll").otherwise(""))
+    return apis(s, d).select("operation_id", name.alias("name"), "method", F.when(F.col("ord") % 2 == 0, "specialist").otherwise("manager").alias("role_level"))
+
+
 QUERIES = {
+    "rule_constraints": lambda s, d: A.rule_constraints(_constrained(s, d)),
     "classify_match": lambda s, d: edges(s, d).select("src", "dst", T.classify_match(F.col("score")).alias("kind")),
     "is_read": lambda s, d: apis(s, d).select("operation_id", T.is_read(F.col("path"), F.col("method")).alias("reads")),
     "api_text": lambda s, d: apis(s, d).select("operation_id", T.api_text(T.action_verb(F.col("operation_id")), F.lit(""), F.col("summary"), F.col("operation_id"), F.col("path"), F.array_join("tags", " "), F.array_join(T.path_segments(F.col("path")), " "), F.col("method")).alias("text")),
@@ -42,6 +49,7 @@ QUERIES = {
 
 MAPPINGS = """maps AS (SELECT s_suppkey, lower(s_name) AS table_name, ['core', 'association', 'log'][s_nationkey % 3 + 1] AS relation_type, list_slice(['name', 'amount', 'city'], 1, s_suppkey % 4) AS business, list_slice(['deleted', 'tenant_id'], 1, s_suppkey % 3) AS hidden FROM supplier)"""
 SQL = {
+    "rule_constraints": f"""WITH {APIS} SELECT operation_id, unnest(list_filter([CASE WHEN ord % 2 = 0 AND (method = 'DELETE' OR (ord % 7 = 0 AND ord % 5 != 0)) THEN 'approval_required' END, CASE WHEN ord % 5 = 0 THEN 'amount_limit' END, 'data_isolation'], lambda x: x IS NOT NULL)) AS "constraint" FROM apis""",
     "classify_match": f"WITH {EDGES} SELECT src, dst, CASE WHEN score >= 0.9 THEN 'CERTAIN' WHEN score >= 0.7 THEN 'PROBABLE' WHEN score >= 0.5 THEN 'WEAK' END AS kind FROM edges",
     "is_read": f"WITH {APIS} SELECT operation_id, method = 'GET' OR contains(path, '/get') OR contains(path, '/list') OR contains(path, '/page') AS reads FROM apis",
     "api_text": f"""WITH {APIS} SELECT operation_id, CASE WHEN starts_with(operation_id, 'page_') THEN '' ELSE repeat(split_part(operation_id, '_', 1) || ' ', 3) END || summary || ' ' || tags[1] || ' ' || array_to_string(list_filter(string_split(path, '/'), lambda x: x != '' AND NOT starts_with(x, '{{')), ' ') || ' ' || method AS text FROM apis""",
