@@ -346,7 +346,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", round_trip: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(SparkFiles.get(name))
-        for batch in slices(batches, text_col, 2_000_000):
+        for batch in slices(batches, text_col, 1_000_000):
             texts = batch.column(text_col).to_pylist()
             ids, offsets = coder.encode([t or "" for t in texts])
             null = np.array([t is None for t in texts])
