@@ -225,7 +225,9 @@ def _lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = cut(size.where("many > 1"))
     counted = members.join(size.select("list", "least", "furthest", F.col("many").alias("all")), "list")
     met = cut(counted.groupBy("node").agg(F.sum("tokens").alias("met"), F.sum(F.when(F.col("all") > 2, F.col("tokens")).otherwise(0)).alias("more")))
-    twos = size.where("many = 2 and x.n <= y.reach and y.n <= x.reach").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "tokens")
+    twos = size.where("many = 2").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "tokens", F.expr("x.n <= y.reach and y.n <= x.reach").alias("within"))
+    # a pair has one list of two, and one more for each frequent token that only its nodes have in their prefixes
+    twos = twos.groupBy("a", "b", "a_n", "b_n").agg(F.sum("tokens").alias("tokens"), F.bool_or("within").alias("within")).where("within")
     for side in ("a", "b"):
         twos = twos.join(met.select(F.col("node").alias(side), F.col("more").alias(f"{side}_more")), side)
     twos = twos.where(F.col("tokens") + F.least("a_more", "b_more") >= F.expr(_COMMON.format(a="a_", b="b_"))).select("a", "b")

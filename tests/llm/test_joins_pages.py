@@ -81,6 +81,14 @@ def test_long_lists_are_resolved_exactly(spark):
     assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_components(rows)
 
 
+def test_frequent_tokens_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(J, "FREQUENT", 2)
+    rows = documents(3, groups=10, long_list=25)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(J.jaccard_components(frame)) == brute_components(rows)
+    assert got(J.jaccard_components(frame, waiting=2)) == brute_components(rows)
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(7)
     ids = [rng.getrandbits(64) - 2**63 for _ in range(500)]
