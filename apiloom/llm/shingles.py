@@ -39,9 +39,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) in order, and the number of words of each text."""
+def word_hashes(texts: list[str | None], *, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased, unless told otherwise) in order, and the number of words of each text."""
     fold, blank = _tables()
+    if not lower:
+        fold = np.arange(256, dtype=np.uint64)
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
     solid = ~blank[raw]
@@ -67,6 +69,17 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words of one array, by running sums: the cost does not grow with the width."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up, out=sums[1:])
+    return mix((sums[width:] - sums[:n]) * down[:n])
+
+
 def shingle_sets(words: np.ndarray, counts: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """For each text its distinct shingle hashes, sorted; a text of fewer words has its whole sequence as one."""
     every = shingle_hashes(words, width)
