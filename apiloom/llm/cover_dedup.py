@@ -40,6 +40,7 @@ from apiloom.llm.shingles import mix, run_hashes, word_hashes
 COVERS = {1: [0], 3: [0, 1], 7: [1, 2, 4], 13: [0, 1, 3, 9], 21: [3, 6, 7, 12, 14], 31: [1, 5, 11, 24, 25, 27]}
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _SLICE = 1_000_000
+_RUNS = "array<struct<first:int,last:int>>"
 
 
 def cover_of(window: int) -> tuple[int, np.ndarray, int]:
@@ -114,24 +115,30 @@ def _window_rows(texts: DataFrame, window: int, kind: str) -> DataFrame:
     return in_batches(texts.select("id", "node", "text", "anchors"), run, f"a bigint, b bigint, id {kind}, node bigint, start int")
 
 
-def _few(rows: DataFrame, most: int) -> DataFrame:
-    """The rows, marked for a broadcast if they were counted to be at most `most`."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def _few(rows: DataFrame, most: int, listed: str | None = None) -> DataFrame:
+    """The rows, marked for a broadcast if they, with the elements of the array column `listed`, were counted to be at
+    most `most`."""
+    size = rows.agg(F.sum(F.size(listed) + 1) if listed else F.count("*")).first()[0]
+    return F.broadcast(rows) if (size or 0) <= most else rows
 
 
 def repeated_windows(texts: DataFrame, *, window: int = 50, max_broadcast: int = 1_000_000) -> DataFrame:
-    """(id, node, starts): for (id, node, text) with distinct texts, the windows that also start in a text with a smaller id."""
+    """(id, node, runs): for (id, node, text) with distinct texts, the windows that also start in a text with a smaller id, as
+    runs of consecutive starts."""
     kind = texts.schema["id"].dataType.simpleString()
     anchors = written(_anchor_rows(texts, window), "anchors")
     shared = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     marked = cut(anchors.join(shared, "anchor", "left_semi").groupBy("node").agg(F.collect_set("anchor").alias("anchors")))
     discard(anchors)
     discard(shared)
-    windows = written(_window_rows(texts.join(_few(marked, max_broadcast), "node"), window, kind), "windows")
+    windows = written(_window_rows(texts.join(_few(marked, max_broadcast, "anchors"), "node"), window, kind), "windows")
     least = windows.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     least = written(least, "first-windows")
     late = windows.join(least, ["a", "b"]).where("id > first")
-    found = cut(late.groupBy("id", "node").agg(F.array_sort(F.collect_set("start")).alias("starts")))
+    starts, at = late.groupBy("id", "node").agg(F.array_sort(F.collect_set("start")).alias("starts")), F.col("starts")
+    first = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
+    last = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1))
+    found = cut(starts.select("id", "node", F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last"))).alias("runs")))
     discard(windows)
     discard(least)
     return found
@@ -155,37 +162,36 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             twice = _few(again, max_broadcast)
             sources = sources.join(twice, ["id", "node"], "left_anti").unionByName(sources.join(twice, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]))
     found = repeated_windows(sources.select("id", "node", "text"), window=window, max_broadcast=max_broadcast)
-    whole = copies.select("id", "node", F.array().cast("array<int>").alias("starts"))
+    whole = copies.select("id", "node", F.array().cast(_RUNS).alias("runs"))
     marks = cut(found.unionByName(whole))
-    return _apply(docs, out, F.col(f"`{id_col}`"), text, _few(marks, max_broadcast), window)
+    return _apply(docs, out, F.col(f"`{id_col}`"), text, _few(marks, max_broadcast, "runs"), window)
 
 
 def _apply(docs: DataFrame, out: list, own: Column, text: Column, marks: DataFrame, window: int) -> DataFrame:
     names = [f.name for f in out]
     plain = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], text.alias("text"), own.alias("id"), F.xxhash64(own, text).alias("node"))
-    rows = plain.join(marks, ["id", "node"], "left").select(*[f"c{i}" for i in range(len(names))], "text", "starts")
+    rows = plain.join(marks, ["id", "node"], "left").select(*[f"c{i}" for i in range(len(names))], "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, len(names)):
             kept, counts, removed = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 words = words_of(text or "")
                 counts.append(len(words))
-                if starts.is_valid:
-                    at = starts.values.to_numpy()
-                    edges = np.zeros(len(words) + window + 1, np.int64)
-                    if not len(at):  # a copy: all its windows
-                        at = np.arange(max(0, len(words) - window + 1))
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + window, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edges)[: len(words)] == 0)]
+                if runs is not None:
+                    every = [{"first": 0, "last": len(words) - window}] if len(words) >= window else []
+                    at, left = 0, []
+                    for run in runs or every:  # a copy has no runs: all its windows go
+                        left += words[at : run["first"]]
+                        at = max(at, run["last"] + window)
+                    words = left + words[at:]
                 removed.append(counts[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             arrays = [*batch.columns[: len(names)], pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: len(names)], "kept", "n_words", "n_removed"])
 
     declared = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(out)] + ["kept string", "n_words bigint", "n_removed bigint"])
-    return in_batches(rows, run, declared).withColumnsRenamed({f"c{i}": n for i, n in enumerate(names)})
+    return in_batches(rows, run, declared).toDF(*names, "kept", "n_words", "n_removed")
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
