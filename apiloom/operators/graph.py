@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apiloom.session import cut
+from apiloom.operators.blocks import Blocks, contract_chains, numbered
+from apiloom.session import Scratch, cut
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -151,57 +152,75 @@ def spread_least(label: DataFrame, edges: DataFrame) -> DataFrame:
     return label
 
 
-def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def scc(nodes: DataFrame, edges: DataFrame, **blocks: int) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
-    Forward and backward colouring: nodes without an edge in or out are components of their own; the others take the
-    least (hash, node) that reaches them, and those of one colour that reach its root are its component. Edges between
-    colours go, and the rest follows under a new hash. Rows stay linear in nodes and edges; rounds follow the longest way.
+    Chains are contracted; nodes that no cycle reaches, or that reach none, are peeled off as components of their own. Of
+    the others, each takes the least (hash, node) that reaches it, and those of one colour that reach its root are its
+    component. Edges between colours go, and the rest follows under a new hash: a logarithmic number of turns on average.
+    Peeling and colouring run block by block (`operators.blocks`). Rows stay linear in nodes and edges.
     """
-    nodes = cut(nodes.select("node").distinct())
-    left = cut(edges.where("src != dst").select("src", "dst").distinct())
-    found, turn = None, 0
+    with Scratch(nodes.sparkSession) as keep:
+        return cut(_components(nodes, edges, keep, **blocks))
+
+
+def _components(nodes: DataFrame, edges: DataFrame, keep: Scratch, **blocks: int) -> DataFrame:
+    names = keep(nodes.select("node").distinct())
+    text = names.select(F.col("node").cast("string").alias("node"))
+    plain = keep(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).where("src != dst").distinct())
+    reduced, inner, cycles = contract_chains(plain, keep)
+    on = Blocks(text.join(inner, "node", "left_anti").join(cycles, "node", "left_anti"), reduced, keep, **blocks)
+    left, found, turn = on.placed(reduced), None, 0
+    columns = left.columns
     while not left.isEmpty():
-        inner = cut(left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node"))))
-        inside = left.join(inner.withColumnRenamed("node", "src"), "src").join(inner.withColumnRenamed("node", "dst"), "dst")
-        kept = cut(inside.select("src", "dst"))
-        if kept.count() < left.count():
-            left = kept
-            continue
-        colour = spread_least(inner.select("node", F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("root")).alias("value")), left)
+        for back in (False, True):
+            way = _reversed(left) if back else left
+            rest = on.peel(way).where("NOT peeled").select("node")
+            left = keep(left.join(rest.withColumnRenamed("node", "src"), "src").join(rest.withColumnRenamed("node", "dst"), "dst").select(*columns))
+        if left.isEmpty():
+            break
+        ends = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        start = F.concat(F.lpad(F.hex(F.xxhash64(F.lit(turn), "node")), 16, "0"), F.lit(":"), F.col("node"))
+        colour = on.spread_least(ends.select("node", start.alias("value")), left)
         of = lambda side: colour.select(F.col("node").alias(side), F.col("value").alias(f"c{side}"))  # noqa: B023, E731
-        same = cut(left.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst"))
-        back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        start = F.when(F.col("value.root") == F.col("node"), 0).otherwise(1)
-        member = spread_least(colour.select("node", start.alias("value")), back).where("value = 0").select("node")
-        part = cut(member.join(colour, "node").select("node", F.col("value.root").alias("root")))
-        found = part if found is None else cut(found.unionByName(part))
+        same = keep(left.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").drop("csrc", "cdst"))
+        root = F.substring("value", 18, 1 << 30)
+        reached = on.spread_least(colour.select("node", F.when(root == F.col("node"), "0").otherwise("1").alias("value")), _reversed(same))
+        part = keep(reached.where("value = '0'").select("node").join(colour, "node").select("node", root.alias("root")))
+        found = part if found is None else keep(found.unionByName(part))
         gone = part.select("node")
-        left = cut(same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        left = keep(same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
         turn += 1
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    named = found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component, level, position): cycles collapsed; level is the longest way to a component; members by name."""
-    comp = cut(scc(nodes, edges))
-    of = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-    dag = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("csrc != cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct())
-    level = cut(comp.select("component").distinct().withColumn("level", F.lit(0)))
-    while True:
-        up = dag.join(level.select(F.col("component").alias("src"), "level"), "src").groupBy(F.col("dst").alias("component")).agg((F.max("level") + 1).alias("up"))
-        following = cut(level.join(up, "component", "left").select("component", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        level = following.select("component", "level")
-        if following.where("old != level").isEmpty():
-            break
-    rows = comp.join(level, "component")
-    sizes = rows.groupBy("level").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("level", "before")
-    rank = F.row_number().over(Window.partitionBy("level").orderBy("component", "node"))
-    return rows.withColumn("rank", rank).join(before, "level").select("node", "component", "level", (F.col("rank") + F.col("before")).alias("position"))
+    of = lambda side: on.nodes.select(F.col("node").alias(side), F.col("node").alias(f"r{side}")) if found is None else on.nodes.join(found, "node", "left").select(F.col("node").alias(side), F.coalesce("root", "node").alias(f"r{side}"))
+    chained = inner.join(of("src"), "src").join(of("dst"), "dst").where("rsrc = rdst").select("node", F.col("rsrc").alias("root"))
+    every = chained.unionByName(cycles.select("node", F.col("least").alias("root")))
+    every = every if found is None else every.unionByName(found)
+    rooted = keep(names.join(every.withColumnRenamed("node", "text"), F.col("node").cast("string") == F.col("text"), "left").select("node", F.coalesce("root", F.col("node").cast("string")).alias("root")))
+    return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
+def _reversed(placed: DataFrame) -> DataFrame:
+    return placed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.col("bdst").alias("bsrc"), F.col("bsrc").alias("bdst"))
+
+
+def topological_order(nodes: DataFrame, edges: DataFrame, **blocks: int) -> DataFrame:
+    """(node, component, level, position): cycles collapsed; level is the longest way to a component; members by name.
+
+    Chains of components become one weighted edge; the others are peeled block by block, and a level is the most of the
+    weighted ways. Positions are ranks of sorted ranges, so no level meets in one task.
+    """
+    with Scratch(nodes.sparkSession) as keep:
+        comp = keep(_components(nodes, edges, keep, **blocks))
+        of = lambda s: comp.select(F.col("node").alias(s), F.col("component").cast("string").alias(f"c{s}"))
+        dag = keep(edges.join(of("src"), "src").join(of("dst"), "dst").where("csrc != cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct())
+        reduced, inner, _ = contract_chains(dag, keep)
+        names = comp.select(F.col("component").cast("string").alias("node")).distinct()
+        on = Blocks(names.join(inner, "node", "left_anti"), reduced, keep, **blocks)
+        ends = keep(on.peel(on.placed(reduced)).select("node", "level"))
+        within = inner.join(ends.withColumnRenamed("node", "src"), "src").select("node", (F.col("level") + F.col("place")).alias("level"))
+        level = ends.unionByName(within).select(F.col("node").alias("__c"), F.col("level").cast("int").alias("level"))
+        rows = comp.join(level, F.col("component").cast("string") == F.col("__c")).drop("__c")
+        return numbered(rows, "level", "component", "node").select("node", "component", "level", "position")
 
 
 def expand_plan(steps: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from apiloom.operators import graph as G
 from apiloom.operators import roles as R
 from apiloom.operators import select as S
 from apiloom.plans.views import APIS, EDGES, TREE, apis, edges, table, tree
+from apiloom.session import cut
 
 ENTITIES = "ent AS (SELECT entity, min(ord) AS ord FROM apis GROUP BY entity)"
 
@@ -108,6 +109,28 @@ def _dag(s, d):
     return edges(s, d).select("src", "dst")
 
 
+def _parts_graph(s, d):
+    """A sparse graph with cycles and long ways: each part to the next part of its supplier's orders, by number."""
+    li = table(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    step = li.withColumn("dst", F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_partkey"))).where("dst IS NOT NULL AND (l_partkey + l_suppkey) % 3 != 0")
+    forth = step.select(F.col("l_partkey").alias("src"), "dst")
+    back = step.where("(l_partkey * 7 + l_suppkey) % 50 = 0").select(F.col("dst").alias("src"), F.col("l_partkey").alias("dst"))
+    text = lambda c: F.lpad(F.col(c).cast("string"), 9, "0").alias(c)
+    return cut(forth.unionByName(back).select(text("src"), text("dst")).distinct())
+
+
+def _both_ends(e):
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+
+
+def _of_parts(job):
+    def run(s, d):
+        e = _parts_graph(s, d)
+        return job(_both_ends(e), e)
+
+    return run
+
+
 def _nodes(s, d):
     e = edges(s, d)
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
@@ -194,6 +217,8 @@ QUERIES = {
     "influence_subgraph": lambda s, d: G.influence(_weights(s, d), "economy-1"),
     "scc": lambda s, d: G.scc(_nodes(s, d), _dag(s, d)),
     "topological_order": lambda s, d: G.topological_order(_nodes(s, d), _dag(s, d)),
+    "scc_of_parts": _of_parts(G.scc),
+    "topological_order_of_parts": _of_parts(G.topological_order),
     "path_between": _between,
     "expand_plan": lambda s, d: G.expand_plan(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("plan_id"), F.col("l_linenumber").alias("step")).agg(F.lit("economy-1").alias("agent")), _dag(s, d), G.topological_order(_nodes(s, d), _dag(s, d))),
     "fk_violations": lambda s, d: G.fk_violations(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")), table(s, d, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("id"))),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,29 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame on the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables for the rounds of one job: Parquet in the shared checkpoint folder, deleted when the job is over.
+
+    Unlike a checkpoint, a table that is read back carries no constraints of the plan that made it; in a loop of joins those
+    multiply with each round until planning takes longer than the work. What outlives the block is cut first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
