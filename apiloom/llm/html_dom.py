@@ -65,12 +65,19 @@ def parse(page: str) -> Tree:
     tree = Tree()
     tags, parent, attrs, links, blocks = tree.tags, tree.parent, tree.attributes, tree.links, tree.blocks
     stack = [0]
+    opened: dict[str, int] = {}  # open elements by name: an end tag without one is passed over at once
+
+    def leave(i: int) -> None:
+        for k in stack[i:]:
+            opened[tags[k]] -= 1
+        del stack[i:]
+
     anchors = 0
     silent = ""
     current: list[str] | None = None
     last = end_of_tags(page)
-    opened = page.find("<!--", last)
-    at, n = 0, len(page) if opened < 0 else opened
+    comment = page.find("<!--", last)
+    at, n = 0, len(page) if comment < 0 else comment
     while at < n:
         m = _TAG.search(page, at, last)
         stop = m.start() if m else n
@@ -100,9 +107,9 @@ def parse(page: str) -> Tree:
                 anchors = max(0, anchors - 1)
             elif tag in BLOCKS:
                 current = None
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                     if tags[stack[i]] == tag:
-                        del stack[i:]
+                        leave(i)
                         break
             continue
         if tag in RAW:
@@ -129,18 +136,18 @@ def parse(page: str) -> Tree:
                 current.append(" ")
         elif tag in BLOCKS:
             current = None
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened.get("p"):
                 for i in range(len(stack) - 1, 0, -1):
                     t = tags[stack[i]]
                     if t == "p":
-                        del stack[i:]
+                        leave(i)
                         break
                     if t in ("div", "td", "th", "li", "article", "section", "body", "blockquote"):
                         break
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened.get(t) for t in CLOSES.get(tag, ())) else ():
                 t = tags[stack[i]]
-                if t in CLOSES.get(tag, ()):
-                    del stack[i:]
+                if t in CLOSES[tag]:
+                    leave(i)
                     break
                 if t in ("ul", "ol", "dl", "table", "select", "div", "body"):
                     break
@@ -150,4 +157,5 @@ def parse(page: str) -> Tree:
             links.append(0)
             if tag not in VOID:
                 stack.append(len(tags) - 1)
+                opened[tag] = opened.get(tag, 0) + 1
     return tree

@@ -10,9 +10,12 @@ The weights maximise the likelihood of labelled pages, the gradient being observ
 same message passing. Labelled pages are (a) at most `max_pages` pages of the table (default 60, the smallest hashes;
 pages of up to 65,536 characters first) that mark their article with the element of that name, where elements inside it
 are content and all others, and menus, asides, forms and the like inside it, are not; (b) the small pages of
-LABELLED_PAGES, where content is marked by hand; and (c) three made-up layouts of each of their articles: the article in a
-container of another name, with menus, notices, adverts, forms and reader comments around it and inside it, so that
-neither the element nor its place alone decides. The extraction itself runs over all pages.
+LABELLED_PAGES, where content is marked by hand; and (c) six made-up layouts of each of their articles: the article in a
+container of another name or of none, its paragraphs as `p`, `div`, `span`, nested `div` or bare text between `br`, with
+menus, notices, adverts, forms and reader comments around it and inside it, so that no element, name or place alone decides;
+and each article as the bare text of a page. All pages are one forest, and a gradient step passes messages depth by depth.
+The extraction itself runs over all pages. Comments inside the article's own element are told from it by their names or
+elements: in a plain `div` of an unknown name they stay.
 
 Defined results: null or empty html and pages without content give an empty text; unclosed elements end with their
 container or page; repeated rows and null ids keep a row each; other columns are carried along.
@@ -23,10 +26,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,13 +68,13 @@ LABELLED_PAGES = [
 #: Containers of made-up layouts.
 _WRAPPERS = [
     "article", "main", "div", "section", 'div id="content"', 'div class="post-content"', 'div id="story"', 'div class="entry"', 'section class="article-body"',
-    'div role="main"', 'article class="post"', 'div class="text column"', 'div id="main"', 'div class="story-body"', 'div class="page wide"', 'td', 'div class="c1"',
+    'div role="main"', 'article class="post"', 'div class="text column"', 'div id="main"', 'div class="story-body"', 'div class="page wide"', 'td', 'td class="text"', 'td class="body"', 'div class="c1"',
 ]
 #: What stands around and inside articles and is no content; {a}, {b} are texts, {l} is a list of links.
 _JUNK = [
     "<nav>{l}</nav>", '<div class="menu">{l}</div>', '<ul class="nav links">{l}</ul>', '<div id="navbar">{l}</div>', '<div class="breadcrumb">{l}</div>',
     "<aside>{t}</aside>", "<form>{t}</form>", '<nav><a href="/">{t}</a></nav>', "<aside><p>{a}</p></aside>", '<aside class="sidebar"><h3>{t}</h3>{l}</aside>', '<div class="sidebar widget"><h3>{t}</h3><p>{a}</p></div>', '<div class="related"><h3>{t}</h3>{l}</div>',
-    '<div class="ad">{t}</div>', '<div class="advert"><p>{a}</p></div>', '<div class="ads advertisement">{a}</div>', '<div class="sponsored promo"><p>{a}</p><p>{b}</p></div>', '<section class="banner">{t}</section>',
+    '<div class="ad">{t}</div>', '<div class="advert">{t}</div>', '<div class="advert"><p>{a}</p></div>', '<div class="ads advertisement">{a}</div>', '<div class="sponsored promo"><p>{a}</p><p>{b}</p></div>', '<section class="banner">{t}</section>',
     '<div class="notice">{a}</div>', '<div class="cookie-notice"><p>{a}</p><button>{t}</button></div>', '<div id="consent" role="dialog"><p>{a}</p></div>', '<div class="alert warning">{t}</div>',
     "<form><p>{t}</p><input><button>{t}</button></form>", '<form class="newsletter"><p>{a}</p></form>', '<div class="subscribe signup"><p>{t}</p></div>', '<div class="login">{t}</div>', '<div class="search"><p>{t}</p></div>',
     '<section class="comments"><h2>{t}</h2><p>{a}</p><p>{b}</p></section>', '<div id="comments"><div class="comment"><p>{a}</p></div><div class="comment"><p>{b}</p></div></div>', '<ol class="comment-list"><li>{a}</li><li>{b}</li></ol>',
@@ -82,8 +85,30 @@ _JUNK = [
 _HEADS = ["<header><p>{t}</p></header>", '<header class="site"><h1>{t}</h1>{l}</header>', '<div class="header top"><div class="logo">{t}</div>{l}</div>', '<div class="masthead">{t}</div>', ""]
 
 
-def made_layouts(articles: list[str], *, seed: int = 0, each: int = 3) -> list[str]:
-    """Pages with these articles (their inner markup), with `data-main` and `data-off` as labels."""
+def restyled(inner: str, how: str) -> str:
+    """The inner markup of an article with its paragraphs written another way."""
+    if how == "bare":
+        return re.sub(r"<p\b[^>]*>", "", inner).replace("</p>", "<br><br>")
+    if how == "mixed":
+        return re.sub(r"<p\b[^>]*>(.*?)</p>", r"\1<br>", inner, count=2, flags=re.S)
+    if how == "span":
+        return re.sub(r"<p\b[^>]*>", "<span>", inner).replace("</p>", "</span><br>")
+    if how == "div":
+        return re.sub(r"<p\b[^>]*>", "<div>", inner).replace("</p>", "</div>")
+    if how == "nested":
+        return "<div>" + re.sub(r"<p\b[^>]*>", "<div><div>", inner).replace("</p>", "</div></div>") + "</div>"
+    return inner
+
+
+_STYLES = ["p"] * 6 + ["bare", "bare", "bare", "mixed", "span", "div", "div", "nested"]
+_NAMED = re.compile(r"""\s(?:class|id)=(?:"[^"]*"|'[^']*')""")
+
+
+def made_layouts(articles: list[str], *, seed: int = 0, each: int = 6) -> list[str]:
+    """Pages with these articles (their inner markup), with `data-main` and `data-off` as labels.
+
+    Paragraphs are written in several ways. Names of containers are left out or made up at random, more often outside the
+    article than in it, so that no list of names decides alone."""
     rng = random.Random(seed)
     plain = [re.sub(r"<[^>]*>", " ", a).split() for a in articles]
     plain = [w for w in plain if len(w) > 20] or [["text"] * 40]
@@ -93,28 +118,37 @@ def made_layouts(articles: list[str], *, seed: int = 0, each: int = 3) -> list[s
         at = rng.randrange(len(w))
         return " ".join((w[at:] + w)[: rng.randint(low, high)])
 
-    def junk(template: str) -> str:
+    def unnamed(markup: str, often: float) -> str:
+        if rng.random() >= often:
+            return markup
+        name = "".join(rng.choices("bcdfghklmnprstaeiou", k=rng.randint(3, 9)))
+        return _NAMED.sub("" if rng.random() < 0.5 else f' class="{name}"', markup)
+
+    def junk(template: str, often: float) -> str:
         links = lambda: "<ul>" + "".join(f'<li><a href="/">{words(1, 4)}</a></li>' for _ in range(rng.randint(1, 6))) + "</ul>" if rng.random() < 0.6 else " ".join(f'<a href="/">{words(1, 4)}</a>' for _ in range(rng.randint(1, 6)))
         made = template.format(a=words(4, 60), b=words(4, 60), t=words(1, 8), l=links() if "{l}" in template else "")
-        return re.sub(r"^<(\w+)", r"<\1 data-off", made)
+        return re.sub(r"^<(\w+)", r"<\1 data-off", unnamed(made, often))
 
     pages = []
     for article in articles:
         for _ in range(each):
-            pieces = re.split(r"(?=<(?:p|h[1-6]|ul|ol|table|pre|figure)\b)", article)
+            pieces = re.split(r"(?=<(?:p|h[1-6]|ul|ol|table|pre|figure|div|span)\b)", restyled(article, rng.choice(_STYLES)))
             for _ in range(rng.choice([0, 1, 2, 3, 5])):
-                pieces.insert(rng.randint(1, len(pieces)), junk(rng.choice(_JUNK)))
+                pieces.insert(rng.randint(1, len(pieces)), junk(rng.choice(_JUNK), 0.0))
             wrapper = rng.choice(_WRAPPERS)
             tag = wrapper.split()[0]
-            inside = f"<{wrapper} data-main>{''.join(pieces)}</{tag}>"
-            if tag == "td":
+            inside = unnamed(f"<{wrapper} data-main>", 0.4) + f"{''.join(pieces)}</{tag}>"
+            if rng.random() < 0.06:
+                inside = f"<main data-main>{''.join(pieces)}</main>"
+            elif tag == "td":
                 inside = f"<table><tr>{inside}</tr></table>"
             elif rng.random() < 0.4:
                 inside = f'<div class="{rng.choice(["wrapper", "container", "row", "layout", "page"])}">{inside}</div>'
-            before = "".join(junk(rng.choice(_JUNK)) for _ in range(rng.randint(0, 3)))
-            after = "".join(junk(rng.choice(_JUNK)) for _ in range(rng.randint(0, 4)))
+            before = "".join(junk(rng.choice(_JUNK), 0.2) for _ in range(rng.randint(0, 3)))
+            after = "".join(junk(rng.choice(_JUNK), 0.35) for _ in range(rng.randint(0, 4)))
             head = rng.choice(_HEADS)
-            pages.append(f"<html><body>{junk(head) if head else ''}{before}{inside}{after}</body></html>")
+            pages.append(f"<html><body>{junk(head, 0.1) if head else ''}{before}{inside}{after}</body></html>")
+        pages.append(f"<html><body data-main>{restyled(article, rng.choice(['bare', 'span', 'mixed']))}</body></html>")
     return pages
 
 
@@ -145,15 +179,18 @@ def _features(tree: Tree, texts: list[str]) -> list[tuple[str, ...]]:
         below[tree.parent[i]] += below[i]
     whole = below[0] or 1
     paragraphs = [0] * len(tree.tags)
+    largest = [0] * len(tree.tags)
     for i, tag in enumerate(tree.tags):
-        if tag == "p" and size[i] >= 40 and 2 * tree.links[i] < size[i]:
-            paragraphs[tree.parent[i]] += 1
+        if size[i] >= 40 and 2 * tree.links[i] < size[i]:
+            paragraphs[tree.parent[i]] += tag in ("p", "div")
+        if i:
+            largest[tree.parent[i]] = max(largest[tree.parent[i]], below[i])
     out = []
     for i, tag in enumerate(tree.tags):
         n, linked = size[i], tree.links[i]
         share = "none" if not n else "no" if not linked else "some" if linked < n / 2 else "most"
         p = tree.parent[i]
-        out.append((*_own_names(tag, tree.attributes[i]), *(_parent_names(tree.tags[p], tree.attributes[p]) if i else ()), f"size={min(8, n.bit_length())}", f"{tag} size={min(8, n.bit_length())}", f"links={share}", f"share={-(-4 * below[i] // whole)}", f"paragraphs={min(3, paragraphs[i])}"))
+        out.append((*_own_names(tag, tree.attributes[i]), *(_parent_names(tree.tags[p], tree.attributes[p]) if i else ()), f"size={min(8, n.bit_length())}", f"{tag} size={min(8, n.bit_length())}", f"links={share}", f"share={-(-4 * below[i] // whole)}", f"paragraphs={min(3, paragraphs[i])}", f"own={min(4, -(-4 * n // whole))}", f"first={i == 0 or below[i] == largest[p]}"))
     return out
 
 
@@ -223,7 +260,7 @@ def landmark_labels(tree: Tree) -> list[int] | None:
     return out
 
 
-def train(pages: list[str], *, rounds: int = 60, rate: float = 1.5, l2: float = 0.02, seed: int = 0) -> Model:
+def train(pages: list[str], *, rounds: int = 60, rate: float = 0.7, l2: float = 0.02, seed: int = 0) -> Model:
     """Fit the weights on landmark-labelled pages, the pages labelled by hand and layouts made up of their articles."""
     own = [x for p in pages if (x := article_inside(p))]
     rng = random.Random(seed)
@@ -239,38 +276,55 @@ def train(pages: list[str], *, rounds: int = 60, rate: float = 1.5, l2: float =
             tree = parse(page)
             if (gold := label(tree)) is not None:
                 cases.append((tree.parent, _features(tree, [block_text(p) for _, p in tree.blocks]), gold, worth))
-    weights: dict[str, float] = defaultdict(float)
-    edge = [[0.0, 0.0], [0.0, 0.0]]
-    seen: dict[str, float] = defaultdict(lambda: 1e-6)
+    return _maximised(cases, rounds, rate, l2)
+
+
+def _maximised(cases: list[tuple], rounds: int, rate: float, l2: float) -> Model:
+    """Gradient steps over all pages at once: the trees are one forest, and messages pass depth by depth."""
+    names: dict[str, int] = {}
+    parent, depth, gold, worth, used, starts = [], [], [], [], [], []
+    for tree, features, labels, weight in cases:
+        base = len(parent)
+        for i, own in enumerate(features):
+            parent.append(base + tree[i] if i else -1)
+            depth.append(depth[base + tree[i]] + 1 if i else 0)
+            starts.append(len(used))
+            used += [names.setdefault(f, len(names)) for f in own]
+        gold += labels
+        worth += [weight] * len(labels)
+    parent, depth, used, starts = np.array(parent), np.array(depth), np.array(used), np.array(starts)
+    gold, worth = np.array(gold, float), np.array(worth, float)
+    lengths = np.diff(starts, append=len(used))
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    below = np.flatnonzero(depth > 0)
+    of = parent[below]
+    chances = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    weights, seen = np.zeros(len(names)), np.full(len(names), 1e-6)
+    edge, seen_edge = np.zeros((2, 2)), np.full((2, 2), 1e-6)
+    real = np.zeros((2, 2))
+    np.add.at(real, (gold[of].astype(int), gold[below].astype(int)), worth[below])
     for _ in range(rounds):
-        step: dict[str, float] = defaultdict(float)
-        moves = [[0.0, 0.0], [0.0, 0.0]]
-        pair = [[math.exp(x) for x in row] for row in edge]
-        for parent, features, gold, worth in cases:
-            own = [sum(weights[f] for f in names) for names in features]
-            up, full, rest = _messages(parent, own, pair)
-            for i, names in enumerate(features):
-                miss = worth * (gold[i] - _sigmoid(full[i]))
-                if abs(miss) > 1e-9:
-                    for f in names:
-                        step[f] += miss
-                if i:
-                    s, t = _sigmoid(rest[i]), _sigmoid(up[i])
-                    joint = [[pair[y][c] * (s if y else 1 - s) * (t if c else 1 - t) for c in (0, 1)] for y in (0, 1)]
-                    z = sum(map(sum, joint)) or 1.0
-                    for y in (0, 1):
-                        for c in (0, 1):
-                            moves[y][c] += worth * ((gold[parent[i]] == y and gold[i] == c) - joint[y][c] / z)
-        for f, g in step.items():
-            g -= l2 * weights[f]
-            seen[f] += g * g
-            weights[f] += rate * g / math.sqrt(seen[f])
-        for y in (0, 1):
-            for c in (0, 1):
-                g = moves[y][c] - l2 * edge[y][c]
-                seen[f"edge{y}{c}"] += g * g
-                edge[y][c] += rate * g / math.sqrt(seen[f"edge{y}{c}"])
-    return Model(dict(weights), edge)
+        (a00, a01), (a10, a11) = np.exp(edge)
+        up = np.add.reduceat(weights[used], starts)
+        sent, rest = np.zeros(len(up)), np.zeros(len(up))
+        for level in reversed(levels):
+            s = chances(up[level])
+            sent[level] = np.log((a10 * (1 - s) + a11 * s) / (a00 * (1 - s) + a01 * s))
+            np.add.at(up, parent[level], sent[level])
+        full = up.copy()
+        for level in levels:
+            rest[level] = full[parent[level]] - sent[level]
+            s = chances(rest[level])
+            full[level] = up[level] + np.log((a01 * (1 - s) + a11 * s) / (a00 * (1 - s) + a10 * s))
+        step = np.bincount(used, np.repeat(worth * (gold - chances(full)), lengths), len(names)) - l2 * weights
+        s, t = chances(rest[below]), chances(up[below])
+        joint = np.exp(edge)[:, :, None] * np.stack([1 - s, s])[:, None, :] * np.stack([1 - t, t])[None, :, :]
+        moves = real - (joint / joint.sum(axis=(0, 1)) * worth[below]).sum(axis=2) - l2 * edge
+        seen += step * step
+        weights += rate * step / np.sqrt(seen)
+        seen_edge += moves * moves
+        edge += rate * moves / np.sqrt(seen_edge)
+    return Model(dict(zip(names, weights.tolist(), strict=True)), edge.tolist())
 
 
 def fit(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", max_pages: int = 60, usual: int = 65_536) -> Model:

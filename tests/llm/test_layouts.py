@@ -1,8 +1,11 @@
 """Main text of page layouts that the model is not trained on."""
 
+import time
+
 import pytest
 
 from apiloom.llm import html_extraction as H
+from apiloom.llm.html_dom import parse
 
 P1 = "The old mill stood by the river for two hundred years before the flood of last spring took it away."
 P2 = "Nobody in the village had expected the water to rise so fast, and many lost what they had in their cellars."
@@ -51,3 +54,40 @@ def models(spark):
 def test_layout(models, kind, name):
     page, want = LAYOUTS[name]
     assert models[kind].extract(page) == want
+
+
+FOOT = "<div class='footer'>All rights reserved</div>"
+#: Articles without paragraphs, and containers of names that no template has.
+BARE = {
+    "text between br": (f"<html><body><nav>{LINKS}</nav><article>{P1}<br><br>{P2}</article><footer>Imprint</footer></body></html>", f"{P1} {P2}"),
+    "short text between br": ("<html><body><article>A<br><br>B</article></body></html>", "A B"),
+    "div for p": (f"<article><div>{P1}</div><div>{P2}</div></article>", f"{P1} {P2}"),
+    "short div for p": ("<article><div>A</div><div>B</div></article>", "A B"),
+    "one span": (f"<article><span>{P1}</span></article>", P1),
+    "content cut by br": (f"<html><body><div class='menu'>{LINKS}</div><div class='content'>{P1}<br>{P2}<br>{P3}<br>{P1}</div>{FOOT}</body></html>", f"{P1} {P2} {P3} {P1}"),
+    "bare body": (f"<html><body>{P1} {P2}</body></html>", f"{P1} {P2}"),
+    "text and p": (f"<html><body><nav>{LINKS}</nav><article>{P1}<p>{P2}</p></article></body></html>", f"{P1} {P2}"),
+    "heading, text and p": (f"<html><body><nav>{LINKS}</nav><article><h1>The mill is gone</h1>{P1}<p>{P2}</p></article></body></html>", f"The mill is gone {P1} {P2}"),
+    "nested div of unknown names": (f"<html><body><div class='zork'>{LINKS}</div><div class='blurb'><div><div>{P1}</div><div>{P2}</div></div></div><div class='gnorp'>Imprint</div></body></html>", f"{P1} {P2}"),
+    "br in unknown names": (f"<html><body><div class='quux'>{LINKS}</div><div class='lorem'><h2>The mill</h2>{P1}<br>{P2}<br>{P3}</div><div class='plugh'>{LINKS}</div></body></html>", f"The mill {P1} {P2} {P3}"),
+    "comments of an unknown name after it": (f"<html><body><nav>{LINKS}</nav><article>{BODY}</article><div class='opinions'><p>{C1}</p><p>{C2}</p></div></body></html>", MAIN),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BARE))
+@pytest.mark.parametrize("kind", ["table", "query"])
+def test_bare_text(models, kind, name):
+    page, want = BARE[name]
+    assert models[kind].extract(page) == want
+
+
+def test_stray_end_tags_are_linear():
+    began = time.time()
+    tree = parse("<div>" * 20_000 + "x" + "</section></p></li>" * 20_000)
+    assert tree.blocks[0][0] == 20_000 and time.time() - began < 5
+
+
+def test_training_is_short(models):
+    began = time.time()
+    H.train([LAYOUTS["comments in the article"][0]] * 60)
+    assert time.time() - began < 10
