@@ -76,7 +76,7 @@ _JUNK = [
     "<aside>{t}</aside>", "<form>{t}</form>", '<nav><a href="/">{t}</a></nav>', "<aside><p>{a}</p></aside>", '<aside class="sidebar"><h3>{t}</h3>{l}</aside>', '<div class="sidebar widget"><h3>{t}</h3><p>{a}</p></div>', '<div class="related"><h3>{t}</h3>{l}</div>',
     '<div class="ad">{t}</div>', '<div class="advert">{t}</div>', '<div class="advert"><p>{a}</p></div>', '<div class="ads advertisement">{a}</div>', '<div class="sponsored promo"><p>{a}</p><p>{b}</p></div>', '<section class="banner">{t}</section>',
     '<div class="notice">{a}</div>', '<div class="cookie-notice"><p>{a}</p><button>{t}</button></div>', '<div id="consent" role="dialog"><p>{a}</p></div>', '<div class="alert warning">{t}</div>',
-    "<form><p>{t}</p><input><button>{t}</button></form>", '<form class="newsletter"><p>{a}</p></form>', '<div class="subscribe signup"><p>{t}</p></div>', '<div class="login">{t}</div>', '<div class="search"><p>{t}</p></div>',
+    "<form><p>{t}</p><input><button>{t}</button></form>", '<form class="newsletter"><p>{a}</p></form>', '<div class="newsletter"><p>{a}</p></div>', '<div class="subscribe signup"><p>{t}</p></div>', '<div class="login">{t}</div>', '<div class="search"><p>{t}</p></div>',
     '<section class="comments"><h2>{t}</h2><p>{a}</p><p>{b}</p></section>', '<div id="comments"><div class="comment"><p>{a}</p></div><div class="comment"><p>{b}</p></div></div>', '<ol class="comment-list"><li>{a}</li><li>{b}</li></ol>',
     '<div class="discussion replies"><p>{a}</p><blockquote><p>{b}</p></blockquote></div>', '<div class="disqus thread"><p>{a}</p></div>', '<div class="comments"><p>{a}</p></div>', '<div class="reader-comments responses"><p>{b}</p></div>',
     "<footer>{t}</footer>", '<footer class="footer"><p>{a}</p>{l}</footer>', '<div class="footer legal"><p>{a}</p></div>', '<div id="copyright">{t}</div>', '<div class="share social">{l}</div>', '<div class="tags">{l}</div>', '<div class="author bio"><p>{a}</p></div>',

@@ -1,14 +1,14 @@
 """URL rules as a sort-merge range join, with built-in functions only.
 
-A rule is (host, path, action); it fits its host and all subdomains when the path starts with the rule's path. Under a
-canonical key - the labels of the host in reverse, then the path - each rule is the interval [key, next prefix). A url
-probes once for each suffix of its host that has rules; probes and the two ends of every interval are sorted together,
-and one running pass holds the innermost open rule: a start puts its rule on top, an end puts back the rule that
-encloses it, so the running value is the top of the stack of active nested rules.
+A rule is (host, path, action); it fits its host and all subdomains when the path starts with the rule's path. The labels of
+a host in reverse, each with its dot, turn "this host and its subdomains" into one interval of keys, [key, next prefix). Pages
+are swept by that key: sorted with the two ends of every interval, a running height and the last start at each height are
+the stack of open rule hosts, nested as the intervals are. A page meets each open host once more with its path behind
+it, and the same sweep over (host, path) intervals gives the innermost path rule on top of the stack. The longest rule wins.
 
-The sort is split by host suffix, and a suffix with many probes is split further: its probes are salted by row and the
-interval ends of its rules are repeated in each part, at most one repeated rule for four probes. So a third of all
-pages on one host is many parts. The best fit of a page is the longest rule over its suffixes.
+A sweep runs in ranges of the sorted pages, and the rules open where a range begins are carried into it; pages of one host
+are dealt over as many ranges as they fill, so a third of all pages on one host is many parts. Only the first and last key
+of each range reach the driver.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and the default verdict; of rules
 with one host and path the blocking one holds; equal lengths go to the longer host; repeated rows each keep a row;
@@ -55,91 +55,65 @@ def next_prefix(key: Column) -> Column:
     return F.unhex(F.concat(F.substr(digits, F.lit(1), F.length(digits) - 2), F.lpad(F.hex(last), 2, "0")))
 
 
-def _nested(rules: DataFrame) -> DataFrame:
-    """Rules with the length of the innermost rule that encloses each: its path is a proper prefix on the same host."""
-    rules = rules.groupBy("host", "path").agg(F.max_by("action", F.col("action") == "block").alias("action"))
-    inner = rules.select("host", "path", F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("n")).where(F.length("path") > 0)
-    inner = inner.select("host", "path", F.substr("path", F.lit(1), F.col("n")).alias("outer_path"))
-    outer = rules.select("host", F.col("path").alias("outer_path"), F.col("action").alias("outer_action"))
-    best = (
-        inner.join(outer, ["host", "outer_path"])
-        .groupBy("host", "path")
-        .agg(F.max_by(F.struct(F.col("outer_path").alias("path"), F.col("outer_action").alias("action")), F.length("outer_path")).alias("outer"))
-    )
-    return rules.join(best, ["host", "path"], "left")
-
-
-def judge_urls(
-    pages: DataFrame,
-    rules: DataFrame,
-    *,
-    id_col: str = "page_id",
-    url_col: str = "url",
-    default: str = "allow",
-    part_rows: int = 4096,
-    max_broadcast: int = 200_000,
-) -> DataFrame:
-    """Rows (id, host, path, rule, verdict), one for each page.
-
-    The hosts of the rules are broadcast when there are at most `max_broadcast`, so that pages do not move by host;
-    more of them are joined by a shuffle.
+def _depth(rules: DataFrame, key: Column, outer: Column) -> int:
+    """How many distinct keys contain each other at most: `outer` lists the keys that would enclose a rule's key."""
+    keys = rules.select(key.alias("key")).distinct()
+    around = rules.select(key.alias("inner"), F.explode(outer).alias("key")).distinct()
+    return around.join(keys, "key").groupBy("inner").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def open_at(probes: DataFrame, intervals: DataFrame, depth: int, parts: int | None = None) -> DataFrame:
+    """The probes (rid, key, ...) with `stack`: the values of the intervals (key, value) that are open at their key, outermost first.
+
+    Probes are sorted into ranges, equal keys dealt on by row, so that one hot key is many ranges. An interval is [key, next
+    prefix); its two ends go to each range that it touches, which carries in what is open where the range begins. In a range,
+    ends and probes are sorted together; a running sum of +1 and -1 is the height of the stack, and the last start seen at
+    each height up to it is the stack. Prefix intervals are nested or apart, at most `depth` deep.
     """
+    n = parts or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = cut(probes.repartitionByRange(n, "key", F.xxhash64("rid")).withColumn("pid", F.spark_partition_id()))
+    bounds = sorted(tuple(r) for r in sorted_.groupBy("pid").agg(F.min("key"), F.max("key")).collect())  # a row a range
+    nothing = F.lit(None).cast(intervals.schema["value"].dataType)
+    if not bounds or not depth:
+        return sorted_.drop("pid").withColumn("stack", F.array().cast(f"array<{intervals.schema['value'].dataType.simpleString()}>"))
+    numbers, lows, highs = (F.array(*[F.lit(x) for x in side]) for side in zip(*bounds, strict=True))
+    stop = next_prefix(F.col("key"))
+    first = F.size(F.filter(highs, lambda x: x < F.col("key")))
+    after = F.size(F.filter(lows, lambda x: x < F.col("stop")))
+    touched = intervals.withColumn("stop", stop).withColumn("pids", F.slice(numbers, first + 1, F.greatest(after - first, F.lit(0))))
+    ends = F.array(F.struct("key", F.lit(1).alias("kind"), "value"), F.struct(F.col("stop").alias("key"), F.lit(-1).alias("kind"), nothing.alias("value")))
+    events = touched.select(F.explode("pids").alias("pid"), ends.alias("ends")).select("pid", F.inline("ends"))
+    held = [c for c in sorted_.columns if c not in ("pid", "key")]
+    rows = sorted_.select("pid", "key", F.lit(2).alias("kind"), nothing.alias("value"), F.struct(*held).alias("probe")).unionByName(events, allowMissingColumns=True)
+    sweep = Window.partitionBy("pid").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("height", F.coalesce(F.sum(F.when(F.col("kind") < 2, F.col("kind"))).over(sweep), F.lit(0)))
+    level = [F.last(F.when((F.col("kind") == 1) & (F.col("height") == k), F.col("value")), ignorenulls=True).over(sweep).alias(f"open{k}") for k in range(1, depth + 1)]
+    rows = rows.select("*", *level).where("kind = 2")
+    return rows.select("probe.*", "key", F.slice(F.array(*[f"open{k}" for k in range(1, depth + 1)]), F.lit(1), F.col("height").cast("int")).alias("stack"))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", parts: int | None = None) -> DataFrame:
+    """Rows (id, host, path, rule, verdict), one for each page. `parts`: ranges of a sweep, else the shuffle partitions."""
     host, path = url_parts(F.col(url_col))
-    base = cut(pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col), host.alias("host"), path.alias("path")))
-
-    nested = _nested(rules)
-    on_host = nested.groupBy("host").agg(F.count("*").alias("n_rules"))
-    small = on_host.limit(max_broadcast + 1).count() <= max_broadcast
-    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    pages = cut(pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), host.alias("host"), path.alias("path")))
+    rules = rules.groupBy("host", "path").agg(F.max_by("action", F.col("action") == "block").alias("action"))
+    host_key = lambda c: F.concat(reversed_host(c), F.lit(".")).cast("binary")
     labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    probes = base.where(F.length("host") > 0).select("rid", "path", F.explode(F.array_distinct(suffixes)).alias("host"))
-    probes = probes.join(side(on_host), "host", "left_semi")
-    parts = (
-        probes.groupBy("host")
-        .agg(F.count("*").alias("n"))
-        .join(on_host, "host")
-        .select("host", F.ceil(F.col("n") / F.greatest(F.lit(part_rows), 4 * F.col("n_rules"))).cast("int").alias("parts"))
-    )
-    probes = probes.join(side(parts), "host").select(
-        "host",
-        F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"),
-        F.concat(reversed_host(F.col("host")), "path").cast("binary").alias("key"),
-        F.lit(2).alias("kind"),
-        F.lit(None).cast("struct<path:string,action:string>").alias("top"),
-        "rid",
-    )
-    nothing = F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("action"))
-    own = F.struct("path", "action")
-    start = F.concat(reversed_host(F.col("host")), "path")
-    ends = (
-        nested.join(parts, "host")
-        .select(
-            "host",
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-            F.array(
-                F.struct(start.cast("binary").alias("key"), F.lit(1).alias("kind"), own.alias("top")),
-                F.struct(next_prefix(start).alias("key"), F.lit(0).alias("kind"), F.coalesce("outer", nothing).alias("top")),
-            ).alias("ends"),
-        )
-        .select("host", "part", F.inline("ends"))
-        .withColumn("rid", F.lit(None).cast("long"))
-    )
-    sweep = Window.partitionBy("host", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = (
-        probes.unionByName(ends)
-        .repartition("host", "part")
-        .withColumn("top", F.last("top", ignorenulls=True).over(sweep))
-        .where(F.col("rid").isNotNull() & F.col("top.path").isNotNull())
-        .select("rid", F.concat("host", "top.path").alias("rule"), F.length("host").alias("host_length"), F.col("top.action").alias("action"))
-    )
-    best = fits.groupBy("rid").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "action")).alias("best"))
-    return base.join(best, "rid", "left").select(
-        id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: host_key(F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    hosts = rules.select("host").distinct()
+    deep = _depth(hosts, host_key(F.col("host")), suffixes)
+    on = open_at(pages.withColumn("key", host_key(F.col("host"))), hosts.select(host_key(F.col("host")).alias("key"), F.col("host").alias("value")), deep, parts)
+
+    rule_key = lambda h, p: F.concat(reversed_host(h), F.lit(".\0"), p).cast("binary")
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: rule_key(F.col("host"), F.substr("path", F.lit(1), i)))
+    each = on.where("host != ''").select("rid", "id", "host", "path", F.explode_outer("stack").alias("on"))
+    each = each.unionByName(on.where("host = ''").select("rid", "id", "host", "path", F.lit(None).cast("string").alias("on")))
+    value = F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "action")
+    deep = _depth(rules, rule_key(F.col("host"), F.col("path")), prefixes)
+    found = open_at(each.withColumn("key", F.coalesce(rule_key(F.col("on"), F.col("path")), F.lit("").cast("binary"))), rules.select(rule_key(F.col("host"), F.col("path")).alias("key"), value.alias("value")), deep, parts)
+    top = F.try_element_at("stack", F.lit(-1))
+    best = found.groupBy("rid").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(top).alias("best"))
+    return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,9 +115,9 @@ def test_url_rules_match_brute_force(spark):
     urls = [None, "", "no scheme", "://", "http://", *[f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(300)]]
     rules = [*RULES, ("example.org", "", "block"), ("example.org", "/en/", "allow"), ("b.com", "/de/a", "allow"), ("org", "/a\U0010ffff", "block")]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), part_rows=8).collect()
+    got = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), parts=7).collect()
     assert len(got) == len(urls)
-    again = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), part_rows=8, max_broadcast=0).collect()
+    again = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), parts=1).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(urls[r["page_id"]], rules), urls[r["page_id"]]
