@@ -122,7 +122,7 @@ def _few(rows: DataFrame, most: int, listed: str | None = None) -> DataFrame:
     return F.broadcast(rows) if (size or 0) <= most else rows
 
 
-def repeated_windows(texts: DataFrame, *, window: int = 50, max_broadcast: int = 1_000_000) -> DataFrame:
+def repeated_windows(texts: DataFrame, *, window: int = 50) -> DataFrame:
     """(id, node, runs): for (id, node, text) with distinct texts, the windows that also start in a text with a smaller id, as
     runs of consecutive starts."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -131,7 +131,7 @@ def repeated_windows(texts: DataFrame, *, window: int = 50, max_broadcast: int =
     marked = cut(anchors.join(shared, "anchor", "left_semi").groupBy("node").agg(F.collect_set("anchor").alias("anchors")))
     discard(anchors)
     discard(shared)
-    windows = written(_window_rows(texts.join(_few(marked, max_broadcast, "anchors"), "node"), window, kind), "windows")
+    windows = written(_window_rows(texts.join(marked, "node"), window, kind), "windows")
     least = windows.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     least = written(least, "first-windows")
     late = windows.join(least, ["a", "b"]).where("id > first")
@@ -161,7 +161,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not again.isEmpty():
             twice = _few(again, max_broadcast)
             sources = sources.join(twice, ["id", "node"], "left_anti").unionByName(sources.join(twice, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]))
-    found = repeated_windows(sources.select("id", "node", "text"), window=window, max_broadcast=max_broadcast)
+    found = repeated_windows(sources.select("id", "node", "text"), window=window)
     whole = copies.select("id", "node", F.array().cast(_RUNS).alias("runs"))
     marks = cut(found.unionByName(whole))
     return _apply(docs, out, F.col(f"`{id_col}`"), text, _few(marks, max_broadcast, "runs"), window)
