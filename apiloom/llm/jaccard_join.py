@@ -88,14 +88,14 @@ def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa
 
 
 def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFrame:
-    """Rows (id, node, n, sketch) of all texts, and rows (token, times) of the tokens that sets of one slice share."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
+    """Rows (id, print, node, n, sketch) of all texts, and rows (token, times) of the tokens that sets of one slice share."""
+    schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
 
     def shared(sets: list[np.ndarray]) -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(sets), return_counts=True)
         token, times = token[times > 1].view(np.int64), times[times > 1]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(token), pa.list_(pa.int64())), pa.array(token), pa.array(times)], schema=schema)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.list_(pa.int64())), pa.array(token), pa.array(times)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -104,7 +104,7 @@ def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFra
         for batch, sets in _sets_of(batches, width):
             node, n = _nodes(sets)
             none = pa.nulls(len(node), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), pa.array(n), _sketches(sets), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), pa.array(node), pa.array(n), _sketches(sets), none, none], schema=schema)
             for s, x in zip(sets, node.tolist(), strict=True):
                 if len(s) and x not in seen:
                     seen.add(x)
@@ -116,7 +116,7 @@ def _sized(rows: DataFrame, width: int, held_tokens: int = 2_000_000) -> DataFra
         if held:
             yield shared(held)
 
-    return in_batches(rows, run, "id long, node long, n long, sketch array<long>, token long, times long")
+    return in_batches(rows, run, "id long, print long, node long, n long, sketch array<long>, token long, times long")
 
 
 def with_node(docs: DataFrame, node: str, n: str, *, text_col: str = "text", width: int = 5) -> DataFrame:
@@ -237,10 +237,12 @@ def _lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _node_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, freq, width: int, broadcast_nodes: int) -> DataFrame:
     """(node, n, early, late, tokens) of each wanted node, from one of its texts: B-prefix and reverse-B-prefix (the low
-    half of each token) and the set. Where an id stands for several texts, those of other nodes go."""
+    half of each token) and the set. A text is found by its id and its hash, so rows of one id, or of none, meet only the
+    node that they stand for."""
     few = wanted.limit(broadcast_nodes + 1).count() <= broadcast_nodes
-    chosen = reps.join(wanted, "node", "left_semi").select("node", F.col("id").alias("rep"))
-    rows = docs.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("rep"))).select("node", "__text")
+    chosen = reps.join(wanted, "node", "left_semi").select("node", F.col("id").alias("rep"), F.col("print").alias("own"))
+    same = (F.col("print") == F.col("own")) & F.col("id").eqNullSafe(F.col("rep"))
+    rows = docs.join(F.broadcast(chosen) if few else chosen, same).select("node", "__text")
     low = lambda x: x.astype(np.uint32).view(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +350,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = rows.select("id", F.xxhash64("__text").alias("print"), "__text")
     sized = cut(_sized(rows, width))
     freq = spark.sparkContext.broadcast(frequencies(sized))
-    every = sized.where("node is not null").select("id", "node", "n", "sketch")
-    reps = cut(every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
+    every = sized.where("node is not null").select("id", "print", "node", "n", "sketch")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print")).alias("least")
+    reps = every.where("n > 0").groupBy("node").agg(least, F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    reps = cut(reps.select("node", "least.id", "least.print", "n", "sketch"))
     lists, twos = _lists(_prefix_entries(rows, freq, width))
 
     pairs, comp, nodes = cut(_first_pairs(lists)), None, []
@@ -379,7 +384,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = (reps.join(comp, "node", "left") if comp is not None else reps.withColumn("comp", F.lit(None).cast("long"))).select("node", "id", own)
     names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     named = placed.join(names, "component").select("node", "component", "component_id")
-    out = every.drop("sketch").join(named, "node", "left")
+    out = every.drop("sketch", "print").join(named, "node", "left")
     alone = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     more = ["node", "component"] if keep_node else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), *more)
