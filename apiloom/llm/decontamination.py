@@ -3,7 +3,8 @@ weighted-shingle similarity.
 
 Item lengths fall into classes whose ends differ by at most a fifth; for each class a window of its middle length steps
 over every text by a sixth of that length. The fingerprint of a window is the sign of the sum of its word bigrams'
-hashed +-1 vectors, from running sums over the text. Fingerprints are cut into four blocks of 16 bits: two within Hamming
+hashed +-1 vectors, from running sums over the text; a bigram counts once in any sixteen words (in sixty-four, for items of
+400 words and more), so that a repeated word, or a table of zeros, beside an item does not outvote it. Fingerprints are cut into four blocks of 16 bits: two within Hamming
 distance 15 agree within 3 bits in at least one block, so a table of all values within 3 bits of each item's block
 misses none. Items that pass the full Hamming distance are compared exactly: the best window of the item's length near
 the hit, by the weight of shared five-word shingles over the weight of all, with inverse item frequencies as weights;
@@ -35,6 +36,7 @@ from apiloom.llm.shingles import mix, word_hashes
 
 RADIUS = 15
 _BLOCKS, _BLOCK_BITS = 4, 16
+_NEAR = 16
 _MATCHES = "array<struct<item_id:long,start:int,n_words:int,similarity:double>>"
 
 
@@ -46,17 +48,30 @@ def _shingles(words: list[bytes], width: int) -> list[tuple]:
     return [tuple(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [tuple(words)]
 
 
-def _sums(words: np.ndarray) -> np.ndarray:
-    """Running sums (wrapping 16-bit, a row for each bit) of the +-1 vectors of the bigrams before each word."""
+def _sums(words: np.ndarray, near: int = _NEAR, text: np.ndarray | None = None) -> np.ndarray:
+    """Running sums (16-bit, a row for each bit) of the +-1 vectors of the bigrams before each word. A bigram that stands in
+    the last `near` words of the same text (`text`: the text of each word) already adds nothing."""
     pairs = mix(words[:-1] * np.uint64(0xD1342543DE82EF95) + words[1:])
+    again = np.zeros(len(pairs), bool)
+    for gap in range(1, min(near, len(pairs) - 1) + 1):
+        same = pairs[gap:] == pairs[:-gap]
+        if text is not None:
+            same &= text[gap:-1] == text[: -gap - 1]
+        again[gap:] |= same
     signs = np.ascontiguousarray(np.unpackbits(pairs.view(np.uint8)).view(np.int8).reshape(-1, 64).T)
     signs += signs
     signs -= 1
+    signs[:, again] = 0
     out = np.zeros((64, len(words)), np.int16)
     np.cumsum(signs, axis=1, dtype=np.int16, out=out[:, 1:])
     return out
 
 
+def _near(size: int) -> int:
+    """How far back a bigram counts as repeated, for windows of this many words."""
+    return _NEAR if size < 400 else 4 * _NEAR
+
+
 def _signs(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Fingerprints of the windows [start, stop) of words."""
     inside = sums.take(stop - 1, axis=1)
@@ -84,11 +99,12 @@ class Index:
         while lengths:
             group = [n for n in lengths if n <= lengths[0] * spread]
             lengths = lengths[len(group) :]
+            size = max(1, round((group[0] + group[-1]) / 2))
             own = np.array([k for k, (_, w) in enumerate(self.items) if len(w) in set(group)])
             prints = []
             for k in own:
                 words, _ = word_hashes([b" ".join(self.items[k][1]).decode("utf-8", "surrogatepass")])
-                prints.append(_signs(_sums(words), np.array([0]), np.array([len(words)]))[0])
+                prints.append(_signs(_sums(words, _near(size)), np.array([0]), np.array([len(words)]))[0])
             prints = np.array(prints, np.uint64)
             tables = []
             for b in range(_BLOCKS):
@@ -97,16 +113,20 @@ class Index:
                 order = np.argsort(slot, kind="stable")
                 offsets = np.searchsorted(slot[order], np.arange((1 << _BLOCK_BITS) + 1)).astype(np.int32)
                 tables.append((offsets, np.repeat(np.arange(len(own), dtype=np.int32), len(near))[order]))
-            self.classes.append((max(1, round((group[0] + group[-1]) / 2)), own, prints, tables))
+            self.classes.append((size, own, prints, tables))
 
     def candidates(self, words: np.ndarray, counts: np.ndarray) -> dict[int, set[tuple[int, int]]]:
         """For each text (by place) the (item, window start) within the Hamming radius."""
         out: dict[int, set[tuple[int, int]]] = {}
         if len(words) < 1:
             return out
-        sums = _sums(words)
+        text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         first = np.cumsum(counts) - counts
-        for size, own, prints, tables in self.classes:
+        sums, held = None, 0
+        for size, own, prints, tables in self.classes:  # from short to long: sums of one kind are held at a time
+            if held != _near(size):
+                held = _near(size)
+                sums = _sums(words, held, text)
             step = max(1, size // 6)
             some = np.flatnonzero(counts >= max(1, size // 2))
             n = counts[some]
@@ -135,25 +155,54 @@ class Index:
         return shared / (sum(get(s, self.unknown) for s in theirs) + len(mine - theirs) * self.unknown) if shared else 0.0
 
     def verify(self, text: str, found: set[tuple[int, int]], threshold: float) -> list[tuple[int, int, int, float]]:
-        """(item id, start, words, similarity) of the best window of each item near its candidates."""
+        """(item id, start, words, similarity) of the best window of each item near its candidates. The windows of one
+        stretch of starts slide: a step takes one shingle out and one in."""
         words = _folded(text)
         shingles = _shingles(words, self.width)
-        best: dict[int, tuple[float, int]] = {}
-        tried: set[tuple[int, int]] = set()
+        near: dict[int, list[tuple[int, int]]] = {}
         for k, at in sorted(found):
             length = len(self.items[k][1])
-            if self.sets[k].isdisjoint(shingles[max(0, at - length) : at + 2 * length]):
+            if not self.sets[k].isdisjoint(shingles[max(0, at - length) : at + 2 * length]):
+                low, high = max(0, at - length // 2), min(max(0, len(words) - length), at + length // 2) + 1
+                runs = near.setdefault(k, [])
+                if runs and low <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], max(high, runs[-1][1]))
+                elif low < high:
+                    runs.append((low, high))
+        best = [(self.items[k], *b) for k, runs in sorted(near.items()) if (b := self._best(k, words, shingles, runs))[1] >= threshold]
+        return [(item, p, min(len(own), len(words) - p), s) for (item, own), p, s in best]
+
+    def _best(self, k: int, words: list[bytes], shingles: list[tuple], runs: list[tuple[int, int]]) -> tuple[int, float]:
+        """(start, similarity) of the best window of the item with a start in one of the runs; the first of equals."""
+        length, theirs, get = len(self.items[k][1]), self.sets[k], self.weights.get
+        exact = lambda w: round(w * (1 << 40))  # noqa: E731  whole numbers, so that sliding adds no rounding
+        unknown = exact(self.unknown)
+        all_theirs = sum(exact(get(s, self.unknown)) for s in theirs)
+        best = (0, 0.0)
+        for low, high in runs:
+            if length < self.width:
+                for p in range(low, high):
+                    s = self.similarity([tuple(words[p : p + length])], k)
+                    best = (p, s) if s > best[1] else best
                 continue
-            last = max(0, len(words) - length)
-            for p in range(max(0, at - length // 2), min(last, at + length // 2) + 1):
-                if (k, p) in tried:
-                    continue
-                tried.add((k, p))
-                run = shingles[p : p + max(1, length - self.width + 1)] if length >= self.width else [tuple(words[p : p + length])]
-                s = self.similarity(run, k)
-                if s >= threshold and (-s, p) < best.get(k, (0.0, 0)):
-                    best[k] = (-s, p)
-        return [(self.items[k][0], p, min(len(self.items[k][1]), len(words) - p), -s) for k, (s, p) in sorted(best.items())]
+            size = length - self.width + 1
+            inside: Counter = Counter()
+            shared = foreign = 0
+            for end in range(low, min(high - 1 + size, len(shingles))):
+                new = shingles[end]
+                inside[new] += 1
+                if inside[new] == 1:
+                    shared, foreign = (shared + exact(get(new, self.unknown)), foreign) if new in theirs else (shared, foreign + unknown)
+                if end - low >= size:
+                    old = shingles[end - size]
+                    inside[old] -= 1
+                    if not inside[old]:
+                        shared, foreign = (shared - exact(get(old, self.unknown)), foreign) if old in theirs else (shared, foreign - unknown)
+                p = max(low, end - size + 1)
+                if end - low >= size - 1 or end == len(shingles) - 1:
+                    s = shared / (all_theirs + foreign) if shared else 0.0
+                    best = (p, s) if s > best[1] else best
+        return best
 
 
 def _item_shingles(rows: DataFrame, width: int) -> DataFrame:

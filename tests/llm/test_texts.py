@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from apiloom.llm import language_crf as L
 from apiloom.llm import quality_rules as Q
 from apiloom.llm import secrets as S
 from apiloom.llm import sentencepiece_sa as P
+from apiloom.llm.shingles import word_hashes
 
 KEY = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 
@@ -341,3 +343,43 @@ def test_encode_and_decode_frames(spark, sf):
     back = P.decode(out.select("doc_id", "ids", "text"), P.model_path(), to="again").collect()
     assert all(r["again"] == r["text"] for r in back)
     assert P.encode(docs.limit(0), P.model_path()).count() == 0
+
+
+@pytest.mark.parametrize("length", [12, 60, 200, 900])
+@pytest.mark.parametrize("around", ["random", "one word", "two words", "a table", "a repeated line"])
+def test_decontamination_finds_copies_in_any_surroundings(length, around):
+    rng = random.Random(f"{length}{around}")
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = [word() for _ in range(20)]
+    fill = {
+        "random": lambda n: [word() for _ in range(n)],
+        "one word": lambda n: ["the"] * n,
+        "two words": lambda n: ["the", "of"] * (n // 2),
+        "a table": lambda n: ["0", "|", "-", "|"] * (n // 4),
+        "a repeated line": lambda n: line * (n // 20),
+    }[around]
+    items = [(i, " ".join(word() for _ in range(length + rng.randint(0, length // 10)))) for i in range(20)]
+    texts = [" ".join([*fill(rng.randint(0, 600)), t, *fill(rng.randint(0, 600))]) for _, t in items for _ in range(3)]
+    index = D.Index(items)
+    found = index.candidates(*word_hashes(texts))
+    got = [[m[0] for m in index.verify(t, found.get(d, set()), 0.75)] for d, t in enumerate(texts)]
+    assert sum(g == [d // 3] for d, g in enumerate(got)) >= 0.9 * len(texts)
+
+
+def test_decontamination_does_not_depend_on_the_neighbour_in_a_batch():
+    words = " ".join(f"w{i % 9}" for i in range(40))
+    index = D.Index([(1, words)])
+    alone, after = index.candidates(*word_hashes([words])), index.candidates(*word_hashes([words, words]))
+    assert alone[0] == after[0] == after[1]
+
+
+def test_decontamination_verifies_long_items_by_sliding():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    words = [word() for _ in range(3000)]
+    index = D.Index([(1, " ".join(words))])
+    text = " ".join([*(word() for _ in range(2000)), *words[:1500], "x", *words[1500:]])
+    began = time.time()
+    ((item, start, n, similarity),) = index.verify(text, {(0, 1900), (0, 2300)}, 0.75)
+    plain = [index.similarity(D._shingles(D._folded(text)[p : p + 3000], 5), 0) for p in (start - 1, start, start + 1)]
+    assert (item, n) == (1, 3000) and abs(similarity - plain[1]) < 1e-9 and plain[1] >= max(plain) and time.time() - began < 2
