@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiloom.functions import schema as X
 from apiloom.functions import text as T
+from apiloom.session import Scratch, cut
 
 OPERATION = "struct<operationId:string,summary:string,description:string,tags:array<string>>"
 
@@ -144,57 +143,83 @@ def capability_rollup(apis: DataFrame) -> DataFrame:
     return base.withColumn("completeness", share).join(mode(tag, "main_tag"), "cluster", "left").join(mode(verb, "main_verb"), "cluster", "left")
 
 
-def average_linkage(distance: np.ndarray, weight: np.ndarray, cut: float) -> np.ndarray:
-    """Labels of average-linkage clusters cut at a distance; points carry weights (how many equal rows they stand for)."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, owner, alive = weight.astype(float).copy(), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] <= cut:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
-        size[i] += size[j]
-        owner[owner == j] = i
-    return owner
-
-
-def entity_clusters(apis: DataFrame, *, similarity: float = 0.85) -> DataFrame:
+def _close_points(points: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b, sim): the pairs of points of one anchor with a cosine of `least` or more.
+
+    Points of an anchor are dealt into blocks of about `block`, and pairs of blocks meet in an equality join, so a hot
+    anchor is many tasks. Sizes alone bound the cosine from above; only pairs within the bound have their fields compared."""
+    counts = points.groupBy("entity").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = points.join(counts, "entity").withColumn("own", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int"))
+    size = F.size("fields")
+    dealt = dealt.select("entity", "first", "fields", "method", size.alias("k"), F.sqrt(0.26 + F.when(size > 0, 0.16 / size).otherwise(0.0)).alias("norm"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = dealt.where("own <= other").select("entity", F.col("own").alias("i"), F.col("other").alias("j"), F.struct("first", "fields", "method", "k", "norm").alias("x"))
+    right = dealt.where("other <= own").select("entity", F.col("other").alias("i"), F.col("own").alias("j"), F.struct("first", "fields", "method", "k", "norm").alias("y"))
+    norms = F.col("x.norm") * F.col("y.norm")
+    same = F.when(F.col("x.method") == F.col("y.method"), 0.01).otherwise(0.0)
+    bound = (0.25 + same + 0.16 / F.greatest(F.lit(1), "x.k", "y.k")) / norms
+    once = (F.col("i") < F.col("j")) | (F.col("x.first") < F.col("y.first"))
+    met = left.join(right, ["entity", "i", "j"]).where(once & (bound >= least - 1e-9))
+    shared = F.when((F.col("x.k") > 0) & (F.col("y.k") > 0), 0.16 * F.size(F.array_intersect("x.fields", "y.fields")) / (F.col("x.k") * F.col("y.k"))).otherwise(0.0)
+    sim = F.round((0.25 + same + shared) / norms, 12)
+    return met.select(F.least("x.first", "y.first").alias("a"), F.greatest("x.first", "y.first").alias("b"), sim.alias("sim")).where(F.col("sim") >= least)
+
+
+def _mutual(pairs: DataFrame) -> DataFrame:
+    """(a, b): the pairs that are each other's closest. Equal cosines go by the names of the pair, so the order is total."""
+    ends = pairs.select(F.col("a").alias("me"), F.struct((-F.col("sim")).alias("far"), "a", "b").alias("pair")).unionByName(pairs.select(F.col("b").alias("me"), F.struct((-F.col("sim")).alias("far"), "a", "b").alias("pair")))
+    best = ends.groupBy("me").agg(F.min("pair").alias("pair")).select("me", "pair.a", "pair.b")
+    return best.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
+
+
+def entity_clusters(apis: DataFrame, *, similarity: float = 0.85, block: int = 500) -> DataFrame:
     """(operation_id, cluster, cluster_type): average linkage over features anchor, fields and method.
 
-    Rows of different anchors never reach the cut-off when it is above .405, so each anchor is clustered alone; equal
-    feature vectors are one weighted point, so a group has as many points as it has different field sets and methods.
+    Rows of different anchors never reach the cut-off when it is above .405; equal feature vectors are one weighted point.
+    The average cosine of two clusters is the product of their mean unit vectors, and a merged cluster is no closer to
+    others than the closer of its parts. So all pairs that are each other's closest merge at once, round by round, and
+    only pairs that reached the cut-off before can reach it after a merge: pairs of points are compared once, and later rounds
+    are joins over the pairs that remain. No anchor meets in one task.
     """
     if similarity <= 0.405:
         raise ValueError("below .405 clusters could span anchors")
-    key = F.struct(F.array_sort(F.array_distinct("fields")).alias("fields"), F.upper("method").alias("method"))
-    points = apis.withColumn("key", key).groupBy("entity", "key").agg(F.count("*").alias("n"), F.min("operation_id").alias("first"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first").reset_index(drop=True)
-        names = sorted({f for k in pdf["key"] for f in k["fields"]})
-        methods = sorted({k["method"] for k in pdf["key"]})
-        x = np.zeros((len(pdf), 1 + len(names) + len(methods)))
-        for r, k in enumerate(pdf["key"]):
-            x[r, 0] = 0.5
-            for f in k["fields"]:
-                x[r, 1 + names.index(f)] = 0.4 / len(k["fields"])
-            x[r, 1 + len(names) + methods.index(k["method"])] = 0.1
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        owner = average_linkage(1 - unit @ unit.T, pdf["n"].to_numpy(), 1 - similarity)
-        return pd.DataFrame({"entity": pdf["entity"], "first": pdf["first"], "cluster": [pdf["first"][o] for o in owner]})
-
-    found = points.select("entity", "key", "n", "first").groupBy("entity").applyInPandas(cluster, "entity string, first string, cluster string")
-    firsts = points.select("entity", "key", "first").join(found, ["entity", "first"])
-    rows = apis.withColumn("key", key).join(firsts.select("entity", "key", "cluster"), ["entity", "key"])
-    size = F.count("*").over(Window.partitionBy("cluster"))
-    return rows.select("operation_id", "entity", "method", "cluster", F.when(size > 1, "entity").otherwise("atomic").alias("cluster_type"))
+    with Scratch(apis.sparkSession) as keep:
+        fields, method = F.array_sort(F.array_distinct("fields")), F.upper("method")
+        points = keep(apis.groupBy("entity", fields.alias("fields"), method.alias("method")).agg(F.count("*").cast("double").alias("n"), F.min("operation_id").alias("first")))
+        size = F.size("fields")
+        norm = F.sqrt(0.26 + F.when(size > 0, 0.16 / size).otherwise(0.0))
+        parts = F.concat(F.array(F.struct(F.lit("anchor").alias("key"), (0.5 / norm).alias("value")), F.struct(F.concat(F.lit("method "), F.coalesce("method", F.lit(""))).alias("key"), (0.1 / norm).alias("value"))), F.transform("fields", lambda f: F.struct(F.concat(F.lit("field "), f).alias("key"), (0.4 / size / norm).alias("value"))))
+        groups = points.select(F.col("first").alias("cid"), "n", F.map_from_entries(parts).alias("mean"))
+        pairs = keep(_close_points(points, similarity, block))
+        owner = points.select("first", F.col("first").alias("cid"))
+        while True:
+            merges = keep(_mutual(pairs))
+            if merges.isEmpty():
+                break
+            into = merges.select(F.col("b").alias("cid"), F.col("a").alias("into"))
+            moved = lambda rows, c: rows.join(into.select(F.col("cid").alias(c), F.col("into").alias(f"{c}_into")), c, "left")  # noqa: B023, E731
+            owner = keep(owner.join(into, "cid", "left").select("first", F.coalesce("into", "cid").alias("cid")))
+            side = lambda c: merges.join(groups.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("mean").alias(f"m{c}")), c).select("a", "b", f"n{c}", f"m{c}")  # noqa: B023, E731
+            both = side("a").join(side("b"), ["a", "b"])
+            mean = F.map_zip_with("ma", "mb", lambda k, x, y: (F.coalesce(x, F.lit(0.0)) * F.col("na") + F.coalesce(y, F.lit(0.0)) * F.col("nb")) / (F.col("na") + F.col("nb")))
+            new = both.select(F.col("a").alias("cid"), (F.col("na") + F.col("nb")).alias("n"), mean.alias("mean"))
+            gone = merges.select(F.explode(F.array("a", "b")).alias("cid"))
+            groups = keep(groups.join(gone, "cid", "left_anti").unionByName(new))
+            touched = gone.withColumn("hit", F.lit(True))
+            marked = pairs.join(touched.select(F.col("cid").alias("a"), F.col("hit").alias("hit_a")), "a", "left").join(touched.select(F.col("cid").alias("b"), F.col("hit").alias("hit_b")), "b", "left")
+            marked = keep(marked.withColumn("hit", F.coalesce("hit_a", "hit_b", F.lit(False))).select("a", "b", "sim", "hit"))
+            again = moved(moved(marked.where("hit").select("a", "b"), "a"), "b").select(F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y")).where("x != y")
+            again = again.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            vector = lambda c: groups.select(F.col("cid").alias(c), F.col("mean").alias(f"m{c}"))  # noqa: B023, E731
+            dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)))
+            fresh = again.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", F.round(dot, 12).alias("sim")).where(F.col("sim") >= similarity)
+            pairs = keep(marked.where("NOT hit").select("a", "b", "sim").unionByName(fresh))
+        sizes = points.join(owner, "first").groupBy("cid").agg(F.sum("n").alias("rows"))
+        named = points.join(owner, "first").join(sizes, "cid").select("entity", F.col("fields").alias("f"), F.col("method").alias("m"), F.col("cid").alias("cluster"), F.when(F.col("rows") > 1, "entity").otherwise("atomic").alias("cluster_type"))
+        named = cut(named)
+    key = F.struct(fields.alias("f"), method.alias("m"))
+    rows = apis.withColumn("__key", key)
+    hit = rows["entity"].eqNullSafe(named["entity"]) & rows["__key.f"].eqNullSafe(named["f"]) & rows["__key.m"].eqNullSafe(named["m"])
+    return rows.join(named, hit).select("operation_id", rows["entity"], rows["method"], "cluster", "cluster_type")
 
 
 def refine_crud(clustered: DataFrame) -> DataFrame:

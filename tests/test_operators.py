@@ -55,20 +55,6 @@ def test_selection(spark):
     assert [r["idx"] for r in picked] == [0, 2]
 
 
-def test_average_linkage_against_a_plain_version():
-    rng = np.random.default_rng(2)
-    x = rng.random((12, 3))
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    groups = [[i] for i in range(12)]
-    while True:
-        best = min(((np.mean([d[i, j] for i in a for j in b]), p, q) for p, a in enumerate(groups) for q, b in enumerate(groups) if p < q), default=None)
-        if best is None or best[0] > 0.5:
-            break
-        groups[best[1]] += groups.pop(best[2])
-    owner = A.average_linkage(d, np.ones(12), 0.5)
-    assert sorted(sorted(g) for g in groups) == sorted([i for i in range(12) if owner[i] == o] for o in sorted(set(owner)))
-
-
 def test_clusters_and_crud(spark):
     rows = spark.createDataFrame([(f"o{i}", "user", m, ["a", "b"]) for i, m in enumerate(["GET", "POST", "GET"])] + [("z", "shop", "GET", ["a", "b"])], "operation_id string, entity string, method string, fields array<string>")
     got = A.refine_crud(A.entity_clusters(rows)).collect()
