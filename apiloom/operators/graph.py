@@ -106,13 +106,6 @@ def siblings(tree: DataFrame) -> DataFrame:
     return tree.join(n, "parent_id").select("agent_id", "siblings")
 
 
-def lowest_common_ancestor(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """(a, b, lca): the deepest node on both ways from the root."""
-    side = lambda n: paths.select(F.col("agent_id").alias(n), F.col("path").alias(f"p{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", F.try_element_at(F.array_intersect("pa", "pb"), F.lit(-1)).alias("lca"))
-
-
 def influence(edges: DataFrame, root: str, *, threshold: float = 0.3, hops: int = 5) -> DataFrame:
     """Nodes reached from the root with the strongest product of weights, pruned below the threshold."""
     e = cut(edges.select("src", "dst", F.coalesce("weight", F.lit(0.5)).alias("w")))

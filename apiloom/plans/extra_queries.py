@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from apiloom.functions import text as T
 from apiloom.operators import graph as G
 from apiloom.operators import roles as R
+from apiloom.operators import trees as V
 from apiloom.plans.views import APIS, EDGES, LOGS, REGISTRY, TREE, apis, edges, logs, registry, table, tree
 
 
@@ -25,7 +26,16 @@ def _set_ops(s, d):
 
 
 def _levels(s, d):
-    return G.tree_paths(tree(s, d)).select("agent_id", F.col("depth").alias("level"))
+    return V.tree_intervals(tree(s, d)).select("agent_id", F.col("depth").alias("level"))
+
+
+def _is_descendant(s, d):
+    """Each order's customer against a nation, a region, another customer and itself."""
+    o = table(s, d, "orders")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    others = F.array(name("n", F.col("o_orderkey") % 25), name("r", F.col("o_orderkey") % 5), name("c", F.col("o_orderkey") % 100), name("c", F.col("o_custkey")))
+    pairs = o.select(F.explode(others).alias("ancestor"), name("c", F.col("o_custkey")).alias("node")).distinct()
+    return V.is_descendant(pairs, V.tree_intervals(tree(s, d)))
 
 
 def _references(s, d):
@@ -39,7 +49,9 @@ QUERIES = {
     "set_ops": _set_ops,
     "filter_confident": lambda s, d: edges(s, d).where("score >= 0.8").select("src", "dst"),
     "search_nodes": lambda s, d: R.search_nodes(tree(s, d), "customer#00000001", parent_id="n3").select("agent_id"),
-    "is_descendant": lambda s, d: G.closure(G.tree_paths(tree(s, d))).where("ancestor = 'r1' AND distance > 0").select("descendant"),
+    "is_descendant": _is_descendant,
+    "descendants_of": lambda s, d: G.closure(G.tree_paths(tree(s, d))).where("ancestor = 'r1' AND distance > 0").select("descendant"),
+    "tree_intervals": lambda s, d: V.tree_intervals(tree(s, d)),
     "adjusted_roles": lambda s, d: R.adjusted_roles(apis(s, d).select(F.col("entity").alias("role")).distinct(), apis(s, d).where("price < 950").select(F.col("entity").alias("role")).distinct(), table(s, d, "nation").select(F.lower("n_name").alias("role"))),
     "shared_by_level": lambda s, d: R.shared_by_level(_references(s, d), _levels(s, d)),
     "task_similarity": lambda s, d: R.task_similarity(table(s, d, "events").select(F.col("event_type").alias("task"), (F.floor(F.col("value")) / 1024).alias("score"))),
@@ -54,7 +66,15 @@ SQL = {
         SELECT k, 'common' AS part FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'removed' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'added' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""",
     "filter_confident": f"WITH {EDGES} SELECT src, dst FROM edges WHERE score >= 0.8",
     "search_nodes": f"WITH {TREE} SELECT agent_id FROM tree WHERE contains(lower(name), 'customer#00000001') AND parent_id = 'n3'",
-    "is_descendant": "SELECT 'n' || n_nationkey AS descendant FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1",
+    "is_descendant": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+p AS (SELECT DISTINCT unnest(['n' || (k % 25), 'r' || (k % 5), 'c' || (k % 100), 'c' || c]) AS ancestor, c FROM o)
+SELECT ancestor, 'c' || c AS node, coalesce(ancestor IN ('n' || c_nationkey, 'r' || n_regionkey), false) AS descendant FROM p LEFT JOIN customer ON c_custkey = c LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "descendants_of": "SELECT 'n' || n_nationkey AS descendant FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1",
+    "tree_intervals": """WITH c AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS p FROM customer), n AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS p FROM nation), r AS (SELECT 'r' || r_regionkey AS a FROM region),
+ways AS (SELECT a AS agent_id, NULL::VARCHAR AS parent_id, 0 AS depth, [a] AS way FROM r UNION ALL SELECT a, p, 1, [p, a] FROM n UNION ALL SELECT c.a, c.p, 2, [n.p, n.a, c.a] FROM c JOIN n ON n.a = c.p),
+subs AS (SELECT u AS agent_id, count(*) AS size FROM (SELECT unnest(way) AS u FROM ways) GROUP BY u),
+numbers AS (SELECT *, row_number() OVER (ORDER BY way) - 1 AS before FROM ways)
+SELECT agent_id, parent_id, depth, 2 * before - depth AS enter, 2 * before - depth + 2 * size - 1 AS leave FROM numbers JOIN subs USING (agent_id)""",
     "adjusted_roles": f"WITH {APIS} SELECT DISTINCT entity AS role FROM apis WHERE entity NOT IN (SELECT entity FROM apis WHERE price < 950) UNION SELECT lower(n_name) FROM nation",
     "shared_by_level": "SELECT 2 AS level, CAST(o_orderkey % 500 AS VARCHAR) AS capability, count(DISTINCT o_custkey) AS agents FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL HAVING count(DISTINCT o_custkey) >= 2",
     "task_similarity": "WITH m AS (SELECT event_type AS task, avg(floor(value) / 1024) AS m FROM events GROUP BY ALL) SELECT a.task AS a, b.task AS b, round(1 - abs(a.m - b.m), 6) AS similarity FROM m a JOIN m b ON a.task < b.task",

@@ -11,6 +11,7 @@ from apiloom.operators import deps as D
 from apiloom.operators import graph as G
 from apiloom.operators import roles as R
 from apiloom.operators import select as S
+from apiloom.operators import trees as V
 from apiloom.plans.views import APIS, EDGES, TREE, apis, edges, table, tree
 from apiloom.session import cut
 
@@ -90,9 +91,9 @@ def _centroids(s, d):
 
 
 def _lca(s, d):
-    t = G.tree_paths(tree(s, d))
+    t = V.tree_intervals(tree(s, d))
     pairs = table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("n"), (F.col("o_orderkey") % 25).cast("string")).alias("b")).distinct()
-    return G.lowest_common_ancestor(pairs, t)
+    return V.lowest_common_ancestor(pairs, t)
 
 
 def _between(s, d):
@@ -172,7 +173,7 @@ def _flow(s, d):
 
 
 def _reporting(s, d):
-    t = G.tree_paths(tree(s, d)).select("agent_id", F.col("depth").alias("level"))
+    t = V.tree_intervals(tree(s, d)).select("agent_id", F.col("depth").alias("level"))
     return R.reporting_lines(t)
 
 

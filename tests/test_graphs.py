@@ -6,6 +6,7 @@ import pytest
 
 from apiloom import session
 from apiloom.operators import graph as G
+from apiloom.operators import trees as T
 from apiloom.plans import graph_queries
 
 
@@ -91,3 +92,48 @@ def test_components_of_the_parts_graph(spark, sf):
     assert len({c for c, _, _ in want.values()}) > 20 and max(lv for _, lv, _ in want.values()) > 20
     rows = graph_queries.QUERIES["topological_order_of_parts"](spark, sf).collect()
     assert {r["node"]: (r["component"], r["level"], r["position"]) for r in rows} == want
+
+
+def places(rows):
+    """Depth and places on the tour, by recursion over sorted children."""
+    below = {}
+    for node, parent in rows:
+        below.setdefault(parent, []).append(node)
+    out, at, stack = {}, 0, [(n, 0, False) for n in sorted(below.get(None, ()), reverse=True)]
+    while stack:
+        node, depth, left = stack.pop()
+        if left:
+            out[node] = (*out[node], at)
+        else:
+            out[node] = (depth, at)
+            stack.append((node, depth, True))
+            stack += [(c, depth + 1, False) for c in sorted(below.get(node, ()), reverse=True)]
+        at += 1
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "star"])
+def test_trees_by_their_tour(spark, kind, monkeypatch):
+    tables = []
+    keep = session.Scratch.__call__
+    monkeypatch.setattr(session.Scratch, "__call__", lambda self, df: tables.append(1) or keep(self, df))
+    rng = random.Random(7)
+    n = 400
+    parent = {"random": lambda i: None if i < 3 else f"t{rng.randrange(i):04}", "chain": lambda i: f"t{i - 1:04}" if i else None, "star": lambda i: "t0000" if i else None}[kind]
+    rows = [(f"t{i:04}", parent(i)) for i in range(n)]
+    lost = [("x", "y"), ("y", "x"), ("z", "nobody"), ("zz", "z")]
+    got = T.tree_intervals(spark.createDataFrame(rows + lost, "agent_id string, parent_id string"))
+    want = places(rows)
+    assert {r["agent_id"]: (r["depth"], r["enter"], r["leave"]) for r in got.collect()} == want
+    assert len(tables) <= 14
+    up = dict(rows)
+
+    def way(a):
+        return [a, *(way(up[a]) if up[a] else [])] if kind != "chain" else [f"t{i:04}" for i in range(int(a[1:]), -1, -1)]
+
+    pairs = [(f"t{rng.randrange(n):04}", f"t{rng.randrange(n):04}") for _ in range(60)] + [("t0005", "t0005"), ("t0000", "t0399")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    lca = {(r["a"], r["b"]): r["lca"] for r in T.lowest_common_ancestor(frame, got).collect()}
+    assert lca == {(a, b): next((x for x in way(a) if x in set(way(b))), None) for a, b in pairs}
+    below = T.is_descendant(frame.toDF("ancestor", "node").union(spark.createDataFrame([("x", "y"), (None, "t0001")], "a string, b string")), got).collect()
+    assert {(r["ancestor"], r["node"]): r["descendant"] for r in below} == {**{(a, b): a != b and a in way(b) for a, b in pairs}, ("x", "y"): False, (None, "t0001"): False}
