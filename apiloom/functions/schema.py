@@ -98,9 +98,8 @@ def leaf_name(path: Column) -> Column:
 
 
 def paths_compatible(a: Column, b: Column) -> Column:
-    """Two field paths are compatible when one ends with the other's steps, array marks aside."""
-    x, y = (F.regexp_replace(c, r"\[\]", "") for c in (a, b))
-    return (x == y) | x.endswith(F.concat(F.lit("."), y)) | y.endswith(F.concat(F.lit("."), x))
+    """Two field paths are compatible when they end in the same field."""
+    return leaf_name(a) == leaf_name(b)
 
 
 def markdown_params(sections: DataFrame, *, key: str, text_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words that are no keywords.
 STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were"]
 
 
@@ -59,11 +60,18 @@ def error_input_stats(rows: DataFrame) -> DataFrame:
     return rows.where("expected != predicted").groupBy("prompt_id").agg(F.round(F.avg(n), 6).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"))
 
 
-def top_words(rows: DataFrame, *, key: str, text: str, k: int = 10, stop: list[str] | None = None) -> DataFrame:
+def top_words(rows: DataFrame, *, key: str, text: str, k: int = 10) -> DataFrame:
     """The k most frequent words of each key (ties by word)."""
-    each = rows.select(key, F.explode(words(F.col(text))).alias("word"))
-    if stop:
-        each = each.where(~F.col("word").isin(stop) & (F.length("word") > 2))
+    return _most_frequent(rows.select(key, F.explode(words(F.col(text))).alias("word")), key, k)
+
+
+def keywords(rows: DataFrame, *, key: str, text: str, k: int = 10) -> DataFrame:
+    """The k most frequent words of each key that are no stop words (ties by word), without punctuation at their ends."""
+    word = F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    return _most_frequent(rows.select(key, F.explode(F.transform(word, lambda w: F.trim(w, F.lit(".,!?;:")))).alias("word")), key, k)
+
+
+def _most_frequent(each: DataFrame, key: str, k: int) -> DataFrame:
     count = each.groupBy(key, "word").agg(F.count("*").alias("n"))
     return count.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
 
@@ -193,14 +201,19 @@ def rouge(reference: str, hypothesis: str) -> Column:
 
 
 def perturb(rows: DataFrame, *, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
-    """(id, kind, variant): each text in several disturbed forms. Choices hash (seed, id, kind), so they repeat."""
+    """(id, kind, variant): each text in several disturbed forms. Choices come from MD5 of (seed, id, what is chosen),
+    so they repeat: a typo swaps two letters next to each other in one word of three or more."""
     t = F.col(text_col)
     n = F.char_length(t)
-    draw = lambda kind: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.lit(kind)), F.greatest(n - 1, F.lit(1))).cast("int") + 1
-    at = draw("typo")
-    swap = F.concat(F.substr(t, F.lit(1), at - 1), F.substr(t, at + 1, F.lit(1)), F.substr(t, at, F.lit(1)), F.substr(t, at + 2))
+    draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.lit(what))), 1, 8), 16, 10).cast("long")
+    parts = F.filter(F.split(t, r"[ \t-\r]+"), lambda w: w != "")
+    place = F.pmod(draw("word"), F.greatest(F.size(parts), F.lit(1))).cast("int")
+    word = F.coalesce(F.get(parts, place), F.lit(""))
+    at = F.pmod(draw("letter"), F.greatest(F.char_length(word) - 1, F.lit(1))).cast("int") + 1
+    swapped = F.concat(F.substr(word, F.lit(1), at - 1), F.substr(word, at + 1, F.lit(1)), F.substr(word, at, F.lit(1)), F.substr(word, at + 2))
+    swap = F.array_join(F.transform(parts, lambda w, i: F.when((i == place) & (F.char_length(w) > 2), swapped).otherwise(w)), " ")
     kinds = {
-        "typo": F.when(n > 1, swap).otherwise(t),
+        "typo": F.when(F.size(parts) > 1, swap).otherwise(t),
         "spaces": F.replace(t, F.lit(" "), F.lit("  ")),
         "punctuation": F.concat(t, F.lit("!!!")),
         "half": F.substr(t, F.lit(1), F.floor(n / 2).cast("int")),

@@ -80,11 +80,11 @@ def validate_scenario(scenarios: DataFrame) -> DataFrame:
     missing = [F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(f"missing {c}")) for c in ("title", "description", "expected_outcome", "scenario_type")]
     missing.append(F.when(F.col("steps").isNull() | (F.size("steps") == 0), F.lit("missing steps")))
     exception = F.col("scenario_type") == "exception"
+    missing.append(F.when(exception & F.col("injection_step").isNull(), F.lit("no injection point")))
     issues = F.array_compact(F.array(*missing))
     warnings = F.array_compact(
         F.array(
             F.when(F.size("steps") != F.size("path"), F.lit("step count")),
-            F.when(exception & F.col("injection_step").isNull(), F.lit("no injection point")),
             F.when(exception & (F.col("injection_step") >= F.size("path")), F.lit("injection outside the path")),
         )
     )

@@ -26,7 +26,7 @@ def _turns(s, d):
 
 
 def _robust(s, d):
-    kinds = M.perturb(table(s, d, "benchmark"), id_col="item_id", text_col="text").where("kind != 'typo'")
+    kinds = M.perturb(table(s, d, "benchmark"), id_col="item_id", text_col="text")
     return M.robustness_score(kinds.withColumn("correct", F.char_length("variant") % 3 != 0), 0.8).select("kind", "accuracy", "robustness")
 
 
@@ -42,7 +42,7 @@ QUERIES = {
     "error_patterns": lambda s, d: M.error_patterns(predictions(s, d)),
     "error_input_stats": lambda s, d: M.error_input_stats(predictions(s, d)),
     "top_words": lambda s, d: M.top_words(table(s, d, "documents").select("lang", "text"), key="lang", text="text", k=10),
-    "keywords": lambda s, d: M.top_words(table(s, d, "documents").select("lang", "text"), key="lang", text="text", k=10, stop=M.STOP_WORDS),
+    "keywords": lambda s, d: M.keywords(table(s, d, "documents").select("lang", "text"), key="lang", text="text", k=10),
     "compare_prompts": _compare,
     "dataset_quality": lambda s, d: M.dataset_quality(_samples(s, d)),
     "distribution_similarity": lambda s, d: M.distribution_similarity(_samples(s, d).where("source < 'src15'"), _samples(s, d).where("source >= 'src15'")),
@@ -51,7 +51,7 @@ QUERIES = {
     "prompt_overlap": lambda s, d: _turns(s, d).select("conv_id", "turn", F.round(M.prompt_overlap(F.col("text"), F.col("answer")), 6).alias("overlap")),
     "bleu": lambda s, d: _turns(s, d).select("conv_id", "turn", M.bleu("text", "answer").alias("bleu")),
     "rouge": lambda s, d: _turns(s, d).select("conv_id", "turn", M.rouge("text", "answer").alias("r")).select("conv_id", "turn", "r.*"),
-    "perturb_text": lambda s, d: M.perturb(table(s, d, "benchmark"), id_col="item_id", text_col="text").where("kind != 'typo'"),
+    "perturb_text": lambda s, d: M.perturb(table(s, d, "benchmark"), id_col="item_id", text_col="text"),
     "token_estimate": lambda s, d: table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("ceil_4"), T.token_estimate(F.col("text"), 2, "floor").alias("floor_2")),
     "prompt_features": lambda s, d: table(s, d, "conversations").select(
         "conv_id",
@@ -80,8 +80,11 @@ TURNS = "t AS (SELECT a.conv_id, a.turn, a.text, b.text AS answer FROM conversat
 TOP = "w AS (SELECT lang, unnest(" + WORDS.format("text") + ") AS word FROM documents), n AS (SELECT lang, word, count(*) AS n FROM w {} GROUP BY ALL)"
 RANKED = "SELECT lang, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM n) WHERE rank <= 10"
 PERTURBED = """
-v AS (SELECT item_id, unnest([{'kind': 'spaces', 'variant': replace(text, ' ', '  ')}, {'kind': 'punctuation', 'variant': text || '!!!'}, {'kind': 'half', 'variant': substr(text, 1, CAST(floor(length(text) / 2) AS INT))},
-  {'kind': 'suffix', 'variant': text || ' please answer'}, {'kind': 'upper', 'variant': upper(replace(text, 'ß', 'SS'))}, {'kind': 'lower', 'variant': lower(text)}, {'kind': 'prefix', 'variant': 'Ignore this line. ' || text}]) AS x FROM benchmark),
+ty AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') AS parts, CAST('0x' || substr(md5('0:' || item_id || ':word'), 1, 8) AS BIGINT) AS dw, CAST('0x' || substr(md5('0:' || item_id || ':letter'), 1, 8) AS BIGINT) AS dl FROM benchmark),
+tw AS (SELECT *, CAST(dw % greatest(len(parts), 1) AS INT) + 1 AS place, coalesce(parts[CAST(dw % greatest(len(parts), 1) AS INT) + 1], '') AS word FROM ty),
+tp AS (SELECT *, CAST(dl % greatest(length(word) - 1, 1) AS INT) + 1 AS pick FROM tw),
+v AS (SELECT item_id, unnest([{'kind': 'typo', 'variant': CASE WHEN len(parts) > 1 THEN array_to_string(list_transform(parts, lambda w, i: CASE WHEN i = place AND length(w) > 2 THEN substr(word, 1, pick - 1) || substr(word, pick + 1, 1) || substr(word, pick, 1) || substr(word, pick + 2) ELSE w END), ' ') ELSE text END}, {'kind': 'spaces', 'variant': replace(text, ' ', '  ')}, {'kind': 'punctuation', 'variant': text || '!!!'}, {'kind': 'half', 'variant': substr(text, 1, CAST(floor(length(text) / 2) AS INT))},
+  {'kind': 'suffix', 'variant': text || ' please answer'}, {'kind': 'upper', 'variant': upper(replace(text, 'ß', 'SS'))}, {'kind': 'lower', 'variant': lower(text)}, {'kind': 'prefix', 'variant': 'Ignore this line. ' || text}]) AS x FROM tp),
 k AS (SELECT item_id, x.kind AS kind, x.variant AS variant FROM v)"""
 STAT = "(SELECT avg(length(text)) FROM documents WHERE source {0} 'src15')"
 SQL = {
@@ -93,7 +96,8 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY prompt_id, expected ORDER BY errors DESC, predicted) = 1 AND errors > 1 AS top FROM e""",
     "error_input_stats": f"WITH {PREDICTIONS} SELECT prompt_id, round(avg(length(input)), 6) AS avg_chars, CAST(min(length(input)) AS INT) AS min_chars, CAST(max(length(input)) AS INT) AS max_chars FROM preds WHERE expected != predicted GROUP BY prompt_id",
     "top_words": f"WITH {TOP.format('')} {RANKED}",
-    "keywords": f"WITH {TOP.format('WHERE length(word) > 2 AND word NOT IN (' + ', '.join(repr(w) for w in M.STOP_WORDS) + ')')} {RANKED}",
+    "keywords": f"""WITH w AS (SELECT lang, unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '' AND x NOT IN ({', '.join(repr(w) for w in M.STOP_WORDS)})), lambda x: trim(x, '.,!?;:'))) AS word FROM documents),
+  n AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL) {RANKED}""",
     "compare_prompts": f"""WITH {PREDICTIONS}, i AS (SELECT prompt_id, example_id // 2 AS input_id, max(CASE WHEN expected != predicted THEN 1 ELSE 0 END) AS e FROM preds GROUP BY ALL),
         j AS (SELECT a.e AS e1, b.e AS e2 FROM (SELECT * FROM i WHERE prompt_id = 'p0') a FULL JOIN (SELECT * FROM i WHERE prompt_id = 'p1') b USING (input_id)),
         r AS (SELECT round(avg(e1), 6) AS error_rate_1, round(avg(e2), 6) AS error_rate_2, count(*) FILTER (coalesce(e1, 0) = 1 AND coalesce(e2, 0) = 0) AS only_1, count(*) FILTER (coalesce(e1, 0) = 0 AND coalesce(e2, 0) = 1) AS only_2, count(*) FILTER (e1 = 1 AND e2 = 1) AS both FROM j)

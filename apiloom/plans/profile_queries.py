@@ -116,8 +116,8 @@ OPS = """o AS (SELECT p_partkey AS operation_id, p_partkey % 3 AS k, CAST(p_size
   '{"allOf":[{"properties":{"Total' || p_size || '":{"type":"integer"}}}]}' AS tot FROM part)"""
 SCEN = "p AS (SELECT l_orderkey AS path_id, CAST(count(DISTINCT l_partkey) AS INT) AS n FROM lineitem GROUP BY ALL), k AS (SELECT *, unnest(['normal', 'exception']) AS scenario_type FROM p)"
 BROKEN = """f AS (SELECT *, n - CAST(path_id % 5 = 0 AND n > 1 AS INT) AS n_steps, CASE WHEN path_id % 3 = 0 THEN NULL WHEN path_id % 13 = 0 THEN n + 1 ELSE n // 2 END AS fault, scenario_type = 'exception' AS ex FROM k),
-  w AS (SELECT *, list_filter([CASE WHEN path_id % 7 = 0 THEN 'missing title' END, CASE WHEN path_id % 11 = 0 THEN 'missing description' END], lambda x: x IS NOT NULL) AS issues,
-    list_filter([CASE WHEN n_steps != n THEN 'step count' END, CASE WHEN ex AND fault IS NULL THEN 'no injection point' END, CASE WHEN ex AND fault >= n THEN 'injection outside the path' END], lambda x: x IS NOT NULL) AS warnings FROM f),
+  w AS (SELECT *, list_filter([CASE WHEN path_id % 7 = 0 THEN 'missing title' END, CASE WHEN path_id % 11 = 0 THEN 'missing description' END, CASE WHEN ex AND fault IS NULL THEN 'no injection point' END], lambda x: x IS NOT NULL) AS issues,
+    list_filter([CASE WHEN n_steps != n THEN 'step count' END, CASE WHEN ex AND fault >= n THEN 'injection outside the path' END], lambda x: x IS NOT NULL) AS warnings FROM f),
   v AS (SELECT *, len(issues) = 0 AS is_valid, CASE WHEN len(issues) > 0 THEN 0 ELSE round(greatest(0, least(1, CAST(1 AS DOUBLE) - CAST(0.1 AS DOUBLE) * len(warnings) + CASE WHEN 15 * n - 1 > 50 THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN n_steps > 2 THEN CAST(0.1 AS DOUBLE) ELSE 0 END)), 6) END AS score FROM w)"""
 SQL = {
     "profile_tables": f"SELECT *, row_count > 0 AS has_data FROM ({COUNTS})",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from apiloom.functions import schema as X
 from apiloom.functions import text as T
 from apiloom.operators import apis as A
+from apiloom.operators import metrics as M
 from apiloom.operators import profile as P
 from apiloom.sources import readers as R
 
@@ -101,3 +102,18 @@ def test_validation_and_scenarios(spark):
     built = P.validate_scenario(P.build_scenarios(paths, ["normal", "exception"], 2)).collect()
     assert len(built) == 4 and all(r["is_valid"] and r["score"] == 1.0 for r in built)
     assert {r["injection_step"] for r in built} == {None, 1}
+    lost = P.validate_scenario(P.build_scenarios(paths, ["exception"]).withColumn("injection_step", F.lit(None).cast("int"))).first()
+    assert lost["issues"] == ["no injection point"] and not lost["is_valid"] and lost["score"] == 0.0
+    hosts = spark.createDataFrame([("::1",), ("fe80::1%eth0",), ("2001:db8::ff00:42:8329",), ("1:2:3:4:5:6:7:8",), ("1::2::3",), ("12345::",)], "ip string")
+    assert [r["errors"] for r in P.validate_columns(hosts, {"ip": {"pattern": "ipv6"}}).collect()] == [{}, {}, {}, {}, {"ip": "bad format"}, {"ip": "bad format"}]
+
+
+def test_keywords_and_typos(spark):
+    rows = spark.createDataFrame([("k", "The end, the END. An id; to be: of it!"), ("k", "id? end")], "key string, text string")
+    assert [(r["word"], r["n"]) for r in M.keywords(rows, key="key", text="text", k=2).orderBy("rank").collect()] == [("end", 3), ("id", 2)]
+    texts = spark.createDataFrame([(i, "some words to disturb here") for i in range(40)] + [(40, "one"), (41, ""), (42, "a b c")], "item_id long, text string")
+    typos = {r["item_id"]: r["variant"] for r in M.perturb(texts, id_col="item_id", text_col="text").where("kind = 'typo'").collect()}
+    assert typos[40] == "one" and typos[41] == "" and typos[42] == "a b c" and len(set(typos.values())) > 8
+    for i in range(40):
+        changed = [(a, b) for a, b in zip("some words to disturb here".split(), typos[i].split(), strict=True) if a != b]
+        assert len(changed) <= 1 and all(sorted(a) == sorted(b) for a, b in changed)
