@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiloom.functions import text as T
+from apiloom.session import cut
 
 NOISE_FIELDS = ["timestamp", "message", "code", "status", "msg", "success", "error"]
 LOCATION_WEIGHTS = {"path": 0.95, "query": 0.70, "body": 0.50}
@@ -41,30 +42,74 @@ def entity_relations_by_path(apis: DataFrame, entities: DataFrame, *, max_broadc
     return found.select("source", "target").distinct().withColumn("type", F.lit("PATH_HIERARCHY")).withColumn("score", F.lit(0.75))
 
 
-def field_match_dependencies(requests: DataFrame, responses: DataFrame, allowed: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """(src, dst, score, matched): an API whose request field is another API's response field.
+def _tidy(fields: DataFrame) -> DataFrame:
+    return fields.where(~F.col("name").isin(NOISE_FIELDS)).withColumn("canonical", T.canonical_entity(F.col("name"))).where("canonical is not null")
 
-    Without the 0.4 of a shared canonical entity a pair cannot reach 0.6, so above that threshold the join on canonical
-    entity, type and entity pair loses nothing. Fields are reduced to distinct (entity, name, type, location) and scored
-    once, then joined back to the APIs.
-    """
-    if threshold <= 0.595:
-        raise ValueError("the canonical join is exact only above .595")
-    tidy = lambda df: df.where(~F.col("name").isin(NOISE_FIELDS)).withColumn("canonical", T.canonical_entity(F.col("name"))).where("canonical is not null")
+
+def _scored_fields(requests: DataFrame, responses: DataFrame, allowed: DataFrame, threshold: float, near_fields: DataFrame | None) -> DataFrame:
+    """Pairs of distinct tidy request and response fields (entity, name, type, location) that reach the threshold.
+
+    `near_fields` (name_r, name_p, similarity) adds 0.15 of a meaning that two names share, from an embeddings table."""
+    if threshold <= 0.595 + (0.15 if near_fields is not None else 0.0):
+        raise ValueError("the canonical join is exact only above .595, or .745 with meanings")
     cols = ["entity", "name", "type", "location", "canonical"]
-    side = lambda df, s: tidy(df).select(*cols).distinct().select(*[F.col(c).alias(c if c in ("canonical", "type") else f"{c}_{s}") for c in cols])
+    side = lambda df, s: df.select(*cols).distinct().select(*[F.col(c).alias(c if c in ("canonical", "type") else f"{c}_{s}") for c in cols])
     pairs = allowed.select(F.col("source").alias("entity_r"), F.col("target").alias("entity_p"))
     scored = side(requests, "r").join(pairs, "entity_r").join(side(responses, "p"), ["canonical", "type", "entity_p"])
     weight = lambda c: F.coalesce(F.create_map(*[F.lit(x) for kv in LOCATION_WEIGHTS.items() for x in kv])[F.col(c)], F.lit(0.5))
     near = T.name_similarity(F.col("name_r"), F.col("name_p"))
     score = 0.4 + F.when(near >= 0.5, 0.3 * near + 0.1 * F.least(weight("location_r"), weight("location_p")) + F.when(F.col("entity_r") == F.col("entity_p"), 0.05).otherwise(0.0)).otherwise(0.0)
-    scored = scored.withColumn("score", F.round(score, 9)).where(F.col("score") >= threshold)
-    left = tidy(requests).select(F.col("operation_id").alias("src"), *[F.col(c).alias(f"{c}_r") for c in ("entity", "name", "location")], "type")
-    right = tidy(responses).select(F.col("operation_id").alias("dst"), *[F.col(c).alias(f"{c}_p") for c in ("entity", "name", "location")], "type")
+    if near_fields is not None:
+        scored = scored.join(near_fields.select("name_r", "name_p", "similarity"), ["name_r", "name_p"], "left")
+        score = score + 0.15 * F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(0.0))
+    return scored.withColumn("score", F.round(score, 9)).where(F.col("score") >= threshold)
+
+
+def field_match_dependencies(requests: DataFrame, responses: DataFrame, allowed: DataFrame, *, threshold: float = 0.7, near_fields: DataFrame | None = None) -> DataFrame:
+    """(src, dst, score, matched): an API whose request field is another API's response field.
+
+    Without the 0.4 of a shared canonical entity a pair cannot reach 0.6, so above that threshold the join on canonical
+    entity, type and entity pair loses nothing. Fields are reduced to distinct (entity, name, type, location) and scored
+    once, then joined back to the APIs. The rows grow with the square of the APIs of an entity: `field_match_classes` has
+    the same edges in rows linear in the APIs.
+    """
+    requests, responses = _tidy(requests), _tidy(responses)
+    scored = _scored_fields(requests, responses, allowed, threshold, near_fields)
+    left = requests.select(F.col("operation_id").alias("src"), *[F.col(c).alias(f"{c}_r") for c in ("entity", "name", "location")], "type")
+    right = responses.select(F.col("operation_id").alias("dst"), *[F.col(c).alias(f"{c}_p") for c in ("entity", "name", "location")], "type")
     edges = scored.join(left, ["entity_r", "name_r", "location_r", "type"]).join(right, ["entity_p", "name_p", "location_p", "type"]).where("src != dst")
     return edges.groupBy("src", "dst").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("name_r")).alias("matched"))
 
 
+def field_classes(fields: DataFrame) -> DataFrame:
+    """(operation_id, entity, class, fields): APIs with the same entity and the same tidy fields are one class, named by its
+    smallest API."""
+    own = _tidy(fields).groupBy("operation_id", "entity").agg(F.array_sort(F.collect_set(F.struct("name", "type", "location", "canonical"))).alias("fields"))
+    names = own.groupBy("entity", "fields").agg(F.min("operation_id").alias("class"))
+    return own.join(names, ["entity", "fields"]).select("operation_id", "entity", "class", "fields")
+
+
+def field_match_classes(requests: DataFrame, responses: DataFrame, allowed: DataFrame, *, threshold: float = 0.7, near_fields: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges of `field_match_dependencies` between classes of APIs: (src_class, dst_class, score, matched, edges), and
+    the members (operation_id, class) of the request and of the response classes.
+
+    Every API of the first class depends on every other API of the second; `edges` counts them, without those of an API
+    to itself. Rows are linear in the APIs and in the pairs of classes that match.
+    """
+    left, right = cut(field_classes(requests)), cut(field_classes(responses))
+    each = lambda df: df.where("operation_id = class").select("class", "entity", F.inline("fields"))
+    scored = _scored_fields(each(left), each(right), allowed, threshold, near_fields)
+    named = lambda df, s, c: each(df).select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{s}") for x in ("entity", "name", "location")], "type")
+    met = scored.join(named(left, "r", "src_class"), ["entity_r", "name_r", "location_r", "type"]).join(named(right, "p", "dst_class"), ["entity_p", "name_p", "location_p", "type"])
+    pairs = met.groupBy("src_class", "dst_class").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("name_r")).alias("matched"))
+    size = lambda df, c, n: df.groupBy(F.col("class").alias(c)).agg(F.count("*").alias(n))
+    both = left.select("operation_id", F.col("class").alias("src_class")).join(right.select("operation_id", F.col("class").alias("dst_class")), "operation_id")
+    both = both.groupBy("src_class", "dst_class").agg(F.count("*").alias("own"))
+    out = pairs.join(size(left, "src_class", "n_src"), "src_class").join(size(right, "dst_class", "n_dst"), "dst_class").join(both, ["src_class", "dst_class"], "left")
+    out = out.withColumn("edges", F.col("n_src") * F.col("n_dst") - F.coalesce("own", F.lit(0))).where("edges > 0")
+    return out.select("src_class", "dst_class", "score", "matched", "edges"), left.select("operation_id", "class"), right.select("operation_id", "class")
+
+
 def write_read_dependencies(apis: DataFrame, relations: DataFrame, known: DataFrame) -> DataFrame:
     """Writes that depend on nothing yet depend on the first read (by ord) of each related entity, with 0.6."""
     write = apis.where(T.is_write(F.col("path"), F.col("method"))).select(F.col("operation_id").alias("src"), F.col("entity").alias("source"))

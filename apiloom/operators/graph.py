@@ -217,13 +217,27 @@ def topological_order(nodes: DataFrame, edges: DataFrame, **blocks: int) -> Data
 
 
 def expand_plan(steps: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
-    """Each step of a plan with all nodes it can reach, every node once (the first step wins), renumbered within a plan."""
-    pairs = reachable_from(steps.select(F.col("agent").alias("node")), edges).select(F.col("start").alias("agent"), "node")
-    self = steps.select("plan_id", "step", F.col("agent").alias("node"))
-    more = steps.join(pairs, "agent").select("plan_id", "step", "node")
-    first = self.unionByName(more).groupBy("plan_id", "node").agg(F.min("step").alias("step"))
-    w = Window.partitionBy("plan_id").orderBy("step", "position", "node")
-    return first.join(order.select("node", "position"), "node").withColumn("number", F.row_number().over(w)).select("plan_id", "node", "step", "number")
+    """Each step of a plan with all nodes it can reach, every node once (the first step wins), renumbered within a plan.
+
+    Steps move over components, not nodes, and a plan keeps only the least step of each component before it moves on, so
+    what is held is the result by component, never a row for each step and each node it reaches. Numbers are differences
+    of places in one sorted whole, so a long plan is no single task.
+    """
+    with Scratch(steps.sparkSession) as keep:
+        comp = keep(order.select("node", "component", "position"))
+        of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        dag = keep(edges.join(of("src"), "src").join(of("dst"), "dst").where("csrc != cdst").select("csrc", "cdst").distinct())
+        front = keep(steps.join(comp.withColumnRenamed("node", "agent"), "agent").groupBy("plan_id", "component").agg(F.min("step").alias("step")))
+        best = front
+        while not front.isEmpty():
+            offers = front.join(dag, F.col("component") == F.col("csrc")).groupBy("plan_id", F.col("cdst").alias("component")).agg(F.min("step").alias("offer"))
+            both = keep(best.join(offers, ["plan_id", "component"], "full"))
+            better = F.col("offer").isNotNull() & (F.col("step").isNull() | (F.col("offer") < F.col("step")))
+            front = both.where(better).select("plan_id", "component", F.col("offer").alias("step"))
+            best = both.select("plan_id", "component", F.least("step", "offer").alias("step"))
+        rows = numbered(best.join(comp, "component").select("plan_id", "node", "step", "position"), "plan_id", "step", "position", "node", name="place")
+        start = rows.groupBy("plan_id").agg(F.min("place").alias("start"))
+        return cut(rows.join(start, "plan_id").select("plan_id", "node", "step", (F.col("place") - F.col("start") + 1).cast("int").alias("number")))
 
 
 def cascade_set(children: DataFrame, deleted: DataFrame) -> DataFrame:

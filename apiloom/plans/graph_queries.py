@@ -132,6 +132,21 @@ def _of_parts(job):
     return run
 
 
+def _expanded(s, d):
+    """Plans of suppliers whose steps start at the types of their parts."""
+    kinds = F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    li = table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(kinds, F.lit("-"), (F.col("p_size") % 10).cast("string")).alias("agent")), "l_partkey")
+    steps = li.groupBy(F.col("l_suppkey").alias("plan_id"), F.col("l_linenumber").alias("step")).agg(F.min("agent").alias("agent"))
+    return G.expand_plan(steps, _dag(s, d), G.topological_order(_nodes(s, d), _dag(s, d)))
+
+
+def _expanded_parts(s, d):
+    """Plans of suppliers whose steps start at their highest parts, over the sparse graph of parts."""
+    e = _parts_graph(s, d)
+    steps = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("plan_id"), F.col("l_linenumber").alias("step")).agg(F.lpad(F.max("l_partkey").cast("string"), 9, "0").alias("agent"))
+    return G.expand_plan(steps, e, G.topological_order(_both_ends(e), e))
+
+
 def _nodes(s, d):
     e = edges(s, d)
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
@@ -198,6 +213,7 @@ QUERIES = {
     "entity_relations_by_field": lambda s, d: D.entity_relations_by_field(fields(s, d, "request").select("entity", F.concat(F.split_part("entity", F.lit("-"), F.lit(1)), F.lit("-"), F.lit("brand"), F.length("name").cast("string"), F.lit("_id")).alias("field")).distinct(), entities(s, d)),
     "entity_relations_by_path": lambda s, d: D.entity_relations_by_path(apis(s, d), entities(s, d)),
     "field_match_dependencies": lambda s, d: _matches(s, d).withColumn("matched", F.array_join("matched", ",")),
+    "field_match_classes": lambda s, d: D.field_match_classes(fields(s, d, "request"), fields(s, d, "response"), allowed(s, d))[0].withColumn("matched", F.array_join("matched", ",")),
     "write_read_dependencies": lambda s, d: D.write_read_dependencies(apis(s, d), related(s, d), api_edges(s, d)),
     "crud_flow_dependencies": lambda s, d: D.crud_flow_dependencies(apis(s, d)),
     "explicit_edges": lambda s, d: D.explicit_edges(edges(s, d), _nodes(s, d).where("node like 's%' or node like '%5'")),
@@ -221,7 +237,8 @@ QUERIES = {
     "scc_of_parts": _of_parts(G.scc),
     "topological_order_of_parts": _of_parts(G.topological_order),
     "path_between": _between,
-    "expand_plan": lambda s, d: G.expand_plan(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("plan_id"), F.col("l_linenumber").alias("step")).agg(F.lit("economy-1").alias("agent")), _dag(s, d), G.topological_order(_nodes(s, d), _dag(s, d))),
+    "expand_plan": _expanded,
+    "expand_plan_of_parts": _expanded_parts,
     "fk_violations": lambda s, d: G.fk_violations(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")), table(s, d, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("id"))),
     "cascade_set": lambda s, d: G.cascade_set(tree(s, d).select(F.col("agent_id").alias("id"), F.col("parent_id").alias("parent")), table(s, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))),
     "vector_search": lambda s, d: R.vector_search(_vectors(s, d), _queries(s, d), 5),
@@ -297,6 +314,16 @@ SQL = {
         m AS (SELECT x.operation_id AS src, y.operation_id AS dst, x.name, 1 - levenshtein(x.bare, y.bare) / greatest(length(x.bare), length(y.bare)) AS near, least(x.w, y.w) AS w, CASE WHEN x.entity = y.entity THEN 0.05 ELSE 0 END AS own FROM x JOIN ok ON ok.source = x.entity JOIN y ON y.entity = ok.target AND x.canonical = y.canonical AND x.type = y.type AND x.operation_id != y.operation_id),
         s AS (SELECT src, dst, name, round(0.4 + CASE WHEN near >= 0.5 THEN 0.3 * near + 0.1 * w + own ELSE 0 END, 9) AS score FROM m)
         SELECT src, dst, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ',') AS matched FROM s WHERE score >= 0.7 GROUP BY src, dst""",
+    "field_match_classes": f"""WITH {APIS}, {ENTITIES}, n AS (SELECT entity AS source, lead(entity) OVER (PARTITION BY split_part(entity, '-', 2) ORDER BY entity) AS target FROM ent),
+        ok AS (SELECT entity AS source, entity AS target FROM ent UNION ALL SELECT source, target FROM n WHERE target IS NOT NULL), {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
+        x AS (SELECT *, {CANONICAL.format(BARE.format('name'))} AS canonical, CASE WHEN name LIKE '%Amount%' THEN 'number' ELSE 'string' END AS type, CASE WHEN length(name) % 2 = 0 THEN 0.95 ELSE 0.5 END AS w, {BARE.format('name')} AS bare FROM q WHERE name != 'status'),
+        y AS (SELECT *, {CANONICAL.format(BARE.format('name'))} AS canonical, CASE WHEN name LIKE '%Amount%' THEN 'number' ELSE 'string' END AS type, CASE WHEN length(name) % 2 = 0 THEN 0.95 ELSE 0.5 END AS w, {BARE.format('name')} AS bare FROM p WHERE name != 'status'),
+        m AS (SELECT x.operation_id AS src, y.operation_id AS dst, x.name, 1 - levenshtein(x.bare, y.bare) / greatest(length(x.bare), length(y.bare)) AS near, least(x.w, y.w) AS w, CASE WHEN x.entity = y.entity THEN 0.05 ELSE 0 END AS own FROM x JOIN ok ON ok.source = x.entity JOIN y ON y.entity = ok.target AND x.canonical = y.canonical AND x.type = y.type AND x.operation_id != y.operation_id),
+        s AS (SELECT src, dst, name, round(0.4 + CASE WHEN near >= 0.5 THEN 0.3 * near + 0.1 * w + own ELSE 0 END, 9) AS score FROM m),
+        e AS (SELECT src, dst, max(score) AS score, array_to_string(list_sort(list(DISTINCT name)), ',') AS matched FROM s WHERE score >= 0.7 GROUP BY src, dst),
+        fx AS (SELECT operation_id, entity, list_sort(list(DISTINCT name)) AS f FROM x WHERE canonical IS NOT NULL GROUP BY ALL), cx AS (SELECT operation_id, min(operation_id) OVER (PARTITION BY entity, f) AS src_class FROM fx),
+        fy AS (SELECT operation_id, entity, list_sort(list(DISTINCT name)) AS f FROM y WHERE canonical IS NOT NULL GROUP BY ALL), cy AS (SELECT operation_id, min(operation_id) OVER (PARTITION BY entity, f) AS dst_class FROM fy)
+        SELECT src_class, dst_class, min(score) AS score, min(matched) AS matched, count(*) AS edges FROM e JOIN cx ON cx.operation_id = src JOIN cy ON cy.operation_id = dst GROUP BY src_class, dst_class""",
     "write_read_dependencies": f"""WITH {APIS}, {ENTITIES}, {RELATED}, {API_EDGES}, r AS (SELECT entity, arg_min(operation_id, ord) AS dst FROM apis WHERE method = 'GET' OR path LIKE '%/get%' OR path LIKE '%/list%' OR path LIKE '%/page%' GROUP BY ALL)
         SELECT a.operation_id AS src, r.dst, CAST(0.6 AS DOUBLE) AS score FROM apis a JOIN related ON source = a.entity JOIN r ON r.entity = target WHERE (method IN ('POST', 'PUT') OR path LIKE '%/create%' OR path LIKE '%/update%') AND a.operation_id NOT IN (SELECT src FROM aedges)""",
     "crud_flow_dependencies": f"WITH {APIS}, {API_EDGES} SELECT src, dst, score FROM crud",

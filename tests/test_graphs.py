@@ -137,3 +137,30 @@ def test_trees_by_their_tour(spark, kind, monkeypatch):
     assert lca == {(a, b): next((x for x in way(a) if x in set(way(b))), None) for a, b in pairs}
     below = T.is_descendant(frame.toDF("ancestor", "node").union(spark.createDataFrame([("x", "y"), (None, "t0001")], "a string, b string")), got).collect()
     assert {(r["ancestor"], r["node"]): r["descendant"] for r in below} == {**{(a, b): a != b and a in way(b) for a, b in pairs}, ("x", "y"): False, (None, "t0001"): False}
+
+
+def test_plans_over_the_parts_graph(spark, sf):
+    edges = [tuple(r) for r in graph_queries._parts_graph(spark, sf).collect()]
+    nodes = sorted({x for e in edges for x in e})
+    places = ordered(nodes, edges)
+    below = {}
+    for a, b in edges:
+        below.setdefault(a, []).append(b)
+    steps = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_partkey").collect():
+        key = (r["l_suppkey"], r["l_linenumber"])
+        steps[key] = max(steps.get(key, 0), r["l_partkey"])
+    want = {}
+    for (plan, step), part in sorted(steps.items()):
+        stack = [f"{part:09}"]
+        while stack:
+            x = stack.pop()
+            if x in places and (plan, x) not in want:
+                want[plan, x] = step
+                stack += below.get(x, ())
+    ranks = {}
+    for plan, x in sorted(want, key=lambda k: (k[0], want[k], places[k[1]][2], k[1])):
+        ranks.setdefault(plan, []).append(x)
+    got = {(r["plan_id"], r["node"]): (r["step"], r["number"]) for r in graph_queries.QUERIES["expand_plan_of_parts"](spark, sf).collect()}
+    assert len(set(want.values())) > 1
+    assert got == {(p, x): (want[p, x], k) for p, xs in ranks.items() for k, x in enumerate(xs, 1)}
