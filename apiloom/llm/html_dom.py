@@ -37,7 +37,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 class Tree:
     """Nodes in page order (a parent before its children) and text blocks as (node, pieces)."""
 
-    __slots__ = ("attributes", "blocks", "links", "parent", "tags")
+    __slots__ = ("anchors", "attributes", "blocks", "links", "parent", "tags")
 
     def __init__(self):
         self.tags: list[str] = ["#page"]
@@ -45,6 +45,7 @@ class Tree:
         self.attributes: list[str] = [""]
         self.blocks: list[tuple[int, list[str]]] = []
         self.links: list[int] = [0]  # characters inside links, by node
+        self.anchors: list[str] = []  # the insides of the `a` tags, in page order
 
 
 def end_of_tags(page: str) -> int:
@@ -131,6 +132,7 @@ def parse(page: str) -> Tree:
             continue
         if tag == "a":
             anchors += 1
+            tree.anchors.append(m[3])
         elif tag == "br" or tag == "hr":
             if current is not None:
                 current.append(" ")

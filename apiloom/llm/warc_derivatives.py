@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -25,11 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiloom.llm.common import documents, in_batches, slices
-from apiloom.llm.html_dom import INSIDE, attributes, block_text, end_of_tags, parse
+from apiloom.llm.html_dom import Tree, attributes, block_text, parse
 
 CRLF = "\r\n"
-_LINK = re.compile(rf"<a\b({INSIDE})>", re.I)
-_LANG = re.compile(rf"<html\b({INSIDE})>", re.I)
 _FIELDS = ["record_type", "record_id", "refers_to", "content_type", "block_digest", "payload_digest", "content_length", "headers", "block"]
 
 
@@ -42,26 +39,25 @@ def derived_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
 
 
-def plain_text(page: str) -> str:
+def plain_text(tree: Tree) -> str:
     """All visible text of a page, one block a line."""
-    tree = parse(page)
     return "\n".join(t for _, pieces in tree.blocks if (t := block_text(pieces)))
 
 
-def metadata_fields(page: str, http_header: str, payload_digest: str) -> list[tuple[str, str]]:
-    """What the metadata record says of a response, as ordered (name, value) lines."""
-    tree = parse(page)
+def metadata_fields(page: str, http_header: str, payload_digest: str, tree: Tree | None = None) -> list[tuple[str, str]]:
+    """What the metadata record says of a response, as ordered (name, value) lines. Language and outlinks come from the
+    elements of the page: what stands in scripts, comments or templates is no element."""
+    tree = tree or parse(page)
     title = next((block_text(p) for node, p in tree.blocks if tree.tags[node] == "title"), "")
-    last = end_of_tags(page)
-    head = _LANG.search(page, 0, last)
+    head = tree.attributes[tree.tags.index("html")] if "html" in tree.tags else ""
     fields = [("payload-digest", payload_digest), ("payload-length", str(len(page.encode("utf-8", "surrogatepass"))))]
     fields += [("http-status" if i == 0 else "http-header", line) for i, line in enumerate(http_header.strip().splitlines()) if line]
     if title:
         fields.append(("title", title))
-    if head and (lang := attributes(head[1]).get("lang")):
+    if lang := attributes(head).get("lang"):
         fields.append(("language", lang))
-    for m in _LINK.finditer(page, 0, last):
-        if href := attributes(m[1]).get("href"):
+    for inside in tree.anchors:
+        if href := attributes(inside).get("href"):
             fields.append(("outlink", " ".join(href.split())))
     return fields
 
@@ -71,10 +67,11 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, http_h
     source_digest = digest(page.encode("utf-8", "surrogatepass"))
     named = record_id if record_id is not None else f"{uri} {date} {source_digest}"
     target = uri.replace("\r", "%0D").replace("\n", "%0A") if uri is not None else None
-    fields = metadata_fields(page, http_header, source_digest)
+    tree = parse(page)
+    fields = metadata_fields(page, http_header, source_digest, tree)
     blocks = [
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}{CRLF}" for k, v in fields)),
-        ("conversion", "text/plain; charset=utf-8", plain_text(page)),
+        ("conversion", "text/plain; charset=utf-8", plain_text(tree)),
     ]
     out = []
     for kind, content_type, block in blocks:

@@ -225,6 +225,13 @@ def test_warc_nulls_and_line_breaks():
     assert len(ids) == 8
 
 
+def test_warc_outlinks_are_elements():
+    page = """<!--[if IE]><html lang="xx"><![endif]--><html lang="en"><script>var a = '<a href="/script">';</script><!-- <a href="/comment"> -->
+    <template><a href="/template">t</a></template><a href="/one">1</a><p><A HREF = '/two'>2</A></p><a name="none">n</a></html>"""
+    fields = W.metadata_fields(page, "", "d")
+    assert [v for k, v in fields if k == "outlink"] == ["/one", "/two"] and ("language", "en") in fields
+
+
 def test_warc_query_over_the_whole_table(spark, sf):
     from html.parser import HTMLParser
 
