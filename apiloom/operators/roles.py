@@ -134,6 +134,23 @@ def shared_capabilities(references: DataFrame, *, least: int = 2) -> DataFrame:
     return references.groupBy("capability").agg(F.countDistinct("agent_id").alias("agents")).where(F.col("agents") >= least)
 
 
+def blueprint_statistics(agents: DataFrame, capabilities: DataFrame, shared: DataFrame, topology: DataFrame) -> DataFrame:
+    """(part, name, n) of an organisation: agents in all, real, virtual and by level; capabilities in all, by kind and shared;
+    nodes and edges by type; and which patterns of composition (0 or 1) it has.
+
+    Agents have `level` and `is_virtual`, capabilities `kind` (atomic, composed, strategic), the topology `type`. Each row
+    names what it counts for, and one grouping with partial counts adds all of them up.
+    """
+    total, level = F.lit("total"), F.concat(F.lit("level "), F.col("level").cast("string"))
+    real = F.when(F.coalesce("is_virtual", F.lit(False)), "virtual").otherwise("real")
+    sources = ((agents, "agents", (total, real, level)), (capabilities, "capabilities", (total, F.col("kind"))), (shared, "capabilities", (F.lit("shared"),)), (topology, "topology", (F.col("type"),)))
+    named = [rows.select(F.lit(part).alias("part"), F.explode(F.array_compact(F.array(*names))).alias("name")) for rows, part, names in sources]
+    counts = named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]).groupBy("part", "name").agg(F.count("*").alias("n"))
+    has = lambda kind: F.coalesce(F.max(F.when((F.col("part") == "capabilities") & (F.col("name") == kind), 1)), F.lit(0)).cast("long")
+    patterns = F.array(*[F.struct(F.lit(p).alias("name"), has(k).alias("n")) for p, k in (("horizontal_reuse", "shared"), ("vertical_promotion", "composed"), ("cross_domain", "strategic"))])
+    return counts.unionByName(counts.agg(patterns.alias("p")).select(F.lit("composition_pattern").alias("part"), F.inline("p")))
+
+
 def orphan_apis(apis: DataFrame, assigned: DataFrame) -> DataFrame:
     return apis.join(assigned.select("operation_id").distinct(), "operation_id", "left_anti")
 

@@ -42,7 +42,17 @@ def _references(s, d):
     return table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("agent_id"), (F.col("o_orderkey") % 500).cast("string").alias("capability"))
 
 
+def _blueprint(s, d):
+    """An organisation of suppliers, parts, and order lines between them."""
+    li = table(s, d, "lineitem")
+    agents = table(s, d, "supplier").select((F.col("s_nationkey") % 4).alias("level"), (F.col("s_acctbal") < 0).alias("is_virtual"))
+    kinds = F.element_at(F.array(*map(F.lit, ["atomic", "composed", "strategic"])), (F.col("p_size") % 3 + 1).cast("int"))
+    shared = R.shared_capabilities(li.select(F.col("l_partkey").alias("capability"), F.col("l_suppkey").alias("agent_id")), least=4)
+    return R.blueprint_statistics(agents, table(s, d, "part").select(kinds.alias("kind")), shared, li.select(F.concat(F.lit("line "), "l_linestatus").alias("type")))
+
+
 QUERIES = {
+    "blueprint_statistics": _blueprint,
     "parse_response_agents": _response_agents,
     "parse_action": lambda s, d: logs(s, d).select("event_id", T.parse_action(F.concat(F.lit("Thought: x\nAction: "), F.when(F.col("event_id") % 4 == 0, "finish").otherwise(F.col("agent_id")))).alias("action")),
     "primary_entity": lambda s, d: apis(s, d).select("operation_id", T.primary_entity(F.when(F.col("ord") % 3 == 0, F.concat(F.lit('{"title": "'), F.initcap("summary"), F.lit('ResponseVO"}'))).when(F.col("ord") % 3 == 1, F.concat(F.lit('{"type": "array", "items": {"title": "'), "entity", F.lit('DTO"}}'))), F.col("entity")).alias("primary")),
@@ -59,6 +69,12 @@ QUERIES = {
 }
 
 SQL = {
+    "blueprint_statistics": """WITH sh AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 4),
+k AS (SELECT ['atomic', 'composed', 'strategic'][p_size % 3 + 1] AS kind FROM part), c AS (
+SELECT 'agents' AS part, 'total' AS name, count(*) AS n FROM supplier UNION ALL SELECT 'agents', CASE WHEN s_acctbal < 0 THEN 'virtual' ELSE 'real' END, count(*) FROM supplier GROUP BY 2
+UNION ALL SELECT 'agents', 'level ' || (s_nationkey % 4), count(*) FROM supplier GROUP BY 2 UNION ALL SELECT 'capabilities', 'total', count(*) FROM part UNION ALL SELECT 'capabilities', kind, count(*) FROM k GROUP BY 2
+UNION ALL SELECT 'capabilities', 'shared', count(*) FROM sh HAVING count(*) > 0 UNION ALL SELECT 'topology', 'line ' || l_linestatus, count(*) FROM lineitem GROUP BY 2)
+SELECT * FROM c UNION ALL SELECT 'composition_pattern', p.name, CAST((SELECT count(*) FROM c WHERE c.part = 'capabilities' AND c.name = p.k) AS BIGINT) FROM (VALUES ('horizontal_reuse', 'shared'), ('vertical_promotion', 'composed'), ('cross_domain', 'strategic')) AS p(name, k)""",
     "parse_response_agents": f"WITH {LOGS}, {REGISTRY}, e AS (SELECT event_id, agent_id FROM logs UNION SELECT event_id, 'agent_1' FROM logs WHERE event_id % 2 = 0) SELECT * FROM e WHERE agent_id IN (SELECT agent_id FROM registry)",
     "parse_action": f"WITH {LOGS} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'FINISH' ELSE agent_id END AS action FROM logs",
     "primary_entity": f"WITH {APIS} SELECT operation_id, CASE WHEN ord % 3 = 0 THEN lower(summary) ELSE entity END AS \"primary\" FROM apis",

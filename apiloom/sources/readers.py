@@ -77,9 +77,27 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TASK_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE").where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def read_jdbc_tables(spark: SparkSession, url: str, tables: list[str], **options) -> dict[str, DataFrame]:
-    """Tables to profile; pass partitionColumn, lowerBound, upperBound and numPartitions for parallel reads."""
-    return {t: spark.read.format("jdbc").options(url=url, dbtable=t, **options).load() for t in tables}
+def read_jdbc_tables(spark: SparkSession, url: str, tables: list[str], *, key: str | None = None, parts: int = 8, **options: str) -> dict[str, DataFrame]:
+    """Tables to profile. With a numeric `key`, each is read in about `parts` parts of equal row counts, whatever the spread
+    of the key: an aggregate query gives its ends, its column alone is read between them for the quantiles, and the parts
+    are ranges between those, with null keys in the first."""
+    source = lambda table, **more: spark.read.format("jdbc").options(url=url, dbtable=table, **options, **more).load()
+    if key is None:
+        return {t: source(t) for t in tables}
+    return {t: spark.read.jdbc(url, t, predicates=_ranges(source, t, key, parts), properties=options) for t in tables}
+
+
+def _ranges(source, table: str, key: str, parts: int) -> list[str]:
+    """Predicates of parts with about equal counts: one for the rows up to each quantile of the key."""
+    low, high, rows = source(f"(SELECT MIN({key}) AS low, MAX({key}) AS high, COUNT({key}) AS n FROM {table}) ends").first()
+    if not rows or low == high:
+        return ["1 = 1"]
+    keys = source(f"(SELECT {key} FROM {table} WHERE {key} IS NOT NULL) keys", partitionColumn=key, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(parts))
+    cuts = sorted(set(keys.approxQuantile(keys.columns[0], [i / parts for i in range(1, parts)], 0.1 / parts)) - {float(high)})
+    cuts = [int(c) if float(c).is_integer() else c for c in cuts]
+    if not cuts:
+        return ["1 = 1"]
+    return [f"{key} <= {cuts[0]} OR {key} IS NULL", *[f"{key} > {x} AND {key} <= {y}" for x, y in zip(cuts, cuts[1:], strict=False)], f"{key} > {cuts[-1]}"]
 
 
 def event_from_row(rows: DataFrame) -> DataFrame:
@@ -100,7 +118,9 @@ def event_to_row(events: DataFrame) -> DataFrame:
 
 
 def write_results(rows: DataFrame, path: str, *, by: str = "model") -> None:
-    rows.write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
+    """CSV with a head, a folder for each value of `by`. A rerun replaces the folders of its own values only; files are
+    written aside and moved when all tasks are done, so a failed run leaves the old ones."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).option("header", True).csv(path)
 
 
 def write_summary(rows: DataFrame, path: str) -> None:
@@ -109,4 +129,5 @@ def write_summary(rows: DataFrame, path: str) -> None:
 
 
 def write_stage(rows: DataFrame, path: str, *, kind: str = "parquet") -> None:
+    """A stage's rows for the next one, which reads them with the schema they had."""
     rows.write.mode("overwrite").format(kind).save(path)
