@@ -10,6 +10,7 @@ from apiloom.operators import apis as A
 from apiloom.operators import deps as D
 from apiloom.operators import graph as G
 from apiloom.operators import roles as R
+from apiloom.operators import scenarios as X
 from apiloom.operators import select as S
 from apiloom.operators import trees as V
 from apiloom.plans.views import APIS, EDGES, TREE, apis, edges, table, tree
@@ -181,9 +182,30 @@ def _clustered(s, d):
     return A.entity_clusters(rows)
 
 
-def _flow(s, d):
+def _steps(s, d):
     li = table(s, d, "lineitem").join(apis(s, d).select(F.col("ord").alias("l_partkey"), "operation_id"), "l_partkey")
-    steps = li.groupBy(F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("pos")).agg(F.min("operation_id").alias("operation_id"))
+    return li.groupBy(F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("pos")).agg(F.min("operation_id").alias("operation_id"))
+
+
+def _bindings(s, d):
+    """Steps of even orders take what flows on their path; odd ones have no flow and take their inputs."""
+    source = F.when(F.col("pos") % 5 == 0, F.col("name")).otherwise(F.concat("from_operation", F.lit(".response."), "name"))
+    flow = _flow(s, d).where("path_id % 2 = 0").withColumn("source", source)
+    return X.parameter_bindings(_steps(s, d), flow, fields(s, d, "request"))
+
+
+def _coverage(s, d):
+    """Scenarios of orders whose descriptions name the summary of their first step only."""
+    a = apis(s, d).select("operation_id", "method", "path", "summary")
+    steps = _steps(s, d)
+    first = steps.groupBy("path_id").agg(F.min_by("operation_id", "pos").alias("operation_id")).join(a, "operation_id")
+    outcome = F.when(F.col("path_id") % 4 == 0, "Success in the end").otherwise("error is handled")
+    rows = first.select("path_id", F.concat(F.lit("Calls "), "summary").alias("description"), outcome.alias("expected_outcome"), F.when(F.col("path_id") % 2 == 0, "exception").otherwise("normal").alias("scenario_type"))
+    return X.coverage_warnings(rows, steps, a)
+
+
+def _flow(s, d):
+    steps = _steps(s, d)
     return D.parameter_flow(steps, fields(s, d, "response").select("operation_id", "name"), fields(s, d, "request").select("operation_id", "name"))
 
 
@@ -222,6 +244,9 @@ QUERIES = {
     "api_roles": lambda s, d: D.api_roles(D.write_read_dependencies(apis(s, d), related(s, d), api_edges(s, d)).unionByName(api_edges(s, d)), apis(s, d).select("operation_id", "entity")),
     "entry_points": lambda s, d: D.entry_points(apis(s, d), api_edges(s, d)),
     "parameter_flow": _flow,
+    "parameter_bindings": _bindings,
+    "dependency_map": lambda s, d: X.dependency_map(_steps(s, d)),
+    "coverage_warnings": _coverage,
     "adjacency": lambda s, d: G.adjacency(edges(s, d)).select("src", F.array_join("neighbours", ",").alias("neighbours")),
     "find_paths": lambda s, d: G.find_paths(edges(s, d), "economy-1", "small-3").withColumn("path", F.array_join("path", ">")),
     "greedy_paths": lambda s, d: G.greedy_paths(_nodes(s, d), edges(s, d)).withColumn("path", F.array_join("path", ">")),
@@ -341,6 +366,21 @@ SQL = {
         st AS (SELECT l_orderkey AS path_id, l_linenumber AS pos, min(operation_id) AS operation_id FROM lineitem JOIN apis ON ord = l_partkey GROUP BY ALL),
         g AS (SELECT path_id, name, min(pos) AS from_pos, arg_min(operation_id, pos) AS from_operation FROM st JOIN p USING (operation_id) GROUP BY ALL)
         SELECT st.path_id, pos, st.operation_id, q.name, from_pos, from_operation FROM st JOIN q ON q.operation_id = st.operation_id JOIN g ON g.path_id = st.path_id AND g.name = q.name WHERE from_pos < pos""",
+    "parameter_bindings": f"""WITH {APIS}, {FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
+        st AS (SELECT l_orderkey AS path_id, l_linenumber AS pos, min(operation_id) AS operation_id FROM lineitem JOIN apis ON ord = l_partkey GROUP BY ALL),
+        g AS (SELECT path_id, name, min(pos) AS from_pos, arg_min(operation_id, pos) AS from_operation FROM st JOIN p USING (operation_id) GROUP BY ALL),
+        fl AS (SELECT st.path_id, pos, st.operation_id, q.name, CASE WHEN pos % 5 = 0 THEN q.name ELSE from_operation || '.response.' || q.name END AS source FROM st JOIN q ON q.operation_id = st.operation_id JOIN g ON g.path_id = st.path_id AND g.name = q.name WHERE from_pos < pos AND st.path_id % 2 = 0),
+        pr AS (SELECT *, lag(operation_id) OVER (PARTITION BY path_id ORDER BY pos) AS previous FROM st),
+        fr AS (SELECT path_id, pos, operation_id, name, previous, lower(name) AS low FROM pr JOIN q USING (operation_id) WHERE (path_id, pos) NOT IN (SELECT (path_id, pos) FROM fl))
+        SELECT path_id, pos, operation_id, name, CASE WHEN contains(source, '.') THEN 'dynamic_ref' ELSE 'static' END AS type, CASE WHEN contains(source, '.') THEN '{{' || source || '}}' ELSE source END AS value FROM fl
+        UNION ALL SELECT path_id, pos, operation_id, name, CASE WHEN contains(low, 'id') AND previous IS NOT NULL THEN 'dynamic_ref' ELSE 'fake_data' END, CASE WHEN contains(low, 'id') AND previous IS NOT NULL THEN '{{' || previous || '.response.id}}' WHEN contains(low, 'email') THEN '{{{{fake_email}}}}' ELSE '{{{{fake_name}}}}' END
+        FROM fr WHERE (contains(low, 'id') AND previous IS NOT NULL) OR contains(low, 'email') OR contains(low, 'name')""",
+    "dependency_map": f"""WITH {APIS}, st AS (SELECT l_orderkey AS path_id, l_linenumber AS pos, min(operation_id) AS operation_id FROM lineitem JOIN apis ON ord = l_partkey GROUP BY ALL)
+        SELECT * FROM (SELECT *, lag(operation_id) OVER (PARTITION BY path_id ORDER BY pos) AS depends_on FROM st) WHERE depends_on IS NOT NULL""",
+    "coverage_warnings": f"""WITH {APIS}, st AS (SELECT l_orderkey AS path_id, l_linenumber AS pos, min(operation_id) AS operation_id FROM lineitem JOIN apis ON ord = l_partkey GROUP BY ALL), k AS (SELECT * FROM st JOIN apis USING (operation_id)),
+        sc AS (SELECT path_id, lower('Calls ' || arg_min(summary, pos)) AS said, CASE WHEN path_id % 2 = 0 THEN 'exception' ELSE 'normal' END AS scenario_type FROM k GROUP BY path_id)
+        SELECT path_id, scenario_type, 'write not described: ' || arg_min(operation_id, pos) AS warning FROM sc JOIN k USING (path_id) WHERE method IN ('POST', 'PUT', 'DELETE', 'PATCH') AND length(summary) > 3 AND NOT contains(said, lower(summary)) GROUP BY ALL
+        UNION ALL SELECT path_id, scenario_type, 'exception with a success' FROM sc WHERE scenario_type = 'exception' AND path_id % 4 = 0""",
     "entry_points": f"""WITH {APIS}, {API_EDGES}, i AS (SELECT dst AS operation_id, count(*) AS indegree FROM aedges e JOIN apis a ON a.operation_id = src JOIN apis b ON b.operation_id = dst WHERE a.entity = b.entity GROUP BY ALL)
         SELECT entity, operation_id, coalesce(indegree, 0) AS indegree, CAST(row_number() OVER w AS INT) AS rank FROM apis LEFT JOIN i USING (operation_id) WINDOW w AS (PARTITION BY entity ORDER BY coalesce(indegree, 0), ord) QUALIFY row_number() OVER w <= 3""",
     "adjacency": f"WITH {EDGES} SELECT src, string_agg(dst, ',' ORDER BY -score, dst) AS neighbours FROM edges GROUP BY src",
