@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import cut, documents, written
+from apiloom.llm.common import cut, discard, documents, written
 from apiloom.llm.decontamination import clean_documents
 from apiloom.llm.jaccard_join import jaccard_components, with_node
 from apiloom.llm.quality_rules import fit_rules, keep_good
@@ -74,9 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. A stage's file goes once the next one is written; the last one reads what is left."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = written(out, name) if i < len(STAGES) - 1 else out
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = written(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
