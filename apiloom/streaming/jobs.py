@@ -211,3 +211,87 @@ def stream_task_state(events: DataFrame, *, retries: int = 3, timeout_seconds: i
         .groupBy("task_id")
         .transformWithStateInPandas(statefulProcessor=_Task(retries, timeout_seconds * 1000), outputStructType="task_id long, status string, tries int", outputMode="Append", timeMode="EventTime")
     )
+
+
+class _History(StatefulProcessor):
+    """The records of each agent within a number of days of event time; older ones leave the state, and a timer clears the
+    state of an agent that has been quiet for so long."""
+
+    def __init__(self, days: int):
+        self.span = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getListState("records", "event_id long, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.records.get()] if self.records.exists() else []
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            at = r.ts.value // 1_000_000
+            held = [x for x in held if x[1] >= at - self.span] + [(int(r.event_id), at)]
+            out.append((key[0], int(r.event_id), len(held)))
+        self.records.put(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(at for _, at in held) + self.span + 1)
+        yield pd.DataFrame(out, columns=["agent_id", "event_id", "kept"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.records.clear()
+        yield pd.DataFrame([(key[0], None, 0)], columns=["agent_id", "event_id", "kept"]).astype({"event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_history(events: DataFrame, *, days: int = 7, watermark: str = "1 hour") -> DataFrame:
+    """(agent_id, event_id, kept): how many records of the last `days` an agent has with each new one; a row without an
+    event and with 0 when the watermark shows that all of them are older. What is older leaves the state."""
+    return events.withWatermark("ts", watermark).groupBy("agent_id").transformWithStateInPandas(
+        statefulProcessor=_History(days), outputStructType="agent_id string, event_id long, kept long", outputMode="Append", timeMode="EventTime"
+    )
+
+
+class _BestOnRequest(StatefulProcessor):
+    """Keeps a count and the best score of each task, and answers requests once there are enough records."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("best", "n long, score double, params string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        known = initialState.sort_values("score").iloc[-1]
+        self.state.update((int(initialState["n"].sum()), float(known["score"]), known["params"]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, score, params = self.state.get() if self.state.exists() else (0, float("-inf"), "")
+        out = []
+        for r in pd.concat(list(rows)).sort_values("event_id").itertuples():
+            if r.kind != "request":
+                n += 1
+                if r.score > score:
+                    score, params = float(r.score), r.params
+            elif n >= self.least:
+                out.append((key[0], int(r.event_id), n, score, params))
+        self.state.update((n, score, params))
+        yield pd.DataFrame(out, columns=["task_id", "event_id", "n", "best", "params"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_best_on_request(events: DataFrame, *, least: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """(task_id, event_id, n, best, params) for each request of a task that has `least` records by then; others get no row.
+
+    Events have task_id, event_id, kind (`request` or feedback), score and params; `known` (task_id, n, score, params) is
+    what a former run knew, the state to begin with."""
+    return events.groupBy("task_id").transformWithStateInPandas(
+        statefulProcessor=_BestOnRequest(least),
+        outputStructType="task_id string, event_id long, n long, best double, params string",
+        outputMode="Append",
+        timeMode="None",
+        initialState=known.groupBy("task_id") if known is not None else None,
+    )

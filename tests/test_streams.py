@@ -1,5 +1,9 @@
 """Streaming jobs over a file source, compared with the same job on the whole table."""
 
+import glob
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +116,55 @@ def test_task_states_and_time_outs(spark, tmp_path):
     for r in got:
         last.setdefault(r["task_id"], []).append(r["status"])
     assert last[1][-1] == "timeout" and last[2] == ["retry", "timeout"] and last[3] == ["pending", "success"] and "timeout" not in last[3]
+
+
+def requests(events):
+    kind = F.when(F.col("event_id") % 4 == 0, "request").otherwise("feedback")
+    return events.select((F.col("user_id") % 40).cast("string").alias("task_id"), "event_id", kind.alias("kind"), F.col("value").alias("score"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("params"))
+
+
+def answers(rows, known):
+    state, out = {k: v for k, v in known.items()}, []
+    for task, event, kind, score, params in rows:
+        n, best, held = state.get(task, (0, float("-inf"), ""))
+        if kind == "request":
+            out += [(task, event, n, best, held)] if n >= 3 else []
+        else:
+            state[task] = (n + 1, score, params) if score > best else (n + 1, best, held)
+    return out
+
+
+def test_requests_are_answered_from_three_records_on(spark, ordered, tmp_path):
+    known = {"1": (1, 1e9, "old"), "nobody": (5, 1.0, "x")}
+    frame = spark.createDataFrame([(k, *v) for k, v in known.items()], "task_id string, n long, score double, params string")
+    rows = requests(jobs.event_stream(spark, ordered, per_trigger=1))
+    got = run(spark, jobs.stream_best_on_request(rows, known=frame), "asked", tmp_path)
+    events = [tuple(r) for r in requests(batch(spark, ordered).orderBy("ts", "event_id")).collect()]
+    files = [sorted((tuple(r) for r in requests(batch(spark, ordered).where(F.dayofmonth("ts").between(a, b))).collect()), key=lambda r: r[1]) for a, b in ((1, 8), (9, 16), (17, 24), (25, 31))]
+    want = answers([r for f in files for r in f], known)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) < sum(r[2] == "request" for r in events)
+
+
+def test_old_records_leave_the_state_and_a_restart_goes_on(spark, ordered, tmp_path):
+    files = sorted(glob.glob(f"{ordered}/*.parquet"), key=lambda f: spark.read.schema(jobs.EVENTS).parquet(f).agg(F.min("ts")).first()[0])
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    shaped_ = lambda events: events.select((F.col("user_id") % 5).cast("string").alias("agent_id"), "event_id", "ts")
+    for turn, some in enumerate((files[:2], files[2:])):  # the second run restarts from the first one's checkpoint
+        for i, f in enumerate(some):
+            shutil.copy(f, feed / f"{turn}{i}.parquet")
+            os.utime(feed / f"{turn}{i}.parquet", (1_700_000_000 + 100 * turn + i,) * 2)  # files are read by age
+        stream = jobs.stream_history(shaped_(jobs.event_stream(spark, str(feed), per_trigger=1)), days=7)
+        q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "point")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+    got = {r["event_id"]: r["kept"] for r in spark.read.parquet(str(tmp_path / "out")).where("event_id IS NOT NULL").collect()}
+    by = {}
+    for r in shaped_(batch(spark, ordered)).withColumn("at", F.unix_millis("ts")).collect():
+        by.setdefault(r["agent_id"], []).append((r["at"], r["event_id"]))
+    want = {}
+    for rows in by.values():
+        rows.sort()
+        want |= {e: sum(at - 7 * 86_400_000 <= x for x, _ in rows[: i + 1]) for i, (at, e) in enumerate(rows)}
+    assert got == want
+    last = max(rows[-1][0] for rows in by.values())
+    assert max(want.values()) < max(map(len, by.values())) and last  # something has left
