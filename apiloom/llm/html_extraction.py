@@ -144,8 +144,8 @@ def made_layouts(articles: list[str], *, seed: int = 0, each: int = 6) -> list[s
                 inside = f"<table><tr>{inside}</tr></table>"
             elif rng.random() < 0.4:
                 inside = f'<div class="{rng.choice(["wrapper", "container", "row", "layout", "page"])}">{inside}</div>'
-            before = "".join(junk(rng.choice(_JUNK), 0.2) for _ in range(rng.randint(0, 3)))
-            after = "".join(junk(rng.choice(_JUNK), 0.35) for _ in range(rng.randint(0, 4)))
+            before = "".join(junk(rng.choice(_JUNK), 0.3) for _ in range(rng.randint(0, 3)))
+            after = "".join(junk(rng.choice(_JUNK), 0.5) for _ in range(rng.randint(0, 4)))
             head = rng.choice(_HEADS)
             pages.append(f"<html><body>{junk(head, 0.1) if head else ''}{before}{inside}{after}</body></html>")
         pages.append(f"<html><body data-main>{restyled(article, rng.choice(['bare', 'span', 'mixed']))}</body></html>")
@@ -260,14 +260,23 @@ def landmark_labels(tree: Tree) -> list[int] | None:
     return out
 
 
-def train(pages: list[str], *, rounds: int = 60, rate: float = 0.7, l2: float = 0.02, seed: int = 0) -> Model:
-    """Fit the weights on landmark-labelled pages, the pages labelled by hand and layouts made up of their articles."""
+def train(pages: list[str], *, models: int = 4, **options: float) -> Model:
+    """The mean weights of several fits, each on made-up layouts of its own: single fits differ at the margin."""
+    fits = [_fitted(pages, seed=10 * k, **options) for k in range(models)]
+    mean = lambda values: sum(values) / models
+    names = sorted({n for m in fits for n in m.weights})
+    return Model({n: mean(m.weights.get(n, 0.0) for m in fits) for n in names}, [[mean(m.edge[i][j] for m in fits) for j in (0, 1)] for i in (0, 1)])
+
+
+def _fitted(pages: list[str], *, rounds: int = 60, rate: float = 0.7, l2: float = 0.02, seed: int = 0) -> Model:
+    """Weights fitted on landmark-labelled pages, the pages labelled by hand and layouts made up of their articles."""
     own = [x for p in pages if (x := article_inside(p))]
     rng = random.Random(seed)
     told = [x for p in LABELLED_PAGES for x in re.findall(r"<p>([^<]{30,})</p>", p)]
     said = lambda: " ".join(rng.choices(told, k=rng.choice([1, 1, 2, 4, 8])))
     block = lambda: rng.choice(["<p>{}</p>"] * 6 + ["<ul><li>{}</li><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<h2>{}</h2>", "<table><tr><td>{}</td><td>{}</td></tr></table>"]).format(said(), rng.choice(told))
     short = [f"<h1>{rng.choice(told)[:40]}</h1>{''.join(block() for _ in range(rng.randint(2, 12)))}" for _ in range(max(30, 120 - len(own)))]
+    short += ["<p>" + "</p><p>".join(rng.choice(told)[: rng.randint(1, 12)] for _ in range(rng.randint(1, 3))) + "</p>" for _ in range(6)]
     made = made_layouts(short, seed=seed) + made_layouts(own, seed=seed + 1)
     cases = []
     for source, label in ((pages, landmark_labels), (LABELLED_PAGES, hand_labels), (made, hand_labels)):
