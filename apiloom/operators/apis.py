@@ -15,11 +15,13 @@ OPERATION = "struct<operationId:string,summary:string,description:string,tags:ar
 def extract_api_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, path, method, operation_id, summary, tags, json) of every operation of OpenAPI 2 or 3 documents.
 
-    `paths` is read as a map of maps, so operations of any shape pass; a document that is not JSON gives no rows.
+    `paths` is read as a map of maps, so operations of any shape pass; a document that is not JSON gives no rows. A document
+    is read before its paths become rows: what stands beside the explode is worked out again for each of them.
     """
     base = F.coalesce(F.get_json_object("json", "$.basePath"), F.get_json_object("json", "$.servers[0].url"), F.lit(""))
     paths = F.from_json(F.get_json_object("json", "$.paths"), "map<string,map<string,string>>")
-    each = docs.select("doc_id", F.regexp_replace(base, "/$", "").alias("base"), F.explode(paths).alias("path", "methods"))
+    read = docs.select("doc_id", F.regexp_replace(base, "/$", "").alias("base"), paths.alias("paths"))
+    each = read.select("doc_id", "base", F.explode("paths").alias("path", "methods"))
     ops = each.select("doc_id", F.concat("base", "path").alias("path"), F.explode("methods").alias("verb", "json"))
     ops = ops.where(F.upper("verb").isin(T.HTTP_VERBS)).withColumn("op", F.from_json("json", OPERATION))
     return ops.select(
