@@ -3,6 +3,7 @@
 import json
 
 from apiloom.operators import apis as A
+from apiloom.operators import deps as D
 
 
 def plan_of(df):
@@ -18,3 +19,28 @@ def test_a_document_is_read_before_its_paths_are_rows(spark):
     assert all(i > first for i, line in enumerate(lines) if "basePath" in line)
     got = sorted((r["doc_id"] or "", r["path"], r["method"], r["operation_id"]) for r in rows.collect())
     assert got == sorted([("a", f"/v1/p{i}", "GET", f"o{i}") for i in range(40)] + [("", "/s/q", "POST", "post_/s/q")])
+
+
+def test_field_matches_are_opened_last(spark):
+    """Pairs of APIs come out of their classes' pairs: nothing is grouped or shuffled after. Also with repeated rows, APIs of
+    two entities, null keys and places, and a class of several lists."""
+    names = ["userId", "user_id", "order_id", "status", "email", "code", "note"]
+    rows = [(f"o{i:02}", "xyz"[i % 3], names[(i * k) % 7], "number" if i % 11 == 0 else "string", [None, "path", "body"][(i + k) % 3]) for i in range(40) for k in (1, 3)]
+    rows += [("o01", "z", "order_id", "string", "path"), (None, "x", "userId", "string", "path"), ("o02", None, "userId", "string", "path"), *rows[:9]]
+    kind = "operation_id string, entity string, name string, type string, location string"
+    requests, responses = spark.createDataFrame(rows[:60], kind), spark.createDataFrame(rows[30:], kind)
+    allowed = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), ("z", "x"), ("z", "z"), ("z", "z")], "source string, target string")
+    scored = D._scored_fields(D._tidy(requests), D._tidy(responses), allowed, 0.7, None).distinct().collect()
+    want = {}
+    for s in scored:
+        key = lambda r, e, s=s: (r[1], r[2], r[3], r[4]) == (s[f"entity_{e}"], s[f"name_{e}"], s["type"], s[f"location_{e}"]) and None not in r
+        for a in {r[0] for r in rows[:60] if key(r, "r")}:
+            for b in {r[0] for r in rows[30:] if key(r, "p")} - {a}:
+                score, matched = want.get((a, b), (0, set()))
+                want[a, b] = (max(score, s["score"]), matched | {s["name_r"]})
+    got = D.field_match_dependencies(requests, responses, allowed)
+    lines = plan_of(got)
+    opened = max(i for i, line in enumerate(lines) if "Generate explode(dsts" in line)
+    assert not any("Aggregate" in line or "Join" in line for line in lines[:opened])
+    found = [(r["src"], r["dst"], r["score"], tuple(r["matched"])) for r in got.collect()]
+    assert len(want) > 50 and sorted(found) == sorted((a, b, s, tuple(sorted(m))) for (a, b), (s, m) in want.items())
