@@ -21,22 +21,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, left_size: int, right_size: int) -> DataFrame:
-    """(x, y): arrays of rows, so that each block of about `left_size` rows of the left meets each block of the right.
+def _block_pairs(left: DataFrame, right: DataFrame, left_size: int, right_size: int, *, most: int = 16) -> DataFrame:
+    """(x, y): arrays of rows, so that each block of the left meets each block of the right.
 
-    Blocks are dealt by a hash of the id, so none depends on a key; both sides carry both block numbers, and the join on
-    them spreads the pairs over the cluster. Nothing passes through the driver but the two counts.
+    A side has a block for each `size` rows, but `most` at the most: a row is sent once for each block of the other side,
+    so what is shuffled stays linear in the rows, and a block is a sixteenth of them where they are many. Blocks are dealt
+    by a hash of the id, so none depends on a key; both sides carry both block numbers, and the join on them spreads the
+    pairs over the cluster. Nothing passes through the driver but the two counts.
     """
     sides = []
     for rows, size in ((left, left_size), (right, right_size)):
-        n = max(1, -(-rows.count() // size))
+        n = min(most, max(1, -(-rows.count() // size)))
         each = F.struct(*rows.columns)
         sides.append((rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n).cast("long")).alias("block")).agg(F.collect_list(each).alias("rows")), n))
     (x, many_x), (y, many_y) = sides
     number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     x = x.select(F.col("block").alias("i"), F.col("rows").alias("x"), number(many_y).alias("j"))
     y = y.select(F.col("block").alias("j"), F.col("rows").alias("y"), number(many_x).alias("i"))
-    return x.join(y, ["i", "j"]).select("x", "y")
+    return x.join(y.hint("merge"), ["i", "j"]).select("x", "y")
+
+
+def _vectors(rows: DataFrame) -> Column:
+    """The embedding in its own width: four bytes a component where it has floats, else eight."""
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding")
 
 
 def _matrix(cell: pa.ListScalar) -> tuple[pa.StructArray, np.ndarray]:
@@ -46,31 +54,54 @@ def _matrix(cell: pa.ListScalar) -> tuple[pa.StructArray, np.ndarray]:
     return rows, np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
 
 
-def top_vectors(items: DataFrame, queries: DataFrame, k: int, *, measure: str = "l2", item_block: int = 16_384, query_block: int = 4096) -> DataFrame:
+#: Cells of a table of products that a worker holds at once (8 MB).
+STRIP_CELLS = 1 << 20
+
+
+def _strips(rows: int, width: int) -> Iterator[slice]:
+    """Slices of the rows whose products with `width` others fit in STRIP_CELLS."""
+    step = max(1, STRIP_CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, id, similarity) of the k best rows of x for each of q, by id among equals, strip by strip."""
+    k, xx = min(k, len(x)), (x * x).sum(1)
+    for strip in _strips(len(q), len(x)) if k else ():
+        part = q[strip]
+        s = part @ x.T
+        if measure == "l2":
+            s = 1 / (1 + np.maximum(0, (part * part).sum(1)[:, None] + xx[None] - 2 * s))
+        elif measure == "cosine":
+            n = np.linalg.norm(part, axis=1)[:, None] * np.sqrt(xx)[None]
+            s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+        s = np.round(s, 9)
+        order = np.where(np.isnan(s), -np.inf, s)
+        r, c = np.nonzero(order >= np.partition(order, len(x) - k, axis=1)[:, len(x) - k, None])
+        by = np.lexsort((ids[c], -order[r, c], r))
+        r, c = r[by], c[by]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[first], c[first]
+        yield r + strip.start, ids[c], s[r, c]
+
+
+def top_vectors(items: DataFrame, queries: DataFrame, k: int, *, measure: str = "l2", item_block: int = 4096, query_block: int = 4096) -> DataFrame:
     """(query_id, vec_id, similarity, rank) of the k nearest items of each query, exactly.
 
-    Each pair of blocks gives the best k of its items for each of its queries; a global rank ends it, so nothing that
-    grows with the items or the queries is ever in one place. `l2` gives 1/(1+d), d squared; `dot` and `cosine` give
-    the product. Every item is compared with every query: the work is the product of the two sides.
+    Each pair of blocks gives the best k of its items for each of its queries, in strips of a few MB; a global rank ends it,
+    so nothing that grows with the items or the queries is ever in one place. `l2` gives 1/(1+d), d squared; `dot` and
+    `cosine` give the product. Every item is compared with every query: the work is the product of the two sides.
     """
-    left = queries.select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    right = items.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    left = queries.select(F.col("query_id").cast("long").alias("id"), _vectors(queries))
+    right = items.select(F.col("vec_id").cast("long").alias("id"), _vectors(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
                 (names, q), (vecs, x) = _matrix(a), _matrix(b)
-                p = q @ x.T
-                if measure == "l2":
-                    p = 1 / (1 + np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * p))
-                elif measure == "cosine":
-                    n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                    p = np.divide(p, n, out=np.zeros_like(p), where=n > 0)
-                s = np.round(p, 9)
-                i = np.tile(vecs.field("id").to_numpy(), (len(q), 1))
-                keep = np.lexsort((i, -s))[:, :k]
-                s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.field("id").to_numpy(), keep.shape[1])), pa.array(i.ravel()), pa.array(s.ravel())], names=["query_id", "vec_id", "similarity"])
+                names = names.field("id").to_numpy()
+                for r, i, s in _best(q, x, vecs.field("id").to_numpy(), k, measure):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "similarity"])
 
     out = _block_pairs(left, right, query_block, item_block).mapInArrow(run, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
@@ -191,24 +222,36 @@ def task_similarity(scores: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.abs(F.col("ma") - F.col("mb")), 6).alias("similarity"))
 
 
+def _sums(q: np.ndarray, names: np.ndarray, x: np.ndarray, vecs: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, label, sum of the distances to the rows of x with that label), strip by strip; a point is 0 from itself."""
+    by = np.argsort(labels, kind="stable")
+    x, vecs = x[by], vecs[by]
+    kinds, starts = np.unique(labels[by], return_index=True)
+    xx, known = (x * x).sum(1), np.isin(names, vecs)
+    for strip in _strips(len(q), len(x)):
+        part = q[strip]
+        d = np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] + xx[None] - 2 * part @ x.T))
+        if known[strip].any():
+            d[names[strip][:, None] == vecs[None]] = 0
+        yield np.repeat(np.arange(strip.start, strip.start + len(part)), len(kinds)), np.tile(kinds, len(part)), np.add.reduceat(d, starts, axis=1).ravel()
+
+
 def silhouette(points: DataFrame, *, block: int = 4096) -> DataFrame:
     """Mean Euclidean silhouette over all points (vec_id, embedding, cluster).
 
     Every pair of points counts, so the cost is quadratic by definition; each pair of blocks gives sums by (point,
     cluster) only.
     """
-    rows = points.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("cluster").cast("long").alias("cluster"))
+    rows = points.select(F.col("vec_id").cast("long").alias("id"), _vectors(points), F.col("cluster").cast("long").alias("cluster"))
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
                 (names, q), (others, x) = _matrix(a), _matrix(b)
-                names, vecs, labels = names.field("id").to_numpy(), others.field("id").to_numpy(), others.field("cluster").to_numpy()
-                d = np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T))
-                d[names[:, None] == vecs[None]] = 0
-                for c in np.unique(labels):
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), c)), pa.array(d[:, labels == c].sum(1))], names=["vec_id", "other", "total"])
+                names = names.field("id").to_numpy()
+                for r, c, total in _sums(q, names, x, others.field("id").to_numpy(), others.field("cluster").to_numpy()):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(c), pa.array(total)], names=["vec_id", "other", "total"])
 
     parts = _block_pairs(rows.select("id", "embedding"), rows, block, block).mapInArrow(run, "vec_id long, other long, total double")
     total = parts.groupBy("vec_id", "other").agg(F.sum("total").alias("total")).join(rows.select(F.col("id").alias("vec_id"), "cluster"), "vec_id")

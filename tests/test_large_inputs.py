@@ -1,9 +1,14 @@
 """What larger tables need: plans and pieces whose work and memory do not grow faster than the rows."""
 
 import json
+import tracemalloc
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from apiloom.operators import apis as A
 from apiloom.operators import deps as D
+from apiloom.operators import roles as R
 
 
 def plan_of(df):
@@ -44,3 +49,30 @@ def test_field_matches_are_opened_last(spark):
     assert not any("Aggregate" in line or "Join" in line for line in lines[:opened])
     found = [(r["src"], r["dst"], r["score"], tuple(r["matched"])) for r in got.collect()]
     assert len(want) > 50 and sorted(found) == sorted((a, b, s, tuple(sorted(m))) for (a, b), (s, m) in want.items())
+
+
+def test_blocks_of_vectors_stay_few(spark):
+    """A row is sent once for each block of the other side: the blocks do not grow with the rows."""
+    rows = spark.range(3000).select("id", F.array(F.col("id").cast("float")).alias("embedding"))
+    pairs = R._block_pairs(rows, rows, 10, 10).select(F.size("x").alias("x"), F.size("y").alias("y")).collect()
+    assert len(pairs) <= 256 and sum(r["x"] * r["y"] for r in pairs) == 9_000_000
+
+
+def test_nearest_vectors_in_strips(spark):
+    """The products of a block are held in strips, and equals go by id, also across strips and blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (9000, 4)).astype(float)
+    ids = rng.permutation(9000)
+    q = x[:2000]
+    tracemalloc.start()
+    found = [np.concatenate(a) for a in zip(*R._best(q, x, ids, 5, "cosine"), strict=True)]
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    n = np.linalg.norm(q[:50], axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+    s = np.round(np.divide(q[:50] @ x.T, n, out=np.zeros((50, 9000)), where=n > 0), 9)
+    for row in range(50):
+        assert found[1][found[0] == row].tolist() == ids[np.lexsort((ids, -s[row]))[:5]].tolist()
+    frame = lambda v, name: spark.createDataFrame([(int(i), e.tolist()) for i, e in v], f"{name} long, embedding array<float>")
+    got = R.top_vectors(frame(zip(ids[:400], x[:400]), "vec_id"), frame(enumerate(q[:7]), "query_id"), 5, measure="cosine", item_block=50, query_block=3)
+    want = {(row, rank, int(i)) for row in range(7) for rank, i in enumerate(ids[:400][np.lexsort((ids[:400], -s[row, :400]))[:5]], 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == want
