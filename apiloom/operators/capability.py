@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiloom.functions import text as T
+from apiloom.operators.blocks import numbered
 from apiloom.operators.graph import spread_least
 from apiloom.session import cut
 
@@ -225,16 +226,23 @@ def keyword_match(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node whose text contains the most words of each query (the smallest id of equals); no hit, no row.
 
     A word lies in a text if it lies in one of its words, so the distinct words of the nodes are cut into all their
-    pieces, which meet the distinct words of the queries by equality; postings follow.
+    pieces, which meet the distinct words of the queries by equality. The nodes of a word are bits of 64 places each; the
+    words of a query are sent with these and counted by place, so a word of many nodes is no row for each.
     """
     words = lambda df, i: df.select(F.col(i), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))).alias("w"))
     asked, held = words(queries, "query_id"), words(nodes, "node_id")
     ends = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.length("w") - i + 1), lambda n: F.substr("w", i, n)))
     pieces = held.select("w").distinct().select(F.explode(F.array_distinct(F.flatten(ends))).alias("piece"), "w")
     inside = asked.select(F.col("w").alias("piece")).distinct().join(pieces, "piece")
-    posted = held.join(inside, "w").select("node_id", F.col("piece").alias("w")).distinct()
-    hits = asked.join(posted, "w").groupBy("query_id", "node_id").agg(F.count("*").alias("hits"))
-    return hits.groupBy("query_id").agg(F.min_by("node_id", F.struct(-F.col("hits"), "node_id")).alias("node_id"), F.max("hits").alias("hits"))
+    places = numbered(nodes.select(F.col("node_id").alias("id")).distinct(), "id", name="place")
+    placed = held.join(places, F.col("node_id").eqNullSafe(F.col("id"))).select("place", "w")
+    posted = placed.join(inside, "w").select("place", F.col("piece").alias("w")).distinct()
+    bits = posted.groupBy("w", F.floor(F.col("place") / 64).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits"))
+    met = asked.join(bits, "w").select("query_id", "block", "bits").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    counts = met.groupBy("query_id", "block").agg(*[F.sum(F.shiftright("bits", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"n{i}") for i in range(64)])
+    most = F.array_min(F.array(*[F.struct((-F.col(f"n{i}")).alias("far"), (F.col("block") * 64 + i).alias("place")) for i in range(64)]))
+    best = counts.groupBy("query_id").agg(F.min(most).alias("best"))
+    return best.select("query_id", "best.*").join(places, "place").select("query_id", F.col("id").alias("node_id"), (-F.col("far")).alias("hits"))
 
 
 def required_vs_optional(assigned: DataFrame, roles: DataFrame) -> DataFrame:
