@@ -14,7 +14,7 @@ from apiloom.plans.views import APIS, EDGES, apis, edges, table
 def _fields(s, d):
     of = apis(s, d).select("operation_id", "method", F.col("entity").alias("capability"))
     side = lambda x: fields(s, d, x).select("operation_id", "name", "type").withColumn("side", F.lit(x))
-    return side("request").unionByName(side("response")).join(of, "operation_id")
+    return side("request").unionByName(side("response")).join(of.hint("merge"), "operation_id")
 
 
 FROWS = f"""{FIELDS.format('q', 0)}, {FIELDS.format('p', 1).split('),', 1)[1]},
