@@ -183,8 +183,10 @@ def entry_points(apis: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
 
 
 def parameter_flow(steps: DataFrame, responses: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Each parameter of a step with the earliest earlier step of its path whose response has that name."""
-    given = steps.join(responses, "operation_id").groupBy("path_id", "name").agg(F.min(F.struct("pos", "operation_id")).alias("origin"))
-    wanted = steps.join(parameters, "operation_id").select("path_id", "pos", "operation_id", "name")
+    """Each parameter of a step with the earliest earlier step of its path whose response has that name.
+
+    Names of APIs are made by explodes, whose rows the planner counts too low: they are merged, never broadcast."""
+    given = steps.join(responses.hint("merge"), "operation_id").groupBy("path_id", "name").agg(F.min(F.struct("pos", "operation_id")).alias("origin"))
+    wanted = steps.join(parameters.hint("merge"), "operation_id").select("path_id", "pos", "operation_id", "name")
     flow = wanted.join(given, ["path_id", "name"]).where(F.col("origin.pos") < F.col("pos"))
     return flow.select("path_id", "pos", "operation_id", "name", F.col("origin.pos").alias("from_pos"), F.col("origin.operation_id").alias("from_operation"))

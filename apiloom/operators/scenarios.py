@@ -35,7 +35,7 @@ def parameter_bindings(steps: DataFrame, flow: DataFrame, inputs: DataFrame) ->
     by_id = low.contains("id") & F.col("previous").isNotNull()
     kind = F.when(by_id, "dynamic_ref").when(low.contains("email") | low.contains("name"), "fake_data")
     value = F.when(by_id, F.concat(F.lit("{"), "previous", F.lit(".response.id}"))).when(low.contains("email"), "{{fake_email}}").when(low.contains("name"), "{{fake_name}}")
-    free = _with_previous(steps).join(bound.select("path_id", "pos").distinct(), ["path_id", "pos"], "left_anti").join(inputs.select("operation_id", "name").distinct(), "operation_id")
+    free = _with_previous(steps).join(bound.select("path_id", "pos").distinct(), ["path_id", "pos"], "left_anti").join(inputs.select("operation_id", "name").distinct().hint("merge"), "operation_id")
     return given.unionByName(free.select("path_id", "pos", "operation_id", "name", kind.alias("type"), value.alias("value")).where("type IS NOT NULL"))
 
 
