@@ -7,8 +7,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from apiloom.operators import apis as A
+from apiloom.operators import capability as C
 from apiloom.operators import deps as D
+from apiloom.operators import graph as G
 from apiloom.operators import roles as R
+from apiloom.operators import scenarios as X
+from apiloom.plans import capability_queries, graph_queries, profile_queries
 
 
 def plan_of(df):
@@ -76,3 +80,45 @@ def test_nearest_vectors_in_strips(spark):
     got = R.top_vectors(frame(zip(ids[:400], x[:400]), "vec_id"), frame(enumerate(q[:7]), "query_id"), 5, measure="cosine", item_block=50, query_block=3)
     want = {(row, rank, int(i)) for row in range(7) for rank, i in enumerate(ids[:400][np.lexsort((ids[:400], -s[row, :400]))[:5]], 1)}
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == want
+
+
+def test_words_of_many_nodes_are_bits(spark):
+    nodes = [(i * 7 - 90, f"alpha w{i} {'beta' if i % 3 else 'gamma-beta'}") for i in range(150)] + [(None, "omega alpha"), (50, "alpha"), (51, None)]
+    asked = [(1, "alpha beta"), (2, "w149 alpha"), (2, "w149"), (3, "zzz"), (4, "ega Alpha alpha"), (None, "gamma"), (5, None)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = C.keyword_match(frame(asked, "query_id"), frame(nodes, "node_id"))
+    assert "bit_or" in "".join(plan_of(got))
+    want = {(1, -90, 2), (2, 149 * 7 - 90, 3), (4, None, 2), (None, -90, 1)}
+    assert {tuple(r) for r in got.select("query_id", "node_id", "hits").collect()} == want
+
+
+def test_plans_are_opened_last(spark):
+    """A component of several lists, before and after other nodes; no sort or shuffle follows the nodes of the result."""
+    ring = [f"r{i:04}" for i in range(2300)]
+    edges = spark.createDataFrame([*zip(ring, [*ring[1:], ring[0]], strict=True), ("a", "r0005"), ("r0007", "z"), ("b", "z")], "src string, dst string")
+    order = G.topological_order(spark.createDataFrame([(n,) for n in ["a", "b", "z", *ring]], "node string"), edges)
+    steps = spark.createDataFrame([(1, 2, "a"), (1, 1, "z"), (2, 1, "r0001"), (3, 1, "b"), (3, 2, "gone")], "plan_id long, step int, agent string")
+    got = G.expand_plan(steps, edges, order)
+    lines = plan_of(got)
+    opened = next(i for i, line in enumerate(lines) if "Generate explode(nodes" in line)
+    assert not any(word in line for line in lines[:opened] for word in ("Sort", "Join", "Aggregate", "Repartition"))
+    want = [(1, "z", 1, 1), (1, "a", 2, 2), *[(1, n, 2, k) for k, n in enumerate(ring, 3)], *[(2, n, 1, k) for k, n in enumerate(ring, 1)], (2, "z", 1, 2301), (3, "b", 1, 1), (3, "z", 1, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_exploded_names_are_merged(spark):
+    """The planner counts the rows of an explode too low, so it must not choose a broadcast of them."""
+    steps = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "path_id long, pos int, operation_id string")
+    names = spark.createDataFrame([("a", ["x", "y_id"]), ("b", ["y_id"])], "operation_id string, n array<string>").select("operation_id", F.explode("n").alias("name"))
+    flow = D.parameter_flow(steps, names, names)
+    assert "".join(plan_of(flow)).count("strategy=merge") == 2
+    assert [tuple(r) for r in flow.collect()] == [(1, 2, "b", "y_id", 1, "a")]
+    bound = X.parameter_bindings(steps, flow.where("false").withColumn("source", F.lit("s")), names)
+    assert "strategy=merge" in "".join(plan_of(bound))
+    assert [tuple(r) for r in bound.collect()] == [(1, 2, "b", "y_id", "dynamic_ref", "{a.response.id}")]
+
+
+def test_small_files_are_dealt_out(spark, sf):
+    for rows in (profile_queries._operations(spark, sf), graph_queries.fields(spark, sf, "request")):
+        assert "Repartition" in "".join(plan_of(rows))
+    assert "strategy=merge" in "".join(plan_of(capability_queries._fields(spark, sf)))
