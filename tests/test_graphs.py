@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from apiloom import session
+from apiloom.operators import blocks
 from apiloom.operators import graph as G
 from apiloom.operators import trees as T
 from apiloom.plans import graph_queries
@@ -85,6 +87,32 @@ def test_rounds_are_logarithmic_in_chains(spark, monkeypatch):
     assert len(tables) < 90
 
 
+def test_tables_do_not_follow_the_ranges_of_a_long_graph(spark, monkeypatch):
+    tables = []
+    keep = session.Scratch.__call__
+    monkeypatch.setattr(session.Scratch, "__call__", lambda self, df: tables.append(1) or keep(self, df))
+    names = [f"p{i:05}" for i in range(1600)]
+    forth = [(names[i], names[i + j]) for i in range(1600) for j in (1, 3, 7) if i + j < 1600 and i % 400 != 399]
+    edges = forth + [(b, a) for k, (a, b) in enumerate(forth) if k % 5 == 0]
+    assert order_of(spark, names, edges, size=400) == ordered(names, edges)
+    assert len(tables) < 40
+
+
+@pytest.mark.parametrize("most", [5, 60, 1000])
+def test_cycles_inside_a_range(most):
+    rng = random.Random(most)
+    nodes = [f"n{i:02}" for i in range(40)]
+    edges = sorted({(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(90)) if a != b})
+    batches = [pd.DataFrame(edges[i : i + 7], columns=["src", "dst"]) for i in range(0, len(edges), 7)]
+    rows = [r for part in blocks._cycles_inside(iter(batches), most) for r in part.itertuples(index=False, name=None)]
+    root = {a: b for kind, a, b in rows if kind == "n"}
+    taken = [e for b in batches[: -(-most // 7)] for e in b.itertuples(index=False, name=None)]
+    assert {n: root.get(n, n) for n in nodes} == components(nodes, taken)
+    left = {(root.get(a, a), root.get(b, b)) for kind, a, b in rows if kind == "e"}
+    assert {e for e in left if e[0] != e[1]} == {(root.get(a, a), root.get(b, b)) for a, b in edges if root.get(a, a) != root.get(b, b)}
+    assert list(blocks._cycles_inside(iter([]), most)) == []
+
+
 def test_components_of_the_parts_graph(spark, sf):
     edges = [tuple(r) for r in graph_queries._parts_graph(spark, sf).collect()]
     nodes = sorted({x for e in edges for x in e})
