@@ -106,6 +106,20 @@ def test_plans_are_opened_last(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_plans_are_dealt_by_their_rows(spark):
+    """Lists are few bytes that open to many rows: plans that open the same ones are dealt over tasks, whatever the bytes."""
+    ring = [f"r{i:04}" for i in range(2300)]
+    edges = spark.createDataFrame([*zip(ring, [*ring[1:], ring[0]], strict=True), ("r0007", "z")], "src string, dst string")
+    order = G.topological_order(spark.createDataFrame([(n,) for n in ["z", *ring]], "node string"), edges)
+    plans = [*range(30)]
+    steps = spark.createDataFrame([(p, 1, ring[p]) for p in plans] + [(None, 1, "z"), (40, 2, "z"), (40, 1, None)], "plan_id long, step int, agent string")
+    got = G.expand_plan(steps, edges, order, share=5000)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 6 and max(tasks) <= 25_000
+    want = [(p, n, 1, k) for p in plans for k, n in enumerate([*ring, "z"], 1)] + [(40, "z", 2, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_exploded_names_are_merged(spark):
     """The planner counts the rows of an explode too low, so it must not choose a broadcast of them."""
     steps = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "path_id long, pos int, operation_id string")
