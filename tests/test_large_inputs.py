@@ -55,6 +55,24 @@ def test_field_matches_are_opened_last(spark):
     assert len(want) > 50 and sorted(found) == sorted((a, b, s, tuple(sorted(m))) for (a, b), (s, m) in want.items())
 
 
+def test_lists_of_apis_are_not_sent_in_pairs(spark):
+    """Two lists meet in the task that opens them. Classes large and small, cut into cells, with every pair once."""
+    kind = "operation_id string, entity string, name string, type string, location string"
+    big = [(f"a{i:04}", "x", "userId", "string", "body") for i in range(1500)]
+    rows = [*big, *[(f"b{i}", "y", "userId", "string", "path") for i in range(5)], ("c", "w", "userId", "string", "path")]
+    requests, responses = spark.createDataFrame(rows, kind), spark.createDataFrame([*big[700:], *rows[1500:]], kind)
+    allowed = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "x"), ("y", "y"), ("y", "y"), (None, "w")], "source string, target string")
+    got = D.field_match_dependencies(requests, responses, allowed, share=50_000)
+    lines = plan_of(got)
+    opened = next(i for i, line in enumerate(lines) if "Generate explode(srcs" in line)
+    assert "Join" in next(line for line in lines[opened:] if "Join" in line or "Repartition" in line)
+    ids = {"x": [r[0] for r in big], "y": [f"b{i}" for i in range(5)]}
+    want = [(a, b) for s, t in (("x", "x"), ("x", "y"), ("y", "x"), ("y", "y")) for a in ids[s] for b in (ids[t][700:] if t == "x" else ids[t]) if a != b]
+    assert sorted((r["src"], r["dst"]) for r in got.select("src", "dst").collect()) == sorted(want)
+    sides = {r["dst_class"]: r["side"] for r in D._grids(*D._signatures(requests), *D._signatures(responses), allowed, 50_000)[0].collect()}
+    assert sides["a0700"] > 1 and sides["b0"] == 1 and "c" not in sides
+
+
 def test_blocks_of_vectors_stay_few(spark):
     """A row is sent once for each block of the other side: the blocks do not grow with the rows."""
     rows = spark.range(3000).select("id", F.array(F.col("id").cast("float")).alias("embedding"))
