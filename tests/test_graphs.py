@@ -203,11 +203,11 @@ def test_every_step_stays_in_its_plan(spark, sf):
     below = {}
     for a, b in edges:
         below.setdefault(a, []).append(b)
-    steps = [(p, k, rng.choice([*nodes, "gone", None])) for p in range(12) for k in range(1, 8)] + [(None, 1, "n00"), (None, 2, "gone")]
+    steps = [(p, k, rng.choice([*nodes, "gone", None])) for p in range(12) for k in range(1, 8)] + [(None, 1, "n00"), (None, 2, "gone"), (3, None, "lost")]
     want = []
     for plan in range(12):
         found, rows = set(), []
-        for _, step, agent in (x for x in steps if x[0] == plan):
+        for _, step, agent in (x for x in steps if x[0] == plan and x[1]):
             fresh, stack = set(), [agent] if agent in places else []
             while stack:
                 x = stack.pop()
@@ -216,12 +216,12 @@ def test_every_step_stays_in_its_plan(spark, sf):
                     stack += below.get(x, ())
             rows += [(x, step) for x in sorted(fresh, key=lambda x: places[x][2])] or [(agent, step)]
             found |= fresh
-        want += [(plan, x, step, k) for k, (x, step) in enumerate(rows, 1)]
+        want += [(plan, x, step, k) for k, (x, step) in enumerate([*rows, ("lost", None)] if plan == 3 else rows, 1)]
     frame = spark.createDataFrame(edges, "src string, dst string")
     order = G.topological_order(spark.createDataFrame([(n,) for n in nodes], "node string"), frame)
     got = G.expand_plan(spark.createDataFrame([*steps, *steps[:20]], "plan_id long, step int, agent string"), frame, order, every=True)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
-    assert {x[2] for x in want} == set(range(1, 8)) and sum(x[1] is None for x in want) and sum(x[1] == "gone" for x in want)
+    assert {x[2] for x in want} == {None, *range(1, 8)} and sum(x[1] is None for x in want) and sum(x[1] == "gone" for x in want)
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_linenumber").distinct().collect()
     plans = graph_queries.QUERIES["expand_plan"](spark, sf).select("plan_id", "step").distinct().collect()
     assert sorted(map(tuple, plans)) == sorted(map(tuple, lines))
