@@ -225,3 +225,15 @@ def test_every_step_stays_in_its_plan(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_linenumber").distinct().collect()
     plans = graph_queries.QUERIES["expand_plan"](spark, sf).select("plan_id", "step").distinct().collect()
     assert sorted(map(tuple, plans)) == sorted(map(tuple, lines))
+
+
+def test_the_last_turn_is_one_task(spark, monkeypatch):
+    """Cycles are settled where one task holds them all, also when ranges are dealt to more tasks than asked for."""
+    ring = [f"n{i:02}" for i in range(60)]
+    edges = spark.createDataFrame([*zip(ring, [*ring[30:], *ring[:30]], strict=True), *zip(ring, [*ring[1:], ring[0]], strict=True)], "src string, dst string")
+    frame, dealt = type(edges), type(edges).repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *columns: dealt(self, max(n, 7), *columns))
+    with session.Scratch(spark) as keep:
+        turns, left, settled = blocks.contract_cycles(edges, keep)
+        assert settled and left.isEmpty()
+        assert {r["node"]: r["root"] for t in turns for r in t.collect()} == dict.fromkeys(ring[1:], "n00")
